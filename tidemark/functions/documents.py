@@ -49,11 +49,14 @@ def _lookup(table: dict[str, str], name: Column) -> Column:
     return F.create_map(*[F.lit(part) for pair in table.items() for part in pair])[name]
 
 
+def kind_of_form(form: Column) -> Column:
+    """The kind of a value by what ``schema_of_variant`` says of it."""
+    return F.coalesce(_lookup(WRAPPERS, form), _lookup(PLAIN, F.regexp_extract(form, "^[A-Z]+", 0)))
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a variant: a scalar name, object, array, decimal128, or NULL."""
-    name = F.schema_of_variant(value)
-    bare = F.regexp_extract(name, "^[A-Z]+", 0)
-    return F.coalesce(_lookup(WRAPPERS, name), _lookup(PLAIN, bare))
+    return kind_of_form(F.schema_of_variant(value))
 
 
 def scalar(value: Column, kind: str) -> Column:
@@ -74,7 +77,7 @@ def scalar(value: Column, kind: str) -> Column:
         millis = at('$["$date"]["$numberLong"]', "bigint")
         return F.coalesce(F.timestamp_millis(millis), at('$["$date"]', "timestamp"))
     if kind == "binary":
-        return F.unbase64(at('$["$binary"].base64', "string"))
+        return F.try_to_binary(at('$["$binary"].base64', "string"), F.lit("base64"))
     raise ValueError(f"no Spark type for {kind}")
 
 

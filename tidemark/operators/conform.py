@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.documents import SCALARS, kind_of, scalar
+from tidemark.functions.documents import SCALARS, kind_of, kind_of_form, scalar
 from tidemark.functions.names import safe_name
 from tidemark.sources.feed import MISSING_POST_IMAGE, lacks_post_image
 
 KEY = "_id"
 SEQ, AT, ALIVE, COMMIT, BUCKET = "__seq", "__at", "__alive", "__commit", "__bucket"
-OWN = (SEQ, AT, ALIVE, COMMIT, BUCKET, "__reason", "__text")
+_REASON, _TEXT = "__reason", "__text"
+OWN = (SEQ, AT, ALIVE, COMMIT, BUCKET, _REASON, _TEXT)
 
 # The reasons a reject carries.
 TYPE_REASON = "Unexpected BSON type of {got} for iceberg column name {column} of type {want}"
@@ -41,9 +42,15 @@ class TooManyFields(ValueError):
 
 @dataclass
 class Shape:
-    """A field's kind and, below objects and arrays, its parts."""
+    """A field's kind and, below objects and arrays, its parts.
+
+    ``raw`` lists, per column, the names the batch has for it; ``refused`` the
+    names that cannot become columns.  ``wrapped`` tells that values of a scalar
+    came in a one-key object.
+    """
 
     kind: str
+    wrapped: bool = False
     fields: dict[str, Shape] = field(default_factory=dict)
     raw: dict[str, list[str]] = field(default_factory=dict)
     refused: dict[str, str] = field(default_factory=dict)
@@ -85,30 +92,48 @@ def read_documents(feed: DataFrame) -> DataFrame:
     return feed.withColumn("_members", _members(F.try_parse_json("full_document")))
 
 
-def observed_fields(documents: DataFrame, max_fields: int = MAX_FIELDS) -> list[tuple[list[str | None], str, int]]:
-    """Every field path and kind in the batch with the ``seq`` it was first seen at.
+@dataclass(frozen=True)
+class Observed:
+    """A field path and kind of a batch, and the ``seq`` it was first seen at.
+
+    A None in the path stands for an array's items.
+    """
+
+    path: tuple[str | None, ...]
+    kind: str
+    wrapped: bool
+    seq: int
+
+
+def observed_fields(documents: DataFrame, max_fields: int = MAX_FIELDS) -> list[Observed]:
+    """Every field path and kind in the batch.
 
     One pass per nesting level, each an aggregation over path and kind.  The
     driver receives the schema's fields alone, and refuses to take more than
-    ``max_fields`` of them.  A None in a path stands for an array's items.
+    ``max_fields`` of them.
     """
 
     def described(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            "seq", F.concat("path", F.array("name")).alias("path"), "value", kind_of(F.col("value")).alias("kind")
-        ).where(F.col("kind").isNotNull())
+        form = F.schema_of_variant("value")
+        return (
+            rows.select("seq", F.concat("path", F.array("name")).alias("path"), "value", form.alias("form"))
+            .withColumn("kind", kind_of_form(F.col("form")))
+            .withColumn("wrapped", F.col("form").startswith("OBJECT<") & (F.col("kind") != "object"))
+            .drop("form")
+            .where(F.col("kind").isNotNull())
+        )
 
     level = described(
         documents.select(
             "seq", F.array().cast("array<string>").alias("path"), F.explode("_members").alias("name", "value")
         )
     )
-    found: list[tuple[list[str | None], str, int]] = []
+    found: list[Observed] = []
     while True:
-        rows = level.groupBy("path", "kind").agg(F.min("seq").alias("seq")).limit(max_fields + 1).collect()
+        rows = level.groupBy("path", "kind", "wrapped").agg(F.min("seq").alias("seq")).limit(max_fields + 1).collect()
         if len(rows) > max_fields:
             raise TooManyFields(f"more than {max_fields} field paths in one batch")
-        found += [(row.path, row.kind, row.seq) for row in rows]
+        found += [Observed(tuple(row.path), row.kind, row.wrapped, row.seq) for row in rows]
         if not any(row.kind in ("object", "array") for row in rows):
             return found
         members = level.where("kind = 'object'").select(
@@ -120,37 +145,41 @@ def observed_fields(documents: DataFrame, max_fields: int = MAX_FIELDS) -> list[
         level = described(members.unionByName(items))
 
 
-def grow(schema: T.StructType, observed: list[tuple[list[str | None], str, int]]) -> Shape:
+def grow(schema: T.StructType, observed: list[Observed]) -> Shape:
     """The registered schema widened by what a batch brought; first type wins."""
     root = _shape(schema)
-    for path, kind, _ in sorted(observed, key=lambda o: (len(o[0]), o[2], [p or "" for p in o[0]], o[1])):
+    for seen in sorted(observed, key=lambda o: (len(o.path), o.seq, [p or "" for p in o.path], o.kind)):
         parent: Shape | None = root
-        for step in path[:-1]:
+        for step in seen.path[:-1]:
             parent = parent and (parent.element if step is None else parent.fields.get(safe_name(step)))
-        if parent is None or kind == "decimal128":
-            if parent is not None and path[-1] is not None:
-                _register(parent, path[-1], None)
+        if parent is None:
             continue
-        if path[-1] is None:
-            if parent.kind == "array" and parent.element is None:
-                parent.element = Shape(kind)
-        elif parent.kind == "object":
-            _register(parent, path[-1], kind)
+        known = _register(parent, seen)
+        if known is not None and known.kind == seen.kind and seen.wrapped:
+            known.wrapped = True
     return root
 
 
-def _register(parent: Shape, raw: str, kind: str | None) -> None:
-    """Notes a raw name under its column; ``kind`` None only remembers the name."""
+def _register(parent: Shape, seen: Observed) -> Shape | None:
+    """Notes a name under its column, and the column's type when it is the first."""
+    raw = seen.path[-1]
+    if raw is None:
+        if parent.kind == "array" and parent.element is None and seen.kind != "decimal128":
+            parent.element = Shape(seen.kind)
+        return parent.element
+    if parent.kind != "object":
+        return None
     name = safe_name(raw)
     spelled = {known.lower(): known for known in parent.fields}
     if spelled.get(name.lower(), name) != name:
         parent.refused.setdefault(raw, CASE_REASON)
-        return
+        return None
     names = parent.raw.setdefault(name, [])
     if raw not in names:
         names.append(raw)
-    if kind and name not in parent.fields:
-        parent.fields[name] = Shape(kind)
+    if name not in parent.fields and seen.kind != "decimal128":
+        parent.fields[name] = Shape(seen.kind)
+    return parent.fields.get(name)
 
 
 def _members(value: Column) -> Column:
@@ -161,102 +190,167 @@ def _items(value: Column) -> Column:
     return value.try_cast("array<variant>")
 
 
+def _nothing() -> Column:
+    return F.array().cast("array<string>")
+
+
+# --- raw text, needed only where two names fall on one column ------------------------
+
+
 def _texts(text: Column, array: bool = False) -> Column:
-    """The raw JSON text of an object's members or an array's items."""
+    """The JSON text of an object's members or an array's items."""
     return F.from_json(text, "array<string>" if array else "map<string,string>")
 
 
-def _pick(names: list[str], members: Column, text: Column | None) -> Column:
-    """The member a column takes its value from; of several, the last in the document."""
-    if len(names) == 1 or text is None:
-        return members[F.lit(names[-1])]
+def _last_of(names: list[str], text: Column) -> Column:
+    """Which of several names comes last in the document."""
     present = F.filter(F.json_object_keys(text), lambda k: k.isin(*names))
-    return members[F.element_at(F.when(F.size(present) > 0, present), -1)]
+    return F.element_at(F.when(F.size(present) > 0, present), -1)
 
 
-def _pick_text(names: list[str], text: Column) -> Column:
-    texts = _texts(text)
-    if len(names) == 1:
-        return texts[F.lit(names[0])]
-    present = F.filter(F.json_object_keys(text), lambda k: k.isin(*names))
-    return texts[F.element_at(F.when(F.size(present) > 0, present), -1)]
+def _below(names: list[str], text: Column | None, child: Shape) -> Column | None:
+    if text is None or not child.clashes:
+        return None
+    return _texts(text)[F.lit(names[0]) if len(names) == 1 else _last_of(names, text)]
 
 
-def _reason(got: Column, column: str, want: str) -> Column:
-    before, after = TYPE_REASON.format(got="\0", column=column, want=want).split("\0")
-    return F.when(got == "decimal128", F.lit(DECIMAL_REASON)).otherwise(
-        F.concat(F.lit(before), got, F.lit(after))
-    )
+# --- checking ------------------------------------------------------------------------
 
 
-def _nothing() -> Column:
-    return F.array().cast("array<string>")
+def _map(table: dict[str, Column]) -> Column:
+    return F.create_map(*[part for name, value in table.items() for part in (F.lit(name), value)])
 
 
-def _problems(value: Column, text: Column | None, shape: Shape, column: str) -> Column:
-    """Why a value does not fit its column: an array of reasons, empty when it fits."""
-    got = kind_of(value)
-    fits = got.isin(*_TAKES.get(shape.kind, (shape.kind,)))
-    wrong = F.array(_reason(got, column, shape.kind))
-    if shape.kind == "object":
-        inner = _object_problems(_members(value), text, shape, column)
-    elif shape.kind == "array" and shape.element is not None:
-        inner = _array_problems(value, text, shape.element, column)
-    else:
-        inner = _nothing()
-    return F.when(got.isNull(), _nothing()).when(fits, inner).otherwise(wrong)
+def _tail(column: str, want: str) -> str:
+    return TYPE_REASON.format(got="\0", column=column, want=want).split("\0")[1]
+
+
+def _reason(got: Column, tail: Column) -> Column:
+    head = TYPE_REASON.split("{got}")[0]
+    return F.when(got == "decimal128", F.lit(DECIMAL_REASON)).otherwise(F.concat(F.lit(head), got, tail))
+
+
+def _takes(kind: str) -> tuple[str, ...]:
+    return _TAKES.get(kind, (kind,))
 
 
 def _object_problems(members: Column, text: Column | None, shape: Shape, column: str) -> Column:
-    parts = []
+    """Why an object's fields do not fit: an array of reasons, empty when they do.
+
+    All fields are looked up in one constant table, so the expression does not
+    grow with the number of columns.
+    """
+    takes, tails, inner = {}, {}, []
     for name, raw in shape.raw.items():
-        child = shape.fields.get(name) or Shape("unknown")
+        child = shape.fields.get(name)
         label = f"{column}.{name}" if column else name
-        below = _pick_text(raw, text) if text is not None and child.clashes else None
-        parts.append(_problems(_pick(raw, members, text), below, child, label))
-    for raw, reason in shape.refused.items():
-        present = F.map_contains_key(members, F.lit(raw))
-        parts.append(F.when(present, F.array(F.lit(reason))).otherwise(_nothing()))
-    return F.concat(*parts) if parts else _nothing()
+        for one in raw:
+            takes[one] = F.array(*[F.lit(k) for k in (_takes(child.kind) if child else ())]).cast("array<string>")
+            tails[one] = F.lit(_tail(label, child.kind if child else "unknown"))
+        if child and child.kind in ("object", "array"):
+            chosen = F.lit(raw[0]) if len(raw) == 1 or text is None else _last_of(raw, text)
+            inner.append(_inner_problems(members[chosen], _below(raw, text, child), child, label))
+    for raw, why in shape.refused.items():
+        takes[raw], tails[raw] = _nothing(), F.lit(why)
+    if not takes:
+        return _nothing()
+    kinds = F.map_entries(F.transform_values(members, lambda _, v: kind_of(v)))
+    bad = F.filter(kinds, lambda e: e["value"].isNotNull() & ~F.array_contains(_map(takes)[e["key"]], e["value"]))
+    clashing = [raw for raw in shape.raw.values() if len(raw) > 1]
+    if clashing and text is not None:
+        # An overwritten field is not in the result, so its type does not matter.
+        kept = F.array(*[_last_of(raw, text) for raw in clashing])
+        every = [name for raw in clashing for name in raw]
+        bad = F.filter(bad, lambda e: ~e["key"].isin(*every) | F.array_contains(kept, e["key"]))
+    refused = list(shape.refused)
+    tail = _map(tails)
+    reasons = F.transform(
+        bad,
+        lambda e: F.when(e["key"].isin(*refused), tail[e["key"]]).otherwise(_reason(e["value"], tail[e["key"]]))
+        if refused
+        else _reason(e["value"], tail[e["key"]]),
+    )
+    return F.concat(F.coalesce(reasons, _nothing()), *inner) if inner else F.coalesce(reasons, _nothing())
+
+
+def _inner_problems(value: Column, text: Column | None, shape: Shape, column: str) -> Column:
+    """What is wrong below a value whose own kind is checked elsewhere."""
+    if shape.kind == "object":
+        return _object_problems(_members(value), text, shape, column)
+    if shape.kind == "array" and shape.element is not None:
+        element, items = shape.element, _items(value)
+        tail = F.lit(_tail(column, element.kind))
+        wrong = F.filter(items, lambda v: ~kind_of(v).isin(*_takes(element.kind)))
+        reasons = F.coalesce(F.transform(wrong, lambda v: _reason(kind_of(v), tail)), _nothing())
+        if element.kind not in ("object", "array"):
+            return reasons
+        if text is None or not element.clashes:
+            below = F.transform(items, lambda v: _inner_problems(v, None, element, column))
+        else:
+            texts = _texts(text, array=True)
+            below = F.zip_with(items, texts, lambda v, t: _inner_problems(v, t, element, column))
+        return F.concat(reasons, F.coalesce(F.flatten(below), _nothing()))
+    return _nothing()
+
 
+# --- typing --------------------------------------------------------------------------
 
-def _array_problems(value: Column, text: Column | None, element: Shape, column: str) -> Column:
-    items = _items(value)
-    if text is None or not element.clashes:
-        return F.flatten(F.transform(items, lambda v: _problems(v, None, element, column)))
-    return F.flatten(F.zip_with(items, _texts(text, array=True), lambda v, t: _problems(v, t, element, column)))
 
+def _raw_type(shape: Shape) -> str:
+    """The type Spark reads a value as: by its names in the documents, wrappers as they are."""
+    if shape.kind == "object":
+        parts = [
+            "`{}`: {}".format(raw.replace("`", "``"), _raw_type(shape.fields[name]))
+            for name, names in shape.raw.items()
+            if name in shape.fields and shape.fields[name].spark_type() is not None
+            for raw in names
+        ]
+        return f"struct<{', '.join(parts)}>" if parts else "variant"
+    if shape.kind == "array":
+        return f"array<{_raw_type(shape.element)}>"
+    return "variant" if shape.wrapped else SCALARS[shape.kind].simpleString()
+
+
+def _as_read(shape: Shape) -> bool:
+    """Whether a value read by its raw type already is the column's value."""
+    if shape.kind == "object":
+        known = [name for name, child in shape.fields.items() if child.spark_type() is not None]
+        plain = [name for name in shape.raw if name in known]
+        return plain == known and all(shape.raw[n] == [n] and _as_read(shape.fields[n]) for n in known)
+    if shape.kind == "array":
+        return _as_read(shape.element)
+    return not shape.wrapped
 
-def _columns(members: Column, text: Column | None, shape: Shape) -> list[Column]:
+
+def _columns(value: Column, text: Column | None, shape: Shape) -> list[Column]:
     """An object's fields as typed columns; NULL where the batch never had the field."""
     columns = []
     for part in shape.spark_type().fields if shape.spark_type() else []:
-        child, raw = shape.fields[part.name], shape.raw.get(part.name)
-        if not raw:
-            column = F.lit(None).cast(part.dataType)
-        else:
-            below = _pick_text(raw, text) if text is not None and child.clashes else None
-            column = _value(_pick(raw, members, text), below, child)
+        child, raw = shape.fields[part.name], shape.raw.get(part.name, [])
+        column = F.lit(None).cast(part.dataType)
+        if len(raw) == 1:
+            column = _typed(value.getField(raw[0]), _below(raw, text, child), child)
+        elif raw:
+            last, below = _last_of(raw, text), _below(raw, text, child)
+            column = F.coalesce(*[F.when(last == one, _typed(value.getField(one), below, child)) for one in raw])
         columns.append(column.alias(part.name))
     return columns
 
 
-def _value(value: Column, text: Column | None, shape: Shape) -> Column:
-    """A fitting variant as a typed column."""
+def _typed(value: Column, text: Column | None, shape: Shape) -> Column:
+    """A fitting value, read by its raw type, as the column's type."""
+    if _as_read(shape):
+        return value
     if shape.kind == "object":
-        members = _members(value)
-        return F.when(members.isNotNull(), F.struct(*_columns(members, text, shape)))
+        present = value.isNotNull() if any(shape.raw.values()) else ~F.coalesce(F.is_variant_null(value), F.lit(True))
+        return F.when(present, F.struct(*_columns(value, text, shape)))
     if shape.kind == "array":
-        items = _items(value)
         if text is None or not shape.element.clashes:
-            return F.transform(items, lambda v: _value(v, None, shape.element))
-        return F.zip_with(items, _texts(text, array=True), lambda v, t: _value(v, t, shape.element))
+            return F.transform(value, lambda v: _typed(v, None, shape.element))
+        return F.zip_with(value, _texts(text, array=True), lambda v, t: _typed(v, t, shape.element))
     return scalar(value, shape.kind)
 
 
-_REASON, _TEXT = "__reason", "__text"
-
-
 @dataclass
 class Conformed:
     """A batch under its grown schema; persist ``checked`` before using both halves."""
@@ -301,27 +395,29 @@ def conform(
 
     members, text, deleted = F.col("_members"), F.col("full_document"), F.col("operation_type") == "delete"
     order_text = text if root.clashes else None
-    fit = _object_problems(members, order_text, root, "")
     no_document = F.when(
         lacks_post_image(),
         F.raise_error(F.lit(MISSING_POST_IMAGE)).cast("array<string>")
         if missing_post_image == "fail"
         else F.array(F.lit(MISSING_POST_IMAGE)),
     ).otherwise(F.array(F.lit(UNREADABLE_REASON)))
-    checked = rows.withColumn(
-        "_reasons",
+    reasons = (
         F.when(F.col("document_key").isNull(), F.array(F.lit(NO_KEY_REASON)))
         .when(deleted, _nothing())
         .when(members.isNull(), no_document)
-        .otherwise(fit),
+        .otherwise(_object_problems(members, order_text, root, ""))
     )
+    raw_type = _raw_type(root)
+    checked = rows.withColumn("_reasons", reasons)
+    if raw_type != "variant":
+        checked = checked.withColumn("_raw", F.try_variant_get(F.try_parse_json(text), "$", raw_type))
     reason = F.when(F.size("_reasons") > 0, F.array_join(F.array_distinct("_reasons"), "; "))
     typed = checked.withColumn(_REASON, reason).select(
         F.col("document_key").alias(KEY),
         F.col("seq").alias(SEQ),
         F.col("cluster_time").alias(AT),
         (~deleted).alias(ALIVE),
-        *_columns(F.when(F.col(_REASON).isNull(), members), order_text, root),
+        *_columns(F.col("_raw"), order_text, root),
         F.when(F.col(_REASON).isNotNull(), text).alias(_TEXT),
         _REASON,
     )
