@@ -6,13 +6,15 @@ that does not fit is set aside with its reason; it never stops the others.
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.documents import SCALARS, kind_of, kind_of_form, scalar
+from tidemark.functions.documents import PLAIN, SCALARS, WRAPPERS, kind_of, kind_of_form, scalar
 from tidemark.functions.names import safe_name
 from tidemark.sources.feed import MISSING_POST_IMAGE, lacks_post_image
 
@@ -30,6 +32,12 @@ UNREADABLE_REASON = "not a readable document"
 NO_KEY_REASON = "no document key"
 
 MAX_FIELDS = 10_000
+MAX_FORMS = 1_000
+
+# How schema_of_variant writes decimals; and forms that do not tell every value's type.
+DECIMAL_FORM = r"DECIMAL\([0-9]+,[0-9]+\)"
+UNCLEAR_FORM = r"VARIANT|`[^`]*DECIMAL\("
+QUOTED_OR_OBJECT = re.compile(r"`(?:[^`]|``)*`|OBJECT<")
 
 # Kinds a column of each kind takes; anything else is a type conflict.
 _TAKES = {"double": ("double", "bigint")}
@@ -76,7 +84,7 @@ class Shape:
 
 def _shape(data_type: T.DataType) -> Shape:
     if isinstance(data_type, T.StructType):
-        return Shape("object", {f.name: _shape(f.dataType) for f in data_type.fields})
+        return Shape("object", fields={f.name: _shape(f.dataType) for f in data_type.fields})
     if isinstance(data_type, T.ArrayType):
         return Shape("array", element=_shape(data_type.elementType))
     kind = _FROM_SPARK.get(type(data_type))
@@ -88,8 +96,8 @@ def _shape(data_type: T.DataType) -> Shape:
 
 
 def read_documents(feed: DataFrame) -> DataFrame:
-    """Adds the document's members; text that is no JSON object leaves them NULL."""
-    return feed.withColumn("_members", _members(F.try_parse_json("full_document")))
+    """Adds the parsed document and its members; text that is no JSON object leaves them NULL."""
+    return feed.withColumn("_doc", F.try_parse_json("full_document")).withColumn("_members", _members(F.col("_doc")))
 
 
 @dataclass(frozen=True)
@@ -105,9 +113,65 @@ class Observed:
     seq: int
 
 
-def observed_fields(documents: DataFrame, max_fields: int = MAX_FIELDS) -> list[Observed]:
+def observed_fields(documents: DataFrame, max_fields: int = MAX_FIELDS, max_forms: int = MAX_FORMS) -> list[Observed]:
     """Every field path and kind in the batch.
 
+    Documents are counted by form first, an aggregation that leaves few rows, and
+    the fields are read off the forms.  Forms that hide something (mixed arrays),
+    and a batch of more than ``max_forms`` forms, are explored value by value.
+    """
+    plain = F.regexp_replace(F.schema_of_variant("_doc"), DECIMAL_FORM, "DOUBLE")
+    forms = (
+        documents.where(F.col("_members").isNotNull())
+        .groupBy(plain.alias("form"))
+        .agg(F.min("seq").alias("seq"))
+        .limit(max_forms + 1)
+        .collect()
+    )
+    if len(forms) > max_forms:
+        return explored_fields(documents, max_fields)
+    clear = [row for row in forms if not re.search(UNCLEAR_FORM, row.form)]
+    found = _fields_of_forms([(row.form, row.seq) for row in clear])
+    if len(clear) < len(forms):
+        found += explored_fields(documents.where(plain.rlike(UNCLEAR_FORM)), max_fields)
+    return found
+
+
+def _fields_of_forms(forms: list[tuple[str, int]]) -> list[Observed]:
+    """The fields of document forms, whose text Spark itself reads as types."""
+
+    def read(texts: list[str]) -> list[T.DataType]:
+        as_struct = [QUOTED_OR_OBJECT.sub(lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], t) for t in texts]
+        ddl = ", ".join(f"c{i} {t}" for i, t in enumerate(as_struct))
+        return [f.dataType for f in T.StructType.fromDDL(ddl).fields] if ddl else []
+
+    wrappers = dict(zip([t.simpleString() for t in read(list(WRAPPERS))], WRAPPERS.values()))
+    first: dict[tuple, int] = {}
+
+    def note(path: tuple, data_type: T.DataType, seq: int) -> None:
+        name = data_type.simpleString()
+        kind = wrappers.get(name) or PLAIN.get(name.split("<")[0].upper().replace("STRUCT", "OBJECT"))
+        if kind is None:
+            return
+        seen = (path, kind, name in wrappers)
+        first[seen] = min(seq, first.get(seen, seq))
+        if kind == "object":
+            members(path, data_type, seq)
+        elif kind == "array":
+            note((*path, None), data_type.elementType, seq)
+
+    def members(path: tuple, data_type: T.StructType, seq: int) -> None:
+        for part in data_type.fields:
+            note((*path, part.name), part.dataType, seq)
+
+    for (_, seq), data_type in zip(forms, read([form for form, _ in forms])):
+        members((), data_type, seq)
+    return [Observed(*seen, seq) for seen, seq in first.items()]
+
+
+def explored_fields(documents: DataFrame, max_fields: int = MAX_FIELDS) -> list[Observed]:
+    """Every field path and kind in the batch, by looking at each value.
+
     One pass per nesting level, each an aggregation over path and kind.  The
     driver receives the schema's fields alone, and refuses to take more than
     ``max_fields`` of them.
@@ -410,7 +474,7 @@ def conform(
     raw_type = _raw_type(root)
     checked = rows.withColumn("_reasons", reasons)
     if raw_type != "variant":
-        checked = checked.withColumn("_raw", F.try_variant_get(F.try_parse_json(text), "$", raw_type))
+        checked = checked.withColumn("_raw", F.try_variant_get("_doc", "$", raw_type))
     reason = F.when(F.size("_reasons") > 0, F.array_join(F.array_distinct("_reasons"), "; "))
     typed = checked.withColumn(_REASON, reason).select(
         F.col("document_key").alias(KEY),

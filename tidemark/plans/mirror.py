@@ -2,12 +2,12 @@
 
 ::
 
-    <root>/epochs/epoch=<e>               marker, written when an epoch is ready
-    <root>/epoch=<e>/changes/__commit=<n>  one row per key the commit touched
-    <root>/epoch=<e>/base/__commit=<n>/__bucket=<b>  whole state, deleted keys kept as tombstones
-    <root>/epoch=<e>/bases/__commit=<n>    marker of a finished base
-    <root>/epoch=<e>/dlq/__commit=<n>      rejected documents
-    <root>/epoch=<e>/commits/__commit=<n>  marker, written last: the commit exists
+    <root>/epochs/epoch=<e>           marker: the epoch is complete; names its folder
+    <folder>/changes/__commit=<n>     one row per key the commit touched
+    <folder>/base/__commit=<n>/__bucket=<b>  whole state, deleted keys kept as tombstones
+    <folder>/bases/__commit=<n>       marker of a finished base
+    <folder>/dlq/__commit=<n>         rejected documents
+    <folder>/commits/__commit=<n>     marker, written last: the commit exists
 
 A directory without its marker is invisible and is overwritten by the retry that
 takes its number.  A state read is the newest base at or below the version plus
@@ -62,11 +62,26 @@ BASE_SCHEMA = T.StructType(
 )
 DLQ_SCHEMA = T.StructType(
     [
+        T.StructField(COMMIT, T.LongType()),
         T.StructField("dlq_time", T.TimestampType()),
         T.StructField("err_info", T.StructType([T.StructField("reason", T.StringType())])),
         T.StructField("doc", T.StringType()),
     ]
 )
+EPOCH_SCHEMA = T.StructType(
+    [
+        T.StructField("epoch", T.LongType()),
+        T.StructField("buckets", T.IntegerType()),
+        T.StructField("folder", T.StringType()),
+    ]
+)
+TABLES = {
+    "commits": COMMIT_SCHEMA,
+    "changes": T.StructType([T.StructField(COMMIT, T.LongType()), *OWN_FIELDS]),
+    "bases": BASE_SCHEMA,
+    "dlq": DLQ_SCHEMA,
+    "dlq_cleared": T.StructType([T.StructField(COMMIT, T.LongType()), T.StructField("rows", T.LongType())]),
+}
 
 
 class RebuildRefused(RuntimeError):
@@ -96,57 +111,68 @@ class Mirror:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
-        found = self._read(f"{self.root}/epochs", "epoch bigint, buckets int")
-        last = found.orderBy(F.desc("epoch")).first() if found is not None else None
+        last = self._epochs().orderBy(F.desc("epoch")).first()
         if last is None:
-            self._open_epoch(1, buckets)
-        else:
-            self.epoch, self.buckets = last.epoch, last.buckets
+            last = self._prepare(1, buckets)
+            self._open(last)
+        self.epoch, self.buckets, self._home = last.epoch, last.buckets, f"{self.root}/{last.folder}"
 
     # --- files -----------------------------------------------------------------
 
-    @property
-    def _home(self) -> str:
-        return f"{self.root}/epoch={self.epoch}"
-
-    def _read(self, path: str, schema: str | T.StructType) -> DataFrame | None:
+    def _epochs(self) -> DataFrame:
+        path = f"{self.root}/epochs"
         try:
-            return self.spark.read.schema(schema).parquet(path)
+            return self.spark.read.schema(EPOCH_SCHEMA).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
+            return self.spark.createDataFrame([], EPOCH_SCHEMA)
+
+    def _prepare(self, epoch: int, buckets: int) -> Row:
+        """A new folder with its empty tables; nobody sees it until it is opened."""
+        folder = f"epoch-{epoch}-{self.spark.sql('SELECT uuid()').first()[0]}"
+        for name, schema in TABLES.items():
+            empty = self.spark.createDataFrame([], schema).drop(COMMIT)
+            empty.write.mode("overwrite").parquet(f"{self.root}/{folder}/{name}/{COMMIT}=0")
+        return Row(epoch=epoch, buckets=buckets, folder=folder)
+
+    def _open(self, epoch: Row) -> None:
+        schema = T.StructType(EPOCH_SCHEMA.fields[1:])
+        self._mark(f"{self.root}/epochs/epoch={epoch.epoch}", [epoch.buckets, epoch.folder], schema)
+
+    def _table(self, name: str, schema: T.StructType | None = None) -> DataFrame:
+        return self.spark.read.schema(schema or TABLES[name]).parquet(f"{self._home}/{name}")
 
     def _mark(self, path: str, values: list, schema: T.StructType) -> None:
         """One small file whose appearance makes everything before it visible."""
         self.spark.createDataFrame([values], schema).coalesce(1).write.mode("overwrite").parquet(path)
 
-    def _open_epoch(self, epoch: int, buckets: int) -> None:
-        schema = T.StructType([T.StructField("buckets", T.IntegerType())])
-        self._mark(f"{self.root}/epochs/epoch={epoch}", [buckets], schema)
-        self.epoch, self.buckets = epoch, buckets
-
     # --- commits ---------------------------------------------------------------
 
     def commits(self) -> DataFrame:
         """Every commit marker, those that only set documents aside included."""
-        found = self._read(f"{self._home}/commits", COMMIT_SCHEMA)
-        return self.spark.createDataFrame([], COMMIT_SCHEMA) if found is None else found
+        return self._table("commits")
 
     def versions(self) -> DataFrame:
         """The commits that are snapshots: ``commit_id`` and ``committed_at``."""
         return self.commits().where("rows > 0").select(F.col(COMMIT).alias("commit_id"), "committed_at", "cluster_time")
 
-    def _last_commit(self) -> Row | None:
-        return self.commits().orderBy(F.desc(COMMIT)).first()
+    def _last(self, stream_id: str | None = None, batch_id: int | None = None) -> Row:
+        """Number and schema of the last commit, and the commit of a given batch."""
+        same = (F.col("stream_id") == F.lit(stream_id)) & (F.col("batch_id") == F.lit(batch_id))
+        return (
+            self.commits()
+            .agg(
+                F.max(COMMIT).alias("number"),
+                F.max_by("schema_json", COMMIT).alias("schema_json"),
+                F.max(F.when(same, F.col(COMMIT))).alias("done"),
+            )
+            .first()
+        )
 
-    def schema(self, version: int | None = None) -> T.StructType:
-        """The document columns as of a commit."""
-        markers = self.commits()
-        if version is not None:
-            markers = markers.where(F.col(COMMIT) <= version)
-        last = markers.orderBy(F.desc(COMMIT)).first()
-        return T.StructType.fromJson(json.loads(last.schema_json)) if last else T.StructType([])
+    def schema(self) -> T.StructType:
+        """The document columns as of the last commit."""
+        return _schema(self._last().schema_json)
 
     def apply(
         self,
@@ -160,14 +186,11 @@ class Mirror:
 
         A batch already committed under the same stream and batch id is skipped.
         """
-        if stream_id is not None:
-            same = (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)
-            done = self.commits().where(same).select(COMMIT).first()
-            if done:
-                return done[0]
-        last = self._last_commit()
-        known = T.StructType.fromJson(json.loads(last.schema_json)) if last else None
-        number = last[COMMIT] + 1 if last else 1
+        last = self._last(stream_id, batch_id)
+        if last.done is not None:
+            return last.done
+        number = (last.number or 0) + 1
+        known = _schema(last.schema_json)
         batch = conform(keep_operations(feed), known, missing_post_image)
         checked = batch.checked.persist()
         try:
@@ -224,15 +247,14 @@ class Mirror:
 
         ``seq`` lies below the feed that follows, so later events win.
         """
-        if self._last_commit():
+        if self._last().number is not None:
             raise RebuildRefused("the table has commits; syncing again would need rebuild(confirm=True)")
-        columns = [c for c in source.columns if c != key]
         rows = source.select(
             F.col(key).cast("string").alias(KEY),
             F.lit(seq).cast("bigint").alias(SEQ),
             F.lit(None).cast("timestamp").alias(AT),
             F.lit(True).alias(ALIVE),
-            *[F.col(f"`{c}`") for c in columns],
+            *[F.col(f"`{c}`") for c in source.columns if c != key],
         )
         schema = T.StructType([f for f in rows.schema.fields if f.name not in (KEY, SEQ, AT, ALIVE)])
         at = committed_at or datetime.now(timezone.utc)
@@ -286,28 +308,25 @@ class Mirror:
 
     def _tail(self, version: int | None) -> Tail:
         """The base and the later commits a read needs: metadata, bounded by the tail."""
-        markers = self.commits()
-        if version is None:
-            last = markers.orderBy(F.desc(COMMIT)).first()
-            if last is None:
-                raise UnknownSnapshot("the table has no commit yet")
-            version = last[COMMIT]
-        elif not (1 <= version <= 2**63 - 1 and markers.where((F.col(COMMIT) == version) & (F.col("rows") > 0)).take(1)):
+        upto = version if version is not None else 2**63 - 1
+        if not 1 <= upto <= 2**63 - 1:
             raise UnknownSnapshot(f"no snapshot {version}")
+        markers = self.commits().where(F.col(COMMIT) <= upto)
         # An initial sync is a base itself; its commit marker says so.
-        bases = markers.where(F.col("path").startswith("base/")).select(COMMIT, "max_seq")
-        written = self._read(f"{self._home}/bases", BASE_SCHEMA)
-        if written is not None:
-            bases = bases.unionByName(written)
-        base = bases.where(F.col(COMMIT) <= version).orderBy(F.desc(COMMIT)).first()
-        after = base[COMMIT] if base else 0
-        tail = (
-            markers.where((F.col(COMMIT) > after) & (F.col(COMMIT) <= version) & (F.col("rows") > 0))
-            .select(COMMIT, "path", "min_seq", "max_seq")
+        synced = markers.where(F.col("path").startswith("base/")).select(COMMIT, "max_seq")
+        bases = synced.unionByName(self._table("bases").where(F.col(COMMIT) <= upto))
+        base = bases.orderBy(F.desc(COMMIT)).first()
+        after = base[COMMIT] if base else 1
+        seen = (
+            markers.where(F.col(COMMIT) >= after)
+            .select(COMMIT, "path", "rows", "min_seq", "max_seq", "schema_json")
             .orderBy(COMMIT)
             .collect()
         )
-        return Tail(version, self.schema(version), base, tail)
+        if not seen or (version is not None and (seen[-1][COMMIT] != version or not seen[-1].rows)):
+            raise UnknownSnapshot(f"no snapshot {version}" if version else "the table has no commit yet")
+        tail = [c for c in seen if c.rows and (base is None or c[COMMIT] > after)]
+        return Tail(seen[-1][COMMIT], _schema(seen[-1].schema_json), base, tail)
 
     def _files(self, paths: list[str], schema: T.StructType) -> DataFrame:
         """Change rows of the given commits; a column a file lacks reads as NULL."""
@@ -374,13 +393,9 @@ class Mirror:
         if synced:
             first = Tail(synced[COMMIT], schema, synced, [])
             logs.append(self._base_rows(first, key).withColumn(COMMIT, F.lit(synced[COMMIT]).cast("bigint")))
-        found = self._read(f"{self._home}/changes", whole)
-        if found is not None:
-            # Directories without a marker are left out; the marker list is small.
-            logs.append(found.join(commits.select(COMMIT), COMMIT, "left_semi"))
-        if not logs:
-            raise UnknownSnapshot("the table has no commit yet")
-        log = logs[0] if len(logs) == 1 else logs[0].unionByName(logs[1])
+        # Directories without a marker are left out; the marker list is small.
+        written = self._table("changes", whole).join(commits.select(COMMIT), COMMIT, "left_semi")
+        log = written.unionByName(logs[0]) if logs else written
         if key is not None:
             log = log.where(F.col(KEY) == key)
         return log.select(
@@ -411,22 +426,16 @@ class Mirror:
 
     def dlq(self) -> DataFrame:
         """Rejected documents of committed batches since the queue was last cleared."""
-        schema = T.StructType([*DLQ_SCHEMA.fields, T.StructField(COMMIT, T.LongType())])
-        found = self._read(f"{self._home}/dlq", schema)
-        if found is None:
-            return self.spark.createDataFrame([], schema).withColumnRenamed(COMMIT, "commit_id")
-        cleared = self._read(f"{self._home}/dlq_cleared", f"{COMMIT} bigint")
-        upto = cleared.agg(F.max(COMMIT)).first()[0] if cleared is not None else 0
-        live = self.commits().where((F.col("rejected") > 0) & (F.col(COMMIT) > (upto or 0)))
-        return found.join(live.select(COMMIT), COMMIT, "left_semi").withColumnRenamed(COMMIT, "commit_id")
+        upto = self._table("dlq_cleared").agg(F.max(COMMIT)).first()[0] or 0
+        live = self.commits().where((F.col("rejected") > 0) & (F.col(COMMIT) > upto))
+        return self._table("dlq").join(live.select(COMMIT), COMMIT, "left_semi").withColumnRenamed(COMMIT, "commit_id")
 
     def clear_dlq(self) -> int:
         """Hides the queue's rows from now on and returns how many; files stay."""
         rows = self.dlq().count()
-        last = self._last_commit()
         if rows:
-            schema = T.StructType([T.StructField("rows", T.LongType())])
-            self._mark(f"{self._home}/dlq_cleared/{COMMIT}={last[COMMIT]}", [rows], schema)
+            schema = T.StructType(TABLES["dlq_cleared"].fields[1:])
+            self._mark(f"{self._home}/dlq_cleared/{COMMIT}={self._last().number}", [rows], schema)
         return rows
 
     # --- rebuild -----------------------------------------------------------------
@@ -442,16 +451,14 @@ class Mirror:
         if not confirm:
             raise RebuildRefused("rebuilding replaces the table: call rebuild(source, confirm=True)")
         fresh = Mirror.__new__(Mirror)
-        fresh.spark, fresh.root, fresh.buckets = self.spark, self.root, self.buckets
-        fresh.epoch = self.epoch + 1
-        fresh._discard_leftover()
+        fresh.spark, fresh.root = self.spark, self.root
+        new = self._prepare(self.epoch + 1, self.buckets)
+        fresh.epoch, fresh.buckets, fresh._home = new.epoch, new.buckets, f"{self.root}/{new.folder}"
         fresh.initial_sync(source, seq, committed_at)
-        fresh._open_epoch(fresh.epoch, fresh.buckets)
-        self.epoch = fresh.epoch
+        self._open(new)
+        self.epoch, self._home = new.epoch, fresh._home
         return self
 
-    def _discard_leftover(self) -> None:
-        """An earlier rebuild that died before its epoch marker left commits behind."""
-        if self._last_commit():
-            empty = self.spark.createDataFrame([], COMMIT_SCHEMA)
-            empty.drop(COMMIT).write.mode("overwrite").parquet(f"{self._home}/commits")
+
+def _schema(text: str | None) -> T.StructType:
+    return T.StructType.fromJson(json.loads(text)) if text else T.StructType([])
