@@ -158,6 +158,17 @@ def test_retry_of_a_batch_is_skipped_and_a_torn_one_repeated(spark, make_feed):
     assert sorted(r["_id"] for r in mirror.state().collect()) == ["a", "b"]
 
 
+def test_many_commits_are_sealed_in_blocks(spark, make_feed, monkeypatch):
+    monkeypatch.setattr("tidemark.plans.mirror.BLOCK_COMMITS", 2)
+    mirror = mirror_of(spark)
+    for n in range(1, 6):
+        assert mirror.apply(make_feed((n, "insert", f"k{n}", '{"n":%d}' % n)), "s", n) == n
+    assert mirror._block() == 2 and [r["__commit"] for r in mirror.commits().orderBy("__commit").collect()] == [1, 2, 3, 4, 5]
+    assert mirror.apply(make_feed((5, "insert", "k5", '{"n":5}')), "s", 5) == 5
+    assert mirror.apply(make_feed((4, "insert", "k4", '{"n":4}')), "s", 4) == 4
+    assert mirror.state().count() == 5 and mirror.state(3).count() == 3 and mirror.snapshots().count() == 5
+
+
 def test_batch_without_events_commits_nothing(spark, make_feed):
     mirror = mirror_of(spark)
     assert mirror.apply(make_feed((1, "noise", "a", "{}"))) is None
@@ -227,7 +238,7 @@ def test_stream_resumes_where_it_stopped(spark, make_feed):
     assert mirror.commits().count() == 2
     # A new checkpoint replays everything; by key and seq the state stays the same.
     before = state(mirror.state())
-    follow(mirror, stream_feed(spark, f"{root}/feed"), f"{root}/cp2", base_every=3).awaitTermination()
+    follow(mirror, stream_feed(spark, f"{root}/feed"), f"{root}/cp2", base_min_rows=10).awaitTermination()
     assert mirror.commits().count() == 3 and state(mirror.state()) == before
 
 

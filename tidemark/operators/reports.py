@@ -40,8 +40,13 @@ def find_fields(orders: DataFrame, order_id: str, fields: tuple[str, ...] = LOOK
     return orders.where(F.col("_id") == F.lit(order_id)).select(*fields)
 
 
-def _month(orders: DataFrame) -> Column:
-    return F.date_format(F.date_trunc("month", F.col("orderdate")), "yyyy-MM")
+def _by_month(orders: DataFrame, *measures: Column) -> DataFrame:
+    """Measures per region and month; the month is a date until it is shown."""
+    return (
+        orders.groupBy("region", F.trunc("orderdate", "month").alias("mes"))
+        .agg(*measures)
+        .withColumn("mes", F.date_format("mes", "yyyy-MM"))
+    )
 
 
 def _percent(hits: Column, total: Column) -> Column:
@@ -54,8 +59,8 @@ def business_question(
     """Revenue, average ticket, share cancelled and share by app per region and month."""
     total = F.count(F.lit(1))
     return (
-        orders.groupBy("region", _month(orders).alias("mes"))
-        .agg(
+        _by_month(
+            orders,
             total.alias("pedidos"),
             F.round(F.sum("amount"), 2).alias("receita"),
             F.round(F.avg("amount"), 2).alias("ticket_medio"),
@@ -72,8 +77,8 @@ def business_question_counts(
 ) -> DataFrame:
     """The operational form of the same question: unrounded sums, and counts for shares."""
     return (
-        orders.groupBy("region", _month(orders).alias("mes"))
-        .agg(
+        _by_month(
+            orders,
             F.count(F.lit(1)).alias("pedidos"),
             F.sum("amount").alias("receita"),
             F.avg("amount").alias("ticket_medio"),
@@ -88,22 +93,23 @@ def business_question_counts(
 def top_products(orders: DataFrame) -> DataFrame:
     """Orders, units and revenue per product with its share of all revenue.
 
-    The grand total is a scalar subquery over the per-product sums, so no window
-    gathers the products in one task and their aggregation is reused.
+    The grand total is a scalar subquery over the per-product rows, so no window
+    gathers the products in one task.  It totals every measure: with the same
+    columns below it, its aggregation is the one already made, not a second scan.
     """
     per_product = orders.groupBy("product").agg(
         F.count(F.lit(1)).alias("pedidos"),
         F.sum("quantity").cast("bigint").alias("unidades"),
         F.sum("amount").alias("_revenue"),
     )
-    grand = per_product.agg(F.sum("_revenue")).scalar()
+    grand = per_product.agg(F.struct(*[F.sum(c).alias(c) for c in per_product.columns[1:]])).scalar()
     return (
         per_product.select(
             "product",
             "pedidos",
             "unidades",
             F.round("_revenue", 2).alias("receita"),
-            _percent(F.col("_revenue"), grand).alias("pct_receita_total"),
+            _percent(F.col("_revenue"), grand["_revenue"]).alias("pct_receita_total"),
         )
         .orderBy(F.desc("receita"), "product")
     )
@@ -163,9 +169,11 @@ def page(result: DataFrame, rows: int = PAGE_ROWS) -> tuple[DataFrame, bool]:
 
 
 def page_frame(result: DataFrame, rows: int = PAGE_ROWS) -> DataFrame:
-    """The page with its ``truncated`` flag as a column, in one plan.
+    """The page with its ``truncated`` flag as a column, in one pass over the result.
 
-    The flag reads one row beyond the page.
+    One row beyond the page is read; the page, of fixed size, is gathered in order.
     """
-    more = result.limit(rows + 1).agg(F.count(F.lit(1)) > rows).scalar()
-    return result.limit(rows).withColumn("truncated", more)
+    probe = result.limit(rows + 1).agg(F.collect_list(F.struct("*")).alias("_page"))
+    return probe.select(
+        F.explode(F.slice("_page", 1, rows)).alias("_row"), (F.size("_page") > rows).alias("truncated")
+    ).select("_row.*", "truncated")

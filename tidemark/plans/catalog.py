@@ -306,10 +306,13 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lag_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A checkpoint at the end of each commit against a feed retained from day 5 on."""
     retained = domain.feed(spark, sf_dir).where(F.col("commit_id") >= RETAINED_FROM_DAY)
-    start = retained.agg(F.min("cluster_time")).scalar()
-    end = retained.agg(F.max("cluster_time")).scalar()
-    positions = domain.commits(spark, sf_dir).select(
-        "commit_id", F.col("committed_at").alias("checkpoint"), start.alias("feed_start"), end.alias("feed_end")
+    window = retained.agg(
+        F.struct(F.min("cluster_time").alias("feed_start"), F.max("cluster_time").alias("feed_end"))
+    ).scalar()
+    positions = (
+        domain.commits(spark, sf_dir)
+        .withColumn("_window", window)
+        .select("commit_id", F.col("committed_at").alias("checkpoint"), "_window.feed_start", "_window.feed_end")
     )
     return convergence.lag_state(positions).select("commit_id", "margem_segundos", "janela_segundos", "estado")
 
@@ -374,10 +377,8 @@ def exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text redacted, as a digest, and the error text cut after redaction."""
-    body = F.col("text")
-    return domain.table(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(text.redact(body)).alias("redacted_md5"), text.error_text(body).alias("message")
-    )
+    cleaned = domain.table(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
+    return cleaned.select("doc_id", F.md5("redacted").alias("redacted_md5"), text.cut(F.col("redacted")).alias("message"))
 
 
 def masking_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:

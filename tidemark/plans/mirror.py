@@ -7,10 +7,13 @@
     <folder>/base/__commit=<n>/__bucket=<b>  whole state, deleted keys kept as tombstones
     <folder>/bases/__commit=<n>       marker of a finished base
     <folder>/dlq/__commit=<n>         rejected documents
-    <folder>/commits/__commit=<n>     marker, written last: the commit exists
+    <folder>/commits/__block=<k>/__commit=<n>  marker, written last: the commit exists
+    <folder>/ledger/__block=<k>       the markers of a full block in one file
 
 A directory without its marker is invisible and is overwritten by the retry that
-takes its number.  A state read is the newest base at or below the version plus
+takes its number.  Markers are grouped in blocks: a full block is copied into the
+ledger, so that reading the commits opens few files however many there are.  A
+state read is the newest base at or below the version plus
 the change rows after it, so only the tail is aggregated.
 """
 
@@ -33,6 +36,10 @@ from tidemark.operators.reports import table_columns
 from tidemark.sources.feed import keep_operations
 
 BUCKETS = 64
+BLOCK = "__block"
+BLOCK_COMMITS = 100
+BASE_SHARE = 0.2
+BASE_MIN_ROWS = 1_000_000
 OWN_FIELDS = [
     T.StructField(KEY, T.StringType()),
     T.StructField(SEQ, T.LongType()),
@@ -57,6 +64,7 @@ COMMIT_SCHEMA = T.StructType(
 BASE_SCHEMA = T.StructType(
     [
         T.StructField(COMMIT, T.LongType()),
+        T.StructField("rows", T.LongType()),
         T.StructField("max_seq", T.LongType()),
     ]
 )
@@ -75,8 +83,8 @@ EPOCH_SCHEMA = T.StructType(
         T.StructField("folder", T.StringType()),
     ]
 )
+LEDGER_SCHEMA = T.StructType([T.StructField(BLOCK, T.LongType()), *COMMIT_SCHEMA.fields])
 TABLES = {
-    "commits": COMMIT_SCHEMA,
     "changes": T.StructType([T.StructField(COMMIT, T.LongType()), *OWN_FIELDS]),
     "bases": BASE_SCHEMA,
     "dlq": DLQ_SCHEMA,
@@ -132,10 +140,16 @@ class Mirror:
         """A new folder with its empty tables; nobody sees it until it is opened."""
         folder = f"epoch-{epoch}-{self.spark.sql('SELECT uuid()').first()[0]}"
         for name, schema in TABLES.items():
-            empty = self.spark.createDataFrame([], schema).drop(COMMIT)
-            empty.write.mode("overwrite").parquet(f"{self.root}/{folder}/{name}/{COMMIT}=0")
+            self._empty(f"{folder}/{name}/{COMMIT}=0", schema)
+        self._empty(f"{folder}/commits/{BLOCK}=0/{COMMIT}=0", COMMIT_SCHEMA)
+        self._empty(f"{folder}/ledger/{BLOCK}=-1", LEDGER_SCHEMA)
         return Row(epoch=epoch, buckets=buckets, folder=folder)
 
+    def _empty(self, path: str, schema: T.StructType) -> None:
+        """A table's first, empty part, so that it can be read before anything is in it."""
+        kept = [f for f in schema.fields if f"{f.name}=" not in path]
+        self.spark.createDataFrame([], T.StructType(kept)).write.mode("overwrite").parquet(f"{self.root}/{path}")
+
     def _open(self, epoch: Row) -> None:
         schema = T.StructType(EPOCH_SCHEMA.fields[1:])
         self._mark(f"{self.root}/epochs/epoch={epoch.epoch}", [epoch.buckets, epoch.folder], schema)
@@ -151,24 +165,37 @@ class Mirror:
 
     def commits(self) -> DataFrame:
         """Every commit marker, those that only set documents aside included."""
-        return self._table("commits")
+        return self._sealed().drop(BLOCK).unionByName(self._open_block(self._block()))
+
+    def _sealed(self) -> DataFrame:
+        return self._table("ledger", LEDGER_SCHEMA)
+
+    def _block(self) -> int:
+        """The block the next commits go to: the one after the last sealed."""
+        last = self._sealed().agg(F.max(BLOCK)).first()[0]
+        return 0 if last is None else last + 1
+
+    def _open_block(self, block: int) -> DataFrame:
+        return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self._home}/commits/{BLOCK}={block}")
 
     def versions(self) -> DataFrame:
         """The commits that are snapshots: ``commit_id`` and ``committed_at``."""
         return self.commits().where("rows > 0").select(F.col(COMMIT).alias("commit_id"), "committed_at", "cluster_time")
 
     def _last(self, stream_id: str | None = None, batch_id: int | None = None) -> Row:
-        """Number and schema of the last commit, and the commit of a given batch."""
+        """Number and schema of the last commit, and the commit of a given batch.
+
+        A batch comes again only as the last of its stream, so the open block and
+        the one sealed before it are enough to look at.
+        """
+        block = self._block()
+        recent = self._sealed().where(F.col(BLOCK) == block - 1).drop(BLOCK).unionByName(self._open_block(block))
         same = (F.col("stream_id") == F.lit(stream_id)) & (F.col("batch_id") == F.lit(batch_id))
-        return (
-            self.commits()
-            .agg(
-                F.max(COMMIT).alias("number"),
-                F.max_by("schema_json", COMMIT).alias("schema_json"),
-                F.max(F.when(same, F.col(COMMIT))).alias("done"),
-            )
-            .first()
-        )
+        return recent.agg(
+            F.max(COMMIT).alias("number"),
+            F.max_by("schema_json", COMMIT).alias("schema_json"),
+            F.max(F.when(same, F.col(COMMIT))).alias("done"),
+        ).first()
 
     def schema(self) -> T.StructType:
         """The document columns as of the last commit."""
@@ -238,7 +265,16 @@ class Mirror:
     def _mark_commit(self, number: int, **values) -> None:
         schema = T.StructType(COMMIT_SCHEMA.fields[1:])
         row = [values.get(name) for name in schema.names]
-        self._mark(f"{self._home}/commits/{COMMIT}={number}", row, schema)
+        block = (number - 1) // BLOCK_COMMITS
+        if block and block > self._block():
+            self._seal(block - 1)
+        self._mark(f"{self._home}/commits/{BLOCK}={block}/{COMMIT}={number}", row, schema)
+
+    def _seal(self, block: int) -> None:
+        """Copies a full block's markers into one file and prepares the next block."""
+        self._empty(f"{self._home}/commits/{BLOCK}={block + 1}/{COMMIT}=0".removeprefix(f"{self.root}/"), COMMIT_SCHEMA)
+        markers = self._open_block(block).coalesce(1)
+        markers.write.mode("overwrite").parquet(f"{self._home}/ledger/{BLOCK}={block}")
 
     def initial_sync(
         self, source: DataFrame, seq: int = 0, committed_at: datetime | None = None, key: str = KEY
@@ -291,15 +327,20 @@ class Mirror:
     def _bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
+    def base_due(self, share: float = BASE_SHARE, min_rows: int = BASE_MIN_ROWS) -> bool:
+        """Whether the tail has grown to a share of the base, which makes a new base pay off."""
+        tail = self._tail(None)
+        return sum(c.rows for c in tail.commits) > share * max(tail.base.rows if tail.base else 0, min_rows)
+
     def write_base(self) -> int:
         """Writes the state of the last commit as a base, which bounds every later read."""
         tail = self._tail(None)
         if tail.base is None or tail.base[COMMIT] != tail.version:
-            self._write_base(self._rows(tail), f"base/{COMMIT}={tail.version}")
+            rows = self._write_base(self._rows(tail), f"base/{COMMIT}={tail.version}")
             seqs = [row.max_seq for row in [*tail.commits, tail.base] if row and row.max_seq is not None]
             self._mark(
                 f"{self._home}/bases/{COMMIT}={tail.version}",
-                [max(seqs, default=None)],
+                [rows, max(seqs, default=None)],
                 T.StructType(BASE_SCHEMA.fields[1:]),
             )
         return tail.version
@@ -313,7 +354,7 @@ class Mirror:
             raise UnknownSnapshot(f"no snapshot {version}")
         markers = self.commits().where(F.col(COMMIT) <= upto)
         # An initial sync is a base itself; its commit marker says so.
-        synced = markers.where(F.col("path").startswith("base/")).select(COMMIT, "max_seq")
+        synced = markers.where(F.col("path").startswith("base/")).select(COMMIT, "rows", "max_seq")
         bases = synced.unionByName(self._table("bases").where(F.col(COMMIT) <= upto))
         base = bases.orderBy(F.desc(COMMIT)).first()
         after = base[COMMIT] if base else 1

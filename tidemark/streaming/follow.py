@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.plans.mirror import Mirror
+from tidemark.plans.mirror import BASE_MIN_ROWS, BASE_SHARE, Mirror
 
 
 def _stream_id(mirror: Mirror, checkpoint: str) -> str:
@@ -22,14 +22,16 @@ def follow(
     missing_post_image: str = "fail",
     once: bool = True,
     every: str = "10 seconds",
-    base_every: int | None = None,
+    base_share: float | None = BASE_SHARE,
+    base_min_rows: int = BASE_MIN_ROWS,
 ) -> StreamingQuery:
     """Starts applying a streaming feed to the mirror, one commit per micro-batch.
 
     The checkpoint holds the position, the commit marker the proof that a batch
     was applied: a batch replayed after a crash finds its marker and is skipped,
-    or finds none and overwrites what its first try left.  ``base_every`` writes a
-    base each so many commits.  ``once`` drains what is there and stops.
+    or finds none and overwrites what its first try left.  A base is written whenever
+    the rows since the last one exceed ``base_share`` of it, so that rewriting stays
+    a constant factor of what changes.  ``once`` drains what is there and stops.
     """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
@@ -39,7 +41,7 @@ def follow(
             batch_id=batch_id,
             missing_post_image=missing_post_image,
         )
-        if base_every and number and number % base_every == 0:
+        if number and base_share is not None and mirror.base_due(base_share, base_min_rows):
             mirror.write_base()
 
     writer = feed.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
