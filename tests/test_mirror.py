@@ -158,15 +158,25 @@ def test_retry_of_a_batch_is_skipped_and_a_torn_one_repeated(spark, make_feed):
     assert sorted(r["_id"] for r in mirror.state().collect()) == ["a", "b"]
 
 
-def test_many_commits_are_sealed_in_blocks(spark, make_feed, monkeypatch):
-    monkeypatch.setattr("tidemark.plans.mirror.BLOCK_COMMITS", 2)
-    mirror = mirror_of(spark)
-    for n in range(1, 6):
-        assert mirror.apply(make_feed((n, "insert", f"k{n}", '{"n":%d}' % n)), "s", n) == n
+def test_many_commits_are_sealed_and_rolled_up_in_blocks(spark, make_feed):
+    mirror = mirror_of(spark, block_commits=2)
+    events = [(1, "a", 1), (2, "b", 2), (3, "a", 3), (4, "c", 4), (5, "b", 5)]
+    for n, key, value in events:
+        assert mirror.apply(make_feed((n, "insert", key, '{"n":%d}' % value)), "s", n) == n
     assert mirror._block() == 2 and [r["__commit"] for r in mirror.commits().orderBy("__commit").collect()] == [1, 2, 3, 4, 5]
-    assert mirror.apply(make_feed((5, "insert", "k5", '{"n":5}')), "s", 5) == 5
-    assert mirror.apply(make_feed((4, "insert", "k4", '{"n":4}')), "s", 4) == 4
-    assert mirror.state().count() == 5 and mirror.state(3).count() == 3 and mirror.snapshots().count() == 5
+    assert mirror.apply(make_feed((5, "insert", "b", '{"n":5}')), "s", 5) == 5
+    assert mirror.apply(make_feed((4, "insert", "c", '{"n":4}')), "s", 4) == 4
+    assert [c.path for c in mirror._tail(None).commits] == ["rollups/__block=0", "rollups/__block=1", "changes/__commit=5"]
+    assert [c.path for c in mirror._tail(3).commits] == ["rollups/__block=0", "changes/__commit=3"]
+
+    def seen(version):
+        return {(r["_id"], r.n) for r in mirror.state(version).collect()}
+
+    assert [seen(v) for v in (1, 2, 3, 4, 5)] == [
+        {("a", 1)}, {("a", 1), ("b", 2)}, {("a", 3), ("b", 2)}, {("a", 3), ("b", 2), ("c", 4)}, {("a", 3), ("b", 5), ("c", 4)},
+    ]
+    assert mirror.snapshots().count() == 5 and mirror.write_base() == 5 and seen(None) == seen(5)
+    assert Mirror(spark, mirror.root).block_commits == 2
 
 
 def test_batch_without_events_commits_nothing(spark, make_feed):

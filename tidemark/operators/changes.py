@@ -26,8 +26,12 @@ def _fields(frame: DataFrame, key: str, order: str) -> list[str]:
 
 
 def _touched(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """The current rows of the incoming keys; a small batch is broadcast, not the state."""
-    return current.join(incoming.select(key), key, "left_semi")
+    """The current rows of the incoming keys; a small batch is broadcast, not the state.
+
+    Keys are made distinct first, before their shuffle, so a key that fills a
+    third of the batch arrives once per task.
+    """
+    return current.join(incoming.select(key).distinct(), key, "left_semi")
 
 
 def _on_top(current: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
@@ -102,7 +106,7 @@ def patch_existing(current: DataFrame, patches: DataFrame, key: str = "_id", ord
 def delete_keys(current: DataFrame, keys: DataFrame, seq: int | Column, key: str = "_id") -> DataFrame:
     """``delete`` events for the keys that exist; their count is the number removed."""
     order = seq if isinstance(seq, Column) else F.lit(seq).cast("bigint")
-    return current.select(key).join(keys.select(key), key, "left_semi").select(
+    return current.select(key).join(keys.select(key).distinct(), key, "left_semi").select(
         order.alias("seq"), F.lit("delete").alias("operation_type"), key
     )
 

@@ -9,11 +9,12 @@
     <folder>/dlq/__commit=<n>         rejected documents
     <folder>/commits/__block=<k>/__commit=<n>  marker, written last: the commit exists
     <folder>/ledger/__block=<k>       the markers of a full block in one file
+    <folder>/rollups/__block=<k>      the change rows of a full block, one per key
 
 A directory without its marker is invisible and is overwritten by the retry that
-takes its number.  Markers are grouped in blocks: a full block is copied into the
-ledger, so that reading the commits opens few files however many there are.  A
-state read is the newest base at or below the version plus
+takes its number.  Commits are grouped in blocks: a full block's markers are copied
+into the ledger and its change rows rolled up, so that a read opens few files
+however many small commits there are.  A state read is the newest base at or below the version plus
 the change rows after it, so only the tail is aggregated.
 """
 
@@ -80,6 +81,7 @@ EPOCH_SCHEMA = T.StructType(
     [
         T.StructField("epoch", T.LongType()),
         T.StructField("buckets", T.IntegerType()),
+        T.StructField("block_commits", T.IntegerType()),
         T.StructField("folder", T.StringType()),
     ]
 )
@@ -116,14 +118,21 @@ class Tail:
 class Mirror:
     """A table kept equal to its source by applying the change feed."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    def __init__(
+        self, spark: SparkSession, root: str, buckets: int = BUCKETS, block_commits: int = BLOCK_COMMITS
+    ):
+        """Opens the table at ``root``; the two sizes are used when there is none yet."""
         self.spark = spark
         self.root = root.rstrip("/")
         last = self._epochs().orderBy(F.desc("epoch")).first()
         if last is None:
-            last = self._prepare(1, buckets)
+            last = self._prepare(1, buckets, block_commits)
             self._open(last)
-        self.epoch, self.buckets, self._home = last.epoch, last.buckets, f"{self.root}/{last.folder}"
+        self._use(last)
+
+    def _use(self, epoch: Row) -> None:
+        self.epoch, self.buckets, self.block_commits = epoch.epoch, epoch.buckets, epoch.block_commits
+        self._home = f"{self.root}/{epoch.folder}"
 
     # --- files -----------------------------------------------------------------
 
@@ -136,14 +145,14 @@ class Mirror:
                 raise
             return self.spark.createDataFrame([], EPOCH_SCHEMA)
 
-    def _prepare(self, epoch: int, buckets: int) -> Row:
+    def _prepare(self, epoch: int, buckets: int, block_commits: int) -> Row:
         """A new folder with its empty tables; nobody sees it until it is opened."""
         folder = f"epoch-{epoch}-{self.spark.sql('SELECT uuid()').first()[0]}"
         for name, schema in TABLES.items():
             self._empty(f"{folder}/{name}/{COMMIT}=0", schema)
         self._empty(f"{folder}/commits/{BLOCK}=0/{COMMIT}=0", COMMIT_SCHEMA)
         self._empty(f"{folder}/ledger/{BLOCK}=-1", LEDGER_SCHEMA)
-        return Row(epoch=epoch, buckets=buckets, folder=folder)
+        return Row(epoch=epoch, buckets=buckets, block_commits=block_commits, folder=folder)
 
     def _empty(self, path: str, schema: T.StructType) -> None:
         """A table's first, empty part, so that it can be read before anything is in it."""
@@ -152,7 +161,7 @@ class Mirror:
 
     def _open(self, epoch: Row) -> None:
         schema = T.StructType(EPOCH_SCHEMA.fields[1:])
-        self._mark(f"{self.root}/epochs/epoch={epoch.epoch}", [epoch.buckets, epoch.folder], schema)
+        self._mark(f"{self.root}/epochs/epoch={epoch.epoch}", [epoch.buckets, epoch.block_commits, epoch.folder], schema)
 
     def _table(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         return self.spark.read.schema(schema or TABLES[name]).parquet(f"{self._home}/{name}")
@@ -265,16 +274,20 @@ class Mirror:
     def _mark_commit(self, number: int, **values) -> None:
         schema = T.StructType(COMMIT_SCHEMA.fields[1:])
         row = [values.get(name) for name in schema.names]
-        block = (number - 1) // BLOCK_COMMITS
+        block = (number - 1) // self.block_commits
         if block and block > self._block():
             self._seal(block - 1)
         self._mark(f"{self._home}/commits/{BLOCK}={block}/{COMMIT}={number}", row, schema)
 
     def _seal(self, block: int) -> None:
-        """Copies a full block's markers into one file and prepares the next block."""
+        """Rolls up a full block's changes, copies its markers into one file, prepares the next."""
+        markers = self._open_block(block)
+        own = markers.where((F.col("rows") > 0) & F.col("path").startswith("changes/")).select("path").collect()
+        if own:
+            rows = self._files([row.path for row in own], self.schema())
+            apply.latest(rows, [KEY], SEQ).write.mode("overwrite").parquet(f"{self._home}/rollups/{BLOCK}={block}")
         self._empty(f"{self._home}/commits/{BLOCK}={block + 1}/{COMMIT}=0".removeprefix(f"{self.root}/"), COMMIT_SCHEMA)
-        markers = self._open_block(block).coalesce(1)
-        markers.write.mode("overwrite").parquet(f"{self._home}/ledger/{BLOCK}={block}")
+        markers.coalesce(1).write.mode("overwrite").parquet(f"{self._home}/ledger/{BLOCK}={block}")
 
     def initial_sync(
         self, source: DataFrame, seq: int = 0, committed_at: datetime | None = None, key: str = KEY
@@ -352,22 +365,36 @@ class Mirror:
         upto = version if version is not None else 2**63 - 1
         if not 1 <= upto <= 2**63 - 1:
             raise UnknownSnapshot(f"no snapshot {version}")
-        markers = self.commits().where(F.col(COMMIT) <= upto)
+        block = self._block()
+        opened = self._open_block(block).withColumn(BLOCK, F.lit(None).cast("bigint"))
+        markers = self._sealed().unionByName(opened).where(F.col(COMMIT) <= upto)
         # An initial sync is a base itself; its commit marker says so.
-        synced = markers.where(F.col("path").startswith("base/")).select(COMMIT, "rows", "max_seq")
-        bases = synced.unionByName(self._table("bases").where(F.col(COMMIT) <= upto))
+        synced = F.col("path").startswith("base/")
+        bases = markers.where(synced).select(COMMIT, "rows", "max_seq")
+        bases = bases.unionByName(self._table("bases").where(F.col(COMMIT) <= upto))
         base = bases.orderBy(F.desc(COMMIT)).first()
-        after = base[COMMIT] if base else 1
+        after = base[COMMIT] if base else 0
+        # A sealed block that lies wholly in the tail is read from its roll-up.
+        first, last = F.col(BLOCK) * self.block_commits + 1, (F.col(BLOCK) + 1) * self.block_commits
+        whole = F.col(BLOCK).isNotNull() & (first > after) & (last <= upto)
+        piece = F.when(whole, F.concat(F.lit(f"rollups/{BLOCK}="), F.col(BLOCK))).otherwise(F.col("path"))
         seen = (
-            markers.where(F.col(COMMIT) >= after)
-            .select(COMMIT, "path", "rows", "min_seq", "max_seq", "schema_json")
+            markers.where((F.col(COMMIT) >= after))
+            .groupBy(piece.alias("path"))
+            .agg(
+                F.max(COMMIT).alias(COMMIT),
+                F.sum("rows").alias("rows"),
+                F.min("min_seq").alias("min_seq"),
+                F.max("max_seq").alias("max_seq"),
+                F.max_by(F.struct("rows", "schema_json"), COMMIT).alias("last"),
+            )
             .orderBy(COMMIT)
             .collect()
         )
-        if not seen or (version is not None and (seen[-1][COMMIT] != version or not seen[-1].rows)):
+        if not seen or (version is not None and (seen[-1][COMMIT] != version or not seen[-1]["last"].rows)):
             raise UnknownSnapshot(f"no snapshot {version}" if version else "the table has no commit yet")
-        tail = [c for c in seen if c.rows and (base is None or c[COMMIT] > after)]
-        return Tail(seen[-1][COMMIT], _schema(seen[-1].schema_json), base, tail)
+        tail = [c for c in seen if c.rows and c[COMMIT] > after]
+        return Tail(seen[-1][COMMIT], _schema(seen[-1]["last"].schema_json), base, tail)
 
     def _files(self, paths: list[str], schema: T.StructType) -> DataFrame:
         """Change rows of the given commits; a column a file lacks reads as NULL."""
@@ -401,7 +428,7 @@ class Mirror:
             return newest
         base = only(self._base_rows(tail, key))
         if not tail.late:
-            return base.join(changed.select(KEY), KEY, "left_anti").unionByName(newest)
+            return base.join(changed.select(KEY).distinct(), KEY, "left_anti").unionByName(newest)
         # Some events came after a base that already held newer ones of their key.
         seqs = newest.select(KEY, F.col(SEQ).alias("_tail_seq"))
         overtaken = base.select(KEY, SEQ).join(seqs, KEY).where(F.col(SEQ) > F.col("_tail_seq")).select(KEY)
@@ -493,11 +520,11 @@ class Mirror:
             raise RebuildRefused("rebuilding replaces the table: call rebuild(source, confirm=True)")
         fresh = Mirror.__new__(Mirror)
         fresh.spark, fresh.root = self.spark, self.root
-        new = self._prepare(self.epoch + 1, self.buckets)
-        fresh.epoch, fresh.buckets, fresh._home = new.epoch, new.buckets, f"{self.root}/{new.folder}"
+        new = self._prepare(self.epoch + 1, self.buckets, self.block_commits)
+        fresh._use(new)
         fresh.initial_sync(source, seq, committed_at)
         self._open(new)
-        self.epoch, self._home = new.epoch, fresh._home
+        self._use(new)
         return self
 
 
