@@ -1,13 +1,24 @@
 """Names, types, schema growth and the dead-letter split."""
 
+import json
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import names
 from tidemark.functions.documents import encode_document
-from tidemark.operators.conform import TooManyFields, conform, explored_fields, observed_fields, read_documents
+from tidemark.operators.conform import (
+    TooManyFields,
+    conform,
+    explored_fields,
+    observed_fields,
+    read_documents,
+    take_census,
+)
 
 TYPE_REASON = "Unexpected BSON type of string for iceberg column name amount of type double"
 
@@ -127,14 +138,42 @@ def test_forms_and_exploration_agree(make_feed):
         (1, "insert", "1", '{"a":{"b":[{"c":1.5},{"d":{"$date":"2026-01-01T00:00:00Z"}}]},"e":"x"}'),
         (2, "insert", "2", '{"a":{"b":[]},"f":true,"e":{"$numberDecimal":"1"}}'),
     )
-    documents = read_documents(feed)
-    assert set(observed_fields(documents)) == set(explored_fields(documents))
-    assert set(observed_fields(documents, max_forms=1)) == set(explored_fields(documents))
+    rows = read_documents(feed)
+    assert set(observed_fields(rows, take_census(rows))) == set(explored_fields(rows))
+    assert take_census(rows, max_forms=1).forms is None
 
 
 def test_too_many_fields_is_an_error_not_a_cut(make_feed):
     with pytest.raises(TooManyFields):
-        observed_fields(read_documents(make_feed((1, "insert", "1", '{"a":1,"b":[1,"x"],"c":3}'))), max_fields=2)
+        conform(make_feed((1, "insert", "1", '{"a":1,"b":[1,"x"],"c":3}')), max_fields=2)
+
+
+def test_a_batch_that_fits_needs_no_check(make_feed):
+    good = make_feed((1, "insert", "1", '{"a":1.25,"b":{"c":[1]}}'), (2, "delete", "1", None))
+    assert conform(good).clean
+    for bad in ("nope", '{"a":"x"}', '{"b":{"c":[1,"x"]}}', '{"A":1}'):
+        assert not conform(good.unionByName(make_feed((3, "insert", "2", bad)))).clean
+
+
+scalars = st.one_of(
+    st.none(), st.booleans(), st.integers(-5, 5), st.sampled_from([0.5, 2.25]), st.sampled_from(["x", "y"]),
+    st.just({"$numberDecimal": "1"}), st.just({"$date": "2026-01-01T00:00:00Z"}), st.just({"$oid": "ab"}),
+)
+values = st.recursive(
+    scalars,
+    lambda inner: st.one_of(st.lists(inner, max_size=2), st.dictionaries(st.sampled_from(["p", "P", "q.r", "s"]), inner, max_size=2)),
+    max_leaves=4,
+)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.dictionaries(st.sampled_from(["a", "b", "A", "c.d"]), values, max_size=3), min_size=1, max_size=6))
+def test_judging_by_form_and_by_value_agree(make_feed, documents):
+    events = [(n, "insert", str(n), json.dumps(d)) for n, d in enumerate(documents)]
+    feed = make_feed(*events)
+    fast, slow = conform(feed), conform(feed, max_forms=0)
+    assert fast.schema == slow.schema
+    assert rejected(fast) == rejected(slow) and accepted(fast) == accepted(slow)
 
 
 def test_large_document(make_feed):

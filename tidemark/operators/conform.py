@@ -113,47 +113,90 @@ class Observed:
     seq: int
 
 
-def observed_fields(documents: DataFrame, max_fields: int = MAX_FIELDS, max_forms: int = MAX_FORMS) -> list[Observed]:
-    """Every field path and kind in the batch.
+@dataclass
+class Census:
+    """What a batch consists of, by document form; ``forms`` is None when there are too many."""
 
-    Documents are counted by form first, an aggregation that leaves few rows, and
-    the fields are read off the forms.  Forms that hide something (mixed arrays),
-    and a batch of more than ``max_forms`` forms, are explored value by value.
-    """
-    plain = F.regexp_replace(F.schema_of_variant("_doc"), DECIMAL_FORM, "DOUBLE")
-    forms = (
-        documents.where(F.col("_members").isNotNull())
-        .groupBy(plain.alias("form"))
+    forms: list[tuple[str, int]] | None
+    oddities: bool
+
+    @property
+    def clear(self) -> list[tuple[str, int]]:
+        return [f for f in self.forms if not re.search(UNCLEAR_FORM, f[0])]
+
+
+def _form() -> Column:
+    return F.schema_of_variant("_doc")
+
+
+def _plain(form: Column) -> Column:
+    return F.regexp_replace(form, DECIMAL_FORM, "DOUBLE")
+
+
+def take_census(rows: DataFrame, max_forms: int = MAX_FORMS) -> Census:
+    """Counts the batch's documents by form: one aggregation that leaves few rows."""
+    odd = F.col("document_key").isNull() | ((F.col("operation_type") != "delete") & F.col("_members").isNull())
+    document = (F.col("operation_type") != "delete") & F.col("_members").isNotNull()
+    counted = (
+        rows.groupBy(odd.alias("odd"), F.when(document, _form()).alias("form"))
+        .agg(F.min("seq").alias("seq"))
+        .groupBy("odd", _plain(F.col("form")).alias("form"))
         .agg(F.min("seq").alias("seq"))
         .limit(max_forms + 1)
         .collect()
     )
-    if len(forms) > max_forms:
+    if len(counted) > max_forms:
+        return Census(None, True)
+    first: dict[str, int] = {}
+    for row in counted:
+        if row.form is not None:
+            first[row.form] = min(row.seq, first.get(row.form, row.seq))
+    return Census(list(first.items()), any(row.odd for row in counted))
+
+
+def observed_fields(rows: DataFrame, census: Census, max_fields: int = MAX_FIELDS) -> list[Observed]:
+    """Every field path and kind in the batch.
+
+    The fields are read off the forms.  Forms that hide something (mixed arrays),
+    and a batch of too many forms, are explored value by value.
+    """
+    documents = rows.where(F.col("operation_type") != "delete")
+    if census.forms is None:
         return explored_fields(documents, max_fields)
-    clear = [row for row in forms if not re.search(UNCLEAR_FORM, row.form)]
-    found = _fields_of_forms([(row.form, row.seq) for row in clear])
-    if len(clear) < len(forms):
-        found += explored_fields(documents.where(plain.rlike(UNCLEAR_FORM)), max_fields)
+    clear = census.clear
+    found = _fields_of_forms(clear)
+    if len(clear) < len(census.forms):
+        found += explored_fields(documents.where(_form().rlike(UNCLEAR_FORM)), max_fields)
     return found
 
 
-def _fields_of_forms(forms: list[tuple[str, int]]) -> list[Observed]:
-    """The fields of document forms, whose text Spark itself reads as types."""
+def _types_of_forms(forms: list[str]) -> list[T.DataType]:
+    """Forms as types: Spark itself reads the text it wrote."""
+    as_struct = [QUOTED_OR_OBJECT.sub(lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], t) for t in forms]
+    ddl = ", ".join(f"c{i} {t}" for i, t in enumerate(as_struct))
+    return [f.dataType for f in T.StructType.fromDDL(ddl).fields] if ddl else []
 
-    def read(texts: list[str]) -> list[T.DataType]:
-        as_struct = [QUOTED_OR_OBJECT.sub(lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], t) for t in texts]
-        ddl = ", ".join(f"c{i} {t}" for i, t in enumerate(as_struct))
-        return [f.dataType for f in T.StructType.fromDDL(ddl).fields] if ddl else []
 
-    wrappers = dict(zip([t.simpleString() for t in read(list(WRAPPERS))], WRAPPERS.values()))
-    first: dict[tuple, int] = {}
+def _kind_reader():
+    """A function from a form's type to (kind, wrapped), as :func:`kind_of` has it for values."""
+    wrappers = dict(zip([t.simpleString() for t in _types_of_forms(list(WRAPPERS))], WRAPPERS.values()))
 
-    def note(path: tuple, data_type: T.DataType, seq: int) -> None:
+    def kind_and_wrapped(data_type: T.DataType) -> tuple[str | None, bool]:
         name = data_type.simpleString()
-        kind = wrappers.get(name) or PLAIN.get(name.split("<")[0].upper().replace("STRUCT", "OBJECT"))
+        bare = name.split("<")[0].upper().replace("STRUCT", "OBJECT")
+        return (wrappers[name], True) if name in wrappers else (PLAIN.get(bare), False)
+
+    return kind_and_wrapped
+
+
+def _fields_of_forms(forms: list[tuple[str, int]]) -> list[Observed]:
+    kind_and_wrapped, first = _kind_reader(), {}
+
+    def note(path: tuple, data_type: T.DataType, seq: int) -> None:
+        kind, wrapped = kind_and_wrapped(data_type)
         if kind is None:
             return
-        seen = (path, kind, name in wrappers)
+        seen = (path, kind, wrapped)
         first[seen] = min(seq, first.get(seen, seq))
         if kind == "object":
             members(path, data_type, seq)
@@ -164,11 +207,57 @@ def _fields_of_forms(forms: list[tuple[str, int]]) -> list[Observed]:
         for part in data_type.fields:
             note((*path, part.name), part.dataType, seq)
 
-    for (_, seq), data_type in zip(forms, read([form for form, _ in forms])):
+    for (_, seq), data_type in zip(forms, _types_of_forms([form for form, _ in forms])):
         members((), data_type, seq)
     return [Observed(*seen, seq) for seen, seq in first.items()]
 
 
+def bad_forms(forms: list[tuple[str, int]], root: Shape) -> dict[str, str]:
+    """The forms that do not fit the schema, with the reason."""
+    kind_and_wrapped = _kind_reader()
+
+    def own(data_type: T.DataType, shape: Shape | None, column: str) -> list[str]:
+        kind, _ = kind_and_wrapped(data_type)
+        if kind is None or (shape and kind in _takes(shape.kind)):
+            return []
+        if kind == "decimal128":
+            return [DECIMAL_REASON]
+        return [TYPE_REASON.format(got=kind, column=column, want=shape.kind if shape else "unknown")]
+
+    def below(data_type: T.DataType, shape: Shape | None, column: str) -> list[str]:
+        kind, _ = kind_and_wrapped(data_type)
+        if shape is None or kind != shape.kind:
+            return []
+        if kind == "object":
+            return members(data_type, shape, column)
+        if kind == "array" and shape.element is not None:
+            item = data_type.elementType
+            return own(item, shape.element, column) + below(item, shape.element, column)
+        return []
+
+    def members(data_type: T.StructType, shape: Shape, column: str) -> list[str]:
+        parts = {part.name: part.dataType for part in data_type.fields}
+        columns = {raw: name for name, names in shape.raw.items() for raw in names}
+        label = {raw: f"{column}.{name}" if column else name for raw, name in columns.items()}
+        found = []
+        for raw, part in parts.items():
+            if raw in shape.refused:
+                found += [shape.refused[raw]] if kind_and_wrapped(part)[0] else []
+            elif raw in columns:
+                found += own(part, shape.fields.get(columns[raw]), label[raw])
+        for raw, name in columns.items():
+            if raw in parts:
+                found += below(parts[raw], shape.fields.get(name), label[raw])
+        return found
+
+    bad = {}
+    for (form, _), data_type in zip(forms, _types_of_forms([form for form, _ in forms])):
+        reasons = members(data_type, root, "")
+        if reasons:
+            bad[form] = "; ".join(dict.fromkeys(reasons))
+    return bad
+
+
 def explored_fields(documents: DataFrame, max_fields: int = MAX_FIELDS) -> list[Observed]:
     """Every field path and kind in the batch, by looking at each value.
 
@@ -212,7 +301,9 @@ def explored_fields(documents: DataFrame, max_fields: int = MAX_FIELDS) -> list[
 def grow(schema: T.StructType, observed: list[Observed]) -> Shape:
     """The registered schema widened by what a batch brought; first type wins."""
     root = _shape(schema)
-    for seen in sorted(observed, key=lambda o: (len(o.path), o.seq, [p or "" for p in o.path], o.kind)):
+    # Of an integer and a decimal in one array, neither of which is first, the wider counts.
+    order = sorted(observed, key=lambda o: (len(o.path), o.seq, [p or "" for p in o.path], o.kind != "double", o.kind))
+    for seen in order:
         parent: Shape | None = root
         for step in seen.path[:-1]:
             parent = parent and (parent.element if step is None else parent.fields.get(safe_name(step)))
@@ -417,10 +508,15 @@ def _typed(value: Column, text: Column | None, shape: Shape) -> Column:
 
 @dataclass
 class Conformed:
-    """A batch under its grown schema; persist ``checked`` before using both halves."""
+    """A batch under its grown schema.
+
+    ``clean`` says that nothing can be rejected; where it is False, persist
+    ``checked`` before using both halves.
+    """
 
     schema: T.StructType
     checked: DataFrame
+    clean: bool
 
     @property
     def accepted(self) -> DataFrame:
@@ -438,17 +534,21 @@ def conform(
     schema: T.StructType | None = None,
     missing_post_image: str = "fail",
     max_fields: int = MAX_FIELDS,
+    max_forms: int = MAX_FORMS,
 ) -> Conformed:
     """Types a batch of kept feed events against a schema that grows with it.
 
     ``accepted`` has ``_id``, ``__seq``, ``__at``, ``__alive`` and the document
     columns; ``rejected`` has seq, cluster_time, doc (the text as it came) and
     reasons.  ``missing_post_image`` is ``fail`` or ``dlq``.
+
+    Most batches hold few document forms.  They are judged once each, and a batch
+    whose forms all fit needs no check of its documents.
     """
     schema = schema or T.StructType([])
     rows = read_documents(feed)
-    documents = rows.where(F.col("operation_type") != "delete")
-    root = grow(schema, observed_fields(documents, max_fields))
+    census = take_census(rows, max_forms)
+    root = grow(schema, observed_fields(rows, census, max_fields))
     for own in OWN:
         for name in [n for n in root.fields if n.lower() == own]:
             del root.fields[name]
@@ -457,26 +557,26 @@ def conform(
     root.fields.pop(KEY, None)
     data = root.spark_type() or T.StructType([])
 
-    members, text, deleted = F.col("_members"), F.col("full_document"), F.col("operation_type") == "delete"
+    text, deleted = F.col("full_document"), F.col("operation_type") == "delete"
     order_text = text if root.clashes else None
+    checked, misfit, clean = _misfits(rows, root, census, order_text)
     no_document = F.when(
         lacks_post_image(),
-        F.raise_error(F.lit(MISSING_POST_IMAGE)).cast("array<string>")
+        F.raise_error(F.lit(MISSING_POST_IMAGE)).cast("string")
         if missing_post_image == "fail"
-        else F.array(F.lit(MISSING_POST_IMAGE)),
-    ).otherwise(F.array(F.lit(UNREADABLE_REASON)))
-    reasons = (
-        F.when(F.col("document_key").isNull(), F.array(F.lit(NO_KEY_REASON)))
-        .when(deleted, _nothing())
-        .when(members.isNull(), no_document)
-        .otherwise(_object_problems(members, order_text, root, ""))
+        else F.lit(MISSING_POST_IMAGE),
+    ).otherwise(F.lit(UNREADABLE_REASON))
+    reason = (
+        F.when(F.col("document_key").isNull(), NO_KEY_REASON)
+        .when(deleted, F.lit(None).cast("string"))
+        .when(F.col("_members").isNull(), no_document)
+        .otherwise(misfit)
     )
+    checked = checked.withColumn(_REASON, F.lit(None).cast("string") if clean else reason)
     raw_type = _raw_type(root)
-    checked = rows.withColumn("_reasons", reasons)
     if raw_type != "variant":
         checked = checked.withColumn("_raw", F.try_variant_get("_doc", "$", raw_type))
-    reason = F.when(F.size("_reasons") > 0, F.array_join(F.array_distinct("_reasons"), "; "))
-    typed = checked.withColumn(_REASON, reason).select(
+    typed = checked.select(
         F.col("document_key").alias(KEY),
         F.col("seq").alias(SEQ),
         F.col("cluster_time").alias(AT),
@@ -485,7 +585,26 @@ def conform(
         F.when(F.col(_REASON).isNotNull(), text).alias(_TEXT),
         _REASON,
     )
-    return Conformed(data, typed)
+    return Conformed(data, typed, clean)
+
+
+def _misfits(rows: DataFrame, root: Shape, census: Census, text: Column | None) -> tuple[DataFrame, Column, bool]:
+    """The rows, why a row's document does not fit (or NULL), and whether all rows fit."""
+    problems = _object_problems(F.col("_members"), text, root, "")
+    by_value = F.when(F.size(problems) > 0, F.array_join(F.array_distinct(problems), "; "))
+    if census.forms is None or root.clashes:
+        return rows, by_value, False
+    bad = bad_forms(census.clear, root)
+    unclear = len(census.clear) < len(census.forms)
+    if not bad:
+        clean = not unclear and not census.oddities
+        nothing = F.lit(None).cast("string")
+        return rows, F.when(_form().rlike(UNCLEAR_FORM), by_value) if unclear else nothing, clean
+    # At most one row per form, and the forms are few: small enough to broadcast.
+    table = rows.sparkSession.createDataFrame(list(bad.items()), "__form string, __why string")
+    joined = rows.withColumn("__form", _plain(_form())).join(F.broadcast(table), "__form", "left")
+    why = F.col("__why")
+    return joined, F.when(F.col("__form").rlike(UNCLEAR_FORM), by_value).otherwise(why) if unclear else why, False
 
 
 def align(frame: DataFrame, schema: T.StructType) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators import apply
 from tidemark.operators.apply import UnknownSnapshot
-from tidemark.operators.conform import ALIVE, AT, BUCKET, COMMIT, KEY, SEQ, align, conform
+from tidemark.operators.conform import ALIVE, AT, BUCKET, COMMIT, KEY, SEQ, Conformed, conform
 from tidemark.operators.reports import table_columns
 from tidemark.sources.feed import keep_operations
 
@@ -228,22 +228,24 @@ class Mirror:
         number = (last.number or 0) + 1
         known = _schema(last.schema_json)
         batch = conform(keep_operations(feed), known, missing_post_image)
+        if batch.clean:
+            return self._commit(batch, number, stream_id, batch_id, committed_at)
         checked = batch.checked.persist()
         try:
             return self._commit(batch, number, stream_id, batch_id, committed_at)
         finally:
             checked.unpersist()
 
-    def _commit(self, batch, number, stream_id, batch_id, committed_at) -> int | None:
+    def _commit(
+        self, batch: Conformed, number: int, stream_id: str | None, batch_id: int | None, committed_at: datetime | None
+    ) -> int | None:
         at = committed_at or datetime.now(timezone.utc)
         path, rejects = f"changes/{COMMIT}={number}", f"{self._home}/dlq/{COMMIT}={number}"
-        tally = batch.checked.agg(
-            F.count_if(F.col("__reason").isNull()).alias("good"), F.count_if(F.col("__reason").isNotNull()).alias("bad")
-        ).first()
-        if not tally.good and not tally.bad:
+        good, bad = self._tally(batch)
+        if not good and not bad:
             return None
         facts = {"rows": 0}
-        if tally.good:
+        if good:
             # The write itself reports what it wrote; nothing is read back.
             seen = Observation()
             collapsed = apply.latest(batch.accepted, [KEY], SEQ).observe(
@@ -255,7 +257,7 @@ class Mirror:
             )
             collapsed.write.mode("overwrite").parquet(f"{self._home}/{path}")
             facts = seen.get
-        if tally.bad:
+        if bad:
             batch.rejected.select(
                 F.lit(at).cast("timestamp").alias("dlq_time"), F.struct("reason").alias("err_info"), "doc"
             ).write.mode("overwrite").parquet(rejects)
@@ -266,11 +268,18 @@ class Mirror:
             batch_id=batch_id,
             schema_json=batch.schema.json(),
             path=path,
-            rejected=tally.bad,
+            rejected=bad,
             **facts,
         )
         return number
 
+    def _tally(self, batch: Conformed) -> tuple[int, int]:
+        """Whether there are accepted rows, and how many rejected ones."""
+        if batch.clean:
+            return len(batch.checked.take(1)), 0
+        good, bad = F.count_if(F.col("__reason").isNull()), F.count_if(F.col("__reason").isNotNull())
+        return tuple(batch.checked.agg(good, bad).first())
+
     def _mark_commit(self, number: int, **values) -> None:
         schema = T.StructType(COMMIT_SCHEMA.fields[1:])
         row = [values.get(name) for name in schema.names]
