@@ -34,9 +34,9 @@ NO_KEY_REASON = "no document key"
 MAX_FIELDS = 10_000
 MAX_FORMS = 1_000
 
-# How schema_of_variant writes decimals; and forms that do not tell every value's type.
+# How schema_of_variant writes decimals; and a field name that looks like one.
 DECIMAL_FORM = r"DECIMAL\([0-9]+,[0-9]+\)"
-UNCLEAR_FORM = r"VARIANT|`[^`]*DECIMAL\("
+STRANGE_FORM = r"`[^`]*DECIMAL\("
 QUOTED_OR_OBJECT = re.compile(r"`(?:[^`]|``)*`|OBJECT<")
 
 # Kinds a column of each kind takes; anything else is a type conflict.
@@ -115,14 +115,16 @@ class Observed:
 
 @dataclass
 class Census:
-    """What a batch consists of, by document form; ``forms`` is None when there are too many."""
+    """What a batch consists of, by document form and the ``seq`` it was first seen at.
 
-    forms: list[tuple[str, int]] | None
-    oddities: bool
+    A form tells every value's type but inside arrays, whose items it merges: the
+    ``unclear`` forms are those where that can hide something.  ``clear`` and
+    ``unclear`` are None when the forms are too many or too strange to use.
+    """
 
-    @property
-    def clear(self) -> list[tuple[str, int]]:
-        return [f for f in self.forms if not re.search(UNCLEAR_FORM, f[0])]
+    clear: list[tuple[str, int]] | None
+    unclear: list[tuple[str, int]] | None
+    oddities: bool
 
 
 def _form() -> Column:
@@ -135,23 +137,43 @@ def _plain(form: Column) -> Column:
 
 def take_census(rows: DataFrame, max_forms: int = MAX_FORMS) -> Census:
     """Counts the batch's documents by form: one aggregation that leaves few rows."""
-    odd = F.col("document_key").isNull() | ((F.col("operation_type") != "delete") & F.col("_members").isNull())
-    document = (F.col("operation_type") != "delete") & F.col("_members").isNotNull()
+    deleted = F.col("operation_type") == "delete"
+    readable = F.coalesce(F.col("form").startswith("OBJECT<"), F.lit(False))
     counted = (
-        rows.groupBy(odd.alias("odd"), F.when(document, _form()).alias("form"))
+        rows.select("seq", "document_key", "operation_type", _form().alias("form"))
+        .groupBy(
+            (F.col("document_key").isNull() | (~deleted & ~readable)).alias("odd"),
+            F.when(~deleted & readable, F.col("form")).alias("form"),
+        )
         .agg(F.min("seq").alias("seq"))
-        .groupBy("odd", _plain(F.col("form")).alias("form"))
+        .groupBy("odd", F.col("form").rlike(STRANGE_FORM).alias("strange"), _plain(F.col("form")).alias("form"))
         .agg(F.min("seq").alias("seq"))
         .limit(max_forms + 1)
         .collect()
     )
-    if len(counted) > max_forms:
-        return Census(None, True)
+    if len(counted) > max_forms or any(row.strange for row in counted):
+        return Census(None, None, True)
     first: dict[str, int] = {}
     for row in counted:
         if row.form is not None:
             first[row.form] = min(row.seq, first.get(row.form, row.seq))
-    return Census(list(first.items()), any(row.odd for row in counted))
+    forms = list(first.items())
+    hidden = [_hides(t) for t in _types_of_forms([form for form, _ in forms])]
+    return Census(
+        [form for form, hides in zip(forms, hidden) if not hides],
+        [form for form, hides in zip(forms, hidden) if hides],
+        any(row.odd for row in counted),
+    )
+
+
+def _hides(data_type: T.DataType, in_array: bool = False) -> bool:
+    """Whether a form leaves types open: mixed items, or wrapped values among an array's items."""
+    if isinstance(data_type, T.ArrayType):
+        return _hides(data_type.elementType, True)
+    if isinstance(data_type, T.StructType):
+        wrapped = in_array and any(f.name.startswith("$") for f in data_type.fields)
+        return wrapped or any(_hides(f.dataType, in_array) for f in data_type.fields)
+    return isinstance(data_type, T.VariantType)
 
 
 def observed_fields(rows: DataFrame, census: Census, max_fields: int = MAX_FIELDS) -> list[Observed]:
@@ -161,12 +183,13 @@ def observed_fields(rows: DataFrame, census: Census, max_fields: int = MAX_FIELD
     and a batch of too many forms, are explored value by value.
     """
     documents = rows.where(F.col("operation_type") != "delete")
-    if census.forms is None:
+    if census.clear is None:
         return explored_fields(documents, max_fields)
-    clear = census.clear
-    found = _fields_of_forms(clear)
-    if len(clear) < len(census.forms):
-        found += explored_fields(documents.where(_form().rlike(UNCLEAR_FORM)), max_fields)
+    found = _fields_of_forms(census.clear)
+    if census.unclear:
+        table = documents.sparkSession.createDataFrame([(form,) for form, _ in census.unclear], "__form string")
+        hidden = documents.withColumn("__form", _plain(_form())).join(F.broadcast(table), "__form", "left_semi")
+        found += explored_fields(hidden, max_fields)
     return found
 
 
@@ -592,19 +615,16 @@ def _misfits(rows: DataFrame, root: Shape, census: Census, text: Column | None)
     """The rows, why a row's document does not fit (or NULL), and whether all rows fit."""
     problems = _object_problems(F.col("_members"), text, root, "")
     by_value = F.when(F.size(problems) > 0, F.array_join(F.array_distinct(problems), "; "))
-    if census.forms is None or root.clashes:
+    if census.clear is None or root.clashes:
         return rows, by_value, False
-    bad = bad_forms(census.clear, root)
-    unclear = len(census.clear) < len(census.forms)
-    if not bad:
-        clean = not unclear and not census.oddities
-        nothing = F.lit(None).cast("string")
-        return rows, F.when(_form().rlike(UNCLEAR_FORM), by_value) if unclear else nothing, clean
+    judged = [(form, why, False) for form, why in bad_forms(census.clear, root).items()]
+    judged += [(form, None, True) for form, _ in census.unclear]
+    if not judged:
+        return rows, F.lit(None).cast("string"), not census.oddities
     # At most one row per form, and the forms are few: small enough to broadcast.
-    table = rows.sparkSession.createDataFrame(list(bad.items()), "__form string, __why string")
+    table = rows.sparkSession.createDataFrame(judged, "__form string, __why string, __look boolean")
     joined = rows.withColumn("__form", _plain(_form())).join(F.broadcast(table), "__form", "left")
-    why = F.col("__why")
-    return joined, F.when(F.col("__form").rlike(UNCLEAR_FORM), by_value).otherwise(why) if unclear else why, False
+    return joined, F.when(F.col("__look"), by_value).otherwise(F.col("__why")), False
 
 
 def align(frame: DataFrame, schema: T.StructType) -> DataFrame:
