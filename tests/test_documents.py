@@ -6,7 +6,6 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import names

@@ -6,7 +6,6 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import functions as F
 
 from tidemark.operators import deadletter
 from tidemark.operators.apply import UnknownSnapshot, list_snapshots

@@ -1,6 +1,5 @@
 """Convergence, lag, propagation, latency, order and delivery on the golden cases."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import convergence, delivery, propagation, reports

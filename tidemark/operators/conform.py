@@ -625,11 +625,3 @@ def _misfits(rows: DataFrame, root: Shape, census: Census, text: Column | None)
     table = rows.sparkSession.createDataFrame(judged, "__form string, __why string, __look boolean")
     joined = rows.withColumn("__form", _plain(_form())).join(F.broadcast(table), "__form", "left")
     return joined, F.when(F.col("__look"), by_value).otherwise(F.col("__why")), False
-
-
-def align(frame: DataFrame, schema: T.StructType) -> DataFrame:
-    """A frame under a later schema: absent columns are NULL, none is dropped."""
-    present = set(frame.columns)
-    return frame.select(
-        *[F.col(f"`{f.name}`") if f.name in present else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-    )
