@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ BLOCK_BYTES = 8 << 20
 KEY_BITS = 48
 _FULL = np.uint64(0xFFFFFFFF)
 
-ASK = "block int, bucket int, keys binary, counts binary"
+ASK = "block int, bucket int, keys binary, more binary"
 ANSWER = "bucket int, block int, answer binary"
 
 
@@ -69,31 +70,37 @@ def _unpacked(blob: bytes, base: int) -> np.ndarray:
     return keys[gaps != _FULL]
 
 
-def asked(bucket: int, keys: np.ndarray, counts: np.ndarray | None, n_blocks: int) -> pa.RecordBatch:
-    """A bucket's sorted, distinct keys as one row per block that has any. ``counts``: occurrences, at most 255 told."""
+def told(counts: np.ndarray) -> np.ndarray:
+    """Occurrences as one byte each; 255 and more are alike."""
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def asked(bucket: int, keys: np.ndarray, more: np.ndarray, n_blocks: int, aside: bytes | None = None) -> pa.Table:
+    """A bucket's sorted keys as one row per block that has any, with one value of ``more`` for each key.
+
+    ``aside`` comes back with the answers as it is, as that of a block past the last.
+    """
     cuts = _cuts(n_blocks)
     at = np.append(np.searchsorted(keys, cuts), len(keys))
-    some = np.flatnonzero(at[1:] > at[:-1])
-    told = None if counts is None else np.minimum(counts, 255).astype(np.uint8)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(some, pa.int32()),
-            pa.array(np.full(len(some), bucket), pa.int32()),
-            pa.array([_packed(keys[at[i] : at[i + 1]], int(cuts[i])) for i in some], pa.binary()),
-            pa.array([None if told is None else told[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()),
-        ],
-        names=["block", "bucket", "keys", "counts"],
-    )
-
-
-def _of_block(table: pa.Table, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets in rising order; all keys, end to end, with the row they came from; their counts."""
+    some = np.flatnonzero(at[1:] > at[:-1]).tolist()
+    rows = [(i, _packed(keys[at[i] : at[i + 1]], int(cuts[i])), more[at[i] : at[i + 1]].tobytes()) for i in some]
+    if aside is not None:
+        rows.append((n_blocks + bucket, aside, None))
+    return pa.table({
+        "block": pa.array([r[0] for r in rows], pa.int32()),
+        "bucket": pa.array([bucket] * len(rows), pa.int32()),
+        "keys": pa.array([r[1] for r in rows], pa.binary()),
+        "more": pa.array([r[2] for r in rows], pa.binary()),
+    })
+
+
+def _of_block(table: pa.Table, n_blocks: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets in rising order; all their keys, end to end; how many each has; what came with the keys."""
     table = table.sort_by("bucket")
     base = -(-(table["block"][0].as_py() << KEY_BITS) // n_blocks)
     parts = [_unpacked(blob.as_py(), base) for blob in table["keys"]]
-    lengths = np.array([len(p) for p in parts])
-    counts = [np.frombuffer(c.as_py(), np.uint8) if c.is_valid else np.ones(n, np.uint8) for c, n in zip(table["counts"], lengths)]
-    return table["bucket"].to_numpy(), np.concatenate(parts), lengths, np.concatenate(counts)
+    more = [np.frombuffer(blob.as_py(), kind) for blob in table["more"]]
+    return table["bucket"].to_numpy(), np.concatenate(parts), np.array([len(p) for p in parts]), np.concatenate(more)
 
 
 def _answers(table: pa.Table, buckets: np.ndarray, lengths: np.ndarray, said: np.ndarray) -> pa.Table:
@@ -109,7 +116,7 @@ def commonness(asks: DataFrame, n_blocks: int) -> DataFrame:
     """Answers 0 for a key that occurs once in all, else 1 + floor(log2(occurrences))."""
 
     def count(table: pa.Table) -> pa.Table:
-        buckets, keys, lengths, counts = _of_block(table, n_blocks)
+        buckets, keys, lengths, counts = _of_block(table, n_blocks, np.uint8)
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         fresh = np.append(True, ordered[1:] != ordered[:-1])
@@ -124,14 +131,16 @@ def commonness(asks: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def earlier(asks: DataFrame, n_blocks: int) -> DataFrame:
-    """Answers 1 for a key that a bucket of a lower number asks for too."""
+    """Answers 1 for a key that a bucket of a lower number asks for too. A key is 48 bits and the 64 that came with it."""
 
     def first(table: pa.Table) -> pa.Table:
-        buckets, keys, lengths, _ = _of_block(table, n_blocks)
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
+        if table["block"][0].as_py() >= n_blocks:
+            return table.select(["bucket", "block", "keys"]).rename_columns(["bucket", "block", "answer"])
+        buckets, keys, lengths, checks = _of_block(table, n_blocks, np.uint64)
+        order = np.lexsort((checks, keys))
+        same = (keys[order][1:] == keys[order][:-1]) & (checks[order][1:] == checks[order][:-1])
         said = np.empty(len(keys), np.uint8)
-        said[order] = np.append(False, ordered[1:] == ordered[:-1])
+        said[order] = np.append(False, same)
         return _answers(table, buckets, lengths, said)
 
     return asks.groupBy("block").applyInArrow(first, ANSWER)
@@ -145,6 +154,12 @@ def answered(answers: pa.Table, n: int) -> np.ndarray:
     return said
 
 
+def set_aside(answers: pa.Table, n_blocks: int) -> tuple[pa.Table, bytes]:
+    """The answers proper, and what the bucket had set aside."""
+    late = pc.greater_equal(answers["block"], n_blocks)
+    return answers.filter(pc.invert(late)), b"".join(x.as_py() for x in answers.filter(late)["answer"])
+
+
 def range_marks(docs: DataFrame, doc_id: str, n: int) -> list[int]:
     """Bounds that part the rows about evenly by id."""
     if n <= 1:

@@ -74,7 +74,7 @@ def sets_table(docs: DataFrame, *, doc_id: str, text: str, width: int, percent:
     def ask(table: pa.Table) -> pa.Table:
         grams, _ = ngram_sets(table["text"], width)
         keys, counts = np.unique(B.key48(grams), return_counts=True)
-        return pa.Table.from_batches([B.asked(table["bucket"][0].as_py(), keys, counts, n_blocks)])
+        return B.asked(table["bucket"][0].as_py(), keys, B.told(counts), n_blocks)
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
         grams, bounds = ngram_sets(table["text"], width)
