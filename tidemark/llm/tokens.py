@@ -39,13 +39,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base^2, ... (n of them), modulo 2^64."""
-    out = np.full(n, base, np.uint64)
-    if n:
+    """1, base, base^2, ... (n of them), modulo 2^64; the longest asked for so far is kept."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(1 << max(10, (n - 1).bit_length()), base, np.uint64)
         out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
