@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, line_dedup, mixing, url_filter
+from tidemark.llm import exact_dedup, line_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLE = {
     "op2_url_filter": url_filter.ORACLE,
