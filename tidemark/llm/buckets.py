@@ -146,9 +146,9 @@ def earlier(asks: DataFrame, n_blocks: int) -> DataFrame:
     return asks.groupBy("block").applyInArrow(first, ANSWER)
 
 
-def answered(answers: pa.Table, n: int) -> np.ndarray:
-    """One byte for each of the ``n`` keys a bucket asked about, in their order."""
-    said = np.frombuffer(b"".join(x.as_py() for x in answers.sort_by("block")["answer"]), np.uint8)
+def answered(answers: pa.Table, n: int, kind: type = np.uint8) -> np.ndarray:
+    """One value for each of the ``n`` keys a bucket asked about, in their order."""
+    said = np.frombuffer(b"".join(x.as_py() for x in answers.sort_by("block")["answer"]), kind)
     if len(said) != n:
         raise ValueError(f"{n} keys asked about, {len(said)} answers")
     return said
