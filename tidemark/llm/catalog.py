@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, line_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, url_filter
+from tidemark.llm import (
+    exact_dedup, line_dedup, lm_score, mixing, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, url_filter,
+)
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_lm_score": lm_score.op5_lm_score,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,

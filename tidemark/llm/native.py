@@ -53,3 +53,10 @@ def probed(rows: DataFrame, key: Column, filter_rows: DataFrame, name: str, bloc
 def renamed(frame: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the operator's own names; others of any name stay out of its way."""
     return frame.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
+
+
+def without(rows: DataFrame, gone: DataFrame, key: Column, gone_key: Column) -> DataFrame:
+    """The rows whose key is not among ``gone``'s. A filter lets the others through where they are; only possible hits move."""
+    marked = probed(rows, key, bloom(gone, gone_key), "__maybe")
+    asked = marked.where("__maybe").join(gone.select(gone_key.alias("__gone")).distinct(), key == F.col("__gone"), "left_anti")
+    return marked.where("NOT __maybe").unionByName(asked).drop("__maybe")
