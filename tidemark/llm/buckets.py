@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.native import quoted
+
 BUCKET_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 KEY_BITS = 48
@@ -31,14 +33,14 @@ ANSWER = "bucket int, block int, answer binary"
 
 def volume(docs: DataFrame, text: str) -> int:
     """Bytes of all texts: what the numbers of buckets and blocks follow."""
-    return docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
+    return docs.agg(F.sum(F.octet_length(F.col(quoted(text))).cast("long"))).first()[0] or 0
 
 
 def by_hash(docs: DataFrame, *, doc_id: str, text: str, total: int, size: int = BUCKET_BYTES) -> DataFrame:
     """bucket, doc_id, text: rows dealt at random, but alike in every run."""
     n = max(1, -(-total // size))
-    key = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("bucket"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    key = F.xxhash64(F.col(quoted(doc_id)), F.col(quoted(text)))
+    return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("bucket"), F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
 
 
 def blocks_for(total: int, size: int = BLOCK_BYTES) -> int:
@@ -165,16 +167,16 @@ def range_marks(docs: DataFrame, doc_id: str, n: int) -> list[int]:
     if n <= 1:
         return []
     share = [i / n for i in range(1, n)]
-    return sorted(set(docs.agg(F.percentile_approx(F.col(f"`{doc_id}`"), share, max(10_000, 4 * n))).first()[0] or []))
+    return sorted(set(docs.agg(F.percentile_approx(F.col(quoted(doc_id)), share, max(10_000, 4 * n))).first()[0] or []))
 
 
 def by_range(docs: DataFrame, *, doc_id: str, text: str, total: int, size: int = BUCKET_BYTES) -> DataFrame:
     """bucket, doc_id, text: a lower bucket holds lower ids; rows of one id share a bucket. NULL ids come first."""
     marks = range_marks(docs, doc_id, max(1, -(-total // size)))
-    key = F.col(f"`{doc_id}`")
+    key = F.col(quoted(doc_id))
     # A search among the bounds, as an array function over one literal: no join, no shuffle.
     bucket = F.when(key.isNull(), 0).otherwise(_search(key, marks)) if marks else F.lit(0)
-    return docs.select(bucket.cast("int").alias("bucket"), key.alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return docs.select(bucket.cast("int").alias("bucket"), key.alias("doc_id"), F.col(quoted(text)).alias("text"))
 
 
 def _search(key, marks: list[int]):

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.native import BLANKS, hash128, lower_az
+from tidemark.llm.native import BLANKS, field, hash128, lower_az, packed, quoted
 
 MIN_CHARS, MIN_DOCS = 1, 10
 
@@ -36,37 +36,36 @@ def _key(line: Column) -> Column:
 
 def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """The hashes of the keys found in ``min_docs`` documents or more."""
-    each = docs.select(F.explode(F.array_distinct(_keys(F.col(f"`{text}`")))).alias("hash")).where("hash IS NOT NULL")
+    each = docs.select(F.explode(F.array_distinct(_keys(F.col(quoted(text))))).alias("hash")).where("hash IS NOT NULL")
     return each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("hash")
 
 
-def drop_frequent_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """All rows and columns; ``__lines`` and ``__kept`` hold the lines before and after."""
-    pairs = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.explode(F.array_distinct(_keys(F.col(f"`{text}`")))).alias("hash"))
+def split_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """``row`` (all columns as a struct), and its ``lines`` and those ``kept``, by position."""
+    pairs = docs.select(F.col(quoted(doc_id)).alias("id"), F.explode(F.array_distinct(_keys(F.col(quoted(text))))).alias("hash"))
     hits = pairs.where("hash IS NOT NULL").join(frequent_lines(docs, text, min_docs), "hash")
     # One list per document, no longer than its own lines.
-    drops = hits.groupBy("__id").agg(F.collect_set("hash").alias("__drop"))
-    joined = docs.join(drops, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left").drop("__id")
-    joined = joined.withColumn("__lines", F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1))
-    stay = F.filter("__lines", lambda line: ~F.coalesce(F.array_contains(F.col("__drop"), _key(line)), F.lit(False)))
-    return joined.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(stay)).drop("__drop")
+    drops = hits.groupBy("id").agg(F.collect_set("hash").alias("drop"))
+    joined = packed(docs).join(drops, field(doc_id).eqNullSafe(F.col("id")), "left")
+    joined = joined.select("row", "drop", F.split(F.coalesce(field(text), F.lit("")), "\n", -1).alias("lines"))
+    stay = F.filter("lines", lambda line: ~F.coalesce(F.array_contains(F.col("drop"), _key(line)), F.lit(False)))
+    return joined.select("row", "lines", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(stay).alias("kept"))
 
 
 def without_frequent_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """The same columns, each text without its frequent lines (a NULL text stays NULL)."""
-    done = drop_frequent_lines(docs, doc_id=doc_id, text=text, min_docs=min_docs)
-    kept = F.when(F.col(f"`{text}`").isNotNull(), F.array_join("__kept", "\n")).alias(text)
-    return done.select(*[kept if c == text else F.col(f"`{c}`") for c in docs.columns])
+    done = split_lines(docs, doc_id=doc_id, text=text, min_docs=min_docs)
+    left = F.when(field(text).isNotNull(), F.array_join("kept", "\n")).alias(text)
+    return done.select(*[left if c == text else field(c).alias(c) for c in docs.columns])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = drop_frequent_lines(docs)
-    return done.select(
-        "doc_id",
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
-        F.sha2(F.array_join("__kept", "\n"), 256).alias("kept_sha256"),
+    return split_lines(docs).select(
+        field("doc_id").alias("doc_id"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"),
     )
 
 

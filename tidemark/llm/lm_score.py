@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import buckets as B
 from tidemark.llm import tokens as T
 from tidemark.llm.graph import kept
+from tidemark.llm.native import quoted
 
 FOLDS, HELD = 7, 2
 #: Size of the filter and the bits that a member should have.
@@ -194,7 +195,7 @@ def _counts_of(asks: DataFrame, words: DataFrame, n_blocks: int) -> DataFrame:
 def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
     total = B.volume(docs, "text")
     n_blocks = min(B.blocks_for(total), MAX_BLOCKS)
     training = docs.where(~held_out(F.col("doc_id")))

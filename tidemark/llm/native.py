@@ -43,6 +43,23 @@ def bloom(listed: DataFrame, key: Column, blocks: int = MAX_BLOCKS) -> DataFrame
     return bits.groupBy("__block").agg(F.bit_or("__mask").alias("__bits"))
 
 
+def packed(frame: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that no name of theirs meets one of an operator's."""
+    return frame.select(F.struct(*[F.col(quoted(c)) for c in frame.columns]).alias("row"))
+
+
+def field(name: str) -> Column:
+    return F.col("row").getField(name)
+
+
+def unpacked(frame: DataFrame, names: list[str]) -> DataFrame:
+    return frame.select(*[field(c).alias(c) for c in names])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def probed(rows: DataFrame, key: Column, filter_rows: DataFrame, name: str, blocks: int = MAX_BLOCKS) -> DataFrame:
     """The rows with boolean ``name``: false where the filter rules the key out. The filter's size is bounded, so it is broadcast."""
     mask = _mask(key)
@@ -52,11 +69,16 @@ def probed(rows: DataFrame, key: Column, filter_rows: DataFrame, name: str, bloc
 
 def renamed(frame: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the operator's own names; others of any name stay out of its way."""
-    return frame.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
+    return frame.select(*[F.col(quoted(old)).alias(new) for new, old in names.items()])
+
 
+def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows, all columns, whose ``key`` (of ``field``s) is not in ``gone``'s column ``key``; NULLs inside a key are equal.
 
-def without(rows: DataFrame, gone: DataFrame, key: Column, gone_key: Column) -> DataFrame:
-    """The rows whose key is not among ``gone``'s. A filter lets the others through where they are; only possible hits move."""
-    marked = probed(rows, key, bloom(gone, gone_key), "__maybe")
-    asked = marked.where("__maybe").join(gone.select(gone_key.alias("__gone")).distinct(), key == F.col("__gone"), "left_anti")
-    return marked.where("NOT __maybe").unionByName(asked).drop("__maybe")
+    A filter lets most rows through where they are; only possible hits move.
+    """
+    own = packed(rows).withColumn("key", F.struct(key))
+    lost = gone.select(F.struct("key").alias("lost")).distinct()
+    marked = probed(own, F.col("key"), bloom(lost, F.col("lost")), "maybe")
+    asked = marked.where("maybe").join(lost, F.col("key") == F.col("lost"), "left_anti")
+    return unpacked(marked.where("NOT maybe").unionByName(asked), rows.columns)

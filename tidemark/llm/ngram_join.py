@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import buckets as B
 from tidemark.llm import tokens as T
 from tidemark.llm.graph import components, kept
-from tidemark.llm.native import without
+from tidemark.llm.native import field, without
 
 WIDTH, PERCENT = 5, 80
 TILE = 1024
@@ -250,8 +250,8 @@ def _across(spark: SparkSession, members: DataFrame, links: DataFrame, percent:
 def first_of_each_group(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents, all columns, without those that a smaller id of their group stands for."""
     groups = similar_groups(docs, doc_id=doc_id, text=text, **how)
-    gone = kept(docs.sparkSession, groups.where("component_id <> doc_id").select("doc_id"), "gone")
-    return without(docs, gone, F.col(f"`{doc_id}`"), F.col("doc_id"))
+    gone = kept(docs.sparkSession, groups.where("component_id <> doc_id").select(F.col("doc_id").alias("key")), "gone")
+    return without(docs, field(doc_id), gone)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

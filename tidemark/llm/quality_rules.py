@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import tokens as T
 from tidemark.llm.graph import kept
-from tidemark.llm.native import bloom, probed
+from tidemark.llm.native import field, quoted, without
 
 COVER, MIN_ROWS, STEPS, TAIL = 0.75, 200, 6, 1e-4
 #: Statistic and the least standard deviation it is held to.
@@ -101,7 +101,7 @@ def counted(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) ->
                     names=["doc_id", "key", "lang", "source"] + [c.split()[0] for c in _COUNTS.split(", ")],
                 )
 
-    column = lambda c: F.col(f"`{c}`")
+    column = lambda c: F.col(quoted(c))
     rows = docs.select(
         column(doc_id).alias("doc_id"), row_key(column(text), column(lang), column(source)).alias("key"),
         column(lang).cast("string").alias("lang"), column(source).cast("string").alias("source"), column(text).alias("text"),
@@ -228,11 +228,9 @@ def judged(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
 
 def without_rejected(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass, all columns. Texts do not move: a filter of the rejected rows' keys lets the others through where they are."""
-    gone = kept(docs.sparkSession, judged(docs, doc_id=doc_id, text=text, lang=lang, source=source).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct(), "rejected")
-    keyed = docs.withColumn("__row", row_key(F.col(f"`{text}`"), F.col(f"`{lang}`"), F.col(f"`{source}`")))
-    marked = probed(keyed, F.col("__row"), bloom(gone, F.col("__key")), "__maybe")
-    asked = marked.where("__maybe").join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key")), "left_anti")
-    return marked.where("NOT __maybe").unionByName(asked).drop("__row", "__maybe")
+    found = judged(docs, doc_id=doc_id, text=text, lang=lang, source=source).where("NOT kept")
+    gone = kept(docs.sparkSession, found.select(F.struct("doc_id", F.col("key").alias("of")).alias("key")), "rejected")
+    return without(docs, F.struct(field(doc_id).alias("doc_id"), row_key(field(text), field(lang), field(source)).alias("of")), gone)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

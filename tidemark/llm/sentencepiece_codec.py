@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import tokens as T
+from tidemark.llm.native import quoted
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SLICE = 4 << 20
@@ -342,6 +343,11 @@ def decode(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarr
     return data[stay], stop - np.append(0, np.cumsum(~stay))[stop]
 
 
+def _numbered(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns under plain names: a function's input takes none with dots."""
+    return rows.select(*[rows[quoted(c)].alias(f"c{i}") for i, c in enumerate(names)])
+
+
 def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     for row, _, bounds in T.chunks(texts, _SLICE):
         yield row, texts.slice(row, len(bounds) - 1).to_pylist()
@@ -361,8 +367,8 @@ def encoded(docs: DataFrame, *, text: str = "text", ids: str = "ids", model: str
                 own = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(row, len(texts)) for i in range(len(names))] + [own], names=names + [ids])
 
-    kinds = ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in docs.dtypes if c != ids)
-    return docs.select(*[docs[f"`{c}`"] for c in names]).mapInArrow(run, f"{kinds}, `{ids}` array<int>")
+    kinds = ", ".join(f"{quoted(c)} {t}" for c, t in docs.dtypes if c != ids)
+    return _numbered(docs, names).mapInArrow(run, f"{kinds}, {quoted(ids)} array<int>")
 
 
 def decoded(rows: DataFrame, *, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -378,8 +384,8 @@ def decoded(rows: DataFrame, *, ids: str = "ids", text: str = "decoded", model:
             back = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(stop[:-1], stop[1:])]
             yield pa.RecordBatch.from_arrays(list(batch.columns) + [pa.array(back, pa.string())], names=names + [text])
 
-    kinds = ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in rows.dtypes if c != text)
-    return rows.select(*[rows[f"`{c}`"] for c in names]).mapInArrow(run, f"{kinds}, `{text}` string")
+    kinds = ", ".join(f"{quoted(c)} {t}" for c, t in rows.dtypes if c != text)
+    return _numbered(rows, names).mapInArrow(run, f"{kinds}, {quoted(text)} string")
 
 
 def round_trip(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
@@ -400,7 +406,7 @@ def round_trip(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", m
                     pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array(same),
                 ], names=["doc_id", "n_tokens", "ids", "decoded_sha256", "same"])
 
-    rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text"))
+    rows = docs.select(docs[quoted(doc_id)].alias("doc_id"), docs[quoted(text)].alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string, same boolean")
 
 

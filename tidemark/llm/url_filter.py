@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.native import MAX_BLOCKS, bloom, lower_az, probed, renamed
+from tidemark.llm.native import MAX_BLOCKS, bloom, lower_az, probed, quoted, renamed
 
 # The rules of the contract (verdict, host, path).
 RULES = (
@@ -70,7 +70,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, page_id: str = "page_id"
     rows = renamed(pages, page_id=page_id, url=url)
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("__key"))
     rows = rows.withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules))
-    listed = listed.select(canonical(F.col(f"`{listed_url}`")).alias("__key")).where(F.col("__key").isNotNull())
+    listed = listed.select(canonical(F.col(quoted(listed_url))).alias("__key")).where(F.col("__key").isNotNull())
     seen = probed(rows, F.col("__key"), bloom(listed, F.col("__key"), blocks), "__maybe", blocks)
     # Rows that the filter rules out join on NULL: they stay where they are in the outer join and match nothing.
     seen = seen.withColumn("__open", F.when(F.col("__rule").isNull() & F.col("__maybe"), F.col("__key")))
@@ -86,8 +86,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, page_id: str = "page_id"
 
 def unwanted_urls(pages: DataFrame, url: str = "url") -> DataFrame:
     """The URLs of unwanted sites, as a list to block."""
-    labels = F.split(host_of(F.col(f"`{url}`")), r"\.")
-    return pages.where(F.arrays_overlap(labels, F.array(*[F.lit(x) for x in UNWANTED]))).select(F.col(f"`{url}`").alias("url"))
+    labels = F.split(host_of(F.col(quoted(url))), r"\.")
+    return pages.where(F.arrays_overlap(labels, F.array(*[F.lit(x) for x in UNWANTED]))).select(F.col(quoted(url)).alias("url"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
