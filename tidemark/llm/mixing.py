@@ -87,7 +87,10 @@ def _period(placed: DataFrame, weights: dict | None, period: int, soften: float)
     one = all_sources.select("s", total.alias("total")).where(F.size("s") > 0)
     one = one.select("s", F.transform("s", lambda x: F.greatest(F.lit(1), F.floor(share(x) * period + 0.5)).cast("long")).alias("units"), F.transform("s", lambda x: x["blocks"]).alias("blocks"))
     one = one.withColumn("period", F.aggregate("units", F.lit(0).cast("long"), lambda a, x: a + x))
-    start = F.struct(F.transform("units", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("slots"))
+    start = F.struct(
+        F.transform("units", lambda x: F.lit(0).cast("long")).alias("done"),
+        F.array().cast("array<struct<who:int,earlier:array<bigint>>>").alias("slots"),
+    )
 
     def due(done: Column, i: Column) -> Column:
         return F.struct(_floor((F.get(done, i) + 1) * F.col("period") + F.get("units", i) - 1, F.get("units", i)).alias("due"), i.alias("i"))
@@ -95,13 +98,16 @@ def _period(placed: DataFrame, weights: dict | None, period: int, soften: float)
     def step(state: Column, slot: Column) -> Column:
         released = F.filter(F.sequence(F.lit(0), F.size("units") - 1), lambda i: _floor(F.get(state["done"], i) * F.col("period"), F.get("units", i)) <= slot)
         pick = F.array_min(F.transform(released, lambda i: due(state["done"], i)))["i"]
-        return F.struct(F.transform(state["done"], lambda d, i: d + (i == pick).cast("long")).alias("done"), F.concat(state["slots"], F.array(pick)).alias("slots"))
+        # A one-element array binds the pick, so that it is worked out once.
+        return F.get(F.transform(F.array(pick), lambda who: F.struct(
+            F.transform(state["done"], lambda d, i: d + (i == who).cast("long")).alias("done"),
+            F.concat(state["slots"], F.array(F.struct(who.alias("who"), state["done"].alias("earlier")))).alias("slots"),
+        )), F.lit(0))
 
     slots = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1), start, step, lambda state: state["slots"])
     one = one.select("s", "units", "blocks", "period", slots.alias("slots"))
-    slot = one.select("s", "units", "blocks", "period", "slots", F.posexplode("slots").alias("at", "who"))
-    earlier = F.transform("units", lambda _, i: F.size(F.filter(F.slice("slots", 1, F.col("at")), lambda w: w == i)).cast("long"))
-    slot = slot.select("s", "units", "blocks", "period", "at", "who", earlier.alias("earlier"))
+    slot = one.select("s", "units", "blocks", "period", F.posexplode_outer("slots").alias("at", "slot"))  # outer: else Spark works the fold out twice, to filter first
+    slot = slot.select("s", "units", "blocks", "period", "at", F.col("slot.who").alias("who"), F.col("slot.earlier").alias("earlier"))
     return slot.select(
         F.get("s", F.col("who"))["source"].alias("__source"), F.get("units", F.col("who")).alias("units"), "period",
         F.get("earlier", F.col("who")).alias("__nth"), "at", F.col("units").alias("__units"), F.col("blocks").alias("__blocks"), "earlier",
