@@ -26,6 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.native import field, packed, quoted, unpacked
+
 BLOCK_CHARS = 100_000
 PERIOD = 1_000
 #: Exponent of a source's volume in its default weight: between its share (1) and an equal part (0).
@@ -55,8 +57,8 @@ def _slice(rows: DataFrame, rows_per_slice: int) -> DataFrame:
 def in_blocks(docs: DataFrame, *, doc_id: str, source: str, text: str, block_chars: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """doc_id, source, chars, block: the block in which each document starts."""
     rows = docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
-        F.char_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long").alias("chars"),
+        F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(source)).alias("source"),
+        F.char_length(F.coalesce(F.col(quoted(text)), F.lit(""))).cast("long").alias("chars"),
     )
     rows = _slice(rows, slice_rows)
     parts = rows.groupBy("source", "__slice").agg(F.sum("chars").alias("__part"))
@@ -143,10 +145,9 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", te
 def in_mixed_order(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """The documents, all columns, range-partitioned and sorted by their block's slot: files read in order give the mix."""
     slots = mixed(docs, doc_id=doc_id, source=source, text=text, **how)
-    places = slots.groupBy("doc_id").agg(F.min("slot").alias("__slot")).withColumnRenamed("doc_id", "__doc_id")
-    ordered = docs.join(places, F.col(f"`{doc_id}`").eqNullSafe(F.col("__doc_id")), "left").drop("__doc_id")
-    keys = [F.col("__slot"), F.col(f"`{doc_id}`")]
-    return ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__slot")
+    places = slots.groupBy("doc_id").agg(F.min("slot").alias("slot"))
+    ordered = packed(docs).join(places, field(doc_id).eqNullSafe(F.col("doc_id")), "left").select("row", "slot", field(doc_id).alias("id"))
+    return unpacked(ordered.repartitionByRange("slot", "id").sortWithinPartitions("slot", "id"), docs.columns)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
