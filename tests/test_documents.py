@@ -9,14 +9,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import types as T
 
 from tidemark.functions import names
+from tidemark.operators import conform as conform_module
 from tidemark.functions.documents import encode_document
 from tidemark.operators.conform import (
-    TooManyFields,
     conform,
-    explored_fields,
     observed_fields,
     read_documents,
-    take_census,
 )
 
 TYPE_REASON = "Unexpected BSON type of string for iceberg column name amount of type double"
@@ -132,26 +130,35 @@ def test_missing_post_image_fails_or_is_set_aside(make_feed):
     assert rejected(conform(feed, missing_post_image="dlq")) == {2: "post-image was not found"}
 
 
-def test_forms_and_exploration_agree(make_feed):
+def test_fields_are_found_at_every_depth(make_feed):
     feed = make_feed(
         (1, "insert", "1", '{"a":{"b":[{"c":1.5},{"d":{"$date":"2026-01-01T00:00:00Z"}}]},"e":"x"}'),
-        (2, "insert", "2", '{"a":{"b":[]},"f":true,"e":{"$numberDecimal":"1"}}'),
+        (2, "insert", "2", '{"a":{"b":[]},"f":true,"e":{"$numberDecimal":"1"},"g":{"h":{"i":{"j":{"k":{"l":1}}}}}}'),
     )
-    rows = read_documents(feed)
+    found, more = observed_fields(read_documents(feed))
+    assert not more and {(o.path, o.kind, o.wrapped): o.seq for o in found} == {
+        (("a",), "object", False): 1, (("a", "b"), "array", False): 1, (("a", "b", None), "object", False): 1,
+        (("a", "b", None, "c"), "double", False): 1, (("a", "b", None, "d"), "timestamp", True): 1, (("e",), "string", False): 1,
+        (("f",), "boolean", False): 2, (("e",), "decimal128", True): 2, (("g",), "object", False): 2,
+        (("g", "h"), "object", False): 2, (("g", "h", "i"), "object", False): 2, (("g", "h", "i", "j"), "object", False): 2,
+        (("g", "h", "i", "j", "k"), "object", False): 2, (("g", "h", "i", "j", "k", "l"), "bigint", False): 2,
+    }
 
-    def first(observed):
-        found = {}
-        for o in observed:
-            found[o.path, o.kind, o.wrapped] = min(o.seq, found.get((o.path, o.kind, o.wrapped), o.seq))
-        return found
 
-    assert first(observed_fields(rows, take_census(rows))) == first(explored_fields(rows))
-    assert take_census(rows, max_forms=1).clear is None
+def test_a_document_too_wide_is_set_aside_and_stops_nothing(make_feed):
+    wide = "{" + ",".join(f'"data{i}":{i}' for i in range(20_000)) + "}"
+    result = conform(make_feed((1, "insert", "1", '{"a":1}'), (2, "insert", "2", wide), (3, "insert", "3", '{"b":"x"}')))
+    assert rejected(result) == {2: "more fields than a table holds"}
+    assert result.schema.names == ["a", "b"] and set(accepted(result)) == {"1", "3"}
 
 
-def test_too_many_fields_is_an_error_not_a_cut(make_feed):
-    with pytest.raises(TooManyFields):
-        conform(make_feed((1, "insert", "1", '{"a":1,"b":[1,"x"],"c":3}')), max_fields=2)
+@pytest.mark.parametrize("names", [5, 40])
+def test_a_full_table_takes_no_further_fields(make_feed, names):
+    feed = make_feed(*[(i, "insert", str(i), '{"f%d":%d,"s":{"t":1}}' % (i, i)) for i in range(names)], (99, "insert", "99", '{"f0":9}'))
+    result = conform(feed, width=4)
+    assert result.schema.names == ["f0", "s", "f1"]
+    assert rejected(result) == {i: "more fields than a table holds" for i in range(2, names)}
+    assert set(accepted(result)) == {"0", "1", "99"}
 
 
 def test_a_batch_that_fits_needs_no_check(make_feed):
@@ -177,7 +184,12 @@ values = st.recursive(
 def test_judging_by_form_and_by_value_agree(make_feed, documents):
     events = [(n, "insert", str(n), json.dumps(d)) for n, d in enumerate(documents)]
     feed = make_feed(*events)
-    fast, slow = conform(feed), conform(feed, max_forms=0)
+    fast = conform(feed)
+    clear, conform_module.UNCLEAR_FORM = conform_module.UNCLEAR_FORM, ".*"
+    try:
+        slow = conform(feed)
+    finally:
+        conform_module.UNCLEAR_FORM = clear
     assert fast.schema == slow.schema
     assert rejected(fast) == rejected(slow) and accepted(fast) == accepted(slow)
 

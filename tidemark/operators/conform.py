@@ -6,15 +6,13 @@ that does not fit is set aside with its reason; it never stops the others.
 
 from __future__ import annotations
 
-import re
-
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.documents import PLAIN, SCALARS, WRAPPERS, kind_of, kind_of_form, scalar
+from tidemark.functions.documents import SCALARS, kind_of, kind_of_form, scalar
 from tidemark.functions.names import safe_name
 from tidemark.sources.feed import MISSING_POST_IMAGE, lacks_post_image
 
@@ -31,30 +29,30 @@ RESERVED_REASON = "reserved field name"
 UNREADABLE_REASON = "not a readable document"
 NO_KEY_REASON = "no document key"
 
-MAX_FIELDS = 10_000
-MAX_FORMS = 1_000
+WIDE_REASON = "more fields than a table holds"
+
+# Fields that a table holds, at all depths together.
+WIDTH = 10_000
 
-# How schema_of_variant writes decimals; and a field name that looks like one.
+# How schema_of_variant writes decimals; and the forms that do not tell every value's
+# type: mixed arrays, wrapped values in arrays, field names that look like a decimal.
 DECIMAL_FORM = r"DECIMAL\([0-9]+,[0-9]+\)"
-STRANGE_FORM = r"`[^`]*DECIMAL\("
-QUOTED_OR_OBJECT = re.compile(r"`(?:[^`]|``)*`|OBJECT<")
+UNCLEAR_FORM = r"ARRAY<.*(VARIANT|\$)|`[^`]*DECIMAL\("
+# Nesting levels that one aggregation looks at.
+LEVELS = 4
 
 # Kinds a column of each kind takes; anything else is a type conflict.
 _TAKES = {"double": ("double", "bigint")}
 _FROM_SPARK = {type(t): kind for kind, t in SCALARS.items()}
 
 
-class TooManyFields(ValueError):
-    """The batch names more distinct fields than a table schema can hold."""
-
-
 @dataclass
 class Shape:
     """A field's kind and, below objects and arrays, its parts.
 
     ``raw`` lists, per column, the names the batch has for it; ``refused`` the
     names that cannot become columns.  ``wrapped`` tells that values of a scalar
-    came in a one-key object.
+    came in a one-key object; ``closed`` that names not listed are too many to be known.
     """
 
     kind: str
@@ -63,6 +61,7 @@ class Shape:
     raw: dict[str, list[str]] = field(default_factory=dict)
     refused: dict[str, str] = field(default_factory=dict)
     element: Shape | None = None
+    closed: bool = False
 
     def spark_type(self) -> T.DataType | None:
         """The column type; None while nothing but emptiness was seen."""
@@ -113,180 +112,44 @@ class Observed:
     seq: int
 
 
-@dataclass
-class Census:
-    """What a batch consists of, by document form and the ``seq`` it was first seen at.
+def _with_form(rows: DataFrame) -> DataFrame:
+    """Adds a document's form and, where the form does not tell every type, its own text.
 
-    A form tells every value's type but inside arrays, whose items it merges: the
-    ``unclear`` forms are those where that can hide something.  ``clear`` and
-    ``unclear`` are None when the forms are too many or too strange to use.
+    Documents that agree in both are judged together.
     """
+    form = F.regexp_replace(F.schema_of_variant("_doc"), DECIMAL_FORM, "DOUBLE")
+    strange = F.schema_of_variant("_doc").rlike(UNCLEAR_FORM)
+    readable = (F.col("operation_type") != "delete") & F.col("_members").isNotNull()
+    return rows.withColumn("_form", F.when(readable, form)).withColumn(
+        "_exact", F.when(strange & readable, F.col("full_document")).otherwise("")
+    )
 
-    clear: list[tuple[str, int]] | None
-    unclear: list[tuple[str, int]] | None
-    oddities: bool
-
-
-def _form() -> Column:
-    return F.schema_of_variant("_doc")
-
-
-def _plain(form: Column) -> Column:
-    return F.regexp_replace(form, DECIMAL_FORM, "DOUBLE")
 
+def forms_of(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """One row per form: a document of it and the ``seq`` it was first seen at.
 
-def take_census(rows: DataFrame, max_forms: int = MAX_FORMS) -> Census:
-    """Counts the batch's documents by form: one aggregation that leaves few rows."""
+    ``_odd`` marks rows that are set aside whatever the schema: no key, not readable,
+    or wider by themselves than a table.
+    """
     deleted = F.col("operation_type") == "delete"
-    readable = F.coalesce(F.col("form").startswith("OBJECT<"), F.lit(False))
-    counted = (
-        rows.select("seq", "document_key", "operation_type", _form().alias("form"))
-        .groupBy(
-            (F.col("document_key").isNull() | (~deleted & ~readable)).alias("odd"),
-            F.when(~deleted & readable, F.col("form")).alias("form"),
-        )
-        .agg(F.min("seq").alias("seq"))
-        .groupBy("odd", F.col("form").rlike(STRANGE_FORM).alias("strange"), _plain(F.col("form")).alias("form"))
-        .agg(F.min("seq").alias("seq"))
-        .limit(max_forms + 1)
-        .collect()
-    )
-    if len(counted) > max_forms or any(row.strange for row in counted):
-        return Census(None, None, True)
-    first: dict[str, int] = {}
-    for row in counted:
-        if row.form is not None:
-            first[row.form] = min(row.seq, first.get(row.form, row.seq))
-    forms = list(first.items())
-    hidden = [_hides(t) for t in _types_of_forms([form for form, _ in forms])]
-    return Census(
-        [form for form, hides in zip(forms, hidden) if not hides],
-        [form for form, hides in zip(forms, hidden) if hides],
-        any(row.odd for row in counted),
+    odd = F.col("document_key").isNull() | (~deleted & F.col("_form").isNull()) | _wide(width)
+    forms = (
+        rows.withColumn("_odd", F.coalesce(odd, F.lit(False)))
+        .groupBy("_odd", F.when(~F.col("_odd"), F.col("_form")).alias("_form"), F.when(~F.col("_odd"), F.col("_exact")).alias("_exact"))
+        .agg(F.min("seq").alias("seq"), F.min_by("full_document", "seq").alias("full_document"))
     )
+    return forms
 
 
-def _hides(data_type: T.DataType, in_array: bool = False) -> bool:
-    """Whether a form leaves types open: mixed items, or wrapped values among an array's items."""
-    if isinstance(data_type, T.ArrayType):
-        return _hides(data_type.elementType, True)
-    if isinstance(data_type, T.StructType):
-        wrapped = in_array and any(f.name.startswith("$") for f in data_type.fields)
-        return wrapped or any(_hides(f.dataType, in_array) for f in data_type.fields)
-    return isinstance(data_type, T.VariantType)
+def _wide(width: int) -> Column:
+    return F.coalesce(F.regexp_count("_form", F.lit(": ")) > width, F.lit(False))
 
 
-def observed_fields(rows: DataFrame, census: Census, max_fields: int = MAX_FIELDS) -> list[Observed]:
-    """Every field path and kind in the batch.
+def observed_fields(documents: DataFrame, limit: int = WIDTH) -> tuple[list[Observed], bool]:
+    """The field paths and kinds of the documents, the first seen first, and whether there are more than ``limit``.
 
-    The fields are read off the forms.  Forms that hide something (mixed arrays),
-    and a batch of too many forms, are explored value by value.
-    """
-    documents = rows.where(F.col("operation_type") != "delete")
-    if census.clear is None:
-        return explored_fields(documents, max_fields)
-    found = _fields_of_forms(census.clear)
-    if census.unclear:
-        table = documents.sparkSession.createDataFrame([(form,) for form, _ in census.unclear], "__form string")
-        hidden = documents.withColumn("__form", _plain(_form())).join(F.broadcast(table), "__form", "left_semi")
-        found += explored_fields(hidden, max_fields)
-    return found
-
-
-def _types_of_forms(forms: list[str]) -> list[T.DataType]:
-    """Forms as types: Spark itself reads the text it wrote."""
-    as_struct = [QUOTED_OR_OBJECT.sub(lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], t) for t in forms]
-    ddl = ", ".join(f"c{i} {t}" for i, t in enumerate(as_struct))
-    return [f.dataType for f in T.StructType.fromDDL(ddl).fields] if ddl else []
-
-
-def _kind_reader():
-    """A function from a form's type to (kind, wrapped), as :func:`kind_of` has it for values."""
-    wrappers = dict(zip([t.simpleString() for t in _types_of_forms(list(WRAPPERS))], WRAPPERS.values()))
-
-    def kind_and_wrapped(data_type: T.DataType) -> tuple[str | None, bool]:
-        name = data_type.simpleString()
-        bare = name.split("<")[0].upper().replace("STRUCT", "OBJECT")
-        return (wrappers[name], True) if name in wrappers else (PLAIN.get(bare), False)
-
-    return kind_and_wrapped
-
-
-def _fields_of_forms(forms: list[tuple[str, int]]) -> list[Observed]:
-    kind_and_wrapped, first = _kind_reader(), {}
-
-    def note(path: tuple, data_type: T.DataType, seq: int) -> None:
-        kind, wrapped = kind_and_wrapped(data_type)
-        if kind is None:
-            return
-        seen = (path, kind, wrapped)
-        first[seen] = min(seq, first.get(seen, seq))
-        if kind == "object":
-            members(path, data_type, seq)
-        elif kind == "array":
-            note((*path, None), data_type.elementType, seq)
-
-    def members(path: tuple, data_type: T.StructType, seq: int) -> None:
-        for part in data_type.fields:
-            note((*path, part.name), part.dataType, seq)
-
-    for (_, seq), data_type in zip(forms, _types_of_forms([form for form, _ in forms])):
-        members((), data_type, seq)
-    return [Observed(*seen, seq) for seen, seq in first.items()]
-
-
-def bad_forms(forms: list[tuple[str, int]], root: Shape) -> dict[str, str]:
-    """The forms that do not fit the schema, with the reason."""
-    kind_and_wrapped = _kind_reader()
-
-    def own(data_type: T.DataType, shape: Shape | None, column: str) -> list[str]:
-        kind, _ = kind_and_wrapped(data_type)
-        if kind is None or (shape and kind in _takes(shape.kind)):
-            return []
-        if kind == "decimal128":
-            return [DECIMAL_REASON]
-        return [TYPE_REASON.format(got=kind, column=column, want=shape.kind if shape else "unknown")]
-
-    def below(data_type: T.DataType, shape: Shape | None, column: str) -> list[str]:
-        kind, _ = kind_and_wrapped(data_type)
-        if shape is None or kind != shape.kind:
-            return []
-        if kind == "object":
-            return members(data_type, shape, column)
-        if kind == "array" and shape.element is not None:
-            item = data_type.elementType
-            return own(item, shape.element, column) + below(item, shape.element, column)
-        return []
-
-    def members(data_type: T.StructType, shape: Shape, column: str) -> list[str]:
-        parts = {part.name: part.dataType for part in data_type.fields}
-        columns = {raw: name for name, names in shape.raw.items() for raw in names}
-        label = {raw: f"{column}.{name}" if column else name for raw, name in columns.items()}
-        found = []
-        for raw, part in parts.items():
-            if raw in shape.refused:
-                found += [shape.refused[raw]] if kind_and_wrapped(part)[0] else []
-            elif raw in columns:
-                found += own(part, shape.fields.get(columns[raw]), label[raw])
-        for raw, name in columns.items():
-            if raw in parts:
-                found += below(parts[raw], shape.fields.get(name), label[raw])
-        return found
-
-    bad = {}
-    for (form, _), data_type in zip(forms, _types_of_forms([form for form, _ in forms])):
-        reasons = members(data_type, root, "")
-        if reasons:
-            bad[form] = "; ".join(dict.fromkeys(reasons))
-    return bad
-
-
-def explored_fields(documents: DataFrame, max_fields: int = MAX_FIELDS) -> list[Observed]:
-    """Every field path and kind in the batch, by looking at each value.
-
-    One pass per nesting level, each an aggregation over path and kind.  The
-    driver receives the schema's fields alone, and refuses to take more than
-    ``max_fields`` of them.
+    Several nesting levels are one aggregation over path and kind; the driver receives
+    the fields alone.
     """
 
     def described(rows: DataFrame) -> DataFrame:
@@ -299,6 +162,12 @@ def explored_fields(documents: DataFrame, max_fields: int = MAX_FIELDS) -> list[
             .where(F.col("kind").isNotNull())
         )
 
+    def below(level: DataFrame) -> DataFrame:
+        members = F.map_entries(_members(F.col("value")))
+        items = F.transform(_items(F.col("value")), lambda v: F.struct(F.lit(None).cast("string").alias("key"), v.alias("value")))
+        parts = F.when(F.col("kind") == "object", members).when(F.col("kind") == "array", items)
+        return described(level.select("seq", "path", F.inline(parts).alias("name", "value")))
+
     level = described(
         documents.select(
             "seq", F.array().cast("array<string>").alias("path"), F.explode("_members").alias("name", "value")
@@ -306,39 +175,60 @@ def explored_fields(documents: DataFrame, max_fields: int = MAX_FIELDS) -> list[
     )
     found: list[Observed] = []
     while True:
-        rows = level.groupBy("path", "kind", "wrapped").agg(F.min("seq").alias("seq")).limit(max_fields + 1).collect()
-        if len(rows) > max_fields:
-            raise TooManyFields(f"more than {max_fields} field paths in one batch")
-        found += [Observed(tuple(row.path), row.kind, row.wrapped, row.seq) for row in rows]
-        if not any(row.kind in ("object", "array") for row in rows):
-            return found
-        members = level.where("kind = 'object'").select(
-            "seq", "path", F.explode(_members(F.col("value"))).alias("name", "value")
-        )
-        items = level.where("kind = 'array'").select(
-            "seq", "path", F.lit(None).cast("string").alias("name"), F.explode(_items(F.col("value"))).alias("value")
+        levels = [level]
+        for _ in range(LEVELS - 1):
+            levels.append(below(levels[-1]))
+        together = levels[0].select("seq", "path", "kind", "wrapped")
+        for one in levels[1:]:
+            together = together.unionByName(one.select("seq", "path", "kind", "wrapped"))
+        rows = (
+            together.groupBy("path", "kind", "wrapped")
+            .agg(F.min("seq").alias("seq"))
+            .orderBy("seq", F.size("path"), "path", "kind", "wrapped")
+            .limit(limit + 1)
+            .collect()
         )
-        level = described(members.unionByName(items))
+        found += [Observed(tuple(row.path), row.kind, row.wrapped, row.seq) for row in rows]
+        if len(found) > limit:
+            return found[:limit], True
+        deepest = max((len(row.path) for row in rows), default=0)
+        if not any(row.kind in ("object", "array") and len(row.path) == deepest for row in rows) or deepest % LEVELS:
+            return found, False
+        level = below(levels[-1])
+
+
+def _count(shape: Shape) -> int:
+    below = [*shape.fields.values(), *([shape.element] if shape.element else [])]
+    return len(shape.fields) + sum(_count(s) for s in below)
 
 
-def grow(schema: T.StructType, observed: list[Observed]) -> Shape:
-    """The registered schema widened by what a batch brought; first type wins."""
+def _close(shape: Shape) -> None:
+    shape.closed = True
+    for below in [*shape.fields.values(), *([shape.element] if shape.element else [])]:
+        _close(below)
+
+
+def grow(schema: T.StructType, observed: list[Observed], width: int = WIDTH) -> Shape:
+    """The registered schema widened by what a batch brought; first type wins, and so do first fields."""
     root = _shape(schema)
+    room = width - _count(root)
     # Of an integer and a decimal in one array, neither of which is first, the wider counts.
-    order = sorted(observed, key=lambda o: (len(o.path), o.seq, [p or "" for p in o.path], o.kind != "double", o.kind))
+    order = sorted(observed, key=lambda o: (o.seq, len(o.path), [p or "" for p in o.path], o.kind != "double", o.kind))
     for seen in order:
         parent: Shape | None = root
         for step in seen.path[:-1]:
             parent = parent and (parent.element if step is None else parent.fields.get(safe_name(step)))
         if parent is None:
             continue
-        known = _register(parent, seen)
+        before = len(parent.fields)
+        known = _register(parent, seen, room > 0)
+        room -= len(parent.fields) - before
         if known is not None and known.kind == seen.kind and seen.wrapped:
             known.wrapped = True
     return root
 
 
-def _register(parent: Shape, seen: Observed) -> Shape | None:
+def _register(parent: Shape, seen: Observed, room: bool) -> Shape | None:
     """Notes a name under its column, and the column's type when it is the first."""
     raw = seen.path[-1]
     if raw is None:
@@ -352,6 +242,9 @@ def _register(parent: Shape, seen: Observed) -> Shape | None:
     if spelled.get(name.lower(), name) != name:
         parent.refused.setdefault(raw, CASE_REASON)
         return None
+    if name not in parent.fields and not room:
+        parent.refused.setdefault(raw, WIDE_REASON)
+        return None
     names = parent.raw.setdefault(name, [])
     if raw not in names:
         names.append(raw)
@@ -430,10 +323,14 @@ def _object_problems(members: Column, text: Column | None, shape: Shape, column:
             inner.append(_inner_problems(members[chosen], _below(raw, text, child), child, label))
     for raw, why in shape.refused.items():
         takes[raw], tails[raw] = _nothing(), F.lit(why)
-    if not takes:
+    if not takes and not shape.closed:
         return _nothing()
+    takes = takes or {"": _nothing()}
     kinds = F.map_entries(F.transform_values(members, lambda _, v: kind_of(v)))
-    bad = F.filter(kinds, lambda e: e["value"].isNotNull() & ~F.array_contains(_map(takes)[e["key"]], e["value"]))
+    unknown = lambda e: F.lit(shape.closed) & ~F.map_contains_key(_map(takes), e["key"])
+    bad = F.filter(
+        kinds, lambda e: e["value"].isNotNull() & (unknown(e) | ~F.array_contains(_map(takes)[e["key"]], e["value"]))
+    )
     clashing = [raw for raw in shape.raw.values() if len(raw) > 1]
     if clashing and text is not None:
         # An overwritten field is not in the result, so its type does not matter.
@@ -441,12 +338,12 @@ def _object_problems(members: Column, text: Column | None, shape: Shape, column:
         every = [name for raw in clashing for name in raw]
         bad = F.filter(bad, lambda e: ~e["key"].isin(*every) | F.array_contains(kept, e["key"]))
     refused = list(shape.refused)
-    tail = _map(tails)
+    tail = _map(tails or {"": F.lit("")})
     reasons = F.transform(
         bad,
-        lambda e: F.when(e["key"].isin(*refused), tail[e["key"]]).otherwise(_reason(e["value"], tail[e["key"]]))
-        if refused
-        else _reason(e["value"], tail[e["key"]]),
+        lambda e: F.when(unknown(e), F.lit(WIDE_REASON))
+        .when(e["key"].isin(*refused) if refused else F.lit(False), tail[e["key"]])
+        .otherwise(_reason(e["value"], tail[e["key"]])),
     )
     return F.concat(F.coalesce(reasons, _nothing()), *inner) if inner else F.coalesce(reasons, _nothing())
 
@@ -556,8 +453,7 @@ def conform(
     feed: DataFrame,
     schema: T.StructType | None = None,
     missing_post_image: str = "fail",
-    max_fields: int = MAX_FIELDS,
-    max_forms: int = MAX_FORMS,
+    width: int = WIDTH,
 ) -> Conformed:
     """Types a batch of kept feed events against a schema that grows with it.
 
@@ -565,13 +461,30 @@ def conform(
     columns; ``rejected`` has seq, cluster_time, doc (the text as it came) and
     reasons.  ``missing_post_image`` is ``fail`` or ``dlq``.
 
-    Most batches hold few document forms.  They are judged once each, and a batch
-    whose forms all fit needs no check of its documents.
+    Documents of one form are judged once, by one of them; where a form does not tell
+    every type, each document is. Fields are registered in the order in which they were
+    first seen until the table is ``width`` fields wide; a document with further fields,
+    or with more fields than that itself, is set aside.
     """
     schema = schema or T.StructType([])
-    rows = read_documents(feed)
-    census = take_census(rows, max_forms)
-    root = grow(schema, observed_fields(rows, census, max_fields))
+    rows = _with_form(read_documents(feed))
+    # Kept for the two looks at it that follow; a lost part is simply worked out again.
+    forms = forms_of(rows, width).persist()
+    try:
+        return _conformed(rows, forms, schema, missing_post_image, width)
+    finally:
+        forms.unpersist()
+
+
+def _conformed(
+    rows: DataFrame, forms: DataFrame, schema: T.StructType, missing_post_image: str, width: int
+) -> Conformed:
+    documents = forms.where("NOT _odd AND _form IS NOT NULL").withColumn("_doc", F.try_parse_json("full_document"))
+    documents = documents.withColumn("_members", _members(F.col("_doc")))
+    observed, more = observed_fields(documents, 2 * width)
+    root = grow(schema, observed, width)
+    if more:
+        _close(root)
     for own in OWN:
         for name in [n for n in root.fields if n.lower() == own]:
             del root.fields[name]
@@ -582,7 +495,7 @@ def conform(
 
     text, deleted = F.col("full_document"), F.col("operation_type") == "delete"
     order_text = text if root.clashes else None
-    checked, misfit, clean = _misfits(rows, root, census, order_text)
+    checked, misfit, clean = _misfits(rows, forms, documents, root, order_text)
     no_document = F.when(
         lacks_post_image(),
         F.raise_error(F.lit(MISSING_POST_IMAGE)).cast("string")
@@ -593,6 +506,7 @@ def conform(
         F.when(F.col("document_key").isNull(), NO_KEY_REASON)
         .when(deleted, F.lit(None).cast("string"))
         .when(F.col("_members").isNull(), no_document)
+        .when(_wide(width), WIDE_REASON)
         .otherwise(misfit)
     )
     checked = checked.withColumn(_REASON, F.lit(None).cast("string") if clean else reason)
@@ -611,17 +525,16 @@ def conform(
     return Conformed(data, typed, clean)
 
 
-def _misfits(rows: DataFrame, root: Shape, census: Census, text: Column | None) -> tuple[DataFrame, Column, bool]:
+def _misfits(
+    rows: DataFrame, forms: DataFrame, documents: DataFrame, root: Shape, text: Column | None
+) -> tuple[DataFrame, Column, bool]:
     """The rows, why a row's document does not fit (or NULL), and whether all rows fit."""
     problems = _object_problems(F.col("_members"), text, root, "")
     by_value = F.when(F.size(problems) > 0, F.array_join(F.array_distinct(problems), "; "))
-    if census.clear is None or root.clashes:
+    if root.clashes:
+        # Which of two names counts depends on their order, which a form does not tell.
         return rows, by_value, False
-    judged = [(form, why, False) for form, why in bad_forms(census.clear, root).items()]
-    judged += [(form, None, True) for form, _ in census.unclear]
-    if not judged:
-        return rows, F.lit(None).cast("string"), not census.oddities
-    # At most one row per form, and the forms are few: small enough to broadcast.
-    table = rows.sparkSession.createDataFrame(judged, "__form string, __why string, __look boolean")
-    joined = rows.withColumn("__form", _plain(_form())).join(F.broadcast(table), "__form", "left")
-    return joined, F.when(F.col("__look"), by_value).otherwise(F.col("__why")), False
+    bad = documents.withColumn("_why", by_value).where("_why IS NOT NULL").select("_form", "_exact", "_why")
+    if not forms.where("_odd").select(F.lit("").alias("_why")).unionByName(bad.select("_why")).take(1):
+        return rows, F.lit(None).cast("string"), True
+    return rows.join(bad, ["_form", "_exact"], "left"), F.col("_why"), False
