@@ -63,7 +63,8 @@ def test_reset_is_idempotent_through_the_mirror(spark):
     mirror = Mirror(spark, shared_dir(spark, "reset"), buckets=4)
     mirror.initial_sync(live)
     actions = changes.reconcile(mirror.state(), seed)
-    report = changes.reconcile_report(actions, ["PED-AOVIVO-001", "PED-AOVIVO-002"]).first()
+    report = changes.reconcile_report(actions, ["PED-AOVIVO-001", "PED-AOVIVO-002"], baseline=seed, dlq=mirror.dlq()).first()
+    assert report.ok and report.dlq_cleared == 0
     assert (report.live_removed, report.strays_removed, report.seed_upserted, report.total, report.unchanged) == (2, 1, 2, 3, 1)
     events = changes.as_feed(changes.reconcile_events(mirror.state(), seed, 10), F.current_timestamp())
     assert rows(events, "document_key", "operation_type") == [

@@ -106,10 +106,12 @@ def test_exactly_once(spark):
 
     seen = listed([f"r{i}" for i in range(20)])
     missed = [f"r{i}" for i in range(20, 50)]
-    assert tuple(delivery.exactly_once(listed(missed), listed(missed), seen).first()) == (30, 30, True, 0, 0, True)
-    repeated = delivery.exactly_once(listed(missed), listed(missed + ["r49", "r3"]), seen).first()
+    assert tuple(delivery.exactly_once(listed(missed), listed(missed), seen, seen).first()) == (30, 30, True, 0, 0, True, True)
+    late = delivery.exactly_once(listed(missed), listed(missed), seen.where("position > 0"), seen).first()
+    assert not late.before and late.missed_delivered and not late.ok
+    repeated = delivery.exactly_once(listed(missed), listed(missed + ["r49", "r3"]), seen, seen).first()
     assert (repeated.missed_delivered, repeated.duplicates, repeated.extra, repeated.ok) == (True, 2, 2, False)
-    lost = delivery.exactly_once(listed(missed), listed(missed[1:]), seen).first()
+    lost = delivery.exactly_once(listed(missed), listed(missed[1:]), seen, seen).first()
     assert not lost.missed_delivered and not lost.ok
 
 

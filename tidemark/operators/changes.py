@@ -137,8 +137,15 @@ def reconcile_events(current: DataFrame, baseline: DataFrame, seq: int, key: str
     )
 
 
-def reconcile_report(actions: DataFrame, live_keys: list[str], key: str = "_id") -> DataFrame:
-    """Counts of a reset: live rows and strays removed, rows written, total, and whether it fits."""
+def reconcile_report(
+    actions: DataFrame, live_keys: list[str], key: str = "_id", *, baseline: DataFrame, dlq: DataFrame
+) -> DataFrame:
+    """Counts of a reset: live rows and strays removed, rows written, total, rejects cleared.
+
+    ``ok`` says that the table will hold as many rows as the baseline has.
+    """
+    goal = baseline.agg(F.count(F.lit(1))).scalar()
+    cleared = dlq.agg(F.count(F.lit(1))).scalar()
     deleted = F.col("action") == "delete"
     live = F.col(key).cast("string").isin(*live_keys) if live_keys else F.lit(False)
     return actions.agg(
@@ -147,7 +154,7 @@ def reconcile_report(actions: DataFrame, live_keys: list[str], key: str = "_id")
         F.count_if(F.col("action").isin("insert", "replace")).alias("seed_upserted"),
         F.count_if(~deleted).alias("total"),
         F.count_if(F.col("action") == "noop").alias("unchanged"),
-    )
+    ).withColumns({"dlq_cleared": cleared, "ok": F.col("total") == goal})
 
 
 def as_feed(events: DataFrame, cluster_time: Column, key: str = "_id") -> DataFrame:

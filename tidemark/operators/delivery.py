@@ -55,22 +55,31 @@ def ordering_summary(checks: DataFrame) -> DataFrame:
     )
 
 
-def exactly_once(expected: DataFrame, delivered: DataFrame, seen_before: DataFrame) -> DataFrame:
-    """Compares what a resumed consumer got with what it had missed.
-
-    ``expected`` and ``delivered`` have position (0-based) and id; ``seen_before``
-    the ids consumed before the break.
-    """
+def _compared(expected: DataFrame, delivered: DataFrame) -> DataFrame:
+    """One row: how many were expected and delivered, and how many were not where they belong."""
     sides = expected.select("position", F.col("id").alias("_want"), F.lit(True).alias("_w")).join(
         delivered.select("position", F.col("id").alias("_got"), F.lit(True).alias("_g")), "position", "full_outer"
     )
-    compared = sides.agg(
+    return sides.agg(
         F.count("_w").alias("expected"),
         F.count("_g").alias("delivered"),
         F.count_if(F.col("_w") & ~(F.coalesce(F.col("_g"), F.lit(False)) & F.col("_want").eqNullSafe(F.col("_got")))).alias(
             "misplaced"
         ),
     )
+
+
+def exactly_once(
+    expected: DataFrame, delivered: DataFrame, seen_before: DataFrame, expected_before: DataFrame
+) -> DataFrame:
+    """Compares what a consumer got, up to its break and after it, with what it should have.
+
+    All have position (0-based) and id. ``before`` tells that the first part came as
+    expected; ``ok`` that both did and that nothing came besides.
+    """
+    compared = _compared(expected, delivered)
+    first = _compared(expected_before, seen_before)
+    fine = first.select((F.col("misplaced") == 0) & (F.col("delivered") == F.col("expected"))).scalar()
     per_id = delivered.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
     seen = seen_before.select("id", F.lit(1).alias("_seen")).dropDuplicates(["id"])
     repeats = (
@@ -84,5 +93,6 @@ def exactly_once(expected: DataFrame, delivered: DataFrame, seen_before: DataFra
         (F.col("misplaced") == 0).alias("missed_delivered"),
         repeats.cast("bigint").alias("duplicates"),
         F.greatest(F.lit(0), F.col("delivered") - F.col("expected")).cast("bigint").alias("extra"),
-        ((F.col("misplaced") == 0) & (F.col("delivered") == F.col("expected"))).alias("ok"),
+        fine.alias("before"),
+        (fine & (F.col("misplaced") == 0) & (F.col("delivered") == F.col("expected"))).alias("ok"),
     )

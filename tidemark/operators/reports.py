@@ -6,9 +6,8 @@ channel, orderdate``; result columns keep the names the reports are known by.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.text import lenient_double
 
@@ -149,18 +148,21 @@ def tolerant_totals(orders: DataFrame) -> DataFrame:
     )
 
 
-def table_columns(table: DataFrame) -> DataFrame:
-    """One row per column: position, name, type."""
-    spark: SparkSession = table.sparkSession
-    fields = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(table.schema.fields)]
-    schema = T.StructType(
-        [
-            T.StructField("posicao", T.IntegerType()),
-            T.StructField("nome", T.StringType()),
-            T.StructField("tipo", T.StringType()),
-        ]
-    )
-    return spark.createDataFrame(fields, schema)
+def table_columns(table: DataFrame, commit: Column | None = None) -> DataFrame:
+    """One row per column: position, name, type, how many rows have it and the first ``commit`` that does."""
+    column = lambda f: F.col("`{}`".format(f.name.replace("`", "``")))
+    since = lambda f: F.min(F.when(column(f).isNotNull(), commit)) if commit is not None else F.lit(None).cast("bigint")
+    told = [
+        F.struct(
+            F.lit(i).alias("posicao"),
+            F.lit(f.name).alias("nome"),
+            F.lit(f.dataType.simpleString()).alias("tipo"),
+            F.count(column(f)).alias("preenchidos"),
+            since(f).alias("desde"),
+        )
+        for i, f in enumerate(f for f in table.schema.fields if not f.name.startswith("__"))
+    ]
+    return table.agg(F.array(*told).alias("columns")).select(F.inline("columns"))
 
 
 def page(result: DataFrame, rows: int = PAGE_ROWS) -> tuple[DataFrame, bool]:

@@ -19,7 +19,7 @@ from tidemark.operators import (
     propagation,
     reports,
 )
-from tidemark.operators.conform import conform
+from tidemark.operators.conform import ALIVE, AT, conform
 from tidemark.plans import domain
 from tidemark.plans.mirror import Mirror
 from tidemark.session import shared_dir
@@ -274,7 +274,11 @@ def key_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.table_columns(domain.table(spark, sf_dir, "orders"))
+    """The evolved feed's columns as its documents have them, with the day each first appeared."""
+    kept = feeds.keep_operations(domain.feed(spark, sf_dir, late_field=True))
+    rows = conform(kept).accepted.where(ALIVE)
+    day = (F.date_diff(F.col(AT), F.lit(domain.DAY_ONE)) + 1).cast("bigint")
+    return reports.table_columns(rows, day)
 
 
 def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,21 +362,36 @@ def commit_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole feed beside what a table had, and what was counted, on day 29: stale where day 30 came after."""
     kept = feeds.keep_operations(domain.feed(spark, sf_dir))
-    final = apply.latest(kept, ["document_key"]).select("document_key", "full_document")
-    expected = kept.groupBy("document_key").agg(F.count(F.lit(1)).alias("expected_events"))
+    earlier = kept.where("commit_id <= 29")
+    final = apply.latest(earlier, ["document_key"]).select("document_key", "full_document")
+    expected = earlier.groupBy("document_key").agg(F.count(F.lit(1)).alias("expected_events"))
     return delivery.ordering_check(kept, final, expected)
 
 
 def exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A consumer down from day 21 on, whose resume replays day 20 at the end."""
-    ids = domain.feed(spark, sf_dir).select("seq", F.col("document_key"), "commit_id")
-    missed = with_position(ids.where("commit_id > 20"), "seq").select("position", F.col("seq").alias("id"))
-    replayed = with_position(ids.where("commit_id = 20"), "seq")
+    before, missed, replayed = _consumption(spark, sf_dir)
     after = missed.agg(F.count(F.lit(1))).scalar()
-    again = replayed.select((F.col("position") + after).alias("position"), F.col("seq").alias("id"))
-    before = ids.where("commit_id <= 20").select(F.col("seq").alias("id"))
-    return delivery.exactly_once(missed, missed.unionByName(again), before)
+    again = replayed.select((F.col("position") + after).alias("position"), "id")
+    return delivery.exactly_once(missed, missed.unionByName(again), before, before)
+
+
+def _consumption(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Positions and ids of what was consumed up to day 20, of what came after, and of day 20 alone."""
+    ids = domain.feed(spark, sf_dir).select("seq", "commit_id")
+    parts = [with_position(ids.where(days), "seq") for days in ("commit_id <= 20", "commit_id > 20", "commit_id = 20")]
+    return tuple(part.select("position", F.col("seq").alias("id")) for part in parts)
+
+
+def lost_and_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resume that swaps its first two events and loses its third, after a first part that lost its second."""
+    before, missed, _ = _consumption(spark, sf_dir)
+    place = F.col("position")
+    moved = F.when(place == 0, 1).when(place == 1, 0).otherwise(place).cast("bigint")
+    got = missed.where(place != 2).select(moved.alias("position"), "id")
+    return delivery.exactly_once(missed, got, before.where(place != 1), before)
 
 
 def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -474,7 +493,9 @@ def reconcile_to_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.reconcile_report(_reset(spark, sf_dir), ["8", "46"])
+    """The reset's counts, held against the baseline; the feed's rejects are what it clears."""
+    baseline = apply.state_as_of(domain.change_log(spark, sf_dir), BASELINE)
+    return changes.reconcile_report(_reset(spark, sf_dir), ["8", "46"], baseline=baseline, dlq=_dead_letters(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -525,6 +546,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "m8_commit_latency": commit_latency,
     "m9_event_ordering": event_ordering,
     "m10_exactly_once": exactly_once,
+    "m10_lost_and_swapped": lost_and_swapped,
     "m11_secret_redaction": secret_redaction,
     "m12_masking_by_name": masking_by_name,
     "m13_identifier_rules": identifier_rules,

@@ -147,6 +147,22 @@ WITH {FEED}, {VERDICTS}, checks AS (
   UNION ALL SELECT 'lake', 'ok', NULL)
 """
 
+
+
+def _once(delivered: str, consumed: str) -> str:
+    """What came (position, seq) after the break and before it, against what should have."""
+    return f"""WITH {FEED}, first_part AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS position, seq FROM feed WHERE commit_id <= 20),
+        missed AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS position, seq FROM feed WHERE commit_id > 20),
+        got(position, seq) AS ({delivered}), had(position, seq) AS ({consumed}),
+        facts AS (SELECT (SELECT count(*) FROM missed) AS expected, (SELECT count(*) FROM got) AS delivered,
+          NOT EXISTS (SELECT * FROM missed WHERE (position, seq) NOT IN (SELECT (position, seq) FROM got)) AS missed_delivered,
+          (SELECT count(*) - count(DISTINCT seq) FROM got) + (SELECT count(DISTINCT seq) FROM got WHERE seq IN (SELECT seq FROM had)) AS duplicates,
+          (SELECT count(*) FROM first_part) = (SELECT count(*) FROM had)
+            AND NOT EXISTS (SELECT * FROM first_part WHERE (position, seq) NOT IN (SELECT (position, seq) FROM had)) AS before)
+        SELECT expected, delivered, missed_delivered, duplicates, greatest(0, delivered - expected) AS extra, before,
+          before AND missed_delivered AND delivered = expected AS ok FROM facts"""
+
+
 ORACLE: dict[str, str] = {
     "s1_feed_batch": f"""WITH {FEED} SELECT seq, operation_type, document_key, cluster_time,
         CASE WHEN operation_type <> 'delete' THEN doc END AS full_document FROM feed""",
@@ -243,6 +259,12 @@ ORACLE: dict[str, str] = {
         epoch_us((SELECT hi FROM bounds)) - epoch_us((SELECT lo FROM bounds)) AS w FROM marks)
         SELECT commit_id, round(margin / 1e6::DOUBLE, 1) AS margem_segundos, round(w / 1e6::DOUBLE, 1) AS janela_segundos,
         CASE WHEN margin < 0 THEN 'critico' WHEN w <= 0 OR margin / w < 0.2::DOUBLE THEN 'alerta' ELSE 'ok' END AS estado FROM spans""",
+    "q15_table_columns": f"""WITH {FEED}, docs AS (SELECT * FROM kept WHERE operation_type <> 'delete')
+        SELECT 0 AS posicao, '_id' AS nome, 'string' AS tipo, count(*) AS preenchidos, min(commit_id) AS desde FROM docs
+        UNION ALL SELECT 1, 'amount', 'double', count(amount), min(commit_id) FROM docs
+        UNION ALL SELECT 2, 'kind', 'string', count(event_type), min(commit_id) FROM docs
+        UNION ALL SELECT 3, 'props', 'struct<k:bigint>', count(k), min(commit_id) FROM docs
+        UNION ALL SELECT 4, 'bonus', 'double', count(amount), min(commit_id) FROM docs WHERE commit_id > 10""",
     "m4_preflight_report": f"{CHECKS} SELECT * FROM checks",
     "m4_preflight_verdict": f"""{CHECKS} SELECT count(*) FILTER (WHERE estado = 'falha') = 0 AS ok,
         CASE WHEN count(*) FILTER (WHERE estado = 'falha') > 0 THEN 'com_falha'
@@ -266,14 +288,22 @@ ORACLE: dict[str, str] = {
         FROM kept JOIN marks USING (commit_id)""",
         1,
     ),
-    "m9_event_ordering": f"""WITH {FEED}, moves AS (SELECT document_key,
-        cluster_time < lag(cluster_time) OVER (PARTITION BY document_key ORDER BY seq) AS back FROM kept)
-        SELECT document_key, count(*) AS events, count(*) FILTER (WHERE back) = 0 AS cluster_time_monotonic,
-        true AS last_event_equals_final, count(*) FILTER (WHERE back) = 0 AS ok FROM moves GROUP BY document_key""",
-    "m10_exactly_once": f"""WITH {FEED} SELECT count(*) FILTER (WHERE commit_id > 20) AS expected,
-        count(*) FILTER (WHERE commit_id >= 20) AS delivered, true AS missed_delivered,
-        count(*) FILTER (WHERE commit_id = 20) AS duplicates, count(*) FILTER (WHERE commit_id = 20) AS extra,
-        count(*) FILTER (WHERE commit_id = 20) = 0 AS ok FROM feed""",
+    "m9_event_ordering": f"""WITH {FEED}, moves AS (SELECT *, CASE WHEN operation_type <> 'delete' THEN doc END AS body,
+        cluster_time < lag(cluster_time) OVER (PARTITION BY document_key ORDER BY seq) AS back FROM kept),
+        per_key AS (SELECT document_key, count(*) AS events, count(*) FILTER (WHERE commit_id <= 29) AS expected,
+          count(*) FILTER (WHERE back) = 0 AS cluster_time_monotonic, max_by({{'d': body}}, seq) AS last,
+          max_by({{'d': body}}, seq) FILTER (WHERE commit_id <= 29) AS final FROM moves GROUP BY document_key)
+        SELECT document_key, events, cluster_time_monotonic, last.d IS NOT DISTINCT FROM final.d AS last_event_equals_final,
+          events = expected AND cluster_time_monotonic AND last.d IS NOT DISTINCT FROM final.d AS ok FROM per_key""",
+    "m10_exactly_once": _once(
+        "SELECT * FROM missed UNION ALL SELECT (SELECT count(*) FROM missed) + row_number() OVER (ORDER BY seq) - 1, seq"
+        " FROM feed WHERE commit_id = 20",
+        "SELECT * FROM first_part",
+    ),
+    "m10_lost_and_swapped": _once(
+        "SELECT CASE position WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE position END, seq FROM missed WHERE position <> 2",
+        "SELECT * FROM first_part WHERE position <> 1",
+    ),
     "m11_secret_redaction": r"""WITH cut AS (SELECT doc_id,
         regexp_replace(regexp_replace(regexp_replace(text, 'mongodb(?:\+srv)?://[^\s''"]+', 'mongodb://<redacted>', 'g'),
           '\b[\w.-]+\.mongodb(?:-dev)?\.net(?::\d+)?\b', '<cluster-host>', 'g'),
@@ -308,8 +338,10 @@ ORACLE: dict[str, str] = {
     "w3_delete_by_key": f"""WITH {FEED}, {MIDWAY} SELECT CAST(1000000000 AS BIGINT) AS seq, 'delete' AS operation_type,
         key AS _id FROM mid WHERE key IN (SELECT document_key FROM feed WHERE commit_id > 20 AND operation_type = 'delete')""",
     "w4_reconcile_to_baseline": f"{RESET} SELECT * FROM actions",
-    "w4_reset_report": f"""{RESET} SELECT count(*) FILTER (WHERE action = 'delete' AND _id IN ('8', '46')) AS live_removed,
+    "w4_reset_report": f"""{RESET}, {VERDICTS}, kept_judged AS (SELECT * FROM judged WHERE verdict <> 'accepted') SELECT count(*) FILTER (WHERE action = 'delete' AND _id IN ('8', '46')) AS live_removed,
         count(*) FILTER (WHERE action = 'delete' AND _id NOT IN ('8', '46')) AS strays_removed,
         count(*) FILTER (WHERE action IN ('insert', 'replace')) AS seed_upserted,
-        count(*) FILTER (WHERE action <> 'delete') AS total, count(*) FILTER (WHERE action = 'noop') AS unchanged FROM actions""",
+        count(*) FILTER (WHERE action <> 'delete') AS total, count(*) FILTER (WHERE action = 'noop') AS unchanged,
+        (SELECT count(*) FROM kept_judged) AS dlq_cleared,
+        count(*) FILTER (WHERE action <> 'delete') = (SELECT count(*) FROM goal) AS ok FROM actions""",
 }
