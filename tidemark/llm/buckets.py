@@ -73,8 +73,8 @@ def _unpacked(blob: bytes, base: int) -> np.ndarray:
 
 
 def told(counts: np.ndarray) -> np.ndarray:
-    """Occurrences as one byte each; 255 and more are alike."""
-    return np.minimum(counts, 255).astype(np.uint8)
+    """Occurrences as two bytes each; 65 535 and more are alike."""
+    return np.minimum(counts, 65_535).astype(np.uint16)
 
 
 def asked(bucket: int, keys: np.ndarray, more: np.ndarray, n_blocks: int, aside: bytes | None = None) -> pa.Table:
@@ -118,7 +118,7 @@ def commonness(asks: DataFrame, n_blocks: int) -> DataFrame:
     """Answers 0 for a key that occurs once in all, else 1 + floor(log2(occurrences))."""
 
     def count(table: pa.Table) -> pa.Table:
-        buckets, keys, lengths, counts = _of_block(table, n_blocks, np.uint8)
+        buckets, keys, lengths, counts = _of_block(table, n_blocks, np.uint16)
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         fresh = np.append(True, ordered[1:] != ordered[:-1])

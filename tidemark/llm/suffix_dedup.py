@@ -35,9 +35,11 @@ from tidemark.llm import tokens as T
 
 WIDTH, ANCHOR = 200, 80
 #: 1 + log2 of the occurrences from which a name's segments are cut into windows.
-HOT = 14
+HOT = 13
+#: Bytes of the strings of one collection; the strings of one name stay together.
+COLLECTION_BYTES = 1 << 20
 _PIECE, _PLACE = 1 << 20, np.uint64(22)
-_MARK = np.uint64((1 << 64) // 32)
+_MARK = np.uint64((1 << 64) // 16)
 _SEGMENT = np.dtype([("name", "<u8"), ("length", "<i4")])
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 _SEED = np.uint64(0xE7037ED1A0B428DB)
@@ -80,7 +82,8 @@ class Anchors:
         #: Places of the strings to ask about, their names, the distinct keys, how many strings have each, each string's key.
         self.asked, one = np.unique(asked, return_index=True)
         self.names = names[one]
-        self.keys, self.at, self.counts = np.unique(B.key48(self.names), return_inverse=True, return_counts=True)
+        # Anchors have small names; mixed once more they spread evenly over the blocks.
+        self.keys, self.at, self.counts = np.unique(B.key48(T.mix(self.names)), return_inverse=True, return_counts=True)
 
 
 def _runs(data, start, stop, spans, width, size):
@@ -118,7 +121,7 @@ class Segments:
         self.count = np.concatenate([last[~hot] - first[~hot] + 1, np.ones(len(windows), np.int64)])
         stop = self.first + self.count + width - 1
         a, b = _prints(data, self.first, stop)
-        name = np.concatenate([names[~hot], a[len(a) - len(windows) :]])
+        name = T.mix(np.concatenate([names[~hot], a[len(a) - len(windows) :]]))
         order = np.lexsort((b, a, name))
         new = np.append(True, (name[order][1:] != name[order][:-1]) | (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
         new = new[: len(order)]
@@ -172,60 +175,64 @@ def _prints(data, starts, stops):
 def collection(strings: list[bytes], depth: int) -> list[np.ndarray]:
     """For every place of every string: does its suffix share ``depth`` bytes with another of the collection?
 
-    Rows are the suffixes in order, empty ones first: ``bwt`` the symbol before each (0 before
-    a whole string), ``common`` the prefix shared with the row above, at most ``depth``, and
-    ``at`` where it starts. A round puts the symbol before every suffix of the last round in
-    front of it. Sorting the rows by their symbols, stably, gives each longer suffix its rank.
-    The bytes are UTF-8, which has no byte 255, so symbols and the end fit in 8 bits.
+    Rows are the suffixes in order, empty ones first: ``common`` is the prefix shared with the
+    row above, at most ``depth``, and ``at`` where the suffix starts. The Burrows-Wheeler
+    transform is held by symbol: ``order`` has the rows, those with equal symbols before them
+    together, and ``count`` how many each symbol has (0 stands before a whole string). A round
+    puts the symbol before every suffix of the last round in front of it; the place in
+    ``order`` is the longer suffix's rank. The bytes are UTF-8, which has no byte 255, so
+    symbols and the end fit in 8 bits.
     """
     m = len(strings)
     length = np.array([len(s) for s in strings])
     stop = np.cumsum(length)
     begin = stop - length
     text = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
-    before = np.append(text[:0], text)  # symbol before place p + 1
-    ends = np.zeros(len(text) + 1, bool)
-    ends[begin] = True
-    at = stop.astype(np.int32)
-    bwt = before[at - 1]
-    common = np.zeros(m, np.uint8)
-    fresh = np.ones(m, bool)
+    whole = np.zeros(len(text) + 1, bool)
+    whole[begin] = True
+    at, common = stop.astype(np.int32), np.zeros(m, np.uint8)
+    symbol = text[at - 1]
+    order = np.argsort(symbol, kind="stable").astype(np.int32)
+    count = np.bincount(symbol, minlength=257)
+    fresh = np.arange(m)
     for _ in range(int(length.max())):
-        order = np.argsort(bwt, kind="stable")
-        symbol = bwt[order]
-        done = int(np.searchsorted(symbol, 1))
-        rank = np.flatnonzero(fresh[order])
-        rank = rank[rank >= done]
+        first = np.cumsum(count) - count
+        done = int(count[0])
+        rank = fresh[fresh >= done]
         if not len(rank):
             break
-        touched = np.union1d(rank, rank[rank + 1 < len(order)] + 1)
-        paired = touched[(touched > done)]
-        paired = paired[symbol[paired] == symbol[paired - 1]]
-        low, high = order[paired - 1] + 1, order[paired] + 1
-        down = np.argsort(-low, kind="stable")
-        both = np.stack([low[down], high[down]], 1).reshape(-1)
-        shared = np.zeros(len(order), np.uint8)
-        if len(both):
+        below = rank + 1
+        touched = np.union1d(rank, below[below < len(order)])
+        paired = touched[touched != first[np.searchsorted(first + count, touched, "right")]]
+        low, high = order[paired - 1].astype(np.int64) + 1, order[paired].astype(np.int64) + 1
+        shared = np.zeros(len(touched), np.uint8)
+        if len(paired):
+            # From the last range to the first, so that what lies between two is never looked at.
+            down = np.argsort(-low, kind="stable")
+            both = np.stack([low[down], high[down]], 1).reshape(-1)
             least = np.minimum.reduceat(np.append(common, np.uint8(0)), both)[::2]
-            shared[paired[down]] = np.minimum(least, depth - 1) + 1
+            shared[np.searchsorted(touched, paired[down])] = np.minimum(least, depth - 1) + 1
         # Rows of this round: the empty suffixes, then one for every symbol that was there.
-        place = m + rank - done
-        total = m + len(order) - done
+        place, total = m + rank - done, m + len(order) - done
+        came = at[order[rank]] - 1
+        symbol = np.where(whole[came], 0, text[came - 1])
         old = np.ones(total, bool)
         old[place] = False
-        source = order[rank]
-        came = at[source] - 1
-        merged = np.empty(total, np.int32)
-        merged[old], merged[place] = at, came
-        at = merged
-        merged = np.empty(total, np.uint8)
-        merged[old], merged[place] = bwt, np.where(ends[came], 0, before[came - 1])
-        bwt = merged
-        merged = np.empty(total, np.uint8)
-        merged[old] = common
-        merged[m + touched[touched >= done] - done] = shared[touched[touched >= done]]
-        common = merged
-        fresh = ~old
+        at, common = _merged(at, came, old, place), _merged(common, 0, old, place)
+        common[m + touched - done] = shared
+        # The transform takes the new rows' symbols in, each among its own kind.
+        order = np.flatnonzero(old).astype(np.int32)[order]
+        by_symbol = np.argsort(symbol, kind="stable")
+        kinds, starts = np.unique(symbol[by_symbol], return_index=True)
+        into = np.empty(len(place), np.int64)
+        for kind, x, y in zip(kinds.tolist(), starts, np.append(starts[1:], len(place))):
+            own = order[first[kind] : first[kind] + count[kind]]
+            into[x:y] = first[kind] + np.searchsorted(own, place[by_symbol[x:y]])
+        fresh = into + np.arange(len(into))
+        keep = np.ones(total, bool)
+        keep[fresh] = False
+        order = _merged(order, place[by_symbol], keep, fresh)
+        count = count + np.bincount(symbol, minlength=257)
     deep = common >= depth
     deep[:-1] |= common[1:] >= depth
     # An empty suffix shares nothing; its place is the next string's start.
@@ -234,6 +241,13 @@ def collection(strings: list[bytes], depth: int) -> list[np.ndarray]:
     return [out[a:b] for a, b in zip(begin, stop)]
 
 
+def _merged(rows: np.ndarray, new, old: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The rows with new ones at their places."""
+    out = np.empty(len(old), rows.dtype)
+    out[old], out[place] = rows, new
+    return out
+
+
 def _ordered(asks: DataFrame, n_blocks: int, width: int) -> DataFrame:
     """One byte per window of every segment asked about: is it anywhere else?"""
 
@@ -255,11 +269,15 @@ def _ordered(asks: DataFrame, n_blocks: int, width: int) -> DataFrame:
                 own.append(kind)
                 at += size
             asked.append(own)
-        several = [(kind, string) for (name, string), kind in kinds.items() if names[name] > 1]
         found = [np.full(len(string) - width + 1, times[kind] > 1) for (_, string), kind in kinds.items()]
-        if several:
-            for (kind, string), deep in zip(several, collection([s for _, s in several], width)):
-                found[kind] |= deep[: len(string) - width + 1]
+        several = sorted((name, kind, string) for (name, string), kind in kinds.items() if names[name] > 1)
+        low = size = 0
+        for k, (name, _, string) in enumerate(several):
+            size += len(string)
+            if k + 1 == len(several) or size >= COLLECTION_BYTES and several[k + 1][0] != name:
+                for (_, kind, own), deep in zip(several[low : k + 1], collection([x[2] for x in several[low : k + 1]], width)):
+                    found[kind] |= deep[: len(own) - width + 1]
+                low, size = k + 1, 0
         return pa.table({
             "bucket": table["bucket"], "block": table["block"],
             "answer": pa.array([np.concatenate([found[k] for k in own]).astype(np.uint8).tobytes() for own in asked], pa.binary()),
