@@ -228,6 +228,54 @@ def test_initial_sync_then_feed_and_guarded_rebuild(spark, make_feed):
     assert again.epoch == 2 and again.buckets == 4 and again.state().count() == 12
 
 
+def test_initial_sync_follows_the_rules_of_the_feed(spark, make_feed):
+    source = spark.sql("""
+        select * from values
+          ('a', 1, cast(1.5 as float), date'2026-01-02', timestamp_ntz'2026-01-02 03:04:05', array(1, 2), map('k.1', 1), named_struct('x.y', 1, 'd', date'2026-01-03'), cast(null as decimal(9,2)), 'p', cast(null as string), 'q'),
+          ('b', 2, null, null, null, null, null, null, cast(1.5 as decimal(9,2)), 'p', null, 'q'),
+          ('c', 3, null, null, null, null, null, null, null, 'p', 'reserved', 'q'),
+          (null, 4, null, null, null, null, null, null, null, 'p', null, 'q'),
+          ('d', 5, null, null, null, null, null, null, null, 'p', null, 'q'),
+          ('d', 6, null, null, null, null, null, null, null, 'p', null, 'q')
+        as t(`_id`, n, f, d, z, l, m, s, money, `a.b`, `__seq`, `back`)""").withColumnRenamed("back", "back`tick")
+    mirror = mirror_of(spark)
+    mirror.initial_sync(source, committed_at=NOON)
+    reasons = sorted(r.err_info.reason for r in mirror.dlq().collect())
+    assert reasons == ["Decimal128", "duplicate document key", "duplicate document key", "no document key", "reserved field name"]
+    mirror.apply(make_feed((5, "insert", "e", '{"_id":"e","n":7,"a.b":"late","new":true}')))
+    mirror.write_base()
+    rows = {r["_id"]: r.asDict(recursive=True) for r in Mirror(spark, mirror.root).state().collect()}
+    assert set(rows) == {"a", "e"} and rows["a"]["n"] == 1 and rows["a"]["f"] == 1.5 and rows["a"]["l"] == [1, 2]
+    assert rows["a"]["d"].isoformat() == "2026-01-02T00:00:00" and rows["a"]["z"].isoformat() == "2026-01-02T03:04:05"
+    assert rows["a"]["m"] == {"k_1": 1} and rows["a"]["s"]["x_y"] == 1 and rows["a"]["back`tick"] == "q"
+    assert rows["e"]["a_b"] == "late" and rows["e"]["n"] == 7 and rows["e"]["new"] is True
+
+
+@pytest.mark.parametrize("name", ["a`b", 'say "x"', "line\nbreak", "", "\U0001f600", "it's"])
+def test_any_field_name_can_be_written_and_read(spark, make_feed, name):
+    document = json.dumps({"_id": "k", name: 1, "o": {name: [2]}})
+    mirror = mirror_of(spark)
+    mirror.apply(make_feed((1, "insert", "k", document)))
+    mirror.write_base()
+    mirror.apply(make_feed((2, "update", "k", json.dumps({"_id": "k", name: 3}))))
+    assert mirror.state().first()[name] == 3 and mirror.lookup("k").first()[name] == 3
+    assert mirror.history("k").count() == 2 and mirror.snapshots().count() == 2 and mirror.dlq().count() == 0
+
+
+def test_wrapped_values_without_a_reading_are_set_aside(spark, make_feed):
+    mirror = mirror_of(spark)
+    mirror.apply(
+        make_feed(
+            (1, "insert", "1", '{"at":{"$date":"2026-01-01T00:00:00Z"},"n":{"$numberLong":"5"},"t":{"$timestamp":{"t":10,"i":1}},"u":{"$uuid":"ab"}}'),
+            (2, "insert", "2", '{"at":{"$date":"no date"}}'),
+            (3, "insert", "3", '{"n":{"$numberLong":"many"}}'),
+            (4, "insert", "4", '{"at":null,"r":{"$regularExpression":{"pattern":"a.b","options":"i"}}}'),
+        )
+    )
+    assert {r["_id"] for r in mirror.state().collect()} == {"1", "4"} and mirror.dlq().count() == 2
+    assert mirror.lookup("4").first().r == "/a.b/i" and mirror.lookup("1").first().t.second == 10
+
+
 def _write(feed, where):
     feed.select(*FEED_SCHEMA.names).coalesce(1).write.mode("append").parquet(where)
 

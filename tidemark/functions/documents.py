@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.names import column
+
 # Extended JSON wrappers and the kind each one stands for.
 WRAPPERS = {
     "OBJECT<`$date`: STRING>": "timestamp",
@@ -21,6 +23,11 @@ WRAPPERS = {
     "OBJECT<`$numberInt`: STRING>": "bigint",
     "OBJECT<`$numberDouble`: STRING>": "double",
     "OBJECT<`$binary`: OBJECT<base64: STRING, subType: STRING>>": "binary",
+    "OBJECT<`$timestamp`: OBJECT<i: BIGINT, t: BIGINT>>": "timestamp",
+    "OBJECT<`$uuid`: STRING>": "string",
+    "OBJECT<`$regularExpression`: OBJECT<options: STRING, pattern: STRING>>": "string",
+    "OBJECT<`$minKey`: BIGINT>": "string",
+    "OBJECT<`$maxKey`: BIGINT>": "string",
 }
 
 SCALARS = {
@@ -70,12 +77,17 @@ def scalar(value: Column, kind: str) -> Column:
     if kind == "double":
         return F.coalesce(at("$", "double"), at('$["$numberDouble"]', "double"))
     if kind == "string":
-        return F.coalesce(at('$["$oid"]', "string"), at("$", "string"))
+        pattern = F.concat(
+            F.lit("/"), at('$["$regularExpression"].pattern', "string"), F.lit("/"), at('$["$regularExpression"].options', "string")
+        )
+        ends = [F.when(at(f'$["{end}"]', "bigint").isNotNull(), end[1:]) for end in ("$minKey", "$maxKey")]
+        return F.coalesce(at('$["$oid"]', "string"), at('$["$uuid"]', "string"), pattern, *ends, at("$", "string"))
     if kind == "boolean":
         return at("$", "boolean")
     if kind == "timestamp":
         millis = at('$["$date"]["$numberLong"]', "bigint")
-        return F.coalesce(F.timestamp_millis(millis), at('$["$date"]', "timestamp"))
+        seconds = F.timestamp_seconds(at('$["$timestamp"].t', "bigint"))
+        return F.coalesce(F.timestamp_millis(millis), at('$["$date"]', "timestamp"), seconds)
     if kind == "binary":
         return F.try_to_binary(at('$["$binary"].base64', "string"), F.lit("base64"))
     raise ValueError(f"no Spark type for {kind}")
@@ -87,6 +99,10 @@ def _encodable(value: Column, data_type: T.DataType) -> Column:
         return F.when(value.isNotNull(), F.struct(*parts)) if parts else value
     if isinstance(data_type, T.ArrayType):
         return F.transform(value, lambda item: _encodable(item, data_type.elementType))
+    if isinstance(data_type, T.MapType):
+        return F.transform_values(value, lambda _, item: _encodable(item, data_type.valueType))
+    if isinstance(data_type, T.DateType):
+        value, data_type = value.cast("timestamp_ntz"), T.TimestampNTZType()
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
         if isinstance(data_type, T.TimestampNTZType):
@@ -103,5 +119,5 @@ def _encodable(value: Column, data_type: T.DataType) -> Column:
 def encode_document(frame: DataFrame) -> Column:
     """Each row of ``frame`` as one Extended JSON document; NULL fields are left out."""
     return F.to_json(
-        F.struct(*[_encodable(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in frame.schema.fields])
+        F.struct(*[_encodable(column(f.name), f.dataType).alias(f.name) for f in frame.schema.fields])
     )

@@ -83,13 +83,14 @@ def sanitise(frame: DataFrame) -> DataFrame:
     """
     return frame.select(
         *[
-            _safe(_root(frame, field.name), field.dataType).alias(name)
+            _safe(column(field.name), field.dataType).alias(name)
             for name, field in _later_wins(frame.schema.fields).items()
         ]
     )
 
 
-def _root(frame: DataFrame, name: str) -> Column:
+def column(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
     return F.col("`{}`".format(name.replace("`", "``")))
 
 
@@ -122,7 +123,7 @@ def mask_by_name(frame: DataFrame) -> DataFrame:
     """Replaces the value of every sensitively named field, at any depth, by a mask."""
     return frame.select(
         *[
-            (F.lit(MASK) if _is_sensitive(f.name) else _masked(_root(frame, f.name), f.dataType)).alias(f.name)
+            (F.lit(MASK) if _is_sensitive(f.name) else _masked(column(f.name), f.dataType)).alias(f.name)
             for f in frame.schema.fields
         ]
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.names import column
+
 # How a snapshot describes itself.
 APPEND, OVERWRITE, DELETE = "append", "overwrite", "delete"
 ADDED, REMOVED = "added-records", "deleted-records"
@@ -158,7 +160,7 @@ def key_history(changes: DataFrame, commits: DataFrame, key: str, collapsed: boo
     """
     rows = effective_changes(changes.where(F.col("key") == F.lit(key)), collapsed)
     fields = [c for c in rows.columns if c not in ("commit_id", "key", "seq", "alive")]
-    version = rows.select("commit_id", F.struct("alive", *fields).alias("__version"))
+    version = rows.select("commit_id", F.struct("alive", *[column(c) for c in fields]).alias("__version"))
     in_order = Window.partitionBy("key").orderBy("commit_id")
     seen = (
         commits.select("commit_id", "committed_at", F.lit(key).alias("key"))
@@ -171,5 +173,5 @@ def key_history(changes: DataFrame, commits: DataFrame, key: str, collapsed: boo
         "committed_at",
         "key",
         existed.alias("existed"),
-        *[F.when(existed, F.col(f"__version.`{c}`")).alias(c) for c in fields],
+        *[F.when(existed, F.col("__version").getField(c)).alias(c) for c in fields],
     ).orderBy("snapshot_id")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.documents import encode_document
+from tidemark.functions.names import column
 from tidemark.functions.spread import SLICE, filled_before, previous_in_group
 
 _OLDEST = -(2**63)
@@ -114,8 +115,8 @@ def delete_keys(current: DataFrame, keys: DataFrame, seq: int | Column, key: str
 def reconcile(current: DataFrame, baseline: DataFrame, key: str = "_id") -> DataFrame:
     """What brings ``current`` to ``baseline``: insert, replace, delete or noop per key."""
     fields = [c for c in baseline.columns if c != key]
-    now = current.select(F.col(key), F.struct(*fields).alias("_now"))
-    goal = baseline.select(F.col(key), F.struct(*fields).alias("_goal"))
+    now = current.select(F.col(key), F.struct(*[column(c) for c in fields]).alias("_now"))
+    goal = baseline.select(F.col(key), F.struct(*[column(c) for c in fields]).alias("_goal"))
     return now.join(goal, key, "full_outer").select(
         key,
         F.when(F.col("_goal").isNull(), "delete")
@@ -123,7 +124,7 @@ def reconcile(current: DataFrame, baseline: DataFrame, key: str = "_id") -> Data
         .when(F.col("_now").eqNullSafe(F.col("_goal")), "noop")
         .otherwise("replace")
         .alias("action"),
-        *[F.col(f"_goal.`{c}`").alias(c) for c in fields],
+        *[F.col("_goal").getField(c).alias(c) for c in fields],
     )
 
 

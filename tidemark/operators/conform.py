@@ -7,6 +7,7 @@ that does not fit is set aside with its reason; it never stops the others.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ DECIMAL_REASON = "Decimal128"
 CASE_REASON = "case-insensitive name collision"
 RESERVED_REASON = "reserved field name"
 UNREADABLE_REASON = "not a readable document"
+UNREAD_VALUE_REASON = "a wrapped value that cannot be read"
 NO_KEY_REASON = "no document key"
 
 WIDE_REASON = "more fields than a table holds"
@@ -88,12 +90,39 @@ def _shape(data_type: T.DataType) -> Shape:
         return Shape("array", element=_shape(data_type.elementType))
     kind = _FROM_SPARK.get(type(data_type))
     if kind is None:
-        kind = "double" if isinstance(data_type, T.NumericType) else "timestamp"
-        if isinstance(data_type, T.IntegralType):
-            kind = "bigint"
+        raise TypeError(f"no table column has the type {data_type.simpleString()}")
     return Shape(kind)
 
 
+def table_type(source: T.StructType) -> T.StructType:
+    """The columns a table has from the start for rows of ``source``: integers as bigint, dates as timestamp.
+
+    Decimals and maps are left to the documents, of which decimals are set aside.
+    """
+
+    def of(data_type: T.DataType) -> T.DataType | None:
+        if isinstance(data_type, T.StructType):
+            inner = table_type(data_type)
+            return inner if inner.fields else None
+        if isinstance(data_type, T.ArrayType):
+            element = of(data_type.elementType)
+            return T.ArrayType(element) if element is not None else None
+        if isinstance(data_type, T.IntegralType):
+            return T.LongType()
+        if isinstance(data_type, (T.FloatType, T.DoubleType)):
+            return T.DoubleType()
+        if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return T.TimestampType()
+        return data_type if type(data_type) in _FROM_SPARK else None
+
+    spelled: dict[str, T.StructField] = {}
+    for f in source.fields:
+        kind, name = of(f.dataType), safe_name(f.name)
+        if kind is not None:
+            spelled.setdefault(name.lower(), T.StructField(name, kind))
+    return T.StructType(list(spelled.values()))
+
+
 def read_documents(feed: DataFrame) -> DataFrame:
     """Adds the parsed document and its members; text that is no JSON object leaves them NULL."""
     return feed.withColumn("_doc", F.try_parse_json("full_document")).withColumn("_members", _members(F.col("_doc")))
@@ -496,6 +525,8 @@ def _conformed(
     text, deleted = F.col("full_document"), F.col("operation_type") == "delete"
     order_text = text if root.clashes else None
     checked, misfit, clean = _misfits(rows, forms, documents, root, order_text)
+    unread = _unread(F.col("_members"), root)
+    clean = clean and (unread is None or not rows.where(unread).take(1))
     no_document = F.when(
         lacks_post_image(),
         F.raise_error(F.lit(MISSING_POST_IMAGE)).cast("string")
@@ -507,7 +538,7 @@ def _conformed(
         .when(deleted, F.lit(None).cast("string"))
         .when(F.col("_members").isNull(), no_document)
         .when(_wide(width), WIDE_REASON)
-        .otherwise(misfit)
+        .otherwise(misfit if unread is None else F.coalesce(misfit, F.when(unread, UNREAD_VALUE_REASON)))
     )
     checked = checked.withColumn(_REASON, F.lit(None).cast("string") if clean else reason)
     raw_type = _raw_type(root)
@@ -525,6 +556,31 @@ def _conformed(
     return Conformed(data, typed, clean)
 
 
+def _unread(members: Column, shape: Shape) -> Column | None:
+    """Whether a value below came wrapped, is of its column's kind, and yet has no reading; None where none is wrapped."""
+    found = [
+        _unread_value(members[F.lit(raw)], shape.fields[name])
+        for name, names in shape.raw.items()
+        if name in shape.fields
+        for raw in names
+    ]
+    found = [part for part in found if part is not None]
+    return reduce(lambda a, b: a | b, found) if found else None
+
+
+def _unread_value(value: Column, shape: Shape) -> Column | None:
+    if shape.kind == "object":
+        return _unread(_members(value), shape)
+    if shape.kind == "array":
+        if shape.element is None or _unread_value(value, shape.element) is None:
+            return None
+        return F.coalesce(F.exists(_items(value), lambda item: _unread_value(item, shape.element)), F.lit(False))
+    if not shape.wrapped:
+        return None
+    came = F.coalesce(F.schema_of_variant(value).startswith("OBJECT<"), F.lit(False))
+    return came & (kind_of(value) == shape.kind) & scalar(value, shape.kind).isNull()
+
+
 def _misfits(
     rows: DataFrame, forms: DataFrame, documents: DataFrame, root: Shape, text: Column | None
 ) -> tuple[DataFrame, Column, bool]:

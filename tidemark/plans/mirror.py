@@ -30,12 +30,16 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.documents import encode_document
+from tidemark.functions.names import column
 from tidemark.operators import apply
 from tidemark.operators.apply import UnknownSnapshot
-from tidemark.operators.conform import ALIVE, AT, BUCKET, COMMIT, KEY, SEQ, Conformed, conform
+from tidemark.operators.conform import ALIVE, AT, BUCKET, COMMIT, KEY, SEQ, Conformed, conform, table_type
 from tidemark.operators.reports import table_columns
 from tidemark.sources.feed import keep_operations
 
+# Fixed value: the reason of rows that share a key in an initial sync.
+DUPLICATE_REASON = "duplicate document key"
 BUCKETS = 64
 BLOCK = "__block"
 BLOCK_COMMITS = 100
@@ -303,28 +307,40 @@ class Mirror:
     ) -> int:
         """Commit 1: the whole source, written as the first base; only onto an empty table.
 
+        Rows pass through the feed's own rules for names, types and keys, as inserts;
+        those that do not fit, have no key or share one are in the dead-letter queue.
         ``seq`` lies below the feed that follows, so later events win.
         """
         if self._last().number is not None:
             raise RebuildRefused("the table has commits; syncing again would need rebuild(confirm=True)")
-        rows = source.select(
-            F.col(key).cast("string").alias(KEY),
-            F.lit(seq).cast("bigint").alias(SEQ),
-            F.lit(None).cast("timestamp").alias(AT),
-            F.lit(True).alias(ALIVE),
-            *[F.col(f"`{c}`") for c in source.columns if c != key],
+        documents = source.select(*[column(c) for c in source.columns if c != key])
+        feed = source.select(
+            F.lit(seq).cast("bigint").alias("seq"),
+            F.lit(None).cast("timestamp").alias("cluster_time"),
+            F.lit("insert").alias("operation_type"),
+            column(key).cast("string").alias("document_key"),
+            encode_document(documents).alias("full_document"),
+        )
+        # Which of several rows of one key is right nobody can say: all are set aside.
+        several = feed.groupBy("document_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND document_key IS NOT NULL")
+        batch = conform(feed.join(several, "document_key", "left_anti"), table_type(documents.schema))
+        twice = feed.join(several, "document_key", "left_semi").select(
+            "seq", "cluster_time", F.col("full_document").alias("doc"), F.lit(DUPLICATE_REASON).alias("reason")
         )
-        schema = T.StructType([f for f in rows.schema.fields if f.name not in (KEY, SEQ, AT, ALIVE)])
         at = committed_at or datetime.now(timezone.utc)
         path = f"base/{COMMIT}=1"
-        count = self._write_base(apply.latest(rows, [KEY], SEQ), path)
+        count = self._write_base(batch.accepted, path)
+        rejected = Observation()
+        batch.rejected.unionByName(twice).select(
+            F.lit(at).cast("timestamp").alias("dlq_time"), F.struct("reason").alias("err_info"), "doc"
+        ).observe(rejected, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{self._home}/dlq/{COMMIT}=1")
         self._mark_commit(
             1,
             committed_at=at,
-            schema_json=schema.json(),
+            schema_json=batch.schema.json(),
             path=path,
             rows=count,
-            rejected=0,
+            rejected=rejected.get["rows"],
             min_seq=seq,
             max_seq=seq,
         )
@@ -445,7 +461,7 @@ class Mirror:
         return base.join(winning.select(KEY), KEY, "left_anti").unionByName(winning)
 
     def _living(self, tail: Tail, key: str | None = None) -> DataFrame:
-        fields = [F.col(f"`{f.name}`") for f in tail.schema.fields]
+        fields = [column(f.name) for f in tail.schema.fields]
         return self._rows(tail, key).where(F.col(ALIVE)).select(KEY, *fields)
 
     def state(self, version: int | None = None) -> DataFrame:
@@ -480,7 +496,7 @@ class Mirror:
             F.col(KEY).alias("key"),
             F.col(SEQ).alias("seq"),
             F.col(ALIVE).alias("alive"),
-            *[F.col(f"`{f.name}`") for f in schema.fields],
+            *[column(f.name) for f in schema.fields],
         )
 
     def snapshots(self) -> DataFrame:
