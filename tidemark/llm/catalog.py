@@ -21,6 +21,9 @@ QUERIES = {
 ORACLE = {
     "op2_url_filter": url_filter.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
+    "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }

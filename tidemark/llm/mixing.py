@@ -157,15 +157,15 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, length(coalesce(text, '')) AS chars FROM documents
-), b AS (
+), b AS MATERIALIZED (
   SELECT *, coalesce(sum(chars) OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, chars
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 100000 AS block FROM d
 ), v AS (
   SELECT source, sqrt(sum(chars)::DOUBLE) AS wish, max(block) + 1 AS blocks FROM b GROUP BY source
-), u AS (
+), u AS MATERIALIZED (
   SELECT *, greatest(1, floor(wish / (SELECT sum(wish) FROM v) * 1000 + 0.5))::BIGINT AS units,
     row_number() OVER (ORDER BY coalesce(source, ''), source IS NULL) AS i FROM v
-), c AS (
+), c AS MATERIALIZED (
   SELECT list(units ORDER BY i) AS us, sum(units)::BIGINT AS p FROM u
 ), sim(t, done, pick) AS (
   SELECT 0::BIGINT, list_transform(us, lambda x: 0::BIGINT), 0::BIGINT FROM c

@@ -335,3 +335,26 @@ def without_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False).drop("kept")
+
+
+ORACLE = """
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), b AS (
+  SELECT doc_id, unnest(range(1, n + 1)) AS p, h, n FROM t
+), win AS (
+  SELECT doc_id, p, substr(h, 2 * p - 1, 2) AS byte, CASE WHEN p + 199 <= n THEN md5(substr(h, 2 * p - 1, 400)) END AS k FROM b
+), starts AS (
+  SELECT doc_id, p, byte, k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 AS again FROM win
+), marked AS (
+  SELECT doc_id, p, byte, coalesce(max(CASE WHEN again THEN p END) OVER (PARTITION BY doc_id ORDER BY p) > p - 200, false) AS gone FROM starts
+), runs AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM marked
+), per_doc AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+    string_agg(byte, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM runs GROUP BY doc_id
+)
+SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN per_doc USING (doc_id)
+"""
