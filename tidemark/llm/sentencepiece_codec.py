@@ -33,12 +33,12 @@ from tidemark.llm import tokens as T
 from tidemark.llm.native import quoted
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _MARK = "▁"
 _NEVER = np.int64(1 << 40)
 _CACHE = 1 << 21
-#: Units that a task remembers before it begins anew: a bound of memory.
-_UNITS = 400_000
+#: Characters of one batch text, and units that a task remembers before it begins anew: bounds of memory.
+_BATCH, _UNITS = 150_000, 300_000
 
 
 class Vocabulary:
@@ -322,8 +322,12 @@ class Encoder:
                     fresh.append(_MARK + u.replace(" ", _MARK))
             numbers.append(np.fromiter(map(seen.__getitem__, own), np.int64, len(own)))
             count.append(len(own))
-        if fresh:
-            self.learn(fresh)
+        # A few at a time: the edges of one batch text take some hundred times its size.
+        size = np.cumsum([len(u) for u in fresh]) // _BATCH if fresh else np.zeros(0, np.int64)
+        cuts = np.flatnonzero(np.diff(size)) + 1
+        for a, b in zip(np.append(0, cuts), np.append(cuts, len(fresh))):
+            if b > a:
+                self.learn(fresh[a:b])
         unit = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         length = self.length[unit]
         total = np.append(0, np.cumsum(length))
