@@ -38,7 +38,7 @@ FOLDS, HELD = 7, 2
 FILTER_BITS, MEMBER_BITS, PROBES = 1 << 28, 10, 5
 BASE, PRIOR = 1.5, 4.0
 MAX_BLOCKS = 1 << 14
-_SLICE = 8 << 20
+_SLICE = 6 << 20
 _SEED = np.uint64(0x1D8E4E27C47D124F)
 _START, _END = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 _RESULT = (
@@ -72,6 +72,23 @@ def _pairs(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return T.mix(T.mix(before) * np.uint64(3) + names)
 
 
+def _distinct(names: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (name, check) by name, and each token's as an index. Names alone tell words apart but for collisions, which are looked for."""
+
+    def runs(order: np.ndarray, new: np.ndarray):
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        return names[order][new], checks[order][new], back
+
+    order = np.argsort(names)
+    found = runs(order, np.append(True, names[order][1:] != names[order][:-1])[: len(order)])
+    if (found[1][found[2]] != checks).any():
+        order = np.lexsort((checks, names))
+        a, c = names[order], checks[order]
+        found = runs(order, np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))[: len(order)])
+    return found
+
+
 def _grouped(keys: np.ndarray, checks: np.ndarray, counts: np.ndarray):
     """Distinct (key, check), in order, with their summed counts."""
     order = np.lexsort((checks, keys))
@@ -86,10 +103,9 @@ def vocabulary(training: DataFrame, text: str, n_blocks: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, bounds in T.chunks(batch.column(0), _SLICE):
-                names, checks, _ = _tokens(data, bounds)
-                keys, checks, counts = _grouped(B.key48(names), checks, np.ones(len(names), np.uint64))
-                more = np.rec.fromarrays([checks, counts], names="check,count")
-                yield from B.asked(0, keys, more, n_blocks).to_batches()
+                names, checks, back = _distinct(*_tokens(data, bounds)[:2])
+                more = np.rec.fromarrays([checks, np.bincount(back, minlength=len(names)).astype(np.uint64)], names="check,count")
+                yield from B.asked(0, B.key48(names), more, n_blocks).to_batches()
 
     def gather(table: pa.Table) -> pa.Table:
         _, keys, _, more = B._of_block(table, n_blocks, np.dtype([("check", "<u8"), ("count", "<u8")]))
@@ -112,7 +128,7 @@ def _places(keys: np.ndarray, level: np.ndarray | int, bits: int) -> Iterator[np
     h = T.mix(keys ^ T.mix(np.asarray(level, np.uint64).reshape(-1) + _SEED))
     step = (h >> np.uint64(32)) | np.uint64(1)
     for i in range(PROBES):
-        yield (h + step * np.uint64(i)) % np.uint64(bits)
+        yield (h + step * np.uint64(i)) & np.uint64(bits - 1)
 
 
 def filter_parts(training: DataFrame, text: str, n_blocks: int, bits: int) -> DataFrame:
@@ -153,19 +169,19 @@ class Filter:
 
     def __init__(self, data: bytes, n_blocks: int, bits: int):
         self.data, self.n_blocks, self.bits = np.frombuffer(data, np.uint8), n_blocks, bits
-        self.cuts = B._cuts(n_blocks)
 
     def counts(self, names: np.ndarray) -> np.ndarray:
         """The n-grams' counts as the filter has them, 0 for what it does not hold."""
         keys = B.key48(names)
-        start = (np.searchsorted(self.cuts, keys, "right") - 1) * self.bits
+        # The block of a key: n_blocks is at most 2^14, so this stays within 64 bits.
+        start = (keys * np.uint64(self.n_blocks) >> np.uint64(B.KEY_BITS)).astype(np.int64) * self.bits
         levels, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
         while len(open_):
             level = int(levels[open_[0]]) + 1
             h = T.mix(keys[open_] ^ T.mix(np.array([level], np.uint64) + _SEED))
             step = (h >> np.uint64(32)) | np.uint64(1)
             for i in range(PROBES):
-                place = start[open_] + ((h + step * np.uint64(i)) % np.uint64(self.bits)).astype(np.int64)
+                place = start[open_] + ((h + step * np.uint64(i)) & np.uint64(self.bits - 1)).astype(np.int64)
                 hit = (self.data[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
                 open_, h, step = open_[hit], h[hit], step[hit]
             levels[open_] = level
@@ -201,7 +217,8 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", filte
     training = docs.where(~held_out(F.col("doc_id")))
     words = kept(spark, vocabulary(training, "text", n_blocks), "vocabulary")
     n_types, n_tokens = (x or 0 for x in words.agg(F.sum("n_types"), F.sum("n_tokens")).first())
-    bits = max(1024, filter_bits // n_blocks // 8 * 8)
+    # A power of two for each block.
+    bits = max(1024, 1 << (filter_bits // n_blocks).bit_length() - 1)
     # Fixed in size: filter_bits in all.
     parts = {row.block: bytes(row.bits) for row in filter_parts(training, "text", n_blocks, bits).collect()}
     packed = spark.sparkContext.broadcast(b"".join(parts.get(i, bytes(bits // 8)) for i in range(n_blocks)))
@@ -210,25 +227,21 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", filte
     def ask(table: pa.Table) -> pa.Table:
         found = [_tokens(data, bounds)[:2] for _, data, bounds in T.chunks(table["text"])]
         names, checks = (np.concatenate(x) for x in zip(*found))
-        keys, checks, _ = _grouped(B.key48(names), checks, np.ones(len(names), np.uint64))
-        return B.asked(table["bucket"][0].as_py(), keys, checks, n_blocks)
+        names, checks, _ = _distinct(names, checks)
+        return B.asked(table["bucket"][0].as_py(), B.key48(names), checks, n_blocks)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         model = Filter(packed.value, n_blocks, bits)
         found = [_tokens(data, bounds) for _, data, bounds in T.chunks(table["text"])]
-        keys, checks, _ = _grouped(B.key48(np.concatenate([x[0] for x in found])), np.concatenate([x[1] for x in found]), np.ones(sum(len(x[0]) for x in found), np.uint64))
-        exact = B.answered(answers, len(keys), np.uint64).astype(np.float64)
-        out = [[], [], [], []]
-        for names, second, cuts in found:
-            own = B.key48(names)
-            at, end = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
-            for _ in range(int((end - at).max()) - 1 if len(own) else 0):
-                at = np.where((checks[at] != second) & (at + 1 < end), at + 1, at)
-            c = exact[at]
-            distinct, back = np.unique(names, return_inverse=True)
-            single = model.counts(distinct)[back]
+        words, _, back = _distinct(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
+        exact, told = B.answered(answers, len(words), np.uint64).astype(np.float64), model.counts(words)
+        opening, low, out = model.counts(np.array([_END]))[0], 0, [[], [], [], []]
+        for names, _, cuts in found:
+            own = back[low : low + len(names)]
+            low += len(names)
+            c, single = exact[own], told[own]
             first = np.append(0.0, single[:-1])
-            first[cuts[:-1]] = model.counts(np.array([_END]))[0]
+            first[cuts[:-1]] = opening
             both = np.minimum(model.counts(_pairs(names, cuts)), first)
             own_p = (single + 1) / (n_tokens + n_types + 1)
             p = (both + PRIOR * own_p) / (first + PRIOR)
