@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,32 @@ def test_quality_rules_find_the_covariance_of_the_clean(spark):
     assert kept == {r[0] for r in rows if r[0] % 5}
 
 
+def test_quality_rules_judge_rare_sources_by_their_language(spark):
+    """Sources of 1, 2 and 3 rows beside a large one, and a language of few rows beside a large one: garbage goes, clean rows stay."""
+    rng = random.Random(6)
+    from tests.llm.conftest import word
+
+    places = [("en", "hot")] * 300 + [("en", f"of{n}") for n in (1, 2, 3) for _ in range(n)] + [("fr", "rare")] * 3
+    rows = []
+    for lang, source in places:
+        for wild in (False, True)[: 1 if source == "hot" else 2]:
+            w = [word(rng) for _ in range(rng.randint(60, 200))]
+            own = source + ("-wild" if wild else "")
+            rows.append((len(rows), " ".join(x + "###" for x in w) if wild else " ".join(w), lang, own))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_rules.judged(frame).where("kept").collect()}
+    assert kept == {r[0] for r in rows if not r[3].endswith("wild")}
+
+
+def test_quality_rules_invert_any_few_rows():
+    for n in (1, 2, 3):
+        x = np.random.default_rng(n).random((n, 5)) * 5
+        found = quality_rules._estimate(x.mean(0), np.cov(x.T, bias=True) if n > 1 else np.zeros((5, 5)), 1.0)
+        scaled = np.array(found["precision"]).reshape(5, 5) * np.outer(quality_rules._FLOOR, quality_rules._FLOOR)
+        values = np.linalg.eigvalsh(scaled)
+        assert values.min() > 0 and values.max() < 1 + 1e-9
+
+
 def test_lm_score(docs, rows, small_buckets):
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     out = sorted((tuple(r) for r in lm_score.scored(docs).select(*columns).collect()), key=repr)

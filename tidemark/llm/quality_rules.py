@@ -5,14 +5,17 @@ Per group of language and source the minimum covariance determinant estimate is
 concentration steps over all documents: distances from the present estimate are counted in
 fine bins together with the sums and cross sums of their vectors, so one aggregation tells
 which bins hold the nearest ``COVER`` of the group and what their mean and covariance are.
-The start is each statistic's median and quartile range. A group with fewer rows than
-``MIN_ROWS`` uses its language's estimate, or that of all. A document whose squared
-Mahalanobis distance exceeds the chi-square quantile ``1 - TAIL`` is rejected.
+The start is each statistic's median and quartile range. A group with fewer rows (with
+words) than ``MIN_ROWS`` uses its language's estimate, or that of all; to these every row of
+the language, or of the table, counts, also those of groups large enough for their own.
+A document whose squared Mahalanobis distance exceeds the chi-square quantile ``1 - TAIL``
+is rejected. A whole table of fewer rows than ``MIN_ROWS`` has only itself to go by.
 
 Statistics are whole multiples of 1/4096, so their sums are exact and every run, however
-partitioned, gives the same verdicts. Standard deviations have floors (``FEATURES``), since
-most documents have no symbols or repeats at all, and short ones vary more. Groups are
-partial sums before any shuffle: a source of a third of all rows costs one row per task and bin.
+partitioned, gives the same verdicts. Standard deviations have floors (``FEATURES``) in every
+direction, since most documents have no symbols or repeats at all, and short ones vary more.
+Groups are partial sums before any shuffle: a source of a third of all rows costs one row per
+task and bin, at each level.
 
 Defined results: NULL and empty texts, and texts of blanks, have no words and fail. NULL
 languages and sources are groups of their own. Repeated rows count each. An empty table
@@ -145,11 +148,10 @@ def _chi2_quantile(p: float, d: int) -> float:
 
 
 def _estimate(mean: np.ndarray, covariance: np.ndarray, factor: float) -> dict:
-    """Centre and precision, with standard deviations raised to their floors."""
-    covariance = covariance * factor
-    lift = np.maximum(0, _FLOOR**2 - np.diag(covariance))
-    covariance = covariance + np.diag(lift)
-    return {"centre": mean.tolist(), "precision": np.linalg.inv(covariance).reshape(-1).tolist()}
+    """Centre and precision. In units of the floors no direction's spread is below one, so any few rows have an inverse."""
+    spread, axes = np.linalg.eigh(covariance * factor / np.outer(_FLOOR, _FLOOR))
+    precision = (axes / np.maximum(spread, 1.0)) @ axes.T / np.outer(_FLOOR, _FLOOR)
+    return {"centre": mean.tolist(), "precision": precision.reshape(-1).tolist()}
 
 
 def _start(rows: pd.DataFrame) -> pd.DataFrame:
@@ -188,25 +190,39 @@ def _distance() -> Column:
     return sum((F.get("precision", F.lit(i * _D + j)) * x[i] * x[j] for i in range(_D) for j in range(_D)), F.lit(0.0))
 
 
+def _name(level: int, *columns: str) -> Column:
+    return F.to_json(F.struct(F.lit(level).alias("of"), *columns))
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
-    """``group``: language and source, or the language, or all, whichever has enough rows first."""
-    names = [
-        F.to_json(F.struct(F.lit(2).alias("of"), "lang", "source")), F.to_json(F.struct(F.lit(1).alias("of"), "lang")), F.lit("all"),
-    ]
-    for i, name in enumerate(names[:2]):
-        rows = rows.withColumn(f"__g{i}", name)
-        large = rows.groupBy(f"__g{i}").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS).select(F.col(f"__g{i}").alias(f"__l{i}"))
-        rows = rows.join(large, F.col(f"__g{i}") == F.col(f"__l{i}"), "left")
-    return rows.withColumn("group", F.coalesce("__l0", "__l1", names[2])).drop("__g0", "__g1", "__l0", "__l1")
+    """``group``, by which a row is judged: its language and source, or its language, or all, whichever has enough
+    rows with words first. ``groups``: all those by which any row is judged and to which this one belongs."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("__pair", _name(2, "lang", "source"))
+    pairs = rows.groupBy("__pair", _name(1, "lang").alias("__lang")).agg(F.count(F.when(F.col("n_words") > 0, 1)).alias("n"))
+    pairs = kept(spark, pairs, "pairs")
+    langs = pairs.groupBy(F.col("__lang").alias("__of")).agg(F.sum("n").alias("in_lang"), F.min("n").alias("least"))
+    whole = langs.agg((F.min("in_lang") < MIN_ROWS).alias("any_small"))
+    pairs = pairs.join(langs, F.col("__lang") == F.col("__of")).crossJoin(F.broadcast(whole))
+    own, lang, every = F.col("n") >= MIN_ROWS, F.col("in_lang") >= MIN_ROWS, F.lit("all")
+    asked = F.array(
+        F.when(own, F.col("__pair")), F.when(lang & (F.col("least") < MIN_ROWS), F.col("__lang")), F.when(F.col("any_small"), every),
+    )
+    pairs = pairs.select(
+        F.col("__pair").alias("__p"), F.when(own, F.col("__pair")).when(lang, F.col("__lang")).otherwise(every).alias("group"),
+        F.array_compact(asked).alias("groups"),
+    )
+    return rows.join(pairs, F.col("__pair") == F.col("__p")).drop("__pair", "__p")
 
 
 def estimates(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """One row per group: the centre and the precision matrix of its estimate."""
-    parts = rows.select("group", F.posexplode("x").alias("k", "v")).groupBy("group", "k", (F.floor(F.col("v") / 16)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """One row per group: the centre and the precision matrix of its estimate, to which each row of it counts."""
+    parts = rows.select("groups", F.posexplode("x").alias("k", "v")).groupBy("groups", "k", (F.floor(F.col("v") / 16)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select(F.explode("groups").alias("group"), "k", "bin", "n").groupBy("group", "k", "bin").agg(F.sum("n").alias("n"))
     params = kept(spark, parts.groupBy("group").applyInPandas(_start, _PARAMS), "estimates")
     pairs = [(i, j) for i in range(_D) for j in range(i, _D)]
     for _ in range(STEPS):
-        near = rows.join(params, "group").select("group", "x", F.floor(16 * F.log2(1 + F.greatest(_distance(), F.lit(0.0)))).alias("bin"))
+        near = rows.select(F.explode("groups").alias("group"), "x").join(params, "group").select("group", "x", F.floor(16 * F.log2(1 + F.greatest(_distance(), F.lit(0.0)))).alias("bin"))
         sums = near.groupBy("group", "bin").agg(
             F.count(F.lit(1)).alias("n"),
             F.array(*[F.sum(F.get("x", F.lit(i))) for i in range(_D)]).alias("sums"),
