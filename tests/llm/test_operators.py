@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tidemark.llm import (
-    exact_dedup, line_dedup, lm_score, mixing, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, url_filter,
+    exact_dedup, line_dedup, lm_score, mixing, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, tokens, url_filter,
 )
 
 
@@ -166,6 +166,19 @@ def test_lm_score_keeps_its_filter_bounded(docs, rows, small_buckets):
     assert out == Counter(r[:5] for r in brute.scores(texts(rows)))
 
 
+def test_lm_score_filter_grows_with_its_ngrams(spark, monkeypatch):
+    """A part holds every n-gram of its block, also those seen once, and few others, whatever their number."""
+    monkeypatch.setattr(lm_score, "LEAST_BITS", 1024)
+    for n in (50, 20_000):
+        frame = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k, k + 10)),) for k in range(0, n, 10)], "text string")
+        (part,) = lm_score.filter_parts(frame, "text", 1).collect()
+        names = tokens.word_names(*(lambda d: (d, *tokens.words(d, np.array([0, len(d)]))[:2]))(np.frombuffer(" ".join(f"w{i}" for i in range(n)).encode(), np.uint8)))
+        assert part.least == 1 and (lm_score.levels_of(part.bits, names >> np.uint64(16)) > 0).all()
+        assert len(part.bits) * 8 >= 2 * n * lm_score.MEMBER_BITS
+        others = lm_score.T.mix(np.arange(10_000, dtype=np.uint64)) >> np.uint64(16)
+        assert (lm_score.levels_of(part.bits, others) > 0).mean() < 0.05
+
+
 def test_sentencepiece(docs, rows):
     import sentencepiece
 

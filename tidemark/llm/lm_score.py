@@ -3,15 +3,16 @@
 Counts of the words and word pairs of all training documents are gathered by Spark, in
 blocks of their key space. Each block builds its part of one filter: a count ``c`` enters as
 the members (n-gram, 1) ... (n-gram, q) with ``q = 1 + floor(log(c) / log(BASE))``, and
-comes back as the largest q of which all members are found. The filter has a fixed number
-of bits and is broadcast; so that it stays sharp whatever the corpus, a block leaves out
-n-grams below the least count at which its members fit (a model's usual count cutoff).
-A pair is scored by its quantised count over its first word's, with the second word's
+comes back as the largest q of which all members are found. A part has ``MEMBER_BITS`` bits
+for each of its own members, so the filter grows with the corpus and no n-gram is left out.
+No task holds more than one part: buckets of texts ask the parts for their distinct n-grams.
+Only who gives ``filter_bits`` gets a filter of so many bits in all, whose parts leave out
+n-grams below the least count at which their members fit (a model's usual count cutoff). A pair is scored by its quantised count over its first word's, with the second word's
 own probability as a prior of weight ``PRIOR``:
 
     P(w) = (c(w) + 1) / (N + V + 1)        P(w | v) = (min(c(v w), c(v)) + PRIOR P(w)) / (c(v) + PRIOR)
 
-The base score needs exact counts, which the filter does not give: buckets of texts ask the
+The base score needs exact counts, which the filter does not give: the buckets also ask the
 vocabulary, kept as a table in blocks, for their distinct words.
 
 Defined results: NULL and empty texts are the end token alone. A NULL id is never held out.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ from tidemark.llm.graph import kept
 from tidemark.llm.native import quoted
 
 FOLDS, HELD = 7, 2
-#: Size of the filter and the bits that a member should have.
-FILTER_BITS, MEMBER_BITS, PROBES = 1 << 28, 10, 5
+#: Bits that a member has at least, how many of them it sets, and the least bits of all parts together.
+MEMBER_BITS, PROBES, LEAST_BITS = 10, 5, 1 << 28
 BASE, PRIOR = 1.5, 4.0
 MAX_BLOCKS = 1 << 14
 _SLICE = 6 << 20
@@ -128,11 +130,11 @@ def _places(keys: np.ndarray, level: np.ndarray | int, bits: int) -> Iterator[np
     h = T.mix(keys ^ T.mix(np.asarray(level, np.uint64).reshape(-1) + _SEED))
     step = (h >> np.uint64(32)) | np.uint64(1)
     for i in range(PROBES):
-        yield (h + step * np.uint64(i)) & np.uint64(bits - 1)
+        yield (h + step * np.uint64(i)) % np.uint64(bits)
 
 
-def filter_parts(training: DataFrame, text: str, n_blocks: int, bits: int) -> DataFrame:
-    """block, bits: each block's part of the filter over words and pairs; least: the smallest count it holds."""
+def filter_parts(training: DataFrame, text: str, n_blocks: int, bits: int | None = None) -> DataFrame:
+    """block, bits: each block's part of the filter over words and pairs, as large as its members need, or of ``bits``; least: the smallest count it holds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,6 +143,8 @@ def filter_parts(training: DataFrame, text: str, n_blocks: int, bits: int) -> Da
                 keys, counts = np.unique(B.key48(np.append(names, _pairs(names, cuts))), return_counts=True)
                 yield from B.asked(0, keys, counts.astype(np.uint32), n_blocks).to_batches()
 
+    least_size = max(1024, LEAST_BITS // n_blocks // 8 * 8)
+
     def build(table: pa.Table) -> pa.Table:
         _, keys, _, counts = B._of_block(table, n_blocks, np.uint32)
         order = np.argsort(keys, kind="stable")
@@ -151,12 +155,13 @@ def filter_parts(training: DataFrame, text: str, n_blocks: int, bits: int) -> Da
         # Members of all n-grams of a count or more; the least count at which they fit.
         values, at = np.unique(counts, return_inverse=True)
         members = np.cumsum(np.bincount(at, levels)[::-1])[::-1]
-        fit = np.flatnonzero(members * MEMBER_BITS <= bits)
+        size = bits or max(least_size, -(-int(members[0]) * MEMBER_BITS // 8) * 8)
+        fit = np.flatnonzero(members * MEMBER_BITS <= size)
         least = int(values[fit[0]]) if len(fit) else int(values[-1]) + 1
         keys, levels = keys[counts >= least], levels[counts >= least]
-        part = np.zeros(bits, bool)
+        part = np.zeros(size, bool)
         for level in range(1, int(levels.max()) + 1 if len(levels) else 1):
-            for place in _places(keys[levels >= level], level, bits):
+            for place in _places(keys[levels >= level], level, size):
                 part[place.astype(np.int64)] = True
         return pa.table({"block": table["block"][:1], "bits": pa.array([np.packbits(part).tobytes()]), "least": pa.array([least], pa.int64())})
 
@@ -164,36 +169,38 @@ def filter_parts(training: DataFrame, text: str, n_blocks: int, bits: int) -> Da
     return asks.groupBy("block").applyInArrow(build, "block int, bits binary, least bigint")
 
 
-class Filter:
-    """All parts of the filter, end to end."""
+def levels_of(part: bytes, keys: np.ndarray) -> np.ndarray:
+    """The n-grams' quantised counts as a part of the filter has them, 0 for what it does not hold."""
+    data, open_ = np.frombuffer(part, np.uint8), np.arange(len(keys))
+    levels = np.zeros(len(keys), np.uint8)
+    level = 0
+    while len(open_):
+        level += 1
+        h = T.mix(keys[open_] ^ T.mix(np.array([level], np.uint64) + _SEED))
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        for i in range(PROBES):
+            place = ((h + step * np.uint64(i)) % np.uint64(len(data) * 8)).astype(np.int64)
+            hit = (data[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+            open_, h, step = open_[hit], h[hit], step[hit]
+        levels[open_] = level
+    return levels
 
-    def __init__(self, data: bytes, n_blocks: int, bits: int):
-        self.data, self.n_blocks, self.bits = np.frombuffer(data, np.uint8), n_blocks, bits
 
-    def counts(self, names: np.ndarray) -> np.ndarray:
-        """The n-grams' counts as the filter has them, 0 for what it does not hold."""
-        keys = B.key48(names)
-        # The block of a key: n_blocks is at most 2^14, so this stays within 64 bits.
-        start = (keys * np.uint64(self.n_blocks) >> np.uint64(B.KEY_BITS)).astype(np.int64) * self.bits
-        levels, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        while len(open_):
-            level = int(levels[open_[0]]) + 1
-            h = T.mix(keys[open_] ^ T.mix(np.array([level], np.uint64) + _SEED))
-            step = (h >> np.uint64(32)) | np.uint64(1)
-            for i in range(PROBES):
-                place = start[open_] + ((h + step * np.uint64(i)) & np.uint64(self.bits - 1)).astype(np.int64)
-                hit = (self.data[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-                open_, h, step = open_[hit], h[hit], step[hit]
-            levels[open_] = level
-        return np.where(levels > 0, BASE ** (levels - 0.5), 0.0)
+def told(levels: np.ndarray) -> np.ndarray:
+    return np.where(levels > 0, BASE ** (levels.astype(np.float64) - 0.5), 0.0)
 
 
-def _counts_of(asks: DataFrame, words: DataFrame, n_blocks: int) -> DataFrame:
-    """The exact counts of the words asked about."""
+def _counts_of(asks: DataFrame, words: DataFrame, parts: DataFrame, n_blocks: int) -> DataFrame:
+    """The exact counts of the words asked about, and, of blocks from ``n_blocks`` on, the levels of the n-grams."""
 
     def look_up(table: pa.Table, known: pa.Table) -> pa.Table:
         if not len(table):
             return pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "answer": pa.array([], pa.binary())})
+        if table["block"][0].as_py() >= n_blocks:
+            own = table.set_column(0, "block", pc.subtract(table["block"], pa.scalar(n_blocks, pa.int32())))
+            buckets, keys, lengths, _ = B._of_block(own, n_blocks, np.uint8)
+            said = levels_of(known["bits"][0].as_py(), keys) if len(known) else np.zeros(len(keys), np.uint8)
+            return B._answers(table, buckets, lengths, said)
         buckets, keys, lengths, checks = B._of_block(table, n_blocks, np.uint64)
         said = np.zeros(len(keys), np.uint64)
         if len(known):
@@ -205,10 +212,14 @@ def _counts_of(asks: DataFrame, words: DataFrame, n_blocks: int) -> DataFrame:
                 said[hit] = counts[here[hit]]
         return B._answers(table, buckets, lengths, said)
 
-    return asks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(look_up, B.ANSWER)
+    nothing = F.lit(None).cast("binary")
+    stored = words.select("block", "keys", "checks", "counts", nothing.alias("bits")).unionByName(
+        parts.select((F.col("block") + n_blocks).alias("block"), *[nothing.alias(c) for c in ("keys", "checks", "counts")], "bits")
+    )
+    return asks.groupBy("block").cogroup(stored.groupBy("block")).applyInArrow(look_up, B.ANSWER)
 
 
-def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", filter_bits: int | None = None) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
@@ -217,32 +228,35 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", filte
     training = docs.where(~held_out(F.col("doc_id")))
     words = kept(spark, vocabulary(training, "text", n_blocks), "vocabulary")
     n_types, n_tokens = (x or 0 for x in words.agg(F.sum("n_types"), F.sum("n_tokens")).first())
-    # A power of two for each block.
-    bits = max(1024, 1 << (filter_bits // n_blocks).bit_length() - 1)
-    # Fixed in size: filter_bits in all.
-    parts = {row.block: bytes(row.bits) for row in filter_parts(training, "text", n_blocks, bits).collect()}
-    packed = spark.sparkContext.broadcast(b"".join(parts.get(i, bytes(bits // 8)) for i in range(n_blocks)))
+    parts = filter_parts(training, "text", n_blocks, filter_bits and max(1024, filter_bits // n_blocks // 8 * 8))
     dealt = B.by_hash(docs, doc_id="doc_id", text="text", total=total, size=_SLICE)
 
     def ask(table: pa.Table) -> pa.Table:
-        found = [_tokens(data, bounds)[:2] for _, data, bounds in T.chunks(table["text"])]
-        names, checks = (np.concatenate(x) for x in zip(*found))
-        names, checks, _ = _distinct(names, checks)
-        return B.asked(table["bucket"][0].as_py(), B.key48(names), checks, n_blocks)
+        found = [_tokens(data, bounds) for _, data, bounds in T.chunks(table["text"])]
+        names, checks, _ = _distinct(*(np.concatenate([x[i] for x in found]) for i in (0, 1)))
+        grams = np.unique(B.key48(np.concatenate([names] + [_pairs(x[0], x[2]) for x in found])))
+        bucket = table["bucket"][0].as_py()
+        more = B.asked(bucket, grams, np.zeros(len(grams), np.uint8), n_blocks)
+        more = more.set_column(0, "block", pc.add(more["block"], pa.scalar(n_blocks, pa.int32())))
+        return pa.concat_tables([B.asked(bucket, B.key48(names), checks, n_blocks), more])
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        model = Filter(packed.value, n_blocks, bits)
         found = [_tokens(data, bounds) for _, data, bounds in T.chunks(table["text"])]
         words, _, back = _distinct(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
-        exact, told = B.answered(answers, len(words), np.uint64).astype(np.float64), model.counts(words)
-        opening, low, out = model.counts(np.array([_END]))[0], 0, [[], [], [], []]
+        pairs = [_pairs(names, cuts) for names, _, cuts in found]
+        grams, place = np.unique(B.key48(np.concatenate([words] + pairs)), return_inverse=True)
+        late = pc.greater_equal(answers["block"], n_blocks)
+        exact = B.answered(answers.filter(pc.invert(late)), len(words), np.uint64).astype(np.float64)
+        quantity = told(B.answered(answers.filter(late), len(grams)))[place]
+        of_word, of_pair = quantity[: len(words)], quantity[len(words) :]
+        opening, low, out = of_word[back[found[0][2][1] - 1]], 0, [[], [], [], []]  # a text's last token is the end
         for names, _, cuts in found:
             own = back[low : low + len(names)]
-            low += len(names)
-            c, single = exact[own], told[own]
+            c, single = exact[own], of_word[own]
             first = np.append(0.0, single[:-1])
             first[cuts[:-1]] = opening
-            both = np.minimum(model.counts(_pairs(names, cuts)), first)
+            both = np.minimum(of_pair[low : low + len(names)], first)
+            low += len(names)
             own_p = (single + 1) / (n_tokens + n_types + 1)
             p = (both + PRIOR * own_p) / (first + PRIOR)
             out[0].append(np.diff(cuts))
@@ -255,7 +269,7 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", filte
             "train_tokens": pa.array(np.full(len(n), n_tokens), pa.int64()), "base_score": pa.array(base), "score": pa.array(total_score),
         })
 
-    answers = _counts_of(dealt.groupBy("bucket").applyInArrow(ask, B.ASK), words, n_blocks)
+    answers = _counts_of(dealt.groupBy("bucket").applyInArrow(ask, B.ASK), words, parts, n_blocks)
     result = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, _RESULT)
     return result.withColumn("held_out", held_out(F.col("doc_id")))
 
