@@ -9,7 +9,7 @@ against brute force one by one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec
@@ -38,9 +38,19 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids."""
+    """doc_id, lang, source, slot, n_tokens, ids. Rows in order of ``slot`` are the mix; readers do not keep the order of files.
+
+    Rows that share id and source take their slots by text length, as the mix numbers them.
+    """
     done = sentencepiece_codec.encoded(docs.select("doc_id", "lang", "source", "text"))
-    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    done = done.select("doc_id", "lang", "source", "ids", F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), F.xxhash64("text").alias("hash"))
+    done = done.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("chars", "hash")))
+    slots = mixing.mixed(docs).select(
+        F.col("doc_id").alias("id"), F.col("source").alias("of"), "slot",
+        F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("slot")).alias("place"),
+    )
+    done = done.join(slots, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("nth") == F.col("place")))
+    return done.select("doc_id", "lang", "source", "slot", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from tests.llm import brute
-from tidemark.llm import quality_rules, sentencepiece_codec
+from tidemark.llm import mixing, quality_rules, sentencepiece_codec
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
@@ -46,3 +46,22 @@ def test_stages(spark, tmp_path):
     own = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     assert {i: list(r.ids) for i, r in done.items()} == {i: own.encode(r.text) for i, r in mixed.items()}
     assert Counter(r.doc_id for r in P.run(spark, SF).collect()) == Counter(list(done))
+
+
+def test_result_keeps_the_mix(spark):
+    """Prefixes of the result by slot are less than one block away from the weights; rows without an id of their own have their own slots."""
+    import corpus_pipeline as P
+
+    rows = [(i if i % 9 else None, "en", f"s{i % 3 if i % 2 else 0}", "word " * (900 + i % 50)) for i in range(900)]
+    docs = spark.createDataFrame(rows + rows[:7], "doc_id bigint, lang string, source string, text string").repartition(5)
+    blocks = mixing.mixed(docs).collect()
+    out = P.tokens(spark, docs, SF).select("doc_id", "source", "slot").collect()
+    assert Counter(map(tuple, out)) == Counter((r.doc_id, r.source, r.slot) for r in blocks)
+    share = {r.source: r.units / r.period for r in blocks}
+    owner, last = {r.slot: r.source for r in out}, {}
+    for slot, source in owner.items():
+        last[source] = max(slot, last.get(source, 0))
+    done = Counter()
+    for slot in range(min(last.values()) + 1):
+        done[owner[slot]] += 1
+        assert all(abs(done[s] - w * (slot + 1)) < 1 for s, w in share.items())
