@@ -142,6 +142,22 @@ def test_quality_rules_judge_rare_sources_by_their_language(spark):
     assert kept == {r[0] for r in rows if not r[3].endswith("wild")}
 
 
+def test_quality_rules_reject_an_outlier_of_each_statistic(spark):
+    rng = random.Random(8)
+    from tests.llm.conftest import word
+
+    clean = [" ".join(word(rng) for _ in range(rng.randint(60, 200))) for _ in range(300)]
+    some = ["".join(rng.choice("aeioustrnl") for _ in range(4)) for _ in range(110)]
+    wild = [
+        " ".join(x * 8 for x in some), " ".join(x + "##" for x in some), "\n".join(rng.choice(some[:10]) for _ in range(100)),
+        " ".join(some[:85] + 3 * some[85:90]), " ".join(some).upper(),
+    ]
+    frame = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(clean + wild)], "doc_id bigint, text string, lang string, source string")
+    found = {r.doc_id: r for r in quality_rules.judged(frame).collect()}
+    assert not any(found[i].base_failed for i in range(300, 305))
+    assert {i for i in found if not found[i].kept} == set(range(300, 305))
+
+
 def test_quality_rules_invert_any_few_rows():
     for n in (1, 2, 3):
         x = np.random.default_rng(n).random((n, 5)) * 5

@@ -38,12 +38,13 @@ from tidemark.llm.graph import kept
 from tidemark.llm.native import field, quoted, without
 
 COVER, MIN_ROWS, STEPS, TAIL = 0.75, 200, 6, 1e-4
-#: Statistic and the least standard deviation it is held to.
+#: Statistic and the least standard deviation it is held to: about that of documents which pass the simple limits,
+#: and so small that each statistic's full range (repeated words: sqrt(0.2)) lies well beyond the quantile.
 FEATURES = (
     ("log_word_length", 0.20),
     ("root_symbol_share", 0.06),
-    ("root_repeated_line_share", 0.20),
-    ("root_repeated_word_share", 0.15),
+    ("root_repeated_line_share", 0.11),
+    ("root_repeated_word_share", 0.065),
     ("root_capital_share", 0.10),
 )
 SCALE = 4096
