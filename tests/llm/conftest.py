@@ -13,6 +13,14 @@ def word(rng):
     return "".join(rng.choice("aeioustrnlé") for _ in range(rng.randint(1, 7)))
 
 
+def regular(n):
+    """A Thue-Morse word of a and b: it and its complement have one sum of value * base^i modulo 2^64, for every odd base, from 1024 letters on."""
+    letters = "a"
+    while len(letters) < n:
+        letters += letters.translate(str.maketrans("ab", "ba"))
+    return letters
+
+
 def awkward() -> list[tuple]:
     """Copies, near copies, shared passages and lines, and every odd text the contracts name."""
     rng = random.Random(7)
@@ -29,6 +37,11 @@ def awkward() -> list[tuple]:
         texts.append(" ".join(own))
     texts += [None, None, "", "   \t\n ", "one two three", "one  two\tthree", "\n\n", "é" * 300, "▁ marks ▁▁", "日本語 \x00 x", "ab" * 900]
     texts += [("same words " * 150).strip(), "\n".join(["A SHARED LINE"] * 3), " ".join(word(rng) for _ in range(9000)), "x" * 250 + "y" + "x" * 250]
+    for n in (256, 1024, 4096):
+        one, other = regular(n), regular(n).translate(str.maketrans("ab", "ba"))
+        around = [word(rng) for _ in range(8)]
+        texts += [" ".join(around[:4] + [x] + around[4:]) for x in (one, other)]
+        texts += [f"{one}\n{other}\n{one}", " ".join(prose[4].split(" ")[:19] + [one]), " ".join(prose[4].split(" ")[:19] + [other])]
     rows = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["hot", "hot", "b", None]), len(t or "")) + EXTRA for i, t in enumerate(texts)]
     rows += [rows[3], rows[3], (None, prose[0], "en", "hot", 1) + EXTRA, (None, None, None, None, None) + EXTRA, (2**53 + 1, prose[2], "en", None, 5) + EXTRA]
     return rows

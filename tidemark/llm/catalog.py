@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tidemark.llm import (
-    exact_dedup, line_dedup, lm_score, mixing, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, url_filter,
+    centroid_clusters, exact_dedup, fingerprints, line_dedup, lm_score, mixing, ngram_join, quality_rules, sentencepiece_codec, substring_dedup,
+    suffix_dedup, url_filter, vector_codes,
 )
 
 QUERIES = {
@@ -17,6 +18,9 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_centroid_clusters": centroid_clusters.op11_centroid_clusters,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLE = {
     "op2_url_filter": url_filter.ORACLE,
@@ -26,4 +30,6 @@ ORACLE = {
     "op8_source_mixing": mixing.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
+    "op11_centroid_clusters": centroid_clusters.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }

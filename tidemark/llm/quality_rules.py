@@ -73,7 +73,7 @@ def text_counts(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     has_word = np.append(0, np.cumsum(inside))
     full = has_word[line_end] > has_word[line_start]
     text = np.searchsorted(bounds, line_start[full], "right") - 1
-    prints = T.spans(T.prefix_sums(T._BYTE[data]), line_start[full], line_end[full])
+    prints = T.names_of(data, line_start[full], line_end[full])
     order = np.lexsort((prints, text))
     again = np.append(False, (prints[order][1:] == prints[order][:-1]) & (text[order][1:] == text[order][:-1]))[: len(order)]
     repeated = np.bincount(text[order][again], minlength=len(bounds) - 1)

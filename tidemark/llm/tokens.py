@@ -44,7 +44,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """1, base, base^2, ... (n of them), modulo 2^64; the longest asked for so far is kept."""
-    if len(_POWERS.get(base, ())) < n:
+    if len(_POWERS.get(base, ())) < max(1, n):
         out = np.full(1 << max(10, (n - 1).bit_length()), base, np.uint64)
         out[0] = 1
         _POWERS[base] = np.multiply.accumulate(out)
@@ -95,7 +95,11 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums of ``values[i] * base^i`` before each position: the source of every rolling fingerprint."""
+    """Sums of ``values[i] * base^i`` before each position: the source of rolling fingerprints of windows.
+
+    Only for spans of a fixed length well below 1024, or whose equality is compared afterwards: longer regular
+    ones (Thue-Morse words) have equal sums with every base.
+    """
     out = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * powers(_BASE, len(values)), out=out[1:])
     return out
@@ -107,9 +111,28 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * shift[starts] + (ends - starts).astype(np.uint64) * _ODD)
 
 
+def names_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit name of the bytes of every span; another seed gives names that are independent of these.
+
+    Eight bytes at a time are mixed with their place in the span, and a span's parts summed. Unlike sums of
+    ``value * base^i`` modulo 2^64, which agree for long regular strings whatever the base, no two
+    strings have one name but by chance.
+    """
+    parts = (ends - starts + 7) >> 3
+    at = np.append(0, np.cumsum(parts))
+    place = np.arange(at[-1]) - np.repeat(at[:-1], parts)
+    offset = np.repeat(starts, parts) + 8 * place
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)[offset].view("<u8")[:, 0]
+    left = np.repeat(ends, parts) - offset
+    short = left < 8
+    eight[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+    value = np.append(np.uint64(0), np.cumsum(mix(eight ^ mix((place + (1 + (seed << 32))).astype(np.uint64) * _ODD))))
+    return mix(value[at[1:]] - value[at[:-1]] + (ends - starts).astype(np.uint64) * _ODD)
+
+
 def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit name of every word."""
-    return spans(prefix_sums(_BYTE[data]), starts, ends)
+    return names_of(data, starts, ends)
 
 
 def windows(names: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +149,6 @@ def windows(names: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarra
     return starts, spans(prefix_sums(names), starts, starts + width)
 
 
-def byte_windows(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and fingerprint of every run of ``width`` bytes within one text."""
-    return windows(_BYTE[data], bounds, width)
-
-
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices ``start .. start + length`` of every row, end to end."""
     total = int(lengths.sum())
