@@ -7,7 +7,9 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.errors import StreamingQueryException
 
-from tidemark.operators import deadletter
+from pyspark.sql import functions as F
+
+from tidemark.operators import apply, deadletter
 from tidemark.operators.apply import UnknownSnapshot, list_snapshots
 from tidemark.operators.convergence import convergence
 from tidemark.plans.mirror import Mirror, RebuildRefused
@@ -157,16 +159,16 @@ def test_retry_of_a_batch_is_skipped_and_a_torn_one_repeated(spark, make_feed):
     assert sorted(r["_id"] for r in mirror.state().collect()) == ["a", "b"]
 
 
-def test_many_commits_are_sealed_and_rolled_up_in_blocks(spark, make_feed):
-    mirror = mirror_of(spark, block_commits=2)
+def test_many_commits_are_sealed_and_rolled_up_in_runs(spark, make_feed):
+    mirror = mirror_of(spark, run_commits=2)
     events = [(1, "a", 1), (2, "b", 2), (3, "a", 3), (4, "c", 4), (5, "b", 5)]
     for n, key, value in events:
         assert mirror.apply(make_feed((n, "insert", key, '{"n":%d}' % value)), "s", n) == n
-    assert mirror._block() == 2 and [r["__commit"] for r in mirror.commits().orderBy("__commit").collect()] == [1, 2, 3, 4, 5]
+    assert mirror._sealed() == 2 and [r["__commit"] for r in mirror.commits().orderBy("__commit").collect()] == [1, 2, 3, 4, 5]
     assert mirror.apply(make_feed((5, "insert", "b", '{"n":5}')), "s", 5) == 5
     assert mirror.apply(make_feed((4, "insert", "c", '{"n":4}')), "s", 4) == 4
-    assert [c.path for c in mirror._tail(None).commits] == ["rollups/__block=0", "rollups/__block=1", "changes/__commit=5"]
-    assert [c.path for c in mirror._tail(3).commits] == ["rollups/__block=0", "changes/__commit=3"]
+    assert [c.path for c in mirror._tail(None).pieces] == ["rollups/__level=2/__run=0", "changes/__commit=5"]
+    assert [c.path for c in mirror._tail(3).pieces] == ["rollups/__level=1/__run=0", "changes/__commit=3"]
 
     def seen(version):
         return {(r["_id"], r.n) for r in mirror.state(version).collect()}
@@ -175,7 +177,88 @@ def test_many_commits_are_sealed_and_rolled_up_in_blocks(spark, make_feed):
         {("a", 1)}, {("a", 1), ("b", 2)}, {("a", 3), ("b", 2)}, {("a", 3), ("b", 2), ("c", 4)}, {("a", 3), ("b", 5), ("c", 4)},
     ]
     assert mirror.snapshots().count() == 5 and mirror.write_base() == 5 and seen(None) == seen(5)
-    assert Mirror(spark, mirror.root).block_commits == 2
+    again = Mirror(spark, mirror.root)
+    assert again.run_commits == 2 and again._head()["__commit"] == 5 and again._head().base_at == 5
+
+
+@pytest.mark.parametrize("roll_rows", [10**6, 7])
+def test_counts_and_histories_by_levels_are_those_of_the_whole_log(spark, make_feed, roll_rows):
+    """Late, repeated and rejected events over three levels of runs, with a base amid; runs rolled up or too large for it."""
+    events = random_events(140, keys=8, seed=9)
+    rng = random.Random(4)
+    late = sorted(events, key=lambda e: e[0] + rng.choice([0, 0, 0, 40]))
+    mirror = mirror_of(spark, run_commits=3, roll_rows=roll_rows)
+    for n in range(14):
+        batch = late[n * 10 : n * 10 + 10] + (late[:5] if n == 8 else [])
+        if n == 6:
+            batch = [(1000 + n, "insert", "bad", "no document")]
+        mirror.apply(make_feed(*batch), "s", n)
+        if n == 4:
+            mirror.write_base()
+    fresh = Mirror(spark, mirror.root)
+    log = fresh.changes()
+    assert log.count() == sum(r.rows for r in fresh.commits().collect())
+    want = apply.snapshots(log, fresh.versions(), collapsed=True)
+    for one in (mirror, fresh):
+        assert state(one.snapshots().withColumn("summary", F.to_json("summary"))) == state(want.withColumn("summary", F.to_json("summary")))
+    for key in ("hot", "k3", "nobody"):
+        whole = apply.key_history(log, fresh.versions(), key, collapsed=True)
+        assert state(fresh.history(key)) == state(whole)
+    for version in (1, 3, 5, 6, 9, 14):
+        assert actual_state(fresh, version) == {(r.key, r.amount, r.extra) for r in apply.state_as_of(log, version).collect()}
+
+
+def _read(frame):
+    """The files a plan opens."""
+    return len(frame.inputFiles())
+
+
+def test_files_and_jobs_do_not_grow_with_the_number_of_commits(spark, make_feed):
+    mirror = mirror_of(spark, run_commits=4)
+    tracker, opened, jobs = spark.sparkContext.statusTracker(), {}, {}
+    for n in range(1, 70):
+        spark.sparkContext.setJobGroup(f"commit-{n}", "")
+        mirror.apply(make_feed((n, "insert", f"k{n % 7}", '{"n":%d}' % n)), f"old" if n == 1 else "s", n)
+        jobs[n] = len(tracker.getJobIdsForGroup(f"commit-{n}"))
+        if n in (5, 69):
+            one = Mirror(spark, mirror.root)
+            opened[n] = [_read(one.commits()), _read(one.state()), _read(one.changes("k1")), _read(one.snapshots())]
+    spark.sparkContext.setJobGroup("rest", "")
+    assert all(late <= early + 3 * 3 for early, late in zip(opened[5], opened[69])), opened
+    plain = [jobs[n] for n in range(2, 70) if (n - 1) % 4]
+    assert max(plain) == min(plain), jobs
+    # The one batch of a stream that ended long ago is still known.
+    again = Mirror(spark, mirror.root)
+    assert again.apply(make_feed((1, "insert", "k1", '{"n":1}')), "old", 1) == 1 and again.commits().count() == 69
+
+
+def test_a_run_sealed_before_a_crash_is_gone_on_from(spark, make_feed):
+    mirror = mirror_of(spark, run_commits=2)
+    for n in (1, 2):
+        mirror.apply(make_feed((n, "insert", f"k{n}", '{"n":%d}' % n)), "s", n)
+    mirror._seal(0, mirror.schema())
+    again = Mirror(spark, mirror.root)
+    assert again.apply(make_feed((2, "insert", "k2", '{"n":2}')), "s", 2) == 2
+    assert again.apply(make_feed((3, "insert", "k3", '{"n":3}')), "s", 3) == 3
+    assert Mirror(spark, mirror.root).state().count() == 3 and mirror.snapshots().count() == 3
+
+
+def test_key_lookups_use_sorted_files_with_bloom_filters(spark, make_feed):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    mirror = mirror_of(spark, run_commits=2)
+    for n in range(1, 4):
+        mirror.apply(make_feed(*[(n * 100 + i, "insert", f"k{(i * 7) % 60:02d}", '{"n":%d}' % i) for i in range(60)]))
+    (path,) = glob.glob(f"{mirror._home.removeprefix('file:')}/rollups/__level=1/__run=0/*.parquet")
+    keys = pq.read_table(path).column("_id").to_pylist()
+    assert keys == sorted(keys) and len(keys) == 120
+    plan = mirror.history("k07")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(_id,k07)" in plan
+    with open(path, "rb") as file:
+        assert pq.ParquetFile(file).metadata.row_group(0).column(0).path_in_schema == "_id"
+    assert mirror.history("k07").count() == 3
 
 
 def test_batch_without_events_commits_nothing(spark, make_feed):

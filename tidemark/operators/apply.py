@@ -100,24 +100,27 @@ def snapshot_changes(changes: DataFrame, collapsed: bool = False) -> DataFrame:
             F.count_if(F.col("alive")).alias("added"),
             F.count_if(F.col("__was")).alias("removed"),
         )
-        .select(
-            "commit_id",
-            F.when(F.col("removed") == 0, APPEND)
-            .when(F.col("added") == 0, DELETE)
-            .otherwise(OVERWRITE)
-            .alias("operation"),
-            "added",
-            "removed",
-        )
+        .select("commit_id", snapshot_kind(), "added", "removed")
     )
 
 
+def snapshot_kind() -> Column:
+    """``operation``: what a commit that added and removed so many rows is called."""
+    kind = F.when(F.col("removed") == 0, APPEND).when(F.col("added") == 0, DELETE).otherwise(OVERWRITE)
+    return kind.alias("operation")
+
+
 def snapshots(changes: DataFrame, commits: DataFrame, collapsed: bool = False) -> DataFrame:
     """Snapshot history: id, time, operation and the summary map."""
-    return snapshot_changes(changes, collapsed).join(commits, "commit_id").select(
+    return summarised(snapshot_changes(changes, collapsed).join(commits, "commit_id"))
+
+
+def summarised(counted: DataFrame) -> DataFrame:
+    """The history's columns from each commit's time and counts."""
+    return counted.select(
         F.col("commit_id").alias("snapshot_id"),
         "committed_at",
-        "operation",
+        snapshot_kind(),
         F.create_map(
             F.lit(ADDED), F.col("added").cast("string"), F.lit(REMOVED), F.col("removed").cast("string")
         ).alias("summary"),

@@ -5,28 +5,38 @@
     <root>/epochs/epoch=<e>           marker: the epoch is complete; names its folder
     <folder>/changes/__commit=<n>     one row per key the commit touched
     <folder>/base/__commit=<n>/__bucket=<b>  whole state, deleted keys kept as tombstones
-    <folder>/bases/__commit=<n>       marker of a finished base
+    <folder>/bases/__run=<r>/__commit=<n>    marker of a finished base
     <folder>/dlq/__commit=<n>         rejected documents
-    <folder>/commits/__block=<k>/__commit=<n>  marker, written last: the commit exists
-    <folder>/ledger/__block=<k>       the markers of a full block in one file
-    <folder>/rollups/__block=<k>      the change rows of a full block, one per key
+    <folder>/commits/__run=<r>/__commit=<n>  marker, written last: the commit exists
+    <folder>/ledger/__level=<l>/__run=<r>    the markers of a run of commits in one file
+    <folder>/rollups/__level=<l>/__run=<r>   its change rows, by key, if they are few enough
+    <folder>/runs/__level=<l>/__run=<r>      marker of a sealed run: what it holds in all
 
 A directory without its marker is invisible and is overwritten by the retry that
-takes its number.  Commits are grouped in blocks: a full block's markers are copied
-into the ledger and its change rows rolled up, so that a read opens few files
-however many small commits there are.  A state read is the newest base at or below the version plus
-the change rows after it, so only the tail is aggregated.
+takes its number.
+
+Commits are sealed in runs on levels: a run of level ``l`` is ``run_commits ** l`` commits,
+so any stretch of commits is some runs, their number a logarithm of its length, whose
+paths follow from their numbers alone; no folder that grows with the table's age is
+listed. Sealing copies the markers into one file, adds to them the rows each commit
+added and removed, worked out once, and writes the change rows together, sorted by key
+and with a Bloom filter of the keys, as long as they are no more than ``roll_rows``;
+beyond, the files are large enough to be read one by one. The newest marker carries what
+a writer needs: the last batch of every stream, the newest base and the rows since.
+
+A state read is the newest base at or below the version plus the change rows after it,
+so only the tail is aggregated.
 """
 
 from __future__ import annotations
 
 import json
-
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,10 +51,14 @@ from tidemark.sources.feed import keep_operations
 # Fixed value: the reason of rows that share a key in an initial sync.
 DUPLICATE_REASON = "duplicate document key"
 BUCKETS = 64
-BLOCK = "__block"
-BLOCK_COMMITS = 100
+LEVEL, RUN = "__level", "__run"
+RUN_COMMITS = 32
+ROLL_ROWS = 4_000_000
+ROLL_FILE_ROWS = 1_000_000
 BASE_SHARE = 0.2
 BASE_MIN_ROWS = 1_000_000
+# Keys that a base file's Bloom filter is made for.
+BASE_FILE_KEYS = 1_000_000
 OWN_FIELDS = [
     T.StructField(KEY, T.StringType()),
     T.StructField(SEQ, T.LongType()),
@@ -64,15 +78,34 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField("min_seq", T.LongType()),
         T.StructField("max_seq", T.LongType()),
         T.StructField("cluster_time", T.TimestampType()),
+        # What came before, so that the newest marker is enough to go on from.
+        T.StructField("synced", T.BooleanType()),
+        T.StructField("base_at", T.LongType()),
+        T.StructField("base_rows", T.LongType()),
+        T.StructField("base_max_seq", T.LongType()),
+        T.StructField("tail_rows", T.LongType()),
+        T.StructField(
+            "streams",
+            T.MapType(
+                T.StringType(), T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("commit", T.LongType())])
+            ),
+        ),
     ]
 )
-BASE_SCHEMA = T.StructType(
+LEDGER_SCHEMA = T.StructType(
+    [*COMMIT_SCHEMA.fields, T.StructField("added", T.LongType()), T.StructField("removed", T.LongType())]
+)
+RUN_SCHEMA = T.StructType(
     [
-        T.StructField(COMMIT, T.LongType()),
+        T.StructField("level", T.LongType()),
+        T.StructField("run", T.LongType()),
         T.StructField("rows", T.LongType()),
+        T.StructField("min_seq", T.LongType()),
         T.StructField("max_seq", T.LongType()),
+        T.StructField("rolled", T.BooleanType()),
     ]
 )
+BASE_SCHEMA = T.StructType([T.StructField("rows", T.LongType()), T.StructField("max_seq", T.LongType())])
 DLQ_SCHEMA = T.StructType(
     [
         T.StructField(COMMIT, T.LongType()),
@@ -85,14 +118,12 @@ EPOCH_SCHEMA = T.StructType(
     [
         T.StructField("epoch", T.LongType()),
         T.StructField("buckets", T.IntegerType()),
-        T.StructField("block_commits", T.IntegerType()),
+        T.StructField("run_commits", T.IntegerType()),
+        T.StructField("roll_rows", T.LongType()),
         T.StructField("folder", T.StringType()),
     ]
 )
-LEDGER_SCHEMA = T.StructType([T.StructField(BLOCK, T.LongType()), *COMMIT_SCHEMA.fields])
 TABLES = {
-    "changes": T.StructType([T.StructField(COMMIT, T.LongType()), *OWN_FIELDS]),
-    "bases": BASE_SCHEMA,
     "dlq": DLQ_SCHEMA,
     "dlq_cleared": T.StructType([T.StructField(COMMIT, T.LongType()), T.StructField("rows", T.LongType())]),
 }
@@ -102,61 +133,83 @@ class RebuildRefused(RuntimeError):
     """A destructive step was not confirmed."""
 
 
+@dataclass
+class Piece:
+    """A commit (level 0) or a sealed run, and where its change rows are."""
+
+    level: int
+    run: int
+    rows: int
+    min_seq: int | None
+    max_seq: int | None
+    path: str
+
+
 @dataclass
 class Tail:
-    """What a state read needs: a base or none, and the commits after it."""
+    """What a state read needs: a base or none, and the pieces after it."""
 
     version: int
     schema: T.StructType
     base: Row | None
-    commits: list[Row]
+    pieces: list[Piece]
 
     @property
     def late(self) -> bool:
         """Whether the tail may hold events older than the base."""
         if self.base is None or self.base.max_seq is None:
             return False
-        return any(c.min_seq is not None and c.min_seq <= self.base.max_seq for c in self.commits)
+        return any(p.min_seq is not None and p.min_seq <= self.base.max_seq for p in self.pieces)
 
 
 class Mirror:
     """A table kept equal to its source by applying the change feed."""
 
     def __init__(
-        self, spark: SparkSession, root: str, buckets: int = BUCKETS, block_commits: int = BLOCK_COMMITS
+        self, spark: SparkSession, root: str, buckets: int = BUCKETS, run_commits: int = RUN_COMMITS, roll_rows: int = ROLL_ROWS
     ):
-        """Opens the table at ``root``; the two sizes are used when there is none yet."""
+        """Opens the table at ``root``; the sizes are used when there is none yet."""
+        if run_commits < 2:
+            raise ValueError("a run has two commits at least")
         self.spark = spark
         self.root = root.rstrip("/")
         last = self._epochs().orderBy(F.desc("epoch")).first()
         if last is None:
-            last = self._prepare(1, buckets, block_commits)
+            last = self._prepare(1, buckets, run_commits, roll_rows)
             self._open(last)
         self._use(last)
 
     def _use(self, epoch: Row) -> None:
-        self.epoch, self.buckets, self.block_commits = epoch.epoch, epoch.buckets, epoch.block_commits
+        self.epoch, self.buckets, self.run_commits, self.roll_rows = epoch.epoch, epoch.buckets, epoch.run_commits, epoch.roll_rows
         self._home = f"{self.root}/{epoch.folder}"
+        self._newest: Row | None = None
+        self._sealed_runs = 0
 
     # --- files -----------------------------------------------------------------
 
     def _epochs(self) -> DataFrame:
-        path = f"{self.root}/epochs"
+        return self._read_or_none(EPOCH_SCHEMA, f"{self.root}/epochs") or self.spark.createDataFrame([], EPOCH_SCHEMA)
+
+    def _read_or_none(self, schema: T.StructType, path: str) -> DataFrame | None:
+        """A table that may not be there; finding out is no job."""
         try:
-            return self.spark.read.schema(EPOCH_SCHEMA).parquet(path)
+            return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], EPOCH_SCHEMA)
+            return None
 
-    def _prepare(self, epoch: int, buckets: int, block_commits: int) -> Row:
+    def _marked(self, schema: T.StructType, path: str) -> DataFrame | None:
+        """A marker's row, or None where it was not written to its end."""
+        return self._read_or_none(schema, f"{self._home}/{path}/*.parquet")
+
+    def _prepare(self, epoch: int, buckets: int, run_commits: int, roll_rows: int) -> Row:
         """A new folder with its empty tables; nobody sees it until it is opened."""
         folder = f"epoch-{epoch}-{self.spark.sql('SELECT uuid()').first()[0]}"
         for name, schema in TABLES.items():
             self._empty(f"{folder}/{name}/{COMMIT}=0", schema)
-        self._empty(f"{folder}/commits/{BLOCK}=0/{COMMIT}=0", COMMIT_SCHEMA)
-        self._empty(f"{folder}/ledger/{BLOCK}=-1", LEDGER_SCHEMA)
-        return Row(epoch=epoch, buckets=buckets, block_commits=block_commits, folder=folder)
+        self._empty(f"{folder}/commits/{RUN}=0/{COMMIT}=0", COMMIT_SCHEMA)
+        return Row(epoch=epoch, buckets=buckets, run_commits=run_commits, roll_rows=roll_rows, folder=folder)
 
     def _empty(self, path: str, schema: T.StructType) -> None:
         """A table's first, empty part, so that it can be read before anything is in it."""
@@ -165,7 +218,8 @@ class Mirror:
 
     def _open(self, epoch: Row) -> None:
         schema = T.StructType(EPOCH_SCHEMA.fields[1:])
-        self._mark(f"{self.root}/epochs/epoch={epoch.epoch}", [epoch.buckets, epoch.block_commits, epoch.folder], schema)
+        values = [epoch.buckets, epoch.run_commits, epoch.roll_rows, epoch.folder]
+        self._mark(f"{self.root}/epochs/epoch={epoch.epoch}", values, schema)
 
     def _table(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         return self.spark.read.schema(schema or TABLES[name]).parquet(f"{self._home}/{name}")
@@ -174,45 +228,213 @@ class Mirror:
         """One small file whose appearance makes everything before it visible."""
         self.spark.createDataFrame([values], schema).coalesce(1).write.mode("overwrite").parquet(path)
 
-    # --- commits ---------------------------------------------------------------
+    # --- runs of commits ---------------------------------------------------------
+
+    def _sealed(self) -> int:
+        """How many runs of the first level are sealed, found by asking for ever later ones and then halving."""
+        there = lambda run: self._marked(RUN_SCHEMA, f"runs/{LEVEL}=1/{RUN}={run}") is not None
+        low, step = self._sealed_runs, 1
+        while there(low + step - 1):
+            low, step = low + step, step * 2
+        high = low + step - 1
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if there(middle) else (low, middle)
+        self._sealed_runs = low
+        return low
+
+    def _cover(self, after: int, upto: int) -> list[tuple[int, int]]:
+        """Level and run of the fewest runs, and single commits (level 0), that are the commits ``after + 1 .. upto``."""
+        size, sealed, n, found = self.run_commits, self._sealed_runs * self.run_commits, after, []
+        while n < upto:
+            level = 0
+            while n % size ** (level + 1) == 0 and n + size ** (level + 1) <= min(upto, sealed):
+                level += 1
+            found.append((level, n // size**level))
+            n += size**level
+        return found
+
+    def _open_run(self, run: int) -> DataFrame:
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(f"{self._home}/commits/{RUN}={run}")
+
+    def _markers(self, runs: list[tuple[int, int]]) -> DataFrame:
+        """The commit markers of sealed runs of level 1 and more, one file each."""
+        paths = [f"{self._home}/ledger/{LEVEL}={level}/{RUN}={run}" for level, run in runs]
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], LEDGER_SCHEMA)
+
+    def _head(self) -> Row | None:
+        """The newest commit's marker. A writer knows it; what others wrote since shows by the next marker being there."""
+        known = self._newest
+        if known is not None:
+            number = known[COMMIT]
+            if self._marked(COMMIT_SCHEMA, f"commits/{RUN}={number // self.run_commits}/{COMMIT}={number + 1}") is None:
+                return self._with_base(known)
+        sealed = self._sealed()
+        newest = self._open_run(sealed).orderBy(F.desc(COMMIT)).first()
+        if newest is None and sealed:
+            # The writer ended between sealing a run and its next commit.
+            newest = self._markers([(1, sealed - 1)]).orderBy(F.desc(COMMIT)).first()
+        self._newest = newest
+        return self._with_base(newest) if newest else None
+
+    def _with_base(self, marker: Row) -> Row:
+        """The marker with the base written after its commit, if there is one."""
+        number = marker[COMMIT]
+        if marker.base_at == number:
+            return marker
+        base = self._marked(BASE_SCHEMA, f"bases/{RUN}={(number - 1) // self.run_commits}/{COMMIT}={number}")
+        row = base.first() if base is not None else None
+        if row is None:
+            return marker
+        known = marker.asDict() | {"base_at": number, "base_rows": row.rows, "base_max_seq": row.max_seq, "tail_rows": 0}
+        return Row(**known)
+
+    def _marker(self, version: int | None) -> Row | None:
+        """A commit's marker with its base, the newest without a version."""
+        head = self._head()
+        if head is None or version is None or version == head[COMMIT]:
+            return head
+        if version > head[COMMIT]:
+            return None
+        self._sealed()
+        run = (version - 1) // self.run_commits
+        rows = self._markers([(1, run)]) if run < self._sealed_runs else self._open_run(run)
+        found = rows.where(F.col(COMMIT) == version).first()
+        return self._with_base(found) if found else None
 
-    def commits(self) -> DataFrame:
-        """Every commit marker, those that only set documents aside included."""
-        return self._sealed().drop(BLOCK).unionByName(self._open_block(self._block()))
+    def _pieces(self, after: int, upto: int) -> list[Piece]:
+        """What the commits ``after + 1 .. upto`` hold, in as few pieces as their sizes allow; empty ones are left out.
 
-    def _sealed(self) -> DataFrame:
-        return self._table("ledger", LEDGER_SCHEMA)
+        A run too large to be rolled up is looked at again in its parts.
+        """
+        self._sealed()
+        wanted, found = self._cover(after, upto), []
+        while wanted:
+            runs = [f"{self._home}/runs/{LEVEL}={level}/{RUN}={run}" for level, run in wanted if level]
+            singles = sorted({run // self.run_commits for level, run in wanted if not level})
+            commits = [run + 1 for level, run in wanted if not level]
+            shown = []
+            if runs:
+                shown.append(self.spark.read.schema(RUN_SCHEMA).parquet(*runs).withColumn("path", F.lit("")))
+            if singles:
+                markers = self._markers([(1, r) for r in singles if r < self._sealed_runs])
+                for run in singles:
+                    markers = markers.unionByName(self._open_run(run)) if run >= self._sealed_runs else markers
+                shown.append(
+                    markers.where(F.col(COMMIT).between(min(commits), max(commits)) & F.col(COMMIT).isin(*commits)).select(
+                        F.lit(0).cast("bigint").alias("level"), (F.col(COMMIT) - 1).alias("run"), "rows", "min_seq", "max_seq",
+                        F.lit(True).alias("rolled"), "path",
+                    )
+                )
+            wanted = []
+            for row in reduce(DataFrame.unionByName, shown).collect():
+                if row.rolled and row.rows:
+                    path = row.path or f"rollups/{LEVEL}={row.level}/{RUN}={row.run}"
+                    found.append(Piece(row.level, row.run, row.rows, row.min_seq, row.max_seq, path))
+                elif row.rows:
+                    wanted += [(row.level - 1, row.run * self.run_commits + i) for i in range(self.run_commits)]
+        return sorted(found, key=lambda p: p.run * self.run_commits**p.level)
+
+    def _log(self, pieces: list[Piece], schema: T.StructType, key: str | None = None) -> DataFrame:
+        """All change rows of some pieces with their commit. A key is looked for by range and Bloom filter of the sorted files."""
+        whole = T.StructType([*OWN_FIELDS, *schema.fields, T.StructField(COMMIT, T.LongType())])
+        rolled = [f"{self._home}/{p.path}" for p in pieces if p.level]
+        singles = [f"{self._home}/{p.path}" for p in pieces if not p.level]
+        logs = []
+        if rolled:
+            logs.append(self.spark.read.schema(whole).parquet(*rolled))
+        if singles:
+            logs.append(self.spark.read.schema(whole).option("basePath", f"{self._home}/changes").parquet(*singles))
+        log = reduce(DataFrame.unionByName, logs) if logs else self.spark.createDataFrame([], whole)
+        return log if key is None else log.where(F.col(KEY) == key)
+
+    def _seal(self, run: int, schema: T.StructType) -> None:
+        """Makes one file of a full run's markers, with their counts, one table of its change rows, and so for the runs that it completes."""
+        first = run * self.run_commits
+        markers = self._open_run(run)
+        pieces = self._pieces(first, first + self.run_commits)
+        counts = self._counts(pieces, first, schema).withColumnRenamed("commit_id", COMMIT)
+        whole = markers.drop("added", "removed").join(F.broadcast(counts), COMMIT, "left")
+        synced = F.col("path").startswith("base/")
+        whole = whole.withColumns({"added": F.when(synced, F.col("rows")).otherwise(F.col("added")), "removed": F.when(synced, 0).otherwise(F.col("removed"))})
+        self._one_file(whole.select(*LEDGER_SCHEMA.names).orderBy(COMMIT), f"ledger/{LEVEL}=1/{RUN}={run}")
+        marks = [self._rolled(1, run, pieces, schema)]
+        level, last = 1, run
+        while (last + 1) % self.run_commits == 0:
+            level, last = level + 1, last // self.run_commits
+            parts = [(level - 1, last * self.run_commits + i) for i in range(self.run_commits)]
+            # The stream positions are of use in the newest marker alone.
+            together = self._markers(parts).withColumn("streams", F.lit(None).cast(COMMIT_SCHEMA["streams"].dataType))
+            self._one_file(together.orderBy(COMMIT), f"ledger/{LEVEL}={level}/{RUN}={last}")
+            below = [f"{self._home}/runs/{LEVEL}={lower}/{RUN}={i}" for lower, i in parts[:-1]]
+            rows = [*self.spark.read.schema(RUN_SCHEMA).parquet(*below).collect(), marks[-1]]
+            held = [Piece(r.level, r.run, r.rows, r.min_seq, r.max_seq, f"rollups/{LEVEL}={r.level}/{RUN}={r.run}") for r in rows if r.rows]
+            marks.append(self._rolled(level, last, held, schema, all(r.rolled for r in rows)))
+        self._empty(f"{self._home}/commits/{RUN}={run + 1}/{COMMIT}=0".removeprefix(f"{self.root}/"), COMMIT_SCHEMA)
+        # The first level's marker comes last and makes all of them visible.
+        for mark in reversed(marks):
+            self._mark(f"{self._home}/runs/{LEVEL}={mark.level}/{RUN}={mark.run}", list(mark), RUN_SCHEMA)
+
+    def _one_file(self, rows: DataFrame, path: str) -> None:
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self._home}/{path}")
+
+    def _rolled(self, level: int, run: int, pieces: list[Piece], schema: T.StructType, parts_are: bool = True) -> Row:
+        """Writes a run's change rows together, by key, if they are few; what the run holds either way."""
+        held = [p for p in pieces if p.path.startswith(("changes/", "rollups/"))]
+        rows = sum(p.rows for p in held)
+        rolled = parts_are and rows <= self.roll_rows
+        if rolled and rows:
+            files = -(-rows // ROLL_FILE_ROWS)
+            log = self._log(held, schema)
+            log = log.repartitionByRange(files, KEY) if files > 1 else log.coalesce(1)
+            _bloomed(log.sortWithinPartitions(KEY, COMMIT).write, rows).parquet(f"{self._home}/rollups/{LEVEL}={level}/{RUN}={run}")
+        seqs = [s for p in held for s in (p.min_seq, p.max_seq) if s is not None]
+        return Row(level=level, run=run, rows=rows, min_seq=min(seqs, default=None), max_seq=max(seqs, default=None), rolled=rolled)
+
+    def _counts(self, pieces: list[Piece], before: int, schema: T.StructType) -> DataFrame:
+        """commit_id, added, removed of single commits, from their rows and what their keys were before."""
+        rows = self._log([p for p in pieces if p.path.startswith("changes/")], T.StructType([]))
+        marker = self._marker(before) if before else None
+        if marker is None and any(p.path.startswith("base/") for p in pieces):
+            # The sync that these commits follow is among them.
+            marker = self._marker(1)
+        if marker is not None:
+            keys = rows.select(KEY).distinct()
+            known = self._rows(self._tail_of(marker), keys).withColumn(COMMIT, F.lit(0).cast("bigint"))
+            rows = rows.unionByName(known.select(*rows.columns))
+        log = rows.select(F.col(COMMIT).alias("commit_id"), F.col(KEY).alias("key"), F.col(SEQ).alias("seq"), F.col(ALIVE).alias("alive"))
+        return apply.snapshot_changes(log, collapsed=True).where("commit_id > 0").select("commit_id", "added", "removed")
 
-    def _block(self) -> int:
-        """The block the next commits go to: the one after the last sealed."""
-        last = self._sealed().agg(F.max(BLOCK)).first()[0]
-        return 0 if last is None else last + 1
+    # --- commits ---------------------------------------------------------------
 
-    def _open_block(self, block: int) -> DataFrame:
-        return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self._home}/commits/{BLOCK}={block}")
+    def commits(self) -> DataFrame:
+        """Every commit marker, those that only set documents aside included."""
+        sealed = self._sealed()
+        runs = self._markers([piece for piece in self._cover(0, sealed * self.run_commits)])
+        return runs.unionByName(self._open_run(sealed))
 
     def versions(self) -> DataFrame:
         """The commits that are snapshots: ``commit_id`` and ``committed_at``."""
         return self.commits().where("rows > 0").select(F.col(COMMIT).alias("commit_id"), "committed_at", "cluster_time")
 
-    def _last(self, stream_id: str | None = None, batch_id: int | None = None) -> Row:
-        """Number and schema of the last commit, and the commit of a given batch.
+    def _replayed(self, head: Row | None, stream_id: str | None, batch_id: int | None) -> tuple[bool, int | None]:
+        """Whether a batch was applied before, and as which commit.
 
-        A batch comes again only as the last of its stream, so the open block and
-        the one sealed before it are enough to look at.
+        Batches of a stream come in order, so one at or below the stream's last was; the
+        newest marker tells for every stream, however long ago.
         """
-        block = self._block()
-        recent = self._sealed().where(F.col(BLOCK) == block - 1).drop(BLOCK).unionByName(self._open_block(block))
-        same = (F.col("stream_id") == F.lit(stream_id)) & (F.col("batch_id") == F.lit(batch_id))
-        return recent.agg(
-            F.max(COMMIT).alias("number"),
-            F.max_by("schema_json", COMMIT).alias("schema_json"),
-            F.max(F.when(same, F.col(COMMIT))).alias("done"),
-        ).first()
+        last = (head.streams or {}).get(stream_id) if head is not None and stream_id is not None else None
+        if last is None or batch_id is None or batch_id > last.batch_id:
+            return False, None
+        if batch_id == last.batch_id:
+            return True, last.commit
+        found = self.commits().where((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)).select(COMMIT).first()
+        return True, found[0] if found else None
 
     def schema(self) -> T.StructType:
         """The document columns as of the last commit."""
-        return _schema(self._last().schema_json)
+        head = self._head()
+        return _schema(head.schema_json if head else None)
 
     def apply(
         self,
@@ -226,23 +448,24 @@ class Mirror:
 
         A batch already committed under the same stream and batch id is skipped.
         """
-        last = self._last(stream_id, batch_id)
-        if last.done is not None:
-            return last.done
-        number = (last.number or 0) + 1
-        known = _schema(last.schema_json)
+        head = self._head()
+        done, number = self._replayed(head, stream_id, batch_id)
+        if done:
+            return number
+        known = _schema(head.schema_json if head else None)
         batch = conform(keep_operations(feed), known, missing_post_image)
         if batch.clean:
-            return self._commit(batch, number, stream_id, batch_id, committed_at)
+            return self._commit(batch, head, stream_id, batch_id, committed_at)
         checked = batch.checked.persist()
         try:
-            return self._commit(batch, number, stream_id, batch_id, committed_at)
+            return self._commit(batch, head, stream_id, batch_id, committed_at)
         finally:
             checked.unpersist()
 
     def _commit(
-        self, batch: Conformed, number: int, stream_id: str | None, batch_id: int | None, committed_at: datetime | None
+        self, batch: Conformed, head: Row | None, stream_id: str | None, batch_id: int | None, committed_at: datetime | None
     ) -> int | None:
+        number = (head[COMMIT] if head else 0) + 1
         at = committed_at or datetime.now(timezone.utc)
         path, rejects = f"changes/{COMMIT}={number}", f"{self._home}/dlq/{COMMIT}={number}"
         good, bad = self._tally(batch)
@@ -266,7 +489,7 @@ class Mirror:
                 F.lit(at).cast("timestamp").alias("dlq_time"), F.struct("reason").alias("err_info"), "doc"
             ).write.mode("overwrite").parquet(rejects)
         self._mark_commit(
-            number,
+            head,
             committed_at=at,
             stream_id=stream_id,
             batch_id=batch_id,
@@ -284,23 +507,27 @@ class Mirror:
         good, bad = F.count_if(F.col("__reason").isNull()), F.count_if(F.col("__reason").isNotNull())
         return tuple(batch.checked.agg(good, bad).first())
 
-    def _mark_commit(self, number: int, **values) -> None:
-        schema = T.StructType(COMMIT_SCHEMA.fields[1:])
-        row = [values.get(name) for name in schema.names]
-        block = (number - 1) // self.block_commits
-        if block and block > self._block():
-            self._seal(block - 1)
-        self._mark(f"{self._home}/commits/{BLOCK}={block}/{COMMIT}={number}", row, schema)
-
-    def _seal(self, block: int) -> None:
-        """Rolls up a full block's changes, copies its markers into one file, prepares the next."""
-        markers = self._open_block(block)
-        own = markers.where((F.col("rows") > 0) & F.col("path").startswith("changes/")).select("path").collect()
-        if own:
-            rows = self._files([row.path for row in own], self.schema())
-            apply.latest(rows, [KEY], SEQ).write.mode("overwrite").parquet(f"{self._home}/rollups/{BLOCK}={block}")
-        self._empty(f"{self._home}/commits/{BLOCK}={block + 1}/{COMMIT}=0".removeprefix(f"{self.root}/"), COMMIT_SCHEMA)
-        markers.coalesce(1).write.mode("overwrite").parquet(f"{self._home}/ledger/{BLOCK}={block}")
+    def _mark_commit(self, head: Row | None, **values) -> None:
+        """Writes the marker after ``head``, carrying on what it tells; seals the run that ``head`` filled before."""
+        number = (head[COMMIT] if head else 0) + 1
+        before = head.asDict() if head else {}
+        if values["path"].startswith("base/"):
+            carried = {"synced": True, "base_at": number, "base_rows": values["rows"], "base_max_seq": values["max_seq"], "tail_rows": 0}
+        else:
+            carried = {name: before.get(name) for name in ("synced", "base_at", "base_rows", "base_max_seq")}
+            carried["tail_rows"] = (before.get("tail_rows") or 0) + values["rows"]
+        streams = {k: (v.batch_id, v.commit) for k, v in (before.get("streams") or {}).items()}
+        if values.get("stream_id") is not None and values.get("batch_id") is not None:
+            streams[values["stream_id"]] = (values["batch_id"], number)
+        whole = {COMMIT: number, **values, **carried, "streams": streams}
+        run = (number - 1) // self.run_commits
+        if run and (number - 1) % self.run_commits == 0 and self._sealed() < run:
+            self._seal(run - 1, _schema(head.schema_json))
+            self._sealed_runs = run
+        row = [whole.get(name) for name in COMMIT_SCHEMA.names]
+        self._mark(f"{self._home}/commits/{RUN}={run}/{COMMIT}={number}", row[1:], T.StructType(COMMIT_SCHEMA.fields[1:]))
+        streams = {k: Row(batch_id=b, commit=c) for k, (b, c) in streams.items()}
+        self._newest = Row(**dict(zip(COMMIT_SCHEMA.names, row)) | {"streams": streams})
 
     def initial_sync(
         self, source: DataFrame, seq: int = 0, committed_at: datetime | None = None, key: str = KEY
@@ -311,7 +538,7 @@ class Mirror:
         those that do not fit, have no key or share one are in the dead-letter queue.
         ``seq`` lies below the feed that follows, so later events win.
         """
-        if self._last().number is not None:
+        if self._head() is not None:
             raise RebuildRefused("the table has commits; syncing again would need rebuild(confirm=True)")
         documents = source.select(*[column(c) for c in source.columns if c != key])
         feed = source.select(
@@ -335,7 +562,7 @@ class Mirror:
             F.lit(at).cast("timestamp").alias("dlq_time"), F.struct("reason").alias("err_info"), "doc"
         ).observe(rejected, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{self._home}/dlq/{COMMIT}=1")
         self._mark_commit(
-            1,
+            None,
             committed_at=at,
             schema_json=batch.schema.json(),
             path=path,
@@ -351,15 +578,9 @@ class Mirror:
     def _write_base(self, rows: DataFrame, path: str) -> int:
         """Clustered by bucket and key: a key lookup opens one bucket and few row groups."""
         seen = Observation()
-        (
-            rows.withColumn(BUCKET, self._bucket(F.col(KEY)))
-            .hint("rebalance", BUCKET)
-            .sortWithinPartitions(BUCKET, KEY)
-            .observe(seen, F.count(F.lit(1)).alias("rows"))
-            .write.mode("overwrite")
-            .partitionBy(BUCKET)
-            .parquet(f"{self._home}/{path}")
-        )
+        clustered = rows.withColumn(BUCKET, self._bucket(F.col(KEY))).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, KEY)
+        counted = clustered.observe(seen, F.count(F.lit(1)).alias("rows"))
+        _bloomed(counted.write, BASE_FILE_KEYS).partitionBy(BUCKET).parquet(f"{self._home}/{path}")
         return seen.get["rows"]
 
     def _bucket(self, key: Column) -> Column:
@@ -367,62 +588,36 @@ class Mirror:
 
     def base_due(self, share: float = BASE_SHARE, min_rows: int = BASE_MIN_ROWS) -> bool:
         """Whether the tail has grown to a share of the base, which makes a new base pay off."""
-        tail = self._tail(None)
-        return sum(c.rows for c in tail.commits) > share * max(tail.base.rows if tail.base else 0, min_rows)
+        head = self._head()
+        return head is not None and (head.tail_rows or 0) > share * max(head.base_rows or 0, min_rows)
 
     def write_base(self) -> int:
         """Writes the state of the last commit as a base, which bounds every later read."""
         tail = self._tail(None)
-        if tail.base is None or tail.base[COMMIT] != tail.version:
-            rows = self._write_base(self._rows(tail), f"base/{COMMIT}={tail.version}")
-            seqs = [row.max_seq for row in [*tail.commits, tail.base] if row and row.max_seq is not None]
-            self._mark(
-                f"{self._home}/bases/{COMMIT}={tail.version}",
-                [rows, max(seqs, default=None)],
-                T.StructType(BASE_SCHEMA.fields[1:]),
-            )
-        return tail.version
+        number = tail.version
+        if tail.base is None or tail.base[COMMIT] != number:
+            rows = self._write_base(self._rows(tail), f"base/{COMMIT}={number}")
+            seqs = [row.max_seq for row in [*tail.pieces, tail.base] if row and row.max_seq is not None]
+            self._mark(f"{self._home}/bases/{RUN}={(number - 1) // self.run_commits}/{COMMIT}={number}", [rows, max(seqs, default=None)], BASE_SCHEMA)
+        return number
 
     # --- reads -----------------------------------------------------------------
 
     def _tail(self, version: int | None) -> Tail:
-        """The base and the later commits a read needs: metadata, bounded by the tail."""
-        upto = version if version is not None else 2**63 - 1
-        if not 1 <= upto <= 2**63 - 1:
+        """The base and the later pieces a read needs."""
+        if version is not None and not 1 <= version <= 2**63 - 1:
             raise UnknownSnapshot(f"no snapshot {version}")
-        block = self._block()
-        opened = self._open_block(block).withColumn(BLOCK, F.lit(None).cast("bigint"))
-        markers = self._sealed().unionByName(opened).where(F.col(COMMIT) <= upto)
-        # An initial sync is a base itself; its commit marker says so.
-        synced = F.col("path").startswith("base/")
-        bases = markers.where(synced).select(COMMIT, "rows", "max_seq")
-        bases = bases.unionByName(self._table("bases").where(F.col(COMMIT) <= upto))
-        base = bases.orderBy(F.desc(COMMIT)).first()
-        after = base[COMMIT] if base else 0
-        # A sealed block that lies wholly in the tail is read from its roll-up.
-        first, last = F.col(BLOCK) * self.block_commits + 1, (F.col(BLOCK) + 1) * self.block_commits
-        whole = F.col(BLOCK).isNotNull() & (first > after) & (last <= upto)
-        piece = F.when(whole, F.concat(F.lit(f"rollups/{BLOCK}="), F.col(BLOCK))).otherwise(F.col("path"))
-        seen = (
-            markers.where((F.col(COMMIT) >= after))
-            .groupBy(piece.alias("path"))
-            .agg(
-                F.max(COMMIT).alias(COMMIT),
-                F.sum("rows").alias("rows"),
-                F.min("min_seq").alias("min_seq"),
-                F.max("max_seq").alias("max_seq"),
-                F.max_by(F.struct("rows", "schema_json"), COMMIT).alias("last"),
-            )
-            .orderBy(COMMIT)
-            .collect()
-        )
-        if not seen or (version is not None and (seen[-1][COMMIT] != version or not seen[-1]["last"].rows)):
+        marker = self._marker(version)
+        if marker is None or (version is not None and not marker.rows):
             raise UnknownSnapshot(f"no snapshot {version}" if version else "the table has no commit yet")
-        tail = [c for c in seen if c.rows and c[COMMIT] > after]
-        return Tail(seen[-1][COMMIT], _schema(seen[-1]["last"].schema_json), base, tail)
+        return self._tail_of(marker)
+
+    def _tail_of(self, marker: Row) -> Tail:
+        base = Row(**{COMMIT: marker.base_at, "rows": marker.base_rows, "max_seq": marker.base_max_seq}) if marker.base_at else None
+        return Tail(marker[COMMIT], _schema(marker.schema_json), base, self._pieces(marker.base_at or 0, marker[COMMIT]))
 
     def _files(self, paths: list[str], schema: T.StructType) -> DataFrame:
-        """Change rows of the given commits; a column a file lacks reads as NULL."""
+        """Change rows of the given pieces; a column a file lacks reads as NULL."""
         return self.spark.read.schema(T.StructType(OWN_FIELDS + schema.fields)).parquet(
             *[f"{self._home}/{p}" for p in paths]
         )
@@ -435,23 +630,28 @@ class Mirror:
             rows = rows.where(F.col(BUCKET) == bucket)
         return rows.drop(BUCKET)
 
-    def _rows(self, tail: Tail, key: str | None = None) -> DataFrame:
-        """One row per key ever seen, tombstones included.
+    def _rows(self, tail: Tail, key: str | DataFrame | None = None) -> DataFrame:
+        """One row per key ever seen, tombstones included; of one key or of a table of keys only, if given.
 
         Base rows are filtered by an anti join against the tail's keys, which Spark
         broadcasts when they are small, so the base is not shuffled.
         """
 
         def only(rows: DataFrame) -> DataFrame:
+            if isinstance(key, DataFrame):
+                return rows.join(key, KEY, "left_semi")
             return rows if key is None else rows.where(F.col(KEY) == key)
 
-        if not tail.commits:
-            return only(self._base_rows(tail, key))
-        changed = only(self._files([c.path for c in tail.commits], tail.schema))
+        bucket = key if isinstance(key, str) else None
+        if not tail.pieces:
+            if tail.base is None:
+                return self.spark.createDataFrame([], T.StructType(OWN_FIELDS + tail.schema.fields))
+            return only(self._base_rows(tail, bucket))
+        changed = only(self._files([p.path for p in tail.pieces], tail.schema))
         newest = apply.latest(changed, [KEY], SEQ)
         if tail.base is None:
             return newest
-        base = only(self._base_rows(tail, key))
+        base = only(self._base_rows(tail, bucket))
         if not tail.late:
             return base.join(changed.select(KEY).distinct(), KEY, "left_anti").unionByName(newest)
         # Some events came after a base that already held newer ones of their key.
@@ -478,19 +678,15 @@ class Mirror:
 
     def changes(self, key: str | None = None) -> DataFrame:
         """The change log of all snapshots: commit_id, key, seq, alive, document columns."""
-        commits = self.commits().where("rows > 0")
-        schema = self.schema()
-        whole = T.StructType([*OWN_FIELDS, *schema.fields, T.StructField(COMMIT, T.LongType())])
-        logs = []
-        synced = commits.where(F.col("path").startswith("base/")).first()
+        head = self._head()
+        schema = _schema(head.schema_json if head else None)
+        synced = bool(head and head.synced)
+        pieces = self._pieces(1 if synced else 0, head[COMMIT]) if head else []
+        log = self._log(pieces, schema, key)
         if synced:
-            first = Tail(synced[COMMIT], schema, synced, [])
-            logs.append(self._base_rows(first, key).withColumn(COMMIT, F.lit(synced[COMMIT]).cast("bigint")))
-        # Directories without a marker are left out; the marker list is small.
-        written = self._table("changes", whole).join(commits.select(COMMIT), COMMIT, "left_semi")
-        log = written.unionByName(logs[0]) if logs else written
-        if key is not None:
-            log = log.where(F.col(KEY) == key)
+            first = Row(**{COMMIT: 1})
+            own = self._base_rows(Tail(1, schema, first, []), key).withColumn(COMMIT, F.lit(1).cast("bigint"))
+            log = log.unionByName(own if key is None else own.where(F.col(KEY) == key))
         return log.select(
             F.col(COMMIT).alias("commit_id"),
             F.col(KEY).alias("key"),
@@ -500,8 +696,22 @@ class Mirror:
         )
 
     def snapshots(self) -> DataFrame:
-        """Snapshot history with the rows each commit added and removed."""
-        return apply.snapshots(self.changes(), self.versions(), collapsed=True)
+        """Snapshot history with the rows each commit added and removed.
+
+        A sealed run's counts are in its markers; only the open run's change rows are read.
+        """
+        head = self._head()
+        sealed = self._sealed()
+        known = self._markers(self._cover(0, sealed * self.run_commits)).where("added IS NOT NULL")
+        listed = known.select(F.col(COMMIT).alias("commit_id"), "committed_at", "added", "removed")
+        first = sealed * self.run_commits
+        if head is not None and head[COMMIT] > first:
+            markers = self._open_run(sealed).where("rows > 0").select(F.col(COMMIT).alias("commit_id"), "committed_at", "rows", "path")
+            synced = markers.where(F.col("path").startswith("base/"))
+            listed = listed.unionByName(synced.select("commit_id", "committed_at", F.col("rows").alias("added"), F.lit(0).cast("bigint").alias("removed")))
+            counts = self._counts(self._pieces(first, head[COMMIT]), first, _schema(head.schema_json))
+            listed = listed.unionByName(markers.select("commit_id", "committed_at").join(counts, "commit_id"))
+        return apply.summarised(listed)
 
     def history(self, key: str) -> DataFrame:
         """How one key looked in each snapshot."""
@@ -528,7 +738,7 @@ class Mirror:
         rows = self.dlq().count()
         if rows:
             schema = T.StructType(TABLES["dlq_cleared"].fields[1:])
-            self._mark(f"{self._home}/dlq_cleared/{COMMIT}={self._last().number}", [rows], schema)
+            self._mark(f"{self._home}/dlq_cleared/{COMMIT}={self._head()[COMMIT]}", [rows], schema)
         return rows
 
     # --- rebuild -----------------------------------------------------------------
@@ -545,7 +755,7 @@ class Mirror:
             raise RebuildRefused("rebuilding replaces the table: call rebuild(source, confirm=True)")
         fresh = Mirror.__new__(Mirror)
         fresh.spark, fresh.root = self.spark, self.root
-        new = self._prepare(self.epoch + 1, self.buckets, self.block_commits)
+        new = self._prepare(self.epoch + 1, self.buckets, self.run_commits, self.roll_rows)
         fresh._use(new)
         fresh.initial_sync(source, seq, committed_at)
         self._open(new)
@@ -553,5 +763,10 @@ class Mirror:
         return self
 
 
+def _bloomed(writer: DataFrameWriter, keys: int) -> DataFrameWriter:
+    """Files that tell which keys they do not hold."""
+    return writer.mode("overwrite").option(f"parquet.bloom.filter.enabled#{KEY}", "true").option(f"parquet.bloom.filter.expected.ndv#{KEY}", str(keys))
+
+
 def _schema(text: str | None) -> T.StructType:
     return T.StructType.fromJson(json.loads(text)) if text else T.StructType([])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -10,9 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.plans.mirror import BASE_MIN_ROWS, BASE_SHARE, Mirror
 
 
-def _stream_id(mirror: Mirror, checkpoint: str) -> str:
-    """The id Spark gave this checkpoint; a new checkpoint is a new stream."""
-    return json.loads(mirror.spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+def _stream_id(mirror: Mirror, checkpoint: str) -> Callable[[], str]:
+    """The id Spark gave this checkpoint, read once it is there; a new checkpoint is a new stream."""
+    return lru_cache(lambda: json.loads(mirror.spark.read.text(f"{checkpoint}/metadata").first()[0])["id"])
 
 
 def follow(
@@ -34,10 +36,12 @@ def follow(
     a constant factor of what changes.  ``once`` drains what is there and stops.
     """
 
+    stream_id = _stream_id(mirror, checkpoint)
+
     def commit(batch: DataFrame, batch_id: int) -> None:
         number = mirror.apply(
             batch,
-            stream_id=_stream_id(mirror, checkpoint),
+            stream_id=stream_id(),
             batch_id=batch_id,
             missing_post_image=missing_post_image,
         )
