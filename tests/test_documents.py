@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
@@ -135,7 +136,9 @@ def test_fields_are_found_at_every_depth(make_feed):
         (1, "insert", "1", '{"a":{"b":[{"c":1.5},{"d":{"$date":"2026-01-01T00:00:00Z"}}]},"e":"x"}'),
         (2, "insert", "2", '{"a":{"b":[]},"f":true,"e":{"$numberDecimal":"1"},"g":{"h":{"i":{"j":{"k":{"l":1}}}}}}'),
     )
-    found, more = observed_fields(read_documents(feed))
+    documents = read_documents(feed).withColumn("_members", conform_module._members(F.col("_doc")))
+    found, more = observed_fields(documents)
+    assert set(found) == set(observed_fields(documents, levels_at_once=2)[0])
     assert not more and {(o.path, o.kind, o.wrapped): o.seq for o in found} == {
         (("a",), "object", False): 1, (("a", "b"), "array", False): 1, (("a", "b", None), "object", False): 1,
         (("a", "b", None, "c"), "double", False): 1, (("a", "b", None, "d"), "timestamp", True): 1, (("e",), "string", False): 1,
@@ -185,11 +188,10 @@ def test_judging_by_form_and_by_value_agree(make_feed, documents):
     events = [(n, "insert", str(n), json.dumps(d)) for n, d in enumerate(documents)]
     feed = make_feed(*events)
     fast = conform(feed)
-    clear, conform_module.UNCLEAR_FORM = conform_module.UNCLEAR_FORM, ".*"
-    try:
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(conform_module, "UNCLEAR_FORM", ".*")
+        patch.setattr(conform_module, "UNCLEAR_SIGNS", ("OBJECT<",))
         slow = conform(feed)
-    finally:
-        conform_module.UNCLEAR_FORM = clear
     assert fast.schema == slow.schema
     assert rejected(fast) == rejected(slow) and accepted(fast) == accepted(slow)
 
@@ -249,3 +251,24 @@ def test_mask_by_name(spark):
         "l": [{"secretKey": "<mascarado>", "y": 1}],
         "m": {"password": "<mascarado>", "n": "v"},
     }
+
+
+def test_known_forms_are_not_looked_at_again(spark, make_feed):
+    """A batch of forms that fitted before is typed without exploring it; anything new or odd is looked at."""
+    tracker, memory = spark.sparkContext.statusTracker(), conform_module.Memory()
+
+    def jobs(feed, schema, name):
+        spark.sparkContext.setJobGroup(name, "")
+        found = conform(feed, schema, memory=memory)
+        spark.sparkContext.setJobGroup("rest", "")
+        return found, len(tracker.getJobIdsForGroup(name))
+
+    one = '{"a":%d,"o":{"x":"y"}}'
+    first, many = jobs(make_feed((1, "insert", "1", one % 1), (2, "insert", "2", '{"a":1}')), None, "first")
+    again, few = jobs(make_feed((3, "insert", "1", one % 5), (4, "delete", "2", None)), first.schema, "again")
+    assert few < many and few <= 3 and again.clean and again.schema == first.schema
+    assert {(r["_id"], r.a, r["__alive"]) for r in again.accepted.collect()} == {("1", 5, True), ("2", None, False)}
+    for n, (bad, fits) in enumerate([('{"a":"x"}', False), ("nope", False), ('{"a":1,"b":2}', True), ('{"A":1}', False), ('{"a":{"$numberDecimal":"1"}}', False)]):
+        found, _ = jobs(make_feed((5, "insert", "3", bad), (6, "insert", "4", one % 6)), first.schema, f"new-{n}")
+        assert set(rejected(found)) == (set() if fits else {5}) and len(accepted(found)) == (2 if fits else 1)
+    assert conform(make_feed((7, "insert", "1", one % 7)), memory=memory).schema == first.schema

@@ -2,11 +2,14 @@
 
 import random
 
+import pytest
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import spread
 from tidemark.functions.spread import filled_before, nearest_rank, previous_in_group, with_position
 
 
@@ -37,6 +40,19 @@ def test_with_position(spark):
     assert got == [(i * 3 - 200, i) for i in range(600)]
 
 
+@pytest.mark.parametrize("values", [[i * 2**32 for i in range(300)], [i**7 for i in range(300)], [-(2**62), *range(299)]])
+def test_ranges_follow_the_values_whatever_their_spread(spark, values):
+    """Thinly and unevenly spread numbers: ranges of about the asked size, far fewer than rows."""
+    rows = spark.createDataFrame([("hot" if i % 2 else None, v) for i, v in enumerate(values)] + [("cold", 1)], "key string, seq bigint")
+    sizes = [r["count"] for r in spread._ranged(rows, ["key"], "seq", 30).groupBy("key", "__range").count().collect()]
+    assert max(sizes) <= 60 and len(sizes) <= 2 * 6 + 1
+    plain = rows.withColumn("p", F.lag("seq").over(Window.partitionBy("key").orderBy("seq")))
+    got = previous_in_group(rows, ["key"], "seq", F.col("seq"), "p", 30)
+    assert sorted(got.collect(), key=str) == sorted(plain.collect(), key=str)
+    placed = with_position(rows.where("key is null or key = 'hot'"), "seq", width=30)
+    assert [(r.seq, r.position) for r in placed.orderBy("position").collect()] == [(v, i) for i, v in enumerate(sorted(values))]
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-500, 500), min_size=1, max_size=60))
 def test_nearest_rank(spark, values):

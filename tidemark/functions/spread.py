@@ -1,9 +1,11 @@
-"""Ordered work that would gather a hot group in one task, split into bounded slices.
+"""Ordered work that would gather a hot group in one task, split into ranges of bounded size.
 
 A window ``PARTITION BY key ORDER BY seq`` puts all rows of one key in one task.
-Where one key may hold a third of the feed, these helpers cut each key's rows
-into slices of the order column first, work inside the slices, and carry one row
-per slice across the borders.  The results are exact.
+Where one key may hold a third of the feed, these helpers count the keys first. Keys
+of at most ``width`` rows are left to a plain window. The rows of larger ones are cut
+into ranges of the order column by its quantiles in that very key, whatever its
+values are; work is done inside the ranges, and one row per range is carried
+across the borders. The results are exact.
 """
 
 from __future__ import annotations
@@ -11,47 +13,87 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = 1_000_000
+WIDTH = 1_000_000
+#: Most ranges of one key; beyond, ranges grow instead.
+RANGES = 10_000
 CELL = 4096
 
 
-def _slice(order: str, width: int) -> Column:
-    return F.floor(F.col(order) / F.lit(width)).cast("bigint")
+def _in_range(bounds: Column, order: str) -> Column:
+    """How many of the rising bounds lie below the value: first among every k-th, then in that stretch."""
+    step = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(bounds)))).cast("int")
+    every = F.filter(bounds, lambda b, i: (i + 1) % step == 0)
+    jump = F.size(F.filter(every, lambda b: b < F.col(order))) * step
+    rest = F.slice(bounds, jump + 1, step)
+    return F.coalesce(jump + F.size(F.filter(rest, lambda b: b < F.col(order))), F.lit(0))
+
+
+def _bounds(rows: DataFrame, keys: list[str], order: str, ranges: int) -> DataFrame:
+    """Per key, bounds that part its rows into so many ranges about evenly. Digests are merged; no key's rows meet."""
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    return rows.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx(order, shares, F.lit(max(1000, 10 * ranges))))).alias("__bounds"))
+
+
+def _ranged(frame: DataFrame, keys: list[str], order: str, width: int) -> DataFrame | None:
+    """The rows with ``__range``, rising with ``order`` inside a key; None if no key has more than ``width`` rows."""
+    counts = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    most = counts.agg(F.max("__n")).first()[0] or 0
+    if most <= width:
+        return None
+    same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+    own = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
+    large = counts.where(F.col("__n") > width).select(*own)
+    bounds = _bounds(frame.select(*keys, order).join(large, same, "left_semi"), keys, order, min(RANGES, -(-most // width)))
+    return (
+        frame.join(bounds.select(*own, "__bounds"), same, "left")
+        .withColumn("__range", _in_range(F.col("__bounds"), order))
+        .drop("__bounds", *[f"__key{i}" for i in range(len(keys))])
+    )
+
+
+def _carried(rows: DataFrame, borders: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with their range's row of ``borders``; NULL keys have theirs."""
+    names = [*keys, "__range"]
+    renamed = borders.withColumnsRenamed({k: f"__of{i}" for i, k in enumerate(names)})
+    same = [F.col(k).eqNullSafe(F.col(f"__of{i}")) for i, k in enumerate(names)]
+    return rows.join(renamed, same).drop(*[f"__of{i}" for i in range(len(names))])
 
 
 def previous_in_group(
-    frame: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = SLICE
+    frame: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = WIDTH
 ) -> DataFrame:
-    """Adds ``name``: ``value`` of the row before, per key by ``order`` (integer).
-
-    A key's slice holds at most ``width`` rows when ``order`` is distinct per key.
-    """
-    rows = frame.withColumn("__value", value).withColumn("__slice", _slice(order, width))
-    inside = Window.partitionBy(*keys, "__slice").orderBy(order)
-    across = Window.partitionBy(*keys).orderBy("__slice")
+    """Adds ``name``: ``value`` of the row before, per key by ``order`` (a number)."""
+    ranged = _ranged(frame, keys, order, width)
+    if ranged is None:
+        return frame.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
+    rows = ranged.withColumn("__value", value)
+    inside = Window.partitionBy(*keys, "__range").orderBy(order)
+    across = Window.partitionBy(*keys).orderBy("__range")
     borders = (
-        rows.groupBy(*keys, "__slice")
+        rows.groupBy(*keys, "__range")
         .agg(F.max_by(F.struct("__value"), order).alias("__last"))
-        .select(*keys, "__slice", F.lag("__last").over(across).alias("__carry"))
+        .select(*keys, "__range", F.lag("__last").over(across).alias("__carry"))
     )
+    looked = rows.withColumn("__first", F.row_number().over(inside) == 1).withColumn("__lag", F.lag("__value").over(inside))
     return (
-        rows.withColumn("__first", F.row_number().over(inside) == 1)
-        .withColumn("__lag", F.lag("__value").over(inside))
-        .join(borders, [*keys, "__slice"])
+        _carried(looked, borders, keys)
         .withColumn(name, F.when(F.col("__first"), F.col("__carry.__value")).otherwise(F.col("__lag")))
-        .drop("__value", "__slice", "__first", "__lag", "__carry")
+        .drop("__value", "__range", "__first", "__lag", "__carry")
     )
 
 
 def filled_before(
-    frame: DataFrame, keys: list[str], order: str, columns: list[str], prefix: str = "_before_", width: int = SLICE
+    frame: DataFrame, keys: list[str], order: str, columns: list[str], prefix: str = "_before_", width: int = WIDTH
 ) -> DataFrame:
     """Adds, for each column, the last non-NULL value in the key's rows before this one."""
-    rows = frame.withColumn("__slice", _slice(order, width))
-    across = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = _ranged(frame, keys, order, width)
+    if ranged is None:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return frame.withColumns({f"{prefix}{c}": F.last(c, ignorenulls=True).over(before) for c in columns})
+    across = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     borders = (
-        rows.groupBy(*keys, "__slice")
+        ranged.groupBy(*keys, "__range")
         .agg(
             *[
                 F.max_by(F.struct(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__last_{c}")
@@ -60,34 +102,38 @@ def filled_before(
         )
         .select(
             *keys,
-            "__slice",
+            "__range",
             *[F.last(f"__last_{c}", ignorenulls=True).over(across).alias(f"__carry_{c}") for c in columns],
         )
     )
+    looked = ranged.withColumns({f"__in_{c}": F.last(c, ignorenulls=True).over(inside) for c in columns})
     return (
-        rows.withColumns({f"__in_{c}": F.last(c, ignorenulls=True).over(inside) for c in columns})
-        .join(borders, [*keys, "__slice"])
+        _carried(looked, borders, keys)
         .withColumns({f"{prefix}{c}": F.coalesce(F.col(f"__in_{c}"), F.col(f"__carry_{c}.{c}")) for c in columns})
-        .drop("__slice", *[f"__in_{c}" for c in columns], *[f"__carry_{c}" for c in columns])
+        .drop("__range", *[f"__in_{c}" for c in columns], *[f"__carry_{c}" for c in columns])
     )
 
 
-def with_position(frame: DataFrame, order: str, name: str = "position", width: int = SLICE) -> DataFrame:
-    """Adds the 0-based rank by a distinct integer column over the whole frame."""
-    rows = frame.withColumn("__slice", _slice(order, width))
-    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per slice: the single-partition window sees a millionth of the rows.
+def with_position(frame: DataFrame, order: str, name: str = "position", width: int = WIDTH) -> DataFrame:
+    """Adds the 0-based rank by a distinct number column over the whole frame."""
+    rows = frame.agg(F.count(F.lit(1))).first()[0]
+    least = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(2, min(RANGES, max(least, -(-rows // width))))
+    ranged = frame.crossJoin(F.broadcast(_bounds(frame.select(order), [], order, ranges)))  # one row, of bounded size
+    ranged = ranged.withColumn("__range", _in_range(F.col("__bounds"), order)).drop("__bounds")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range: the single-partition window sees no more than the ranges.
     starts = (
-        rows.groupBy("__slice")
+        ranged.groupBy("__range")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+        .select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     )
-    inside = Window.partitionBy("__slice").orderBy(order)
+    inside = Window.partitionBy("__range").orderBy(order)
     return (
-        rows.withColumn("__rank", F.row_number().over(inside))
-        .join(starts, "__slice")
+        ranged.withColumn("__rank", F.row_number().over(inside))
+        .join(starts, "__range")
         .withColumn(name, (F.col("__start") + F.col("__rank") - 1).cast("bigint"))
-        .drop("__slice", "__rank", "__start")
+        .drop("__range", "__rank", "__start")
     )
 
 

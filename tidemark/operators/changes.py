@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.documents import encode_document
 from tidemark.functions.names import column
-from tidemark.functions.spread import SLICE, filled_before, previous_in_group
+from tidemark.functions.spread import WIDTH, filled_before, previous_in_group
 
 _OLDEST = -(2**63)
 
@@ -44,7 +44,7 @@ def _on_top(current: DataFrame, incoming: DataFrame, key: str, order: str) -> Da
 
 
 def upsert(
-    current: DataFrame, documents: DataFrame, key: str = "_id", order: str = "seq", width: int = SLICE
+    current: DataFrame, documents: DataFrame, key: str = "_id", order: str = "seq", width: int = WIDTH
 ) -> DataFrame:
     """Whole documents by key: ``insert`` where absent, ``replace`` where different.
 
@@ -69,7 +69,7 @@ def upsert(
 
 
 def patch(
-    current: DataFrame, patches: DataFrame, key: str = "_id", order: str = "seq", width: int = SLICE
+    current: DataFrame, patches: DataFrame, key: str = "_id", order: str = "seq", width: int = WIDTH
 ) -> tuple[DataFrame, DataFrame]:
     """Sets the non-NULL fields of each patch row on the existing document.
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.documents import SCALARS, kind_of, kind_of_form, scalar
 from tidemark.functions.names import safe_name
+from tidemark.session import shared_dir
 from tidemark.sources.feed import MISSING_POST_IMAGE, lacks_post_image
 
 KEY = "_id"
@@ -40,6 +41,8 @@ WIDTH = 10_000
 # type: mixed arrays, wrapped values in arrays, field names that look like a decimal.
 DECIMAL_FORM = r"DECIMAL\([0-9]+,[0-9]+\)"
 UNCLEAR_FORM = r"ARRAY<.*(VARIANT|\$)|`[^`]*DECIMAL\("
+# A form without any of these cannot match it.
+UNCLEAR_SIGNS = ("ARRAY<", "DECIMAL(")
 # Nesting levels that one aggregation looks at.
 LEVELS = 4
 
@@ -123,9 +126,19 @@ def table_type(source: T.StructType) -> T.StructType:
     return T.StructType(list(spelled.values()))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row, however often they are named afterwards.
+
+    A projection would be merged with those above it, and its expressions repeated in each
+    of their uses, until the code of a batch's check is too large to compile.
+    """
+    own = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return rows.select("*", F.inline(F.array(own)))
+
+
 def read_documents(feed: DataFrame) -> DataFrame:
-    """Adds the parsed document and its members; text that is no JSON object leaves them NULL."""
-    return feed.withColumn("_doc", F.try_parse_json("full_document")).withColumn("_members", _members(F.col("_doc")))
+    """Adds the parsed document; text that is no JSON leaves it NULL."""
+    return _once(feed, _doc=F.try_parse_json("full_document"))
 
 
 @dataclass(frozen=True)
@@ -144,37 +157,69 @@ class Observed:
 def _with_form(rows: DataFrame) -> DataFrame:
     """Adds a document's form and, where the form does not tell every type, its own text.
 
-    Documents that agree in both are judged together.
+    Documents that agree in both are judged together. A deleted row and one without a
+    readable document have no form. The form is worked out once a row, and searched
+    only where a quick look finds what the search is for.
     """
-    form = F.regexp_replace(F.schema_of_variant("_doc"), DECIMAL_FORM, "DOUBLE")
-    strange = F.schema_of_variant("_doc").rlike(UNCLEAR_FORM)
-    readable = (F.col("operation_type") != "delete") & F.col("_members").isNotNull()
-    return rows.withColumn("_form", F.when(readable, form)).withColumn(
-        "_exact", F.when(strange & readable, F.col("full_document")).otherwise("")
-    )
+    raw = _once(rows, _schema=F.when(F.col("operation_type") != "delete", F.schema_of_variant("_doc")))
+    schema = F.when(F.col("_schema").startswith("OBJECT<"), F.col("_schema"))
+    decimal = F.when(schema.contains("DECIMAL("), F.regexp_replace(schema, DECIMAL_FORM, "DOUBLE")).otherwise(schema)
+    strange = reduce(lambda a, b: a | b, [schema.contains(sign) for sign in UNCLEAR_SIGNS]) & schema.rlike(UNCLEAR_FORM)
+    exact = F.when(strange, F.col("full_document")).otherwise("")
+    return _once(raw, _form=decimal, _exact=exact).drop("_schema")
 
 
 def forms_of(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per form: a document of it and the ``seq`` it was first seen at.
+    """One row per form: the ``seq`` it was first seen at, and ``_odd``.
 
     ``_odd`` marks rows that are set aside whatever the schema: no key, not readable,
-    or wider by themselves than a table.
+    or wider by themselves than a table. Only numbers are aggregated, so tasks hash and do not sort.
     """
     deleted = F.col("operation_type") == "delete"
     odd = F.col("document_key").isNull() | (~deleted & F.col("_form").isNull()) | _wide(width)
-    forms = (
+    return (
         rows.withColumn("_odd", F.coalesce(odd, F.lit(False)))
         .groupBy("_odd", F.when(~F.col("_odd"), F.col("_form")).alias("_form"), F.when(~F.col("_odd"), F.col("_exact")).alias("_exact"))
-        .agg(F.min("seq").alias("seq"), F.min_by("full_document", "seq").alias("full_document"))
+        .agg(F.min("seq").alias("seq"))
     )
-    return forms
 
 
 def _wide(width: int) -> Column:
-    return F.coalesce(F.regexp_count("_form", F.lit(": ")) > width, F.lit(False))
+    # So many fields take three characters each at least.
+    long = F.length("_form") > 3 * width
+    return F.coalesce(F.when(long, F.regexp_count("_form", F.lit(": ")) > width).otherwise(F.lit(False)), F.lit(False))
 
 
-def observed_fields(documents: DataFrame, limit: int = WIDTH) -> tuple[list[Observed], bool]:
+def _examples(feed: DataFrame, forms: DataFrame) -> DataFrame:
+    """A parsed document of each form, by its first ``seq``: seq, _form, _exact, _doc, _members."""
+    wanted = forms.where("NOT _odd AND _form IS NOT NULL").select("seq", F.col("_form").alias("_of"), F.col("_exact").alias("_text"))
+    near = feed.select("seq", "operation_type", "full_document").join(wanted, "seq")
+    # Events that share a seq may have several forms.
+    own = _with_form(read_documents(near)).where((F.col("_form") == F.col("_of")) & (F.col("_exact") == F.col("_text")))
+    once = own.dropDuplicates(["_form", "_exact"]).select("seq", "_form", "_exact", "_doc")
+    return once.withColumn("_members", _members(F.col("_doc")))
+
+
+@dataclass
+class Memory:
+    """What a table's writer knows of documents from earlier batches: forms that fit the schema as they are.
+
+    A batch of known forms needs no look at its fields. Nothing is lost with it; it is learnt anew.
+    """
+
+    schema_json: str = ""
+    root: Shape | None = None
+    forms: set[str] = field(default_factory=set)
+
+    def knows(self, schema: T.StructType) -> bool:
+        return self.root is not None and self.schema_json == schema.json()
+
+
+# Forms, and characters of them, that a writer remembers.
+MEMORY_FORMS, MEMORY_CHARS = 1_000, 4_000_000
+
+
+def observed_fields(documents: DataFrame, limit: int = WIDTH, levels_at_once: int = LEVELS) -> tuple[list[Observed], bool]:
     """The field paths and kinds of the documents, the first seen first, and whether there are more than ``limit``.
 
     Several nesting levels are one aggregation over path and kind; the driver receives
@@ -205,7 +250,7 @@ def observed_fields(documents: DataFrame, limit: int = WIDTH) -> tuple[list[Obse
     found: list[Observed] = []
     while True:
         levels = [level]
-        for _ in range(LEVELS - 1):
+        for _ in range(levels_at_once - 1):
             levels.append(below(levels[-1]))
         together = levels[0].select("seq", "path", "kind", "wrapped")
         for one in levels[1:]:
@@ -221,7 +266,7 @@ def observed_fields(documents: DataFrame, limit: int = WIDTH) -> tuple[list[Obse
         if len(found) > limit:
             return found[:limit], True
         deepest = max((len(row.path) for row in rows), default=0)
-        if not any(row.kind in ("object", "array") and len(row.path) == deepest for row in rows) or deepest % LEVELS:
+        if not any(row.kind in ("object", "array") and len(row.path) == deepest for row in rows) or deepest % levels_at_once:
             return found, False
         level = below(levels[-1])
 
@@ -460,12 +505,19 @@ class Conformed:
     """A batch under its grown schema.
 
     ``clean`` says that nothing can be rejected; where it is False, persist
-    ``checked`` before using both halves.
+    ``checked`` before using both halves.  ``empty`` says that there are no rows.
     """
 
     schema: T.StructType
     checked: DataFrame
     clean: bool
+    empty: bool = False
+
+    def setting_aside(self, rows: DataFrame) -> Conformed:
+        """The batch with further rejects: seq, cluster_time, doc and reason."""
+        own = {SEQ: "seq", AT: "cluster_time", _TEXT: "doc", _REASON: "reason"}
+        named = rows.select(*[F.col(name).alias(column) for column, name in own.items()])
+        return Conformed(self.schema, self.checked.unionByName(named, allowMissingColumns=True), False)
 
     @property
     def accepted(self) -> DataFrame:
@@ -483,6 +535,7 @@ def conform(
     schema: T.StructType | None = None,
     missing_post_image: str = "fail",
     width: int = WIDTH,
+    memory: Memory | None = None,
 ) -> Conformed:
     """Types a batch of kept feed events against a schema that grows with it.
 
@@ -493,24 +546,62 @@ def conform(
     Documents of one form are judged once, by one of them; where a form does not tell
     every type, each document is. Fields are registered in the order in which they were
     first seen until the table is ``width`` fields wide; a document with further fields,
-    or with more fields than that itself, is set aside.
+    or with more fields than that itself, is set aside. ``memory`` carries the forms
+    that fit from one batch to the next.
     """
     schema = schema or T.StructType([])
     rows = _with_form(read_documents(feed))
-    # Kept for the two looks at it that follow; a lost part is simply worked out again.
+    # Kept for the looks at them that follow; a lost part is simply worked out again.
     forms = forms_of(rows, width).persist()
     try:
-        return _conformed(rows, forms, schema, missing_post_image, width)
+        seen = forms.select("_odd", "_form", (F.coalesce("_exact", F.lit("")) != "").alias("_unclear")).limit(MEMORY_FORMS + 1).collect()
+        few = len(seen) <= MEMORY_FORMS
+        if few and memory is not None and memory.knows(schema):
+            if all(not r._odd and not r._unclear and (r._form is None or r._form in memory.forms) for r in seen):
+                batch = _typed_batch(rows, memory.root, F.lit(None).cast("string"), None, missing_post_image, width, True)
+                batch.empty = not seen
+                return batch
+        # Forms say how deep their documents are, so levels that none has need no look.
+        depth = max([(r._form or "").count("<") for r in seen], default=1) if few else LEVELS
+        documents = _examples(feed, forms).persist()
+        try:
+            batch, root = _conformed(rows, forms, documents, schema, missing_post_image, width, max(1, min(LEVELS, depth)))
+        finally:
+            documents.unpersist()
+        if memory is not None and batch.clean and not root.clashes and not root.closed:
+            _remember(memory, batch.schema, root, seen)
+        batch.empty = not seen
+        return batch
     finally:
         forms.unpersist()
 
 
+def _remember(memory: Memory, schema: T.StructType, root: Shape, seen: list) -> None:
+    """Notes the forms of a batch all of whose documents fitted. Forms whose types do not tell all are not known."""
+    if _any_wrapped(root) or any(r._unclear for r in seen) or len(seen) > MEMORY_FORMS:
+        return
+    # What fitted the schema before fits the grown one, but its names are no part of this batch's shape.
+    forms = {r._form for r in seen if r._form}
+    if memory.root is not None and memory.schema_json == schema.json() and _names(memory.root) == _names(root):
+        forms |= memory.forms
+    if len(forms) <= MEMORY_FORMS and sum(map(len, forms)) <= MEMORY_CHARS:
+        memory.schema_json, memory.root, memory.forms = schema.json(), root, forms
+
+
+def _any_wrapped(shape: Shape) -> bool:
+    return shape.wrapped or any(_any_wrapped(s) for s in [*shape.fields.values(), *([shape.element] if shape.element else [])])
+
+
+def _names(shape: Shape) -> tuple:
+    """All raw names of a shape and below."""
+    inner = _names(shape.element) if shape.element else ()
+    return (tuple((n, tuple(shape.raw.get(n, ())), _names(c)) for n, c in shape.fields.items()), inner)
+
+
 def _conformed(
-    rows: DataFrame, forms: DataFrame, schema: T.StructType, missing_post_image: str, width: int
-) -> Conformed:
-    documents = forms.where("NOT _odd AND _form IS NOT NULL").withColumn("_doc", F.try_parse_json("full_document"))
-    documents = documents.withColumn("_members", _members(F.col("_doc")))
-    observed, more = observed_fields(documents, 2 * width)
+    rows: DataFrame, forms: DataFrame, documents: DataFrame, schema: T.StructType, missing_post_image: str, width: int, levels: int
+) -> tuple[Conformed, Shape]:
+    observed, more = observed_fields(documents, 2 * width, levels)
     root = grow(schema, observed, width)
     if more:
         _close(root)
@@ -520,13 +611,22 @@ def _conformed(
             root.refused.update({raw: RESERVED_REASON for raw in root.raw.pop(name, [])})
     root.raw.pop(KEY, None)
     root.fields.pop(KEY, None)
-    data = root.spark_type() or T.StructType([])
+    order_text = F.col("full_document") if root.clashes else None
+    if root.clashes:
+        rows = rows.withColumn("_members", _members(F.col("_doc")))
+    checked, misfit, clean = _misfits(rows, forms, documents, root, order_text)
+    unread = _unread(_members(F.col("_doc")), root)
+    clean = clean and (unread is None or not rows.where(unread).take(1))
+    return _typed_batch(checked, root, misfit, unread, missing_post_image, width, clean), root
+
 
+def _typed_batch(
+    checked: DataFrame, root: Shape, misfit: Column, unread: Column | None, missing_post_image: str, width: int, clean: bool
+) -> Conformed:
+    """The rows as columns of the shape, with the reason why one does not fit."""
+    data = root.spark_type() or T.StructType([])
     text, deleted = F.col("full_document"), F.col("operation_type") == "delete"
     order_text = text if root.clashes else None
-    checked, misfit, clean = _misfits(rows, forms, documents, root, order_text)
-    unread = _unread(F.col("_members"), root)
-    clean = clean and (unread is None or not rows.where(unread).take(1))
     no_document = F.when(
         lacks_post_image(),
         F.raise_error(F.lit(MISSING_POST_IMAGE)).cast("string")
@@ -536,14 +636,14 @@ def _conformed(
     reason = (
         F.when(F.col("document_key").isNull(), NO_KEY_REASON)
         .when(deleted, F.lit(None).cast("string"))
-        .when(F.col("_members").isNull(), no_document)
+        .when(F.col("_form").isNull(), no_document)
         .when(_wide(width), WIDE_REASON)
         .otherwise(misfit if unread is None else F.coalesce(misfit, F.when(unread, UNREAD_VALUE_REASON)))
     )
-    checked = checked.withColumn(_REASON, F.lit(None).cast("string") if clean else reason)
+    checked = checked.withColumn(_REASON, F.lit(None).cast("string")) if clean else _once(checked, **{_REASON: reason})
     raw_type = _raw_type(root)
     if raw_type != "variant":
-        checked = checked.withColumn("_raw", F.try_variant_get("_doc", "$", raw_type))
+        checked = _once(checked, _raw=F.try_variant_get("_doc", "$", raw_type))
     typed = checked.select(
         F.col("document_key").alias(KEY),
         F.col("seq").alias(SEQ),
@@ -590,7 +690,12 @@ def _misfits(
     if root.clashes:
         # Which of two names counts depends on their order, which a form does not tell.
         return rows, by_value, False
+    # Kept as a table, so that what follows neither judges the forms again nor needs their rows in memory.
     bad = documents.withColumn("_why", by_value).where("_why IS NOT NULL").select("_form", "_exact", "_why")
-    if not forms.where("_odd").select(F.lit("").alias("_why")).unionByName(bad.select("_why")).take(1):
+    odd = forms.where("_odd").select(F.lit(None).cast("string").alias("_form"), F.lit("").alias("_exact"), F.lit("").alias("_why"))
+    counted, path = Observation(), shared_dir(rows.sparkSession, "forms")
+    bad.unionByName(odd).observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    if not counted.get["n"]:
         return rows, F.lit(None).cast("string"), True
-    return rows.join(bad, ["_form", "_exact"], "left"), F.col("_why"), False
+    known = rows.sparkSession.read.schema("_form string, _exact string, _why string").parquet(path)
+    return rows.join(known, ["_form", "_exact"], "left"), F.col("_why"), False

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.spread import SLICE, previous_in_group
+from tidemark.functions.spread import WIDTH, previous_in_group
 from tidemark.operators.apply import latest
 
 
-def time_reversals(feed: DataFrame, width: int = SLICE) -> DataFrame:
+def time_reversals(feed: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per key: events seen, and how often ``cluster_time`` stepped back from one to the next."""
     rows = feed.select("document_key", "seq", "cluster_time")
     stepped = previous_in_group(rows, ["document_key"], "seq", F.col("cluster_time"), "_earlier", width)
@@ -19,7 +19,7 @@ def time_reversals(feed: DataFrame, width: int = SLICE) -> DataFrame:
     )
 
 
-def ordering_check(feed: DataFrame, final: DataFrame, expected: DataFrame | None = None, width: int = SLICE) -> DataFrame:
+def ordering_check(feed: DataFrame, final: DataFrame, expected: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
     """Per key: time never goes back, all events came, the last post-image is the final document.
 
     ``final`` has document_key and full_document; ``expected`` document_key and

@@ -37,6 +37,9 @@ DEFECT_SCHEMA = T.StructType(
         T.StructField("props", T.StructType([T.StructField("k", T.LongType())])),
     ]
 )
+# How far apart a sparse feed's ``seq`` are, and the rows from which a key is cut into ranges there.
+SPARSE = 2**32
+LARGE_KEY = 4
 FEED_COLUMNS = ("seq", "operation_type", "document_key")
 
 
@@ -167,6 +170,22 @@ def stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_state(mirror)
 
 
+def synced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of ``orders`` synced in chunks while the feed is committed between them; state after both."""
+    mirror = Mirror(spark, shared_dir(spark, "synced"), buckets=8, run_commits=4)
+    source = domain.table(spark, sf_dir, "orders")
+    feed = domain.feed(spark, sf_dir).select(*feeds.FEED_SCHEMA.names, "commit_id")
+    low, high = source.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    bounds = [low + (high - low) * i // 4 for i in (1, 2, 3)]
+    # The first chunks are read when nothing of the feed has come, and then the sync breaks off.
+    mirror.sync_in_chunks(source.where(F.col("o_orderkey") < bounds[1]), bounds[:1], lambda: -1, key="o_orderkey")
+    mirror.apply(feed.where("commit_id <= 15"))
+    mirror.sync_in_chunks(source, bounds, lambda: -1, key="o_orderkey")
+    mirror.apply(feed.where("commit_id > 15"))
+    state = mirror.state()
+    return state.withColumn("k", F.col("props.k")).drop("props")
+
+
 def guarded_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stale table replaced from the source once confirmed."""
     source = domain.plain_orders(spark, sf_dir)
@@ -256,6 +275,31 @@ def snapshot_history_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.snapshot_changes(late)
 
 
+def _late_mirror(spark: SparkSession, sf_dir: str) -> Mirror:
+    """The feed committed in thirds of ten days, half of its events three commits late, in runs of three on levels."""
+    mirror = Mirror(spark, shared_dir(spark, "late"), buckets=8, run_commits=3)
+    third = F.floor((F.col("commit_id") - 1) / 3).cast("bigint") + F.when(F.col("amount") < 50, 3).otherwise(0)
+    feed = domain.feed(spark, sf_dir).withColumn("third", third).select(*feeds.FEED_SCHEMA.names, "third").persist()
+    for (one,) in feed.select("third").distinct().orderBy("third").collect():
+        mirror.apply(feed.where(F.col("third") == one), "late", one)
+        if one == 4:
+            mirror.write_base()
+    feed.unpersist()
+    return mirror
+
+
+def table_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History of the table on disk: counts worked out as runs were sealed, and for the open run."""
+    history = _late_mirror(spark, sf_dir).snapshots()
+    return apply.list_snapshots(history).drop("committed_at")
+
+
+def table_key_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key of the table on disk in each of its snapshots."""
+    history = _late_mirror(spark, sf_dir).history("8")
+    return history.select("snapshot_id", "key", "existed", "amount", F.col("props.k").alias("k"))
+
+
 def version_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.state_as_of(domain.change_log(spark, sf_dir), apply.check_version(domain.commits(spark, sf_dir), 7))
 
@@ -378,13 +422,21 @@ def exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.exactly_once(missed, missed.unionByName(again), before, before)
 
 
-def _consumption(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _consumption(spark: SparkSession, sf_dir: str, apart: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Positions and ids of what was consumed up to day 20, of what came after, and of day 20 alone."""
-    ids = domain.feed(spark, sf_dir).select("seq", "commit_id")
+    ids = domain.feed(spark, sf_dir).select((F.col("seq") * F.lit(apart).cast("bigint")).alias("seq"), "commit_id")
     parts = [with_position(ids.where(days), "seq") for days in ("commit_id <= 20", "commit_id > 20", "commit_id = 20")]
     return tuple(part.select("position", F.col("seq").alias("id")) for part in parts)
 
 
+def exactly_once_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`exactly_once`, of a feed whose ``seq`` is thinly spread."""
+    before, missed, replayed = _consumption(spark, sf_dir, SPARSE)
+    after = missed.agg(F.count(F.lit(1))).scalar()
+    again = replayed.select((F.col("position") + after).alias("position"), "id")
+    return delivery.exactly_once(missed, missed.unionByName(again), before, before)
+
+
 def lost_and_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A resume that swaps its first two events and loses its third, after a first part that lost its second."""
     before, missed, _ = _consumption(spark, sf_dir)
@@ -454,6 +506,13 @@ def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.upsert(_midway(spark, sf_dir), documents)
 
 
+def upsert_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`upsert_documents`, of a feed whose ``seq`` is thinly spread, and with every key a large one."""
+    seq = (F.col("seq") * F.lit(SPARSE).cast("bigint")).alias("seq")
+    documents = _later(spark, sf_dir, "insert", "update").select("_id", seq, "amount", "k")
+    return changes.upsert(_midway(spark, sf_dir), documents, width=LARGE_KEY)
+
+
 def upsert_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current documents written once more, and a few raised: only those are events."""
     now = _midway(spark, sf_dir)
@@ -514,6 +573,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s10_keyed_apply": keyed_apply,
     "s11_commit_writer": commit_writer,
     "s12_stream_apply": stream_apply,
+    "s2_synced_table": synced_table,
     "s13_guarded_rebuild": guarded_rebuild,
     "q1_orders_by_region": orders_by_region,
     "q2_point_lookup": point_lookup,
@@ -529,10 +589,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q10_tolerant_totals": tolerant_totals,
     "q11_snapshot_history": snapshot_history,
     "q11_snapshot_history_late": snapshot_history_late,
+    "q11_table_snapshots": table_snapshots,
     "q12_version_as_of": version_as_of,
     "q13_timestamp_as_of": timestamp_as_of,
     "q14_key_history": key_history,
     "q14_key_versions": key_versions,
+    "q14_table_key_history": table_key_history,
     "q15_table_columns": table_columns,
     "q16_result_page": result_page,
     "m1_convergence_states": convergence_states,
@@ -546,11 +608,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "m8_commit_latency": commit_latency,
     "m9_event_ordering": event_ordering,
     "m10_exactly_once": exactly_once,
+    "m10_exactly_once_sparse_seq": exactly_once_sparse,
     "m10_lost_and_swapped": lost_and_swapped,
     "m11_secret_redaction": secret_redaction,
     "m12_masking_by_name": masking_by_name,
     "m13_identifier_rules": identifier_rules,
     "w1_upsert_documents": upsert_documents,
+    "w1_upsert_sparse_seq": upsert_sparse,
     "w1_upsert_again": upsert_again,
     "w2_patch_fields": patch_fields,
     "w2_patch_unmatched": patch_unmatched,

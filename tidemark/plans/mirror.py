@@ -31,6 +31,7 @@ so only the tail is aggregated.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
@@ -44,7 +45,7 @@ from tidemark.functions.documents import encode_document
 from tidemark.functions.names import column
 from tidemark.operators import apply
 from tidemark.operators.apply import UnknownSnapshot
-from tidemark.operators.conform import ALIVE, AT, BUCKET, COMMIT, KEY, SEQ, Conformed, conform, table_type
+from tidemark.operators.conform import ALIVE, AT, BUCKET, COMMIT, KEY, SEQ, Conformed, Memory, conform, table_type
 from tidemark.operators.reports import table_columns
 from tidemark.sources.feed import keep_operations
 
@@ -184,6 +185,7 @@ class Mirror:
         self._home = f"{self.root}/{epoch.folder}"
         self._newest: Row | None = None
         self._sealed_runs = 0
+        self._memory = Memory()
 
     # --- files -----------------------------------------------------------------
 
@@ -453,7 +455,7 @@ class Mirror:
         if done:
             return number
         known = _schema(head.schema_json if head else None)
-        batch = conform(keep_operations(feed), known, missing_post_image)
+        batch = conform(keep_operations(feed), known, missing_post_image, memory=self._memory)
         if batch.clean:
             return self._commit(batch, head, stream_id, batch_id, committed_at)
         checked = batch.checked.persist()
@@ -503,7 +505,7 @@ class Mirror:
     def _tally(self, batch: Conformed) -> tuple[int, int]:
         """Whether there are accepted rows, and how many rejected ones."""
         if batch.clean:
-            return len(batch.checked.take(1)), 0
+            return int(not batch.empty), 0
         good, bad = F.count_if(F.col("__reason").isNull()), F.count_if(F.col("__reason").isNotNull())
         return tuple(batch.checked.agg(good, bad).first())
 
@@ -540,20 +542,8 @@ class Mirror:
         """
         if self._head() is not None:
             raise RebuildRefused("the table has commits; syncing again would need rebuild(confirm=True)")
-        documents = source.select(*[column(c) for c in source.columns if c != key])
-        feed = source.select(
-            F.lit(seq).cast("bigint").alias("seq"),
-            F.lit(None).cast("timestamp").alias("cluster_time"),
-            F.lit("insert").alias("operation_type"),
-            column(key).cast("string").alias("document_key"),
-            encode_document(documents).alias("full_document"),
-        )
-        # Which of several rows of one key is right nobody can say: all are set aside.
-        several = feed.groupBy("document_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND document_key IS NOT NULL")
-        batch = conform(feed.join(several, "document_key", "left_anti"), table_type(documents.schema))
-        twice = feed.join(several, "document_key", "left_semi").select(
-            "seq", "cluster_time", F.col("full_document").alias("doc"), F.lit(DUPLICATE_REASON).alias("reason")
-        )
+        feed, twice, columns = _as_inserts(source, seq, key)
+        batch = conform(feed, columns)
         at = committed_at or datetime.now(timezone.utc)
         path = f"base/{COMMIT}=1"
         count = self._write_base(batch.accepted, path)
@@ -573,6 +563,42 @@ class Mirror:
         )
         return 1
 
+    def sync_in_chunks(
+        self, source: DataFrame, bounds: list, position: Callable[[], int], key: str = KEY, stream_id: str = "initial sync"
+    ) -> list[int | None]:
+        """The source as one commit per range of keys, while the feed goes on: ``bounds`` part the keys, rising.
+
+        ``position`` tells where the feed stands; it is asked before each chunk is read, and
+        the chunk's rows are inserts of that ``seq``. An event that came since is newer than
+        its row, whether it is committed before the chunk or after, so it wins; a row
+        deleted meanwhile is not in the chunk or is deleted by its event. A range that was
+        committed before is skipped, so a sync that broke off goes on with the next one.
+        Rows without a key are in the first chunk, and set aside there. Returns each chunk's commit.
+        """
+        done = []
+        for i in range(len(bounds) + 1):
+            head = self._head()
+            found, number = self._replayed(head, stream_id, i)
+            if found:
+                done.append(number)
+                continue
+            own = F.lit(True)
+            if i:
+                own = own & (column(key) >= F.lit(bounds[i - 1]))
+            if i < len(bounds):
+                own = own & (column(key) < F.lit(bounds[i]))
+            seq = position()
+            feed, twice, columns = _as_inserts(source.where(own if i else own | column(key).isNull()), seq, key)
+            known = _schema(head.schema_json) if head else T.StructType([])
+            new = [f for f in columns.fields if f.name.lower() not in {k.name.lower() for k in known.fields}]
+            batch = conform(feed, T.StructType(known.fields + new)).setting_aside(twice)
+            checked = batch.checked.persist()
+            try:
+                done.append(self._commit(batch, head, stream_id, i, None))
+            finally:
+                checked.unpersist()
+        return done
+
     # --- bases -----------------------------------------------------------------
 
     def _write_base(self, rows: DataFrame, path: str) -> int:
@@ -763,6 +789,24 @@ class Mirror:
         return self
 
 
+def _as_inserts(source: DataFrame, seq: int, key: str) -> tuple[DataFrame, DataFrame, T.StructType]:
+    """Rows as insert events of one ``seq``, those that share a key as rejects, and the columns of the table."""
+    documents = source.select(*[column(c) for c in source.columns if c != key])
+    feed = source.select(
+        F.lit(seq).cast("bigint").alias("seq"),
+        F.lit(None).cast("timestamp").alias("cluster_time"),
+        F.lit("insert").alias("operation_type"),
+        column(key).cast("string").alias("document_key"),
+        encode_document(documents).alias("full_document"),
+    )
+    # Which of several rows of one key is right nobody can say: all are set aside.
+    several = feed.groupBy("document_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND document_key IS NOT NULL")
+    twice = feed.join(several, "document_key", "left_semi").select(
+        "seq", "cluster_time", F.col("full_document").alias("doc"), F.lit(DUPLICATE_REASON).alias("reason")
+    )
+    return feed.join(several, "document_key", "left_anti"), twice, table_type(documents.schema)
+
+
 def _bloomed(writer: DataFrameWriter, keys: int) -> DataFrameWriter:
     """Files that tell which keys they do not hold."""
     return writer.mode("overwrite").option(f"parquet.bloom.filter.enabled#{KEY}", "true").option(f"parquet.bloom.filter.expected.ndv#{KEY}", str(keys))

@@ -120,6 +120,12 @@ docs AS (SELECT document_key AS key, seq, amount, k FROM feed
 """
 STORED = f"WITH {FEED}, {_state('st')} SELECT key AS _id, st.amount, event_type AS kind, st.k FROM st JOIN feed USING (seq)"
 
+# The table on disk of the late feed: a commit for every three days, half of the events three commits late.
+LATE = FEED.replace(
+    "commit_id, amount, k FROM kept",
+    "dense_rank() OVER (ORDER BY (commit_id - 1) // 3 + CASE WHEN amount < 50 THEN 3 ELSE 0 END) AS commit_id, amount, k FROM kept",
+)
+
 RESET = f"""
 WITH {FEED}, {_state('cur')}, {_state('goal', 'commit_id <= 15')},
 actions AS (
@@ -192,6 +198,11 @@ ORACLE: dict[str, str] = {
     "s10_keyed_apply": f"WITH {FEED}, {_state('st')} SELECT * FROM st",
     "s11_commit_writer": STORED,
     "s12_stream_apply": STORED,
+    "s2_synced_table": f"""WITH {FEED}, {_state('st')}
+        SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+          NULL::DOUBLE AS amount, NULL::VARCHAR AS kind, NULL::BIGINT AS k
+        FROM orders WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT key FROM log)
+        UNION ALL SELECT key, NULL, NULL, NULL, NULL, NULL, st.amount, event_type, st.k FROM st JOIN feed USING (seq)""",
     "s13_guarded_rebuild": """SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_totalprice AS amount, o_orderstatus AS status,
         o_orderpriority AS channel, o_orderdate AS orderdate FROM orders""",
     "q1_orders_by_region": f"SELECT region, count(*) AS orders, round(sum(amount), 2) AS revenue FROM ({PLACES}) GROUP BY region",
@@ -226,6 +237,8 @@ ORACLE: dict[str, str] = {
         SELECT commit_id AS snapshot_id, committed_at, operation, CAST(added AS VARCHAR) AS adicionados,
         CAST(removed AS VARCHAR) AS removidos FROM snaps JOIN marks USING (commit_id)
         ORDER BY committed_at DESC, snapshot_id DESC LIMIT 20""",
+    "q11_table_snapshots": f"""WITH {LATE}, {EFFECTIVE}, {SNAPSHOTS} SELECT commit_id AS snapshot_id, operation,
+        CAST(added AS VARCHAR) AS adicionados, CAST(removed AS VARCHAR) AS removidos FROM snaps ORDER BY commit_id DESC LIMIT 20""",
     "q11_snapshot_history_late": f"""WITH {FEED.replace("commit_id, amount, k FROM kept", "commit_id + CASE WHEN amount < 50 THEN 3 ELSE 0 END AS commit_id, amount, k FROM kept")},
         {EFFECTIVE}, {SNAPSHOTS} SELECT commit_id, operation, added, removed FROM snaps""",
     "q12_version_as_of": f"WITH {FEED}, {_state('st', 'commit_id <= 7')} SELECT * FROM st",
@@ -237,6 +250,12 @@ ORACLE: dict[str, str] = {
         SELECT m.commit_id AS snapshot_id, committed_at, '8' AS key, coalesce(alive, false) AS existed,
         CASE WHEN alive THEN amount END AS amount, CASE WHEN alive THEN k END AS k
         FROM marks m LEFT JOIN spans ON m.commit_id >= lo AND (hi IS NULL OR m.commit_id < hi)""",
+    "q14_table_key_history": f"""WITH {LATE}, {EFFECTIVE}, spans AS (
+        SELECT key, seq, alive, amount, k, commit_id AS lo, lead(commit_id) OVER (PARTITION BY key ORDER BY commit_id) AS hi
+        FROM effective WHERE key = '8')
+        SELECT m.commit_id AS snapshot_id, '8' AS key, coalesce(alive, false) AS existed,
+        CASE WHEN alive THEN amount END AS amount, CASE WHEN alive THEN k END AS k
+        FROM (SELECT DISTINCT commit_id FROM log) m LEFT JOIN spans ON m.commit_id >= lo AND (hi IS NULL OR m.commit_id < hi)""",
     "q14_key_versions": f"""WITH {FEED}, {EFFECTIVE} SELECT key, seq, alive AS existed, commit_id AS valid_from, amount, k,
         lead(commit_id) OVER (PARTITION BY key ORDER BY commit_id) AS valid_to FROM effective""",
     "q16_result_page": """SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_totalprice AS amount,
@@ -300,6 +319,11 @@ ORACLE: dict[str, str] = {
         " FROM feed WHERE commit_id = 20",
         "SELECT * FROM first_part",
     ),
+    "m10_exactly_once_sparse_seq": _once(
+        "SELECT * FROM missed UNION ALL SELECT (SELECT count(*) FROM missed) + row_number() OVER (ORDER BY seq) - 1, seq"
+        " FROM feed WHERE commit_id = 20",
+        "SELECT * FROM first_part",
+    ),
     "m10_lost_and_swapped": _once(
         "SELECT CASE position WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE position END, seq FROM missed WHERE position <> 2",
         "SELECT * FROM first_part WHERE position <> 1",
@@ -322,6 +346,12 @@ ORACLE: dict[str, str] = {
                  WINDOW w AS (PARTITION BY key ORDER BY seq))
         SELECT seq, CASE WHEN p IS NULL THEN 'insert' ELSE 'replace' END AS operation_type, key AS _id, amount, k
         FROM seen WHERE NOT stored AND (p IS NULL OR pa IS DISTINCT FROM amount OR pk IS DISTINCT FROM k)""",
+    "w1_upsert_sparse_seq": f"""WITH {FEED}, {MIDWAY}, {LATER_DOCS}, stack AS (
+        SELECT key, seq, amount, k, false AS stored FROM docs UNION ALL SELECT key, -1, amount, k, true FROM mid),
+        seen AS (SELECT *, lag(seq) OVER w AS p, lag(amount) OVER w AS pa, lag(k) OVER w AS pk FROM stack
+                 WINDOW w AS (PARTITION BY key ORDER BY seq))
+        SELECT seq * 4294967296 AS seq, CASE WHEN p IS NULL THEN 'insert' ELSE 'replace' END AS operation_type, key AS _id, amount, k
+        FROM seen WHERE NOT stored AND (p IS NULL OR pa IS DISTINCT FROM amount OR pk IS DISTINCT FROM k)""",
     "w1_upsert_again": f"""WITH {FEED}, {MIDWAY} SELECT CAST(1000000000 AS BIGINT) AS seq, 'replace' AS operation_type,
         key AS _id, amount + 1 AS amount, k FROM mid WHERE amount > 50""",
     "w2_patch_fields": f"""WITH {FEED}, {MIDWAY}, patches AS (
