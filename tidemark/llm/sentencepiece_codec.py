@@ -36,9 +36,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SLICE = 2 << 20
 _MARK = "▁"
 _NEVER = np.int64(1 << 40)
-_CACHE = 1 << 21
-#: Characters of one batch text, and units that a task remembers before it begins anew: bounds of memory.
-_BATCH, _UNITS = 150_000, 300_000
+_CACHE = 1 << 20
+#: Characters of one batch text, and of the units that a task remembers before it begins anew (each counted with
+#: what it takes besides): bounds of memory.
+_BATCH, _REMEMBERED, _UNIT = 100_000, 20_000_000, 100
 
 
 class Vocabulary:
@@ -165,6 +166,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.held = 0
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _together(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -231,6 +233,8 @@ class Encoder:
             return np.searchsorted(parts[level][0], low), np.searchsorted(parts[level][0], np.maximum(high, low))
 
         low, high = numbers(0, len(parts) - 1)
+        # It refers to itself; left so, it and all arrays it sees would stay until the next garbage collection.
+        numbers = None
         low, high = np.searchsorted(ordered, low), np.searchsorted(ordered, high)
         count = np.maximum(high - low, 0)
         return array[T.ragged(low, count)], np.repeat(rows, count)
@@ -305,7 +309,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and the bounds of each text's."""
-        if len(self.number) > _UNITS:
+        if self.held > _REMEMBERED:
             self.forget()
         seen, count, fresh, numbers = self.number, [], [], []
         for text in texts:
@@ -323,7 +327,9 @@ class Encoder:
             numbers.append(np.fromiter(map(seen.__getitem__, own), np.int64, len(own)))
             count.append(len(own))
         # A few at a time: the edges of one batch text take some hundred times its size.
-        size = np.cumsum([len(u) for u in fresh]) // _BATCH if fresh else np.zeros(0, np.int64)
+        letters = np.cumsum([len(u) for u in fresh]) if fresh else np.zeros(0, np.int64)
+        self.held += int(letters[-1]) + _UNIT * len(fresh) if fresh else 0
+        size = letters // _BATCH
         cuts = np.flatnonzero(np.diff(size)) + 1
         for a, b in zip(np.append(0, cuts), np.append(cuts, len(fresh))):
             if b > a:
@@ -357,11 +363,12 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield row, texts.slice(row, len(bounds) - 1).to_pylist()
 
 
-def encoded(docs: DataFrame, *, text: str = "text", ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """All columns, with ``ids`` (array of int) instead of or beside one of that name."""
+def encoded(docs: DataFrame, *, text: str = "text", ids: str = "ids", model: str = MODEL, keep_text: bool = True) -> DataFrame:
+    """All columns (without ``keep_text`` all but the text), with ``ids`` (array of int) instead of or beside one of that name."""
     v = Vocabulary(model)
-    names = [c for c in docs.columns if c != ids]
-    position = names.index(text)
+    names = [c for c in docs.columns if c not in (ids, text)] + [text]
+    rest = names if keep_text else names[:-1]
+    position = len(names) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(v)
@@ -369,9 +376,10 @@ def encoded(docs: DataFrame, *, text: str = "text", ids: str = "ids", model: str
             for row, texts in _slices(batch.column(position)):
                 flat, bounds = encoder.encode(texts)
                 own = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(row, len(texts)) for i in range(len(names))] + [own], names=names + [ids])
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(row, len(texts)) for i in range(len(rest))] + [own], names=[*rest, ids])
 
-    kinds = ", ".join(f"{quoted(c)} {t}" for c, t in docs.dtypes if c != ids)
+    types = dict(docs.dtypes)
+    kinds = ", ".join(f"{quoted(c)} {types[c]}" for c in rest)
     return _numbered(docs, names).mapInArrow(run, f"{kinds}, {quoted(ids)} array<int>")
 
 
