@@ -42,8 +42,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share id and source take their slots by text length, as the mix numbers them.
     """
-    done = sentencepiece_codec.encoded(docs.select("doc_id", "lang", "source", "text"))
-    done = done.select("doc_id", "lang", "source", "ids", F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), F.xxhash64("text").alias("hash"))
+    size, hash_ = F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), F.xxhash64("text").alias("hash")
+    done = sentencepiece_codec.encoded(docs.select("doc_id", "lang", "source", size, hash_, "text"), keep_text=False)
     done = done.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("chars", "hash")))
     slots = mixing.mixed(docs).select(
         F.col("doc_id").alias("id"), F.col("source").alias("of"), "slot",
