@@ -40,13 +40,16 @@ FOLDS, HELD = 7, 2
 MEMBER_BITS, PROBES, LEAST_BITS = 10, 5, 1 << 28
 BASE, PRIOR = 1.5, 4.0
 MAX_BLOCKS = 1 << 14
-_SLICE = 6 << 20
+_SLICE = 8 << 20
 _SEED = np.uint64(0x1D8E4E27C47D124F)
 _START, _END = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 _RESULT = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 )
 
+#: What comes with a word's key where words are counted: a slice holds fewer than 2^32 tokens.
+_COUNTED = np.dtype([("check", "<u4"), ("count", "<u4")])
+
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
@@ -62,8 +65,9 @@ def _tokens(data: np.ndarray, bounds: np.ndarray, checks: bool = True):
     names[at], names[stop] = T.word_names(data, starts, ends), _END
     second = None
     if checks:
-        second = np.empty_like(names)
-        second[at], second[stop] = T.names_of(data, starts, ends, seed=1), _END
+        second = np.empty(len(names), np.uint32)
+        # Half of a second name: with the 48 bits of a key, words are told apart by 80.
+        second[at], second[stop] = T.names_of(data, starts, ends, seed=1) >> np.uint64(32), _END & np.uint64(0xFFFFFFFF)
     return names, second, np.append(0, stop + 1)
 
 
@@ -106,12 +110,13 @@ def vocabulary(training: DataFrame, text: str, n_blocks: int) -> DataFrame:
         for batch in batches:
             for _, data, bounds in T.chunks(batch.column(0), _SLICE):
                 names, checks, back = _distinct(*_tokens(data, bounds)[:2])
-                more = np.rec.fromarrays([checks, np.bincount(back, minlength=len(names)).astype(np.uint64)], names="check,count")
+                more = np.empty(len(names), _COUNTED)
+                more["check"], more["count"] = checks, np.bincount(back, minlength=len(names))
                 yield from B.asked(0, B.key48(names), more, n_blocks).to_batches()
 
     def gather(table: pa.Table) -> pa.Table:
-        _, keys, _, more = B._of_block(table, n_blocks, np.dtype([("check", "<u8"), ("count", "<u8")]))
-        keys, checks, counts = _grouped(keys, more["check"], more["count"])
+        _, keys, _, more = B._of_block(table, n_blocks, _COUNTED)
+        keys, checks, counts = _grouped(keys, more["check"], more["count"].astype(np.uint64))
         return pa.table({
             "block": table["block"][:1], "keys": pa.array([keys.tobytes()]), "checks": pa.array([checks.tobytes()]), "counts": pa.array([counts.tobytes()]),
             "n_types": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([int(counts.sum())], pa.int64()),
@@ -201,10 +206,10 @@ def _counts_of(asks: DataFrame, words: DataFrame, parts: DataFrame, n_blocks: in
             buckets, keys, lengths, _ = B._of_block(own, n_blocks, np.uint8)
             said = levels_of(known["bits"][0].as_py(), keys) if len(known) else np.zeros(len(keys), np.uint8)
             return B._answers(table, buckets, lengths, said)
-        buckets, keys, lengths, checks = B._of_block(table, n_blocks, np.uint64)
+        buckets, keys, lengths, checks = B._of_block(table, n_blocks, np.uint32)
         said = np.zeros(len(keys), np.uint64)
         if len(known):
-            have, also, counts = (np.frombuffer(known[c][0].as_py(), np.uint64) for c in ("keys", "checks", "counts"))
+            have, also, counts = (np.frombuffer(known[c][0].as_py(), t) for c, t in (("keys", np.uint64), ("checks", np.uint32), ("counts", np.uint64)))
             at, end = np.searchsorted(have, keys), np.searchsorted(have, keys, "right")
             for step in range(int((end - at).max()) if len(keys) else 0):
                 here = np.minimum(at + step, len(have) - 1)
