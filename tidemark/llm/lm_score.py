@@ -103,6 +103,13 @@ def _grouped(keys: np.ndarray, checks: np.ndarray, counts: np.ndarray):
     return keys[new], checks[new], np.add.reduceat(counts[order], new) if len(new) else counts[:0]
 
 
+def _planes(table: pa.Table, column: str, width: int, back: bool = False) -> pa.Table:
+    """A binary column of numbers of ``width`` bytes with all first bytes first, then all second ones, ...: the upper, mostly 0, take no room when packed."""
+    blobs = [np.frombuffer(x.as_py(), np.uint8) for x in table[column]]
+    turned = [(x.reshape(width, -1) if back else x.reshape(-1, width)).T.tobytes() for x in blobs]
+    return table.set_column(table.schema.get_field_index(column), column, pa.array(turned, pa.binary()))
+
+
 def vocabulary(training: DataFrame, text: str, n_blocks: int) -> DataFrame:
     """block, the block's words and exact counts, n_types, n_tokens."""
 
@@ -112,9 +119,10 @@ def vocabulary(training: DataFrame, text: str, n_blocks: int) -> DataFrame:
                 names, checks, back = _distinct(*_tokens(data, bounds)[:2])
                 more = np.empty(len(names), _COUNTED)
                 more["check"], more["count"] = checks, np.bincount(back, minlength=len(names))
-                yield from B.asked(0, B.key48(names), more, n_blocks).to_batches()
+                yield from _planes(B.asked(0, B.key48(names), more, n_blocks), "more", _COUNTED.itemsize).to_batches()
 
     def gather(table: pa.Table) -> pa.Table:
+        table = _planes(table, "more", _COUNTED.itemsize, back=True)
         _, keys, _, more = B._of_block(table, n_blocks, _COUNTED)
         keys, checks, counts = _grouped(keys, more["check"], more["count"].astype(np.uint64))
         return pa.table({
@@ -215,7 +223,7 @@ def _counts_of(asks: DataFrame, words: DataFrame, parts: DataFrame, n_blocks: in
                 here = np.minimum(at + step, len(have) - 1)
                 hit = (at + step < end) & (also[here] == checks)
                 said[hit] = counts[here[hit]]
-        return B._answers(table, buckets, lengths, said)
+        return _planes(B._answers(table, buckets, lengths, said), "answer", 8)
 
     nothing = F.lit(None).cast("binary")
     stored = words.select("block", "keys", "checks", "counts", nothing.alias("bits")).unionByName(
@@ -251,7 +259,7 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", filte
         pairs = [_pairs(names, cuts) for names, _, cuts in found]
         grams, place = np.unique(B.key48(np.concatenate([words] + pairs)), return_inverse=True)
         late = pc.greater_equal(answers["block"], n_blocks)
-        exact = B.answered(answers.filter(pc.invert(late)), len(words), np.uint64).astype(np.float64)
+        exact = B.answered(_planes(answers.filter(pc.invert(late)), "answer", 8, back=True), len(words), np.uint64).astype(np.float64)
         quantity = told(B.answered(answers.filter(late), len(grams)))[place]
         of_word, of_pair = quantity[: len(words)], quantity[len(words) :]
         opening, low, out = of_word[back[found[0][2][1] - 1]], 0, [[], [], [], []]  # a text's last token is the end
