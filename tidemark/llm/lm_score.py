@@ -40,7 +40,7 @@ FOLDS, HELD = 7, 2
 MEMBER_BITS, PROBES, LEAST_BITS = 10, 5, 1 << 28
 BASE, PRIOR = 1.5, 4.0
 MAX_BLOCKS = 1 << 14
-_SLICE = 8 << 20
+_SLICE = 10 << 20
 _SEED = np.uint64(0x1D8E4E27C47D124F)
 _START, _END = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 _RESULT = (
