@@ -192,10 +192,10 @@ def _wide(width: int) -> Column:
 
 def _examples(feed: DataFrame, forms: DataFrame) -> DataFrame:
     """A parsed document of each form, by its first ``seq``: seq, _form, _exact, _doc, _members."""
-    wanted = forms.where("NOT _odd AND _form IS NOT NULL").select("seq", F.col("_form").alias("_of"), F.col("_exact").alias("_text"))
-    near = feed.select("seq", "operation_type", "full_document").join(wanted, "seq")
-    # Events that share a seq may have several forms.
-    own = _with_form(read_documents(near)).where((F.col("_form") == F.col("_of")) & (F.col("_exact") == F.col("_text")))
+    wanted = forms.where("NOT _odd AND _form IS NOT NULL").select("seq", "_form", "_exact")
+    near = feed.select("seq", "operation_type", "full_document").join(wanted.select("seq").distinct(), "seq", "left_semi")
+    # Events that share a seq (those of a sync all do) may have several forms: each is met with its own alone.
+    own = _with_form(read_documents(near)).join(wanted, ["seq", "_form", "_exact"], "left_semi")
     once = own.dropDuplicates(["_form", "_exact"]).select("seq", "_form", "_exact", "_doc")
     return once.withColumn("_members", _members(F.col("_doc")))
 
