@@ -69,11 +69,6 @@ def is_snapshot_id(value: Column) -> Column:
     return F.coalesce(number.between(1, MAX_SNAPSHOT_ID), F.lit(False))
 
 
-def split_valid(frame: DataFrame, rule: Column) -> tuple[DataFrame, DataFrame]:
-    """The rows that pass a rule, and the rows that do not; values stay as they came."""
-    return frame.where(rule), frame.where(~rule)
-
-
 def lenient_double(value: Column) -> Column:
     """A number from a value of any scalar type; 0 where there is none."""
     text = value.cast("string")

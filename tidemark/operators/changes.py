@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.documents import encode_document
 from tidemark.functions.names import column
 from tidemark.functions.spread import WIDTH, filled_before, previous_in_group
+from tidemark.operators.digests import BUCKETS, digest_tree, in_buckets, unequal_buckets
 
 _OLDEST = -(2**63)
 
@@ -128,6 +129,17 @@ def reconcile(current: DataFrame, baseline: DataFrame, key: str = "_id") -> Data
     )
 
 
+def reconcile_unequal(current: DataFrame, baseline: DataFrame, key: str = "_id", buckets: int = BUCKETS) -> DataFrame:
+    """The rows of :func:`reconcile` that are no ``noop``, from the buckets of keys whose digests differ.
+
+    Both sides are digested by the baseline's fields; only unequal buckets are read again and joined.
+    """
+    now = current.select(*[column(c) for c in baseline.columns])
+    chosen = unequal_buckets(digest_tree(now, key, buckets), digest_tree(baseline, key, buckets), buckets)
+    sides = (in_buckets(side, chosen, key, buckets) for side in (now, baseline))
+    return reconcile(*sides, key).where("action <> 'noop'")
+
+
 def reconcile_events(current: DataFrame, baseline: DataFrame, seq: int, key: str = "_id") -> DataFrame:
     """The events of :func:`reconcile`; none when current equals baseline."""
     fields = [c for c in baseline.columns if c != key]

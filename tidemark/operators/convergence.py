@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import cut, redact
+from tidemark.operators.changes import reconcile_unequal
+from tidemark.operators.digests import BUCKETS
 from tidemark.operators.reports import key_counts
 from tidemark.sources.feed import post_image_violations
 
@@ -25,6 +31,10 @@ OK, WARNING, FAILED = "ok", "alerta", "falha"
 MODE_FULL = "completo"
 MODE_SOURCE_ONLY = "somente_mongodb"
 MODE_FAILED = "com_falha"
+SOURCE_MISSING = "the collection does not exist"
+LAKE_MISSING = "the table does not exist"
+NOT_THERE = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
+DETAIL_LIMIT = 200
 
 
 def convergence_state(source_total: Column, lake_total: Column, lake_distinct: Column) -> Column:
@@ -56,16 +66,30 @@ def convergence(source: DataFrame, lake: DataFrame | None, key: str = "_id") ->
     )
 
 
-def overview(source: DataFrame, lake: DataFrame | None, dlq: DataFrame, key: str = "_id") -> dict[str, DataFrame]:
-    """What the overview shows: totals, status distribution, DLQ size, convergence."""
-    from tidemark.operators.reports import status_distribution, tolerant_totals
+def content_convergence(
+    source: DataFrame, lake: DataFrame | None, key: str = "_id", buckets: int = BUCKETS
+) -> DataFrame:
+    """:func:`convergence`, and how many keys are missing, extra or hold other fields.
 
-    return {
-        "totais": tolerant_totals(source),
-        "por_status": status_distribution(source),
-        "dlq": dlq.agg(F.count(F.lit(1)).alias("dlq")),
-        "convergencia": convergence(source, lake, key),
-    }
+    Tables of equal counts whose rows differ are ``divergente``. Rows are compared in those
+    buckets of keys alone whose digests differ; of a table that holds a key twice the counts speak.
+    """
+    counted = convergence(source, lake, key)
+    none = F.lit(None).cast("bigint")
+    if lake is None:
+        return counted.withColumns({"faltando": none, "sobrando": none, "diferentes": none})
+    found = reconcile_unequal(lake, source, key, buckets).agg(
+        F.count_if(F.col("action") == "insert").alias("faltando"),
+        F.count_if(F.col("action") == "delete").alias("sobrando"),
+        F.count_if(F.col("action") == "replace").alias("diferentes"),
+    )
+    both = counted.withColumn("_found", found.select(F.struct(*found.columns)).scalar())
+    unlike = F.col("_found.faltando") + F.col("_found.sobrando") + F.col("_found.diferentes") > 0
+    return both.select(
+        "origem_total", "lake_total", "lake_distintos",
+        F.when((F.col("estado") == CONVERGED) & unlike, DIVERGENT).otherwise(F.col("estado")).alias("estado"),
+        "_found.faltando", "_found.sobrando", "_found.diferentes",
+    )
 
 
 def duplicates(table: DataFrame, key: str = "_id") -> DataFrame:
@@ -107,32 +131,67 @@ def feed_lag(feed: DataFrame, committed: DataFrame) -> DataFrame:
     return lag_state(window.select(checkpoint.alias("checkpoint"), "feed_start", "feed_end"))
 
 
-def preflight_checks(
-    spark: SparkSession, feed: DataFrame | None, dlq: DataFrame, lake: DataFrame | None
-) -> DataFrame:
-    """One row per check: item, state, detail."""
+Opened = DataFrame | Callable[[], DataFrame] | None
 
-    def fixed(item: str, state: str, detail: str | None) -> DataFrame:
-        return spark.range(1).select(
-            F.lit(item).alias("item"), F.lit(state).alias("estado"), F.lit(detail).cast("string").alias("detalhe")
-        )
 
-    if feed is None:
-        return fixed("source", FAILED, "unreadable")
-    broken = F.count(F.lit(1))
-    images = post_image_violations(feed).agg(
-        F.lit("post-images").alias("item"),
-        F.when(broken == 0, OK).otherwise(FAILED).alias("estado"),
-        F.when(broken > 0, F.concat(broken.cast("string"), F.lit(" update(s) without post-image"))).alias("detalhe"),
-    )
-    queued = F.count(F.lit(1))
-    rejects = dlq.agg(
-        F.lit("dead-letter queue").alias("item"),
-        F.when(queued == 0, OK).otherwise(WARNING).alias("estado"),
-        F.when(queued > 0, F.concat(queued.cast("string"), F.lit(" documento(s) rejeitado(s)"))).alias("detalhe"),
-    )
-    reachable = fixed("lake", WARNING, "unreadable") if lake is None else fixed("lake", OK, None)
-    return fixed("source", OK, None).unionByName(images).unionByName(rejects).unionByName(reachable)
+def look(opened: Opened) -> tuple[DataFrame | None, str | None, bool]:
+    """The frame, if a row of it can be read or it is empty; else why not, and whether it is not there at all.
+
+    A callable opens what it returns only now, so a table that is gone is found here.
+    """
+    if opened is None:
+        return None, "unreadable", False
+    try:
+        frame = opened() if callable(opened) else opened
+        frame.take(1)
+    except AnalysisException as error:
+        return None, str(error), error.getCondition() in NOT_THERE
+    except Exception as error:  # noqa: BLE001 -- whatever a reader raises, the check says so
+        return None, str(error), False
+    return frame, None, False
+
+
+def preflight_checks(spark: SparkSession, feed: Opened, dlq: Opened, lake: Opened) -> DataFrame:
+    """One row per check: item, state, detail. Source, queue and lake are opened and read.
+
+    A lost connection to the source ends the checks; a source that does not exist fails, and
+    the others are still looked at. Error texts are redacted and cut.
+    """
+
+    def fixed(item: str, state: str, error: str | None = None) -> DataFrame:
+        detail = cut(redact(F.lit(error).cast("string")), DETAIL_LIMIT)
+        return spark.range(1).select(F.lit(item).alias("item"), F.lit(state).alias("estado"), detail.alias("detalhe"))
+
+    events, error, missing = look(feed)
+    if events is None and not missing:
+        return fixed("source", FAILED, error)
+    found = fixed("source", OK)
+    if events is None:
+        found = fixed("source", FAILED, SOURCE_MISSING)
+    else:
+        broken = F.count(F.lit(1))
+        found = found.unionByName(
+            post_image_violations(events).agg(
+                F.lit("post-images").alias("item"),
+                F.when(broken == 0, OK).otherwise(FAILED).alias("estado"),
+                F.when(broken > 0, F.concat(broken.cast("string"), F.lit(" update(s) without post-image"))).alias("detalhe"),
+            )
+        )
+    rejected, error, _ = look(dlq)
+    if rejected is None:
+        found = found.unionByName(fixed("dead-letter queue", FAILED, error))
+    else:
+        queued = F.count(F.lit(1))
+        found = found.unionByName(
+            rejected.agg(
+                F.lit("dead-letter queue").alias("item"),
+                F.when(queued == 0, OK).otherwise(WARNING).alias("estado"),
+                F.when(queued > 0, F.concat(queued.cast("string"), F.lit(" documento(s) rejeitado(s)"))).alias("detalhe"),
+            )
+        )
+    _, error, missing = look(lake)
+    reachable = fixed("lake", OK) if error is None else fixed("lake", WARNING, LAKE_MISSING if missing else error)
+    return found.unionByName(reachable)
 
 
 def preflight_verdict(checks: DataFrame) -> DataFrame:

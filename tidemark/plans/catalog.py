@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,9 @@ DEFECT_SCHEMA = T.StructType(
         T.StructField("props", T.StructType([T.StructField("k", T.LongType())])),
     ]
 )
+EVOLVED_SCHEMA = T.StructType([*DEFECT_SCHEMA.fields, T.StructField("bonus", T.DoubleType())])
+# Optional fields of the documents of many forms.
+FORM_BITS = 14
 # How far apart a sparse feed's ``seq`` are, and the rows from which a key is cut into ranges there.
 SPARSE = 2**32
 LARGE_KEY = 4
@@ -115,6 +120,22 @@ def type_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _defective(spark, sf_dir).checked.groupBy(reason.alias("verdict")).agg(F.count(F.lit(1)).alias("documents"))
 
 
+def many_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in as many forms as there are keys (up to 2^14), some of them misfits: verdict and fields held, counted."""
+    bits = [F.col("document_key").cast("bigint").bitwiseAND(F.lit(1 << i)) > 0 for i in range(FORM_BITS)]
+    text = F.when(F.col("document_key").cast("bigint") % 5 == 0, '"n"').otherwise("1")
+    held = [F.when(bit, F.concat(F.lit(f',"b{i}":'), text if i == 0 else F.lit("1"))).otherwise("") for i, bit in enumerate(bits)]
+    document = F.concat(F.lit('{"_id":"'), "document_key", F.lit('","amount":'), F.col("amount").cast("string"), *held, F.lit("}"))
+    kept = feeds.keep_operations(domain.feed(spark, sf_dir)).where("operation_type <> 'delete'")
+    known = T.StructType([T.StructField("b0", T.LongType())])
+    judged = conform(kept.withColumn("full_document", document), known)
+    # The columns that the forms have brought: small tables have no key of the higher bits.
+    held = [F.col(c).isNotNull().cast("bigint") for c in judged.accepted.columns if c.startswith("b")]
+    fitting = judged.accepted.select(F.lit("accepted").alias("verdict"), reduce(add, held).alias("fields"))
+    misfits = judged.rejected.select(F.lit("rejected").alias("verdict"), F.lit(None).cast("bigint").alias("fields"))
+    return fitting.unionByName(misfits).groupBy("verdict", "fields").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def _dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _defective(spark, sf_dir).rejected.select(
         F.col("cluster_time").alias("dlq_time"), F.struct("reason").alias("err_info"), "doc"
@@ -137,9 +158,9 @@ def keyed_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.current_state(domain.change_log(spark, sf_dir).drop("commit_id"))
 
 
-def _feed_files(spark: SparkSession, sf_dir: str, where: str, files: int) -> None:
+def _feed_files(spark: SparkSession, sf_dir: str, where: str, files: int, days: str = "true") -> None:
     """Writes the feed as ordered files for the file stream to find."""
-    rows = domain.feed(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in feeds.FEED_SCHEMA])
+    rows = domain.feed(spark, sf_dir).where(days).select(*[F.col(f.name).cast(f.dataType) for f in feeds.FEED_SCHEMA])
     rows.repartitionByRange(files, "seq").write.mode("overwrite").parquet(where)
 
 
@@ -207,7 +228,8 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def projected_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.find_fields(domain.plain_orders(spark, sf_dir), "7", ("_id", "status", "amount", "channel"))
+    """The key is compared as the scan has it, so that the scan can skip by it."""
+    return reports.find_fields(domain.plain_orders(spark, sf_dir, key=7), "7", ("_id", "status", "amount", "channel"))
 
 
 def parameterised_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,9 +240,10 @@ def parameterised_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evolved_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of one key before and after the new column came."""
-    evolved = schema_evolution(spark, sf_dir)
-    return reports.find_order(evolved, "8")
+    """Rows of one key before and after the new column came; no other key's documents are judged."""
+    own = domain.feed(spark, sf_dir, late_field=True, key=8)
+    typed = conform(feeds.keep_operations(own).where("operation_type <> 'delete'"), EVOLVED_SCHEMA).accepted
+    return typed.select("_id", F.col("__seq").alias("seq"), "amount", "kind", F.col("props.k").alias("k"), "bonus")
 
 
 def business_question(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,6 +370,27 @@ def convergence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result
 
 
+def content_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source against an equal lake, one of equal counts in which rows differ, and one that lags."""
+    log = domain.change_log(spark, sf_dir)
+    now, earlier = apply.current_state(log.drop("commit_id")).drop("seq"), apply.state_as_of(log, 4).drop("seq")
+    other = F.when(F.col("k") % 10 == 7, F.col("amount") + 1).otherwise(F.col("amount"))
+    lakes = {"equal": now, "altered": now.withColumn("amount", other), "lagging": earlier, "offline": None}
+    rows = [convergence.content_convergence(now, lake, "key").withColumn("lake", F.lit(name)) for name, lake in lakes.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def table_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that stands at day 20, its base at day 15, against the source of day 30: what it lacks."""
+    mirror = Mirror(spark, shared_dir(spark, "differing"), buckets=64)
+    feed = domain.feed(spark, sf_dir).select(*feeds.FEED_SCHEMA.names, "commit_id")
+    mirror.apply(feed.where("commit_id <= 15"))
+    mirror.write_base()
+    mirror.apply(feed.where("commit_id BETWEEN 16 AND 20"))
+    now = apply.current_state(domain.change_log(spark, sf_dir).drop("commit_id"))
+    return mirror.differences(now.select(F.col("key").alias("_id"), "amount"))
+
+
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convergence.duplicates(domain.table(spark, sf_dir, "events"), "user_id")
 
@@ -365,9 +409,37 @@ def lag_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convergence.lag_state(positions).select("commit_id", "margem_segundos", "janela_segundos", "estado")
 
 
-def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = domain.feed(spark, sf_dir, lost_images=True)
-    return convergence.preflight_checks(spark, feed, _dead_letters(spark, sf_dir), domain.plain_orders(spark, sf_dir))
+def feed_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that followed the feed's files up to day 20, against what the feed retains from day 5 on."""
+    root = shared_dir(spark, "lag")
+    _feed_files(spark, sf_dir, f"{root}/feed", 4, "commit_id <= 20")
+    mirror = Mirror(spark, f"{root}/mirror", buckets=8)
+    follow(mirror, feeds.stream_feed(spark, f"{root}/feed", max_files=2), f"{root}/checkpoint").awaitTermination()
+    lag = mirror.lag(domain.feed(spark, sf_dir).where(F.col("commit_id") >= RETAINED_FROM_DAY))
+    return lag.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("checkpoint", "feed_start", "feed_end")})
+
+
+def _checks(spark: SparkSession, sf_dir: str, **others: Callable[[], DataFrame]) -> DataFrame:
+    opened = {
+        "feed": lambda: domain.feed(spark, sf_dir, lost_images=True),
+        "dlq": lambda: _dead_letters(spark, sf_dir),
+        "lake": lambda: domain.plain_orders(spark, sf_dir),
+    }
+    return convergence.preflight_checks(spark, **(opened | others))
+
+
+def preflight_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report when the source is gone, when its connection is lost and when the lake is gone."""
+
+    def gone() -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/no_such_table.parquet")
+
+    def lost() -> DataFrame:
+        raise ConnectionError("no answer from mongodb+srv://reader:word@cluster0.ab1cd.mongodb.net/shop")
+
+    cases = {"source gone": {"feed": gone}, "source lost": {"feed": lost}, "lake gone": {"lake": gone}}
+    reports_ = [_checks(spark, sf_dir, **case).withColumn("falta", F.lit(name)) for name, case in cases.items()]
+    return reduce(DataFrame.unionByName, reports_)
 
 
 def preflight_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -551,6 +623,14 @@ def reconcile_to_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reset(spark, sf_dir)
 
 
+def reconcile_unequal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reset by digests of buckets: what changes, read from the unequal ones."""
+    log = domain.change_log(spark, sf_dir)
+    now = apply.current_state(log.drop("commit_id")).drop("seq").withColumnRenamed("key", "_id")
+    goal = apply.state_as_of(log, BASELINE).drop("seq").withColumnRenamed("key", "_id")
+    return changes.reconcile_unequal(now, goal)
+
+
 def reset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reset's counts, held against the baseline; the feed's rejects are what it clears."""
     baseline = apply.state_as_of(domain.change_log(spark, sf_dir), BASELINE)
@@ -567,6 +647,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s6_sanitised_key_strings": sanitised_key_strings,
     "s7_schema_evolution": schema_evolution,
     "s8_type_check": type_check,
+    "s8_many_forms": many_forms,
     "s9_dead_letter_count": dead_letter_count,
     "s9_dead_letter_samples": dead_letter_samples,
     "s9_dead_letter_newest": dead_letter_newest,
@@ -598,10 +679,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q15_table_columns": table_columns,
     "q16_result_page": result_page,
     "m1_convergence_states": convergence_states,
+    "m1_content_convergence": content_states,
+    "m1_table_differences": table_differences,
     "m2_duplicate_keys": duplicate_keys,
     "m3_lag_states": lag_states,
+    "m3_feed_lag": feed_lag,
     "m4_preflight_report": preflight_report,
     "m4_preflight_verdict": preflight_verdict,
+    "m4_preflight_failures": preflight_failures,
     "m5_write_propagation": write_propagation,
     "m6_cycle_rule": cycle_rule,
     "m7_latency_summary": latency_summary,
@@ -620,5 +705,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "w2_patch_unmatched": patch_unmatched,
     "w3_delete_by_key": delete_by_key,
     "w4_reconcile_to_baseline": reconcile_to_baseline,
+    "w4_reconcile_unequal": reconcile_unequal,
     "w4_reset_report": reset_report,
 }

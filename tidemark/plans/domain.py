@@ -62,9 +62,12 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def plain_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders alone, for what needs no region."""
-    return table(spark, sf_dir, "orders").select(
+def plain_orders(spark: SparkSession, sf_dir: str, key: int | None = None) -> DataFrame:
+    """Orders alone, for what needs no region; of one key only, if given."""
+    source = table(spark, sf_dir, "orders")
+    if key is not None:
+        source = source.where(F.col("o_orderkey") == F.lit(key))
+    return source.select(
         F.col("o_orderkey").cast("string").alias("_id"),
         F.col("o_totalprice").alias("amount"),
         F.col("o_orderstatus").alias("status"),
@@ -108,13 +111,19 @@ def _document(amount: Column, extra: Column | None = None) -> Column:
 
 
 def feed(
-    spark: SparkSession, sf_dir: str, lost_images: bool = False, mixed_types: bool = False, late_field: bool = False
+    spark: SparkSession,
+    sf_dir: str,
+    lost_images: bool = False,
+    mixed_types: bool = False,
+    late_field: bool = False,
+    key: int | None = None,
 ) -> DataFrame:
     """The events table as a change feed, with ``commit_id`` one per day.
 
     Options give the feed the defects the engine handles, derived from the rows'
     own values: updates of small value without post-image, amounts written as text
-    or as decimal, and a field that appears from day 11 on.
+    or as decimal, and a field that appears from day 11 on. ``key`` gives the events of
+    one key alone, by a predicate that the scan sees.
     """
     value = F.col("value").cast("string")
     amount = value
@@ -130,7 +139,10 @@ def feed(
     absent = operation == "delete"
     if lost_images:
         absent = absent | ((operation == "update") & (F.col("value") < LOST_IMAGE_BELOW))
-    return table(spark, sf_dir, "events").select(
+    source = table(spark, sf_dir, "events")
+    if key is not None:
+        source = source.where(F.col("user_id") == F.lit(key))
+    return source.select(
         F.col("event_id").alias("seq"),
         F.col("ts").alias("cluster_time"),
         operation.alias("operation_type"),

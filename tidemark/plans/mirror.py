@@ -45,7 +45,10 @@ from tidemark.functions.documents import encode_document
 from tidemark.functions.names import column
 from tidemark.operators import apply
 from tidemark.operators.apply import UnknownSnapshot
+from tidemark.operators.changes import reconcile
+from tidemark.operators.convergence import feed_lag
 from tidemark.operators.conform import ALIVE, AT, BUCKET, COMMIT, KEY, SEQ, Conformed, Memory, conform, table_type
+from tidemark.operators.digests import bucket_of, digest_tree, in_buckets, unequal_buckets
 from tidemark.operators.reports import table_columns
 from tidemark.sources.feed import keep_operations
 
@@ -419,6 +422,10 @@ class Mirror:
         """The commits that are snapshots: ``commit_id`` and ``committed_at``."""
         return self.commits().where("rows > 0").select(F.col(COMMIT).alias("commit_id"), "committed_at", "cluster_time")
 
+    def lag(self, feed: DataFrame) -> DataFrame:
+        """How far the last committed event is from the ends of the retained feed, read from the markers."""
+        return feed_lag(feed, self.commits())
+
     def _replayed(self, head: Row | None, stream_id: str | None, batch_id: int | None) -> tuple[bool, int | None]:
         """Whether a batch was applied before, and as which commit.
 
@@ -610,7 +617,7 @@ class Mirror:
         return seen.get["rows"]
 
     def _bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        return bucket_of(key, self.buckets)
 
     def base_due(self, share: float = BASE_SHARE, min_rows: int = BASE_MIN_ROWS) -> bool:
         """Whether the tail has grown to a share of the base, which makes a new base pay off."""
@@ -648,16 +655,19 @@ class Mirror:
             *[f"{self._home}/{p}" for p in paths]
         )
 
-    def _base_rows(self, tail: Tail, key: str | None = None) -> DataFrame:
+    def _base_rows(self, tail: Tail, key: str | list[int] | None = None) -> DataFrame:
+        """The base's rows: all, or of the bucket a key is in, or of some buckets; others are not opened."""
         schema = T.StructType([*OWN_FIELDS, *tail.schema.fields, T.StructField(BUCKET, T.IntegerType())])
         rows = self.spark.read.schema(schema).parquet(f"{self._home}/base/{COMMIT}={tail.base[COMMIT]}")
-        if key is not None:
+        if isinstance(key, list):
+            rows = rows.where(F.col(BUCKET).isin(key) if key else F.lit(False))
+        elif key is not None:
             bucket = self.spark.range(1).select(self._bucket(F.lit(key))).first()[0]
             rows = rows.where(F.col(BUCKET) == bucket)
         return rows.drop(BUCKET)
 
-    def _rows(self, tail: Tail, key: str | DataFrame | None = None) -> DataFrame:
-        """One row per key ever seen, tombstones included; of one key or of a table of keys only, if given.
+    def _rows(self, tail: Tail, key: str | list[int] | DataFrame | None = None) -> DataFrame:
+        """One row per key ever seen, tombstones included; of one key, some buckets or a table of keys only, if given.
 
         Base rows are filtered by an anti join against the tail's keys, which Spark
         broadcasts when they are small, so the base is not shuffled.
@@ -666,9 +676,11 @@ class Mirror:
         def only(rows: DataFrame) -> DataFrame:
             if isinstance(key, DataFrame):
                 return rows.join(key, KEY, "left_semi")
+            if isinstance(key, list):
+                return in_buckets(rows, key, KEY, self.buckets)
             return rows if key is None else rows.where(F.col(KEY) == key)
 
-        bucket = key if isinstance(key, str) else None
+        bucket = None if isinstance(key, DataFrame) else key
         if not tail.pieces:
             if tail.base is None:
                 return self.spark.createDataFrame([], T.StructType(OWN_FIELDS + tail.schema.fields))
@@ -686,7 +698,7 @@ class Mirror:
         winning = newest.join(overtaken, KEY, "left_anti")
         return base.join(winning.select(KEY), KEY, "left_anti").unionByName(winning)
 
-    def _living(self, tail: Tail, key: str | None = None) -> DataFrame:
+    def _living(self, tail: Tail, key: str | list[int] | None = None) -> DataFrame:
         fields = [column(f.name) for f in tail.schema.fields]
         return self._rows(tail, key).where(F.col(ALIVE)).select(KEY, *fields)
 
@@ -694,6 +706,23 @@ class Mirror:
         """The table now, or as of a snapshot; its schema is the one of that commit."""
         return self._living(self._tail(version))
 
+    def differences(self, source: DataFrame, version: int | None = None) -> DataFrame:
+        """What brings the table to ``source`` (``_id`` and fields): insert, replace or delete per key.
+
+        Both are digested per bucket once; of the base only the partitions of unequal buckets are read again.
+        """
+        source = source.withColumn(KEY, F.col(KEY).cast("string"))
+        tail = self._tail(version)
+
+        def own(state: DataFrame) -> DataFrame:
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema.fields if f.name not in state.columns]
+            return state.select("*", *nothing).select(*[column(c) for c in source.columns])
+
+        trees = [digest_tree(side, KEY, self.buckets) for side in (own(self._living(tail)), source)]
+        chosen = unequal_buckets(*trees, self.buckets)
+        now, goal = self._living(tail, chosen), in_buckets(source, chosen, KEY, self.buckets)
+        return reconcile(own(now), goal, KEY).where("action <> 'noop'")
+
     def state_at(self, instant: str | datetime) -> DataFrame:
         """The table at the last snapshot committed at or before an instant."""
         return self.state(apply.version_at(self.versions(), instant))

@@ -188,6 +188,11 @@ ORACLE: dict[str, str] = {
     "s7_schema_evolution": f"""WITH {FEED} SELECT document_key AS _id, seq, amount, event_type AS kind, k,
         CASE WHEN commit_id > 10 THEN amount END AS bonus FROM kept WHERE operation_type <> 'delete'""",
     "s8_type_check": f"WITH {FEED}, {VERDICTS} SELECT verdict, count(*) AS documents FROM judged GROUP BY verdict",
+    "s8_many_forms": f"""WITH {FEED}, docs AS (SELECT CAST(document_key AS BIGINT) % 16384 AS bits, CAST(document_key AS BIGINT) AS id
+        FROM kept WHERE operation_type <> 'delete')
+        SELECT CASE WHEN bits % 2 = 1 AND id % 5 = 0 THEN 'rejected' ELSE 'accepted' END AS verdict,
+        CASE WHEN bits % 2 = 1 AND id % 5 = 0 THEN NULL ELSE CAST(bit_count(bits) AS BIGINT) END AS fields, count(*) AS documents
+        FROM docs GROUP BY 1, 2""",
     "s9_dead_letter_count": f"WITH {FEED}, {VERDICTS} SELECT count(*) AS dlq FROM judged WHERE verdict <> 'accepted'",
     "s9_dead_letter_samples": f"""WITH {FEED}, {VERDICTS}
         SELECT CASE WHEN verdict LIKE 'post%' THEN '?' ELSE document_key END AS doc_id, verdict AS reason
@@ -271,6 +276,23 @@ ORACLE: dict[str, str] = {
         CASE WHEN lt IS NULL THEN 'iceberg offline' WHEN lt = (SELECT t FROM s) AND ld = lt THEN 'convergido'
              WHEN lt > ld THEN 'tabela duplicada' WHEN lt <> (SELECT t FROM s) THEN 'propagando' ELSE 'divergente' END AS estado
         FROM lakes""",
+    "m1_content_convergence": f"""WITH {FEED}, {_state('cur')}, {_state('old', 'commit_id <= 4')},
+        s AS (SELECT count(*) AS t, count(*) FILTER (WHERE k % 10 = 7 AND amount IS NOT NULL) AS altered FROM cur),
+        o AS (SELECT count(*) AS t FROM old),
+        lag AS (SELECT count(*) FILTER (WHERE o.key IS NULL) AS missing, count(*) FILTER (WHERE c.key IS NULL) AS extra,
+          count(*) FILTER (WHERE o.key = c.key AND (o.amount IS DISTINCT FROM c.amount OR o.k IS DISTINCT FROM c.k)) AS differing
+          FROM cur c FULL JOIN old o ON c.key = o.key)
+        SELECT 'equal' AS lake, t AS origem_total, t AS lake_total, t AS lake_distintos, 'convergido' AS estado,
+          0 AS faltando, 0 AS sobrando, 0 AS diferentes FROM s
+        UNION ALL SELECT 'altered', t, t, t, CASE WHEN altered > 0 THEN 'divergente' ELSE 'convergido' END, 0, 0, altered FROM s
+        UNION ALL SELECT 'lagging', s.t, o.t, o.t,
+          CASE WHEN s.t <> o.t THEN 'propagando' WHEN missing + extra + differing > 0 THEN 'divergente' ELSE 'convergido' END,
+          missing, extra, differing FROM s, o, lag
+        UNION ALL SELECT 'offline', t, NULL, NULL, 'iceberg offline', NULL, NULL, NULL FROM s""",
+    "m1_table_differences": f"""WITH {FEED}, {_state('cur', 'commit_id <= 20')}, {_state('goal')}
+        SELECT coalesce(c.key, g.key) AS _id, CASE WHEN g.key IS NULL THEN 'delete' WHEN c.key IS NULL THEN 'insert' ELSE 'replace' END AS action,
+        g.amount FROM cur c FULL JOIN goal g ON c.key = g.key
+        WHERE g.key IS NULL OR c.key IS NULL OR c.amount IS DISTINCT FROM g.amount""",
     "m2_duplicate_keys": "SELECT user_id, count(*) AS copies FROM events GROUP BY user_id HAVING count(*) > 1",
     "m3_lag_states": f"""WITH {FEED}, bounds AS (
         SELECT min(cluster_time) AS lo, max(cluster_time) AS hi FROM feed WHERE commit_id >= 5),
@@ -278,6 +300,12 @@ ORACLE: dict[str, str] = {
         epoch_us((SELECT hi FROM bounds)) - epoch_us((SELECT lo FROM bounds)) AS w FROM marks)
         SELECT commit_id, round(margin / 1e6::DOUBLE, 1) AS margem_segundos, round(w / 1e6::DOUBLE, 1) AS janela_segundos,
         CASE WHEN margin < 0 THEN 'critico' WHEN w <= 0 OR margin / w < 0.2::DOUBLE THEN 'alerta' ELSE 'ok' END AS estado FROM spans""",
+    "m3_feed_lag": f"""WITH {FEED}, ends AS (
+        SELECT (SELECT max(cluster_time) FROM kept WHERE commit_id <= 20) AS checkpoint,
+        min(cluster_time) AS feed_start, max(cluster_time) AS feed_end FROM feed WHERE commit_id >= 5),
+        spans AS (SELECT *, epoch_us(checkpoint) - epoch_us(feed_start) AS margin, epoch_us(feed_end) - epoch_us(feed_start) AS w FROM ends)
+        SELECT checkpoint, feed_start, feed_end, round(margin / 1e6::DOUBLE, 1) AS margem_segundos, round(w / 1e6::DOUBLE, 1) AS janela_segundos,
+        CASE WHEN margin < 0 THEN 'critico' WHEN w <= 0 OR margin / w < 0.2::DOUBLE THEN 'alerta' ELSE 'ok' END AS estado FROM spans""",
     "q15_table_columns": f"""WITH {FEED}, docs AS (SELECT * FROM kept WHERE operation_type <> 'delete')
         SELECT 0 AS posicao, '_id' AS nome, 'string' AS tipo, count(*) AS preenchidos, min(commit_id) AS desde FROM docs
         UNION ALL SELECT 1, 'amount', 'double', count(amount), min(commit_id) FROM docs
@@ -289,6 +317,11 @@ ORACLE: dict[str, str] = {
         CASE WHEN count(*) FILTER (WHERE estado = 'falha') > 0 THEN 'com_falha'
              WHEN count(*) FILTER (WHERE item = 'lake' AND estado = 'ok') > 0 THEN 'completo' ELSE 'somente_mongodb' END AS modo,
         count(*) FILTER (WHERE estado = 'alerta') > 0 AS avisos FROM checks""",
+    "m4_preflight_failures": f"""{CHECKS} SELECT 'source gone' AS falta, item, CASE WHEN item = 'source' THEN 'falha' ELSE estado END AS estado,
+        CASE WHEN item = 'source' THEN 'the collection does not exist' ELSE detalhe END AS detalhe FROM checks WHERE item <> 'post-images'
+        UNION ALL SELECT 'source lost', 'source', 'falha', 'no answer from mongodb://<redacted>'
+        UNION ALL SELECT 'lake gone', item, CASE WHEN item = 'lake' THEN 'alerta' ELSE estado END,
+        CASE WHEN item = 'lake' THEN 'the table does not exist' ELSE detalhe END FROM checks""",
     "m5_write_propagation": f"""WITH {POLLS} SELECT sample_id, op, ok, CASE WHEN ok THEN round(took, 2) END AS visible_s,
         CASE WHEN ok THEN round(gap, 2) END AS window_s, CASE WHEN NOT ok THEN round(took, 2) END AS waited_s, polls, bytes
         FROM result""",
@@ -368,6 +401,7 @@ ORACLE: dict[str, str] = {
     "w3_delete_by_key": f"""WITH {FEED}, {MIDWAY} SELECT CAST(1000000000 AS BIGINT) AS seq, 'delete' AS operation_type,
         key AS _id FROM mid WHERE key IN (SELECT document_key FROM feed WHERE commit_id > 20 AND operation_type = 'delete')""",
     "w4_reconcile_to_baseline": f"{RESET} SELECT * FROM actions",
+    "w4_reconcile_unequal": f"{RESET} SELECT * FROM actions WHERE action <> 'noop'",
     "w4_reset_report": f"""{RESET}, {VERDICTS}, kept_judged AS (SELECT * FROM judged WHERE verdict <> 'accepted') SELECT count(*) FILTER (WHERE action = 'delete' AND _id IN ('8', '46')) AS live_removed,
         count(*) FILTER (WHERE action = 'delete' AND _id NOT IN ('8', '46')) AS strays_removed,
         count(*) FILTER (WHERE action IN ('insert', 'replace')) AS seed_upserted,
