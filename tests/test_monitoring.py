@@ -127,3 +127,13 @@ def test_page(spark):
     rows, truncated = reports.page(frame)
     assert rows.count() == 199 and truncated and not reports.page(spark.range(199))[1]
     assert reports.page_frame(spark.range(5)).first().truncated is False
+
+
+def test_only_hot_samples_are_spread(spark):
+    counts = spark.createDataFrame([("hot", "insert", 900), ("warm", "insert", 60), ("cold", "insert", 40)], "sample_id string, op string, n bigint")
+    assert [tuple(r) for r in propagation._hot(counts, 10).collect()] == [("hot", "insert", 9)]
+    assert propagation._hot(counts.where("n < 0"), 10).count() == 0
+    polls = [("hot", "insert", float(i), i + 0.5, int(i == 40), None, 1) for i in range(60)] + [(f"c{i}", "insert", 0.0, 1.0, 1, None, 2) for i in range(20)]
+    got, whole = measured(spark, polls, 100.0, 4), measured(spark, polls, 100.0, 1)
+    assert got == whole and (got["hot", "insert"].polls, got["hot", "insert"].visible_s, got["hot", "insert"].bytes) == (41, 40.5, 41)
+    assert all(got[f"c{i}", "insert"].polls == 1 for i in range(20))

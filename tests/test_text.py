@@ -32,3 +32,9 @@ def test_lenient_numbers(spark):
     values = ["10.0", "20.5", "30.25", None, "abc", "1d", "NaN", "Infinity", " 20.5 ", "1e3", "-2", ".5", "1."]
     frame = spark.createDataFrame([(v,) for v in values], "v string").select(text.lenient_double(F.col("v")).alias("d"))
     assert [r.d for r in frame.collect()] == [10.0, 20.5, 30.25, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1000.0, -2.0, 0.5, 1.0]
+
+
+def test_booleans_are_numbers(spark):
+    frame = spark.sql("select v, string(v) as s from values (true), (false), (null) as t(v)")
+    got = frame.select(text.lenient_double(F.col("v")).alias("d"), text.lenient_double(F.col("s")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [(1.0, 0.0), (0.0, 0.0), (0.0, 0.0)]

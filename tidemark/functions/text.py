@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What is cut out of error text, in this order: the text a match
@@ -70,6 +70,7 @@ def is_snapshot_id(value: Column) -> Column:
 
 
 def lenient_double(value: Column) -> Column:
-    """A number from a value of any scalar type; 0 where there is none."""
+    """A number from a value of any scalar type, 1 for true; 0 where there is none."""
     text = value.cast("string")
-    return F.coalesce(F.when(text.rlike(NUMBER), text.try_cast("double")), F.lit(0.0))
+    true = (F.typeof(value) == "boolean") & (text == "true")
+    return F.when(true, F.lit(1.0)).otherwise(F.coalesce(F.when(text.rlike(NUMBER), text.try_cast("double")), F.lit(0.0)))

@@ -10,7 +10,8 @@ from tidemark.functions.spread import nearest_rank
 # A cycle's writes in order.
 CYCLE = ("insert", "update", "delete")
 TIMEOUT_S = 120.0
-SALTS = 16
+# A sample with more than this part of all polls is spread; so there are fewer such samples than that.
+PARTS = 1000
 SAMPLE = ("sample_id", "op")
 
 
@@ -24,33 +25,46 @@ def reflects(expected_status: Column) -> Column:
     )
 
 
-def _with_group_values(polls: DataFrame, per_group: DataFrame, salts: int) -> DataFrame:
-    """Joins one row per sample onto its polls; a sample with many polls is salted."""
-    spread = polls.withColumn("_salt", F.pmod(F.xxhash64("poll_start", "poll_end"), F.lit(salts)))
-    copies = per_group.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+def _hot(counts: DataFrame, parts: int) -> DataFrame:
+    """The samples with more than one in ``parts`` of all polls, fewer than ``parts``, and into how many each is cut."""
+    share = counts.agg(F.sum("n")).scalar() / F.lit(parts)
+    return counts.withColumn("_share", share).where(F.col("n") > F.col("_share")).select(
+        *SAMPLE, F.ceil(F.col("n") / F.col("_share")).cast("bigint").alias("_salts")
     )
-    return spread.join(copies, [*SAMPLE, "_salt"]).drop("_salt")
+
+
+def _with_group_values(polls: DataFrame, per_group: DataFrame, hot: DataFrame) -> DataFrame:
+    """Joins one row per sample onto its polls; the polls of a hot sample are spread, and only its row is copied."""
+    salts = F.coalesce("_salts", F.lit(1).cast("bigint"))
+    spread = polls.join(F.broadcast(hot), [*SAMPLE], "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("poll_start", "poll_end"), salts)
+    )
+    copies = per_group.join(F.broadcast(hot), [*SAMPLE], "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))
+    )
+    return spread.drop("_salts").join(copies.drop("_salts"), [*SAMPLE, "_salt"]).drop("_salt")
 
 
 def propagation(
-    polls: DataFrame, expected_status: Column, timeout_s: float = TIMEOUT_S, salts: int = SALTS
+    polls: DataFrame, expected_status: Column, timeout_s: float = TIMEOUT_S, parts: int = PARTS
 ) -> DataFrame:
     """First poll of each write that shows it, or the timeout.
 
     Polls of one sample run one after another.  The last poll that counts is the
     first one that shows the write or ends past the timeout.  Every step is an
     aggregation that combines before its shuffle, so a sample with very many
-    polls is never gathered.
+    polls is never gathered. Polls are counted along with the starts; a sample that holds
+    more than one in ``parts`` of them is spread over as many tasks as its share asks for.
     """
     marked = polls.withColumn("hit", reflects(expected_status))
-    starts = marked.groupBy(*SAMPLE).agg(F.min("poll_start").alias("start"))
-    timed = _with_group_values(marked, starts, salts)
+    counts = marked.groupBy(*SAMPLE).agg(F.min("poll_start").alias("start"), F.count(F.lit(1)).alias("n"))
+    hot, starts = _hot(counts, parts), counts.drop("n")
+    timed = _with_group_values(marked, starts, hot)
     stopping = F.col("hit") | (F.col("poll_end") - F.col("start") >= F.lit(timeout_s))
     stops = timed.groupBy(*SAMPLE).agg(
         F.min("start").alias("start"), F.min(F.when(stopping, F.col("poll_start"))).alias("stop")
     )
-    counted = _with_group_values(marked, stops, salts).where(
+    counted = _with_group_values(marked, stops, hot).where(
         F.col("stop").isNull() | (F.col("poll_start") <= F.col("stop"))
     )
     at_stop = F.col("poll_start") == F.col("stop")
