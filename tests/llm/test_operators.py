@@ -158,6 +158,57 @@ def test_quality_rules_reject_an_outlier_of_each_statistic(spark):
     assert {i for i in found if not found[i].kept} == set(range(300, 305))
 
 
+def test_quality_rules_reject_an_outlier_of_a_correlation(spark):
+    """Longer words come with fewer short ones; a text within the range of both, but of long words and as many short ones, is outside."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("aeioustrnl") for _ in range(n))
+
+    def text(short, length):
+        return " ".join(letters(rng.randint(2, 3)) if rng.random() < short else letters(length + rng.randint(-1, 1)) for _ in range(200))
+
+    clean = [text(0.2 + 0.01 * (i % 30), 6) for i in range(400)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(clean + [text(0.45, 7), text(0.22, 5)])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    found = quality_rules.judged(frame).select("doc_id", "kept", F.get("x", F.lit(0)).alias("length"), F.get("x", F.lit(1)).alias("short")).collect()
+    lengths, shorts = [[r[c] for r in found if r.doc_id < 400] for c in ("length", "short")]
+    odd = [r for r in found if r.doc_id >= 400]
+    assert all(min(lengths) < r.length < max(lengths) and min(shorts) < r.short < max(shorts) for r in odd)
+    assert {r.doc_id for r in found if not r.kept} == {400, 401}
+
+
+def test_quality_rules_beside_sorted_concentration(spark):
+    """Verdicts of a group are those of an estimate by whole sorted distances, from many random starts."""
+    rng = random.Random(10)
+    from tests.llm.conftest import word
+
+    rows = []
+    for i in range(700):
+        w = [word(rng).capitalize() if rng.random() < 0.05 else word(rng) for _ in range(rng.randint(20, 300))]
+        w = [x + rng.choice(".,") if rng.random() < 0.1 else x for x in w]
+        w = [x * 3 for x in w] if i % 11 == 0 else [x.upper() for x in w] if i % 13 == 0 else w
+        rows.append((i, " ".join(w), "en", "s"))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    found = {r.doc_id: r for r in quality_rules.judged(frame).collect()}
+    x = np.array([found[i].x for i in range(700)]) / quality_rules.SCALE
+    best, held = None, 525
+    for seed in range(20):
+        own = np.random.default_rng(seed).choice(700, 30, replace=False)
+        for _ in range(40):
+            mean, cov = x[own].mean(0), np.cov(x[own].T, bias=True)
+            far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            own = np.argsort(far, kind="stable")[:held]
+        best = min(best or (np.inf,), (np.linalg.det(cov), seed, mean, cov), key=lambda e: e[0])
+    draws = np.random.default_rng(1).standard_normal((400_000, 5))
+    squared = (draws**2).sum(1)
+    near = np.sort(squared)[: int(0.75 * len(squared))]
+    far = np.einsum("ij,jk,ik->i", x - best[2], np.linalg.inv(best[3] * 5 / near.mean()), x - best[2])
+    want, limit = np.array([found[i].distance for i in range(700)]), 30.856
+    assert np.allclose(want, far, rtol=0.2, atol=0.5)
+    clear = abs(far - limit) > 0.2 * limit
+    assert [found[i].kept for i in range(700) if clear[i]] == [bool(d <= limit) and not found[i].base_failed for i, d in enumerate(far) if clear[i]]
+    assert sum(not r.kept for r in found.values()) > 100
+
+
 def test_quality_rules_invert_any_few_rows():
     for n in (1, 2, 3):
         x = np.random.default_rng(n).random((n, 5)) * 5

@@ -5,19 +5,25 @@ Per group of language and source the minimum covariance determinant estimate is
 concentration steps over all documents: distances from the present estimate are counted in
 fine bins together with the sums and cross sums of their vectors, so one aggregation tells
 which bins hold the nearest ``COVER`` of the group and what their mean and covariance are.
-The start is each statistic's median and quartile range. A group with fewer rows (with
+There are three starts: medians with quartile ranges, medians with equal spreads, and the
+plain mean and covariance of all. After ``TRIED`` steps the one with the least determinant goes
+on, until no group's determinant falls any more. A group with fewer rows (with
 words) than ``MIN_ROWS`` uses its language's estimate, or that of all; to these every row of
 the language, or of the table, counts, also those of groups large enough for their own.
 A document whose squared Mahalanobis distance exceeds the chi-square quantile ``1 - TAIL``
 is rejected. A whole table of fewer rows than ``MIN_ROWS`` has only itself to go by.
 
-Statistics are whole multiples of 1/4096, so their sums are exact and every run, however
-partitioned, gives the same verdicts. Standard deviations have floors (``FEATURES``) in every
-direction, since most documents have no symbols or repeats at all, and short ones vary more.
+No statistic is the same for most documents: marks stand in every prose, symbols among them,
+and repeats add to the rate at which words come again anyway. Each text counts as if ``PRIOR``
+plain words stood before it, so that short ones do not vary more than long ones. Floors of the
+spread (``FEATURES``) serve directions in which a group does not vary at all.
+
+Statistics are whole multiples of 1/65536, so their sums are exact and every run, however
+partitioned, gives the same verdicts.
 Groups are partial sums before any shuffle: a source of a third of all rows costs one row per
 task and bin, at each level.
 
-Defined results: NULL and empty texts, and texts of blanks, have no words and fail. NULL
+Defined results: a very long text is one row of counts; a very long word is a word. NULL and empty texts, and texts of blanks, have no words and fail. NULL
 languages and sources are groups of their own. Repeated rows count each. An empty table
 gives no rows. Other columns never meet the operator's own.
 """
@@ -37,22 +43,33 @@ from tidemark.llm import tokens as T
 from tidemark.llm.graph import kept
 from tidemark.llm.native import field, quoted, without
 
-COVER, MIN_ROWS, STEPS, TAIL = 0.75, 200, 6, 1e-4
-#: Statistic and the least standard deviation it is held to: about that of documents which pass the simple limits,
-#: and so small that each statistic's full range (repeated words: sqrt(0.2)) lies well beyond the quantile.
+COVER, MIN_ROWS, TRIED, STEPS, TAIL = 0.75, 200, 2, 12, 1e-5
+#: Statistic and the least standard deviation it is held to, in directions in which a group's rows are all alike.
 FEATURES = (
-    ("log_word_length", 0.20),
-    ("root_symbol_share", 0.06),
-    ("root_repeated_line_share", 0.11),
-    ("root_repeated_word_share", 0.065),
-    ("root_capital_share", 0.10),
+    ("log_word_length", 0.006),
+    ("root_short_word_share", 0.006),
+    ("root_mark_share", 0.006),
+    ("root_capital_share", 0.006),
+    ("repetition", 0.0015),
 )
-SCALE = 4096
+#: The plain words that every text counts as having before its own, for lengths and shares and for repetition, and what
+#: they hold: code points, short words, marks, capitals.
+PRIOR, PRIOR_REPEATS = 20, 50
+PRIOR_CHARS, PRIOR_SHORT, PRIOR_MARKS, PRIOR_CAPITALS = 100, 8, 3.0, 1.6
+#: Code points of a short word at most.
+SHORT = 3
+#: How the logarithm of words by distinct words grows with their number, and what a repeated window or line adds to it.
+GROWTH, WINDOW_WEIGHT, LINE_WEIGHT = 0.45, 0.025, 0.0125
+SCALE = 65536
+#: Values are counted in steps of this many for the quartiles; an estimate is final once its determinant's logarithm falls by no more than that.
+_STEP, ENOUGH = 16, 1e-4
 _D = len(FEATURES)
 _FLOOR = np.array([f for _, f in FEATURES])
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_capitals bigint"
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+_COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_capitals bigint, n_short bigint, n_distinct bigint, n_marks bigint"
 
 
 def text_counts(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -86,9 +103,14 @@ def text_counts(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     np.add.at(edge, twice, 1)
     np.add.at(edge, twice + 5, -1)
     covered = np.append(0, np.cumsum(np.cumsum(edge)[:-1] > 0))
+    points = np.append(0, np.cumsum(inside & ((data & 0xC0) != 0x80)))
+    short = np.append(0, np.cumsum(points[ends] - points[starts] <= SHORT))
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
+    _, once = np.unique(T.mix(names ^ T.mix(of.astype(np.uint64))), return_index=True)
     return [
         np.diff(first), per_text(inside & ((data & 0xC0) != 0x80)), per_text(_SYMBOL[data]), repeated,
         np.diff(covered[first]), lines, per_text((data >= 65) & (data <= 90)),
+        np.diff(short[first]), np.bincount(of[once], minlength=len(bounds) - 1), per_text(_MARK[data]),
     ]
 
 
@@ -118,11 +140,13 @@ def row_key(*columns: Column) -> Column:
 
 
 def _statistics() -> Column:
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    share = lambda a, b: F.sqrt(F.col(a) / b)
+    words, chars = F.col("n_words") + PRIOR, F.col("word_chars") + PRIOR_CHARS
+    many, share = F.col("n_words") + PRIOR_REPEATS, lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
     values = [
-        F.log(chars / words), share("n_symbols", chars), share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))),
-        share("n_repeat_words", words), share("n_capitals", chars),
+        F.log(chars / words), F.sqrt((F.col("n_short") + PRIOR_SHORT) / words),
+        F.sqrt((F.col("n_marks") + PRIOR_MARKS) / chars), F.sqrt((F.col("n_capitals") + PRIOR_CAPITALS) / chars),
+        F.log(many / (F.col("n_distinct") + PRIOR_REPEATS)) / F.pow(many, F.lit(GROWTH))
+        + WINDOW_WEIGHT * share("n_repeat_words", "n_words") + LINE_WEIGHT * share("n_dup_lines", "n_lines"),
     ]
     return F.array(*[F.round(v * SCALE).cast("long") for v in values])
 
@@ -149,21 +173,25 @@ def _chi2_quantile(p: float, d: int) -> float:
 
 
 def _estimate(mean: np.ndarray, covariance: np.ndarray, factor: float) -> dict:
-    """Centre and precision. In units of the floors no direction's spread is below one, so any few rows have an inverse."""
+    """Centre, precision and logarithm of the determinant. In units of the floors no direction's spread is below one, so any few rows have an inverse."""
     spread, axes = np.linalg.eigh(covariance * factor / np.outer(_FLOOR, _FLOOR))
-    precision = (axes / np.maximum(spread, 1.0)) @ axes.T / np.outer(_FLOOR, _FLOOR)
-    return {"centre": mean.tolist(), "precision": precision.reshape(-1).tolist()}
+    spread = np.maximum(spread, 1.0)
+    precision = (axes / spread) @ axes.T / np.outer(_FLOOR, _FLOOR)
+    return {"centre": mean.tolist(), "precision": precision.reshape(-1).tolist(), "spread": float(np.log(spread).sum())}
 
 
-def _start(rows: pd.DataFrame) -> pd.DataFrame:
-    """A group's first estimate from counts of each statistic's values (in steps of 1/256)."""
+def _starts(rows: pd.DataFrame) -> pd.DataFrame:
+    """A group's first estimates from counts of each statistic's values (in steps of ``_STEP``)."""
     centre, spread = np.zeros(_D), np.zeros(_D)
     for k, own in rows.groupby("k"):
         own = own.sort_values("bin")
         total = own["n"].cumsum().to_numpy()
-        q = [own["bin"].to_numpy()[np.searchsorted(total, total[-1] * p)] * 16 / SCALE for p in (0.25, 0.5, 0.75)]
+        q = [own["bin"].to_numpy()[np.searchsorted(total, total[-1] * p)] * _STEP / SCALE for p in (0.25, 0.5, 0.75)]
         centre[k], spread[k] = q[1], (q[2] - q[0]) / 1.349
-    return pd.DataFrame([{"group": rows["group"].iloc[0], **_estimate(centre, np.diag(spread**2), 1.0)}])
+    plain = _estimate(centre, np.zeros((_D, _D)), 1.0)
+    # Without a precision all distances are 0, so the first step takes the mean and covariance of all.
+    found = [_estimate(centre, np.diag(spread**2), 1.0), plain, plain | {"precision": [0.0] * _D * _D}]
+    return pd.DataFrame([{"group": rows["group"].iloc[0], "start": i, **e} for i, e in enumerate(found)])
 
 
 def _concentrated(rows: pd.DataFrame) -> pd.DataFrame:
@@ -180,10 +208,10 @@ def _concentrated(rows: pd.DataFrame) -> pd.DataFrame:
     matrix = matrix + np.triu(matrix, 1).T - np.outer(mean, mean)
     share = min(held / n[-1], 0.999999)
     factor = share / _chi2_cdf(_chi2_quantile(share, _D), _D + 2)
-    return pd.DataFrame([{"group": rows["group"].iloc[0], **_estimate(mean, matrix, factor)}])
+    return pd.DataFrame([{"group": rows["group"].iloc[0], "start": rows["start"].iloc[0], **_estimate(mean, matrix, factor)}])
 
 
-_PARAMS = "group string, centre array<double>, precision array<double>"
+_PARAMS = "group string, start int, centre array<double>, precision array<double>, spread double"
 
 
 def _distance() -> Column:
@@ -216,20 +244,35 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.join(pairs, F.col("__pair") == F.col("__p")).drop("__pair", "__p")
 
 
+def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Every estimate after one concentration step over all rows of its group."""
+    pairs = [(i, j) for i in range(_D) for j in range(i, _D)]
+    near = rows.select(F.explode("groups").alias("group"), "x").join(params, "group")
+    near = near.select("group", "start", "x", F.floor(16 * F.log2(1 + F.greatest(_distance(), F.lit(0.0)))).alias("bin"))
+    value = lambda i: F.get("x", F.lit(i)).cast("decimal(19,0)")
+    sums = near.groupBy("group", "start", "bin").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.sum(value(i)).cast("double") for i in range(_D)]).alias("sums"),
+        F.array(*[F.sum(value(i) * value(j)).cast("double") for i, j in pairs]).alias("cross"),
+    )
+    return sums.groupBy("group", "start").applyInPandas(_concentrated, _PARAMS)
+
+
 def estimates(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """One row per group: the centre and the precision matrix of its estimate, to which each row of it counts."""
-    parts = rows.select("groups", F.posexplode("x").alias("k", "v")).groupBy("groups", "k", (F.floor(F.col("v") / 16)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    parts = rows.select("groups", F.posexplode("x").alias("k", "v")).groupBy("groups", "k", (F.floor(F.col("v") / _STEP)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     parts = parts.select(F.explode("groups").alias("group"), "k", "bin", "n").groupBy("group", "k", "bin").agg(F.sum("n").alias("n"))
-    params = kept(spark, parts.groupBy("group").applyInPandas(_start, _PARAMS), "estimates")
-    pairs = [(i, j) for i in range(_D) for j in range(i, _D)]
-    for _ in range(STEPS):
-        near = rows.select(F.explode("groups").alias("group"), "x").join(params, "group").select("group", "x", F.floor(16 * F.log2(1 + F.greatest(_distance(), F.lit(0.0)))).alias("bin"))
-        sums = near.groupBy("group", "bin").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*[F.sum(F.get("x", F.lit(i))) for i in range(_D)]).alias("sums"),
-            F.array(*[F.sum(F.get("x", F.lit(i)) * F.get("x", F.lit(j))) for i, j in pairs]).alias("cross"),
-        )
-        params = kept(spark, sums.groupBy("group").applyInPandas(_concentrated, _PARAMS), "estimates")
+    params = kept(spark, parts.groupBy("group").applyInPandas(_starts, _PARAMS), "estimates")
+    for k in range(STEPS):
+        after = _step(rows, params)
+        if k == TRIED - 1:
+            after = after.groupBy("group").agg(F.min_by(F.struct("start", "centre", "precision", "spread"), F.struct("spread", "start")).alias("best")).select("group", "best.*")
+        after = kept(spark, after, "estimates")
+        if k >= TRIED:
+            before = params.select("group", F.col("spread").alias("was"))
+            if after.join(before, "group").where(F.col("spread") < F.col("was") - ENOUGH).isEmpty():
+                return after
+        params = after
     return params
 
 
