@@ -53,6 +53,23 @@ def test_ranges_follow_the_values_whatever_their_spread(spark, values):
     assert [(r.seq, r.position) for r in placed.orderBy("position").collect()] == [(v, i) for i, v in enumerate(sorted(values))]
 
 
+@pytest.mark.parametrize("bounds", [[], [3], [3, 5], [0, 2, 5, 7, 8], list(range(0, 75, 3)), [i**3 for i in range(64)]])
+def test_ranges_count_the_bounds_below(spark, bounds):
+    rows = spark.createDataFrame([(i,) for i in [None, *range(-2, 90)]], "seq bigint")
+    got = spread._with_range(rows, F.lit(bounds).cast("array<bigint>"), len(bounds), "seq").collect()
+    assert all(r["__range"] == (0 if r.seq is None else sum(b < r.seq for b in bounds)) for r in got)
+
+
+def test_a_row_is_placed_by_halving_and_shuffled_once(spark):
+    """No look at every bound for every row, and no second reading of the rows to tell where a range starts."""
+    placed = with_position(spark.range(1000).select(F.col("id").alias("seq")), "seq", width=13)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+    by_key = spread._ranged(hot_rows(spark), ["key"], "seq", 11)
+    assert "filter(" not in by_key._jdf.queryExecution().optimizedPlan().toString()
+    assert with_position(spark.range(0), "id").collect() == []
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-500, 500), min_size=1, max_size=60))
 def test_nearest_rank(spark, values):

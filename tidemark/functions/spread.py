@@ -10,8 +10,11 @@ across the borders. The results are exact.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WIDTH = 1_000_000
 #: Most ranges of one key; beyond, ranges grow instead.
@@ -19,13 +22,18 @@ RANGES = 10_000
 CELL = 4096
 
 
-def _in_range(bounds: Column, order: str) -> Column:
-    """How many of the rising bounds lie below the value: first among every k-th, then in that stretch."""
-    step = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(bounds)))).cast("int")
-    every = F.filter(bounds, lambda b, i: (i + 1) % step == 0)
-    jump = F.size(F.filter(every, lambda b: b < F.col(order))) * step
-    rest = F.slice(bounds, jump + 1, step)
-    return F.coalesce(jump + F.size(F.filter(rest, lambda b: b < F.col(order))), F.lit(0))
+def _with_range(frame: DataFrame, bounds: Column, most: int, order: str) -> DataFrame:
+    """Adds ``__range``: how many of the rising bounds (at most ``most``) lie below the value.
+
+    Found by halving, each step a projection of its own since it names the one before
+    twice: a row costs the logarithm of the bounds, in compiled code.
+    """
+    frame, step = frame.withColumn("__range", F.lit(0)), 1 << max(0, most.bit_length() - 1)
+    while step:
+        beyond = F.get(bounds, F.col("__range") + F.lit(step - 1)) < F.col(order)
+        frame = frame.withColumn("__range", F.col("__range") + F.when(beyond, step).otherwise(0))
+        step //= 2
+    return frame
 
 
 def _bounds(rows: DataFrame, keys: list[str], order: str, ranges: int) -> DataFrame:
@@ -43,12 +51,10 @@ def _ranged(frame: DataFrame, keys: list[str], order: str, width: int) -> DataFr
     same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
     own = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
     large = counts.where(F.col("__n") > width).select(*own)
-    bounds = _bounds(frame.select(*keys, order).join(large, same, "left_semi"), keys, order, min(RANGES, -(-most // width)))
-    return (
-        frame.join(bounds.select(*own, "__bounds"), same, "left")
-        .withColumn("__range", _in_range(F.col("__bounds"), order))
-        .drop("__bounds", *[f"__key{i}" for i in range(len(keys))])
-    )
+    ranges = min(RANGES, -(-most // width))
+    bounds = _bounds(frame.select(*keys, order).join(large, same, "left_semi"), keys, order, ranges)
+    bounded = frame.join(bounds.select(*own, "__bounds"), same, "left")
+    return _with_range(bounded, F.col("__bounds"), ranges, order).drop("__bounds", *[f"__key{i}" for i in range(len(keys))])
 
 
 def _carried(rows: DataFrame, borders: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,26 +121,23 @@ def filled_before(
 
 
 def with_position(frame: DataFrame, order: str, name: str = "position", width: int = WIDTH) -> DataFrame:
-    """Adds the 0-based rank by a distinct number column over the whole frame."""
+    """Adds the 0-based rank by a distinct number column over the whole frame.
+
+    The bounds of the ranges and how many rows lie before each are worked out here, once:
+    at most ``RANGES`` numbers each. Every later use of the result shares them, so it costs
+    one shuffle by range, and no two uses can be cut differently.
+    """
     rows = frame.agg(F.count(F.lit(1))).first()[0]
     least = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(2, min(RANGES, max(least, -(-rows // width))))
-    ranged = frame.crossJoin(F.broadcast(_bounds(frame.select(order), [], order, ranges)))  # one row, of bounded size
-    ranged = ranged.withColumn("__range", _in_range(F.col("__bounds"), order)).drop("__bounds")
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range: the single-partition window sees no more than the ranges.
-    starts = (
-        ranged.groupBy("__range")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    )
+    found = _bounds(frame.select(order), [], order, ranges).first()[0] or []
+    bounds = F.lit(found).cast(T.ArrayType(frame.schema[order].dataType))
+    ranged = _with_range(frame, bounds, len(found), order)
+    sizes = dict(ranged.groupBy("__range").count().collect())
+    starts = [0, *accumulate(sizes.get(i, 0) for i in range(len(found)))]
     inside = Window.partitionBy("__range").orderBy(order)
-    return (
-        ranged.withColumn("__rank", F.row_number().over(inside))
-        .join(starts, "__range")
-        .withColumn(name, (F.col("__start") + F.col("__rank") - 1).cast("bigint"))
-        .drop("__range", "__rank", "__start")
-    )
+    start = F.get(F.lit(starts).cast("array<bigint>"), F.col("__range"))
+    return ranged.withColumn(name, start + F.row_number().over(inside) - 1).drop("__range")
 
 
 def nearest_rank(
