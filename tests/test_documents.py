@@ -13,7 +13,10 @@ from tidemark.functions import names
 from tidemark.operators import conform as conform_module
 from tidemark.functions.documents import encode_document
 from tidemark.operators.conform import (
+    _examples,
+    _with_form,
     conform,
+    forms_of,
     observed_fields,
     read_documents,
 )
@@ -208,6 +211,26 @@ def test_forms_that_hide_something_are_looked_at_by_value(make_feed):
     assert set(rejected(result)) == {2, 3} and accepted(result)["4"]["DECIMAL(2,0)"] == 1.5
 
 
+def test_numbers_beside_a_wrapped_value_hide_nothing(make_feed):
+    """A quoted name before a decimal is no name that looks like one: the documents are of one form, not of one each."""
+    wrapped = [(i, "insert", str(i), f'{{"at":{{"$date":"2024-01-0{i % 9 + 1}T00:00:00Z"}},"p":{i}.25}}') for i in range(1, 40)]
+    rows = lambda feed: forms_of(_with_form(read_documents(feed))).collect()
+    (one,) = rows(make_feed(*wrapped))
+    assert one._exact == "" and "`$date`" in one._form
+    for name in ("DECIMAL(3,1)", "a`DECIMAL(3,1)", "$date`DECIMAL(3,1)`"):
+        feed = make_feed(*[(i, "insert", str(i), f'{{"a b":1.5,"{name}":{i}.25,"z z":2.5}}') for i in (1, 2)])
+        assert sorted(r._exact for r in rows(feed)) == sorted(r.full_document for r in feed.collect())
+
+
+def test_one_document_of_each_form_is_parsed_again_where_all_share_a_seq(make_feed):
+    """As in a sync: which document is an example is not told by its seq."""
+    feed = make_feed(*[(0, "insert", str(i), f'{{"p":{i}}}' if i % 2 else f'{{"q":"{i}"}}') for i in range(200)])
+    forms = forms_of(_with_form(read_documents(feed)))
+    prints = [r._print for r in forms.collect()]
+    assert len(prints) == 2 and feed.where(F.xxhash64("full_document").isin(prints)).count() == 2
+    assert sorted(r._form for r in _examples(feed, forms).collect()) == ["OBJECT<p: BIGINT>", "OBJECT<q: STRING>"]
+
+
 def test_large_document(make_feed):
     text = "x" * 200_000
     rows = accepted(conform(make_feed((1, "insert", "1", '{"t":"%s"}' % text))))

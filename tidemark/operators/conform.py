@@ -38,9 +38,10 @@ WIDE_REASON = "more fields than a table holds"
 WIDTH = 10_000
 
 # How schema_of_variant writes decimals; and the forms that do not tell every value's
-# type: mixed arrays, wrapped values in arrays, field names that look like a decimal.
+# type: mixed arrays, wrapped values in arrays, field names that look like a decimal (the
+# quoted names before are passed over in pairs of quotes, so that one's end opens no name).
 DECIMAL_FORM = r"DECIMAL\([0-9]+,[0-9]+\)"
-UNCLEAR_FORM = r"ARRAY<.*(VARIANT|\$)|`[^`]*DECIMAL\("
+UNCLEAR_FORM = r"ARRAY<.*(VARIANT|\$)|^[^`]*+(?:`(?:(?!DECIMAL\()[^`])*+`[^`]*+)*+`[^`]*DECIMAL\("
 # A form without any of these cannot match it.
 UNCLEAR_SIGNS = ("ARRAY<", "DECIMAL(")
 # Nesting levels that one aggregation looks at.
@@ -170,7 +171,7 @@ def _with_form(rows: DataFrame) -> DataFrame:
 
 
 def forms_of(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per form: the ``seq`` it was first seen at, and ``_odd``.
+    """One row per form: the ``seq`` it was first seen at, ``_print`` of one of its documents, and ``_odd``.
 
     ``_odd`` marks rows that are set aside whatever the schema: no key, not readable,
     or wider by themselves than a table. Only numbers are aggregated, so tasks hash and do not sort.
@@ -180,10 +181,15 @@ def forms_of(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     return (
         rows.withColumn("_odd", F.coalesce(odd, F.lit(False)))
         .groupBy("_odd", F.when(~F.col("_odd"), F.col("_form")).alias("_form"), F.when(~F.col("_odd"), F.col("_exact")).alias("_exact"))
-        .agg(F.min("seq").alias("seq"))
+        .agg(F.min("seq").alias("seq"), F.min(_print()).alias("_print"))
     )
 
 
+def _print() -> Column:
+    """A number by which a document is found again; another of the same number is told apart by its form."""
+    return F.xxhash64("full_document")
+
+
 def _wide(width: int) -> Column:
     # So many fields take three characters each at least.
     long = F.length("_form") > 3 * width
@@ -191,11 +197,16 @@ def _wide(width: int) -> Column:
 
 
 def _examples(feed: DataFrame, forms: DataFrame) -> DataFrame:
-    """A parsed document of each form, by its first ``seq``: seq, _form, _exact, _doc, _members."""
-    wanted = forms.where("NOT _odd AND _form IS NOT NULL").select("seq", "_form", "_exact")
-    near = feed.select("seq", "operation_type", "full_document").join(wanted.select("seq").distinct(), "seq", "left_semi")
-    # Events that share a seq (those of a sync all do) may have several forms: each is met with its own alone.
-    own = _with_form(read_documents(near)).join(wanted, ["seq", "_form", "_exact"], "left_semi")
+    """A parsed document of each form, under the form's first ``seq``: seq, _form, _exact, _doc, _members.
+
+    One is found by its print, not by its ``seq``, which all rows of a sync share: the
+    others are neither parsed again nor sorted.
+    """
+    wanted = forms.where("NOT _odd AND _form IS NOT NULL").select("seq", "_form", "_exact", "_print")
+    near = feed.select("operation_type", "full_document").withColumn("_print", _print())
+    near = near.join(wanted.select("_print").distinct(), "_print", "left_semi")
+    # Equal documents are one; of others with this print each is met with its own form alone.
+    own = _with_form(read_documents(near.distinct())).join(wanted, ["_print", "_form", "_exact"])
     once = own.dropDuplicates(["_form", "_exact"]).select("seq", "_form", "_exact", "_doc")
     return once.withColumn("_members", _members(F.col("_doc")))
 
@@ -616,7 +627,8 @@ def _conformed(
         rows = rows.withColumn("_members", _members(F.col("_doc")))
     checked, misfit, clean = _misfits(rows, forms, documents, root, order_text)
     unread = _unread(_members(F.col("_doc")), root)
-    clean = clean and (unread is None or not rows.where(unread).take(1))
+    # All parts are looked at side by side; ``take`` would begin with one.
+    clean = clean and (unread is None or not rows.where(unread).limit(1).count())
     return _typed_batch(checked, root, misfit, unread, missing_post_image, width, clean), root
 
 

@@ -50,6 +50,7 @@ from tidemark.operators.convergence import feed_lag
 from tidemark.operators.conform import ALIVE, AT, BUCKET, COMMIT, KEY, SEQ, Conformed, Memory, conform, table_type
 from tidemark.operators.digests import bucket_of, digest_tree, in_buckets, unequal_buckets
 from tidemark.operators.reports import table_columns
+from tidemark.session import shared_dir
 from tidemark.sources.feed import keep_operations
 
 # Fixed value: the reason of rows that share a key in an initial sync.
@@ -463,11 +464,15 @@ class Mirror:
             return number
         known = _schema(head.schema_json if head else None)
         batch = conform(keep_operations(feed), known, missing_post_image, memory=self._memory)
+        return self._commit_checked(batch, head, stream_id, batch_id, committed_at)
+
+    def _commit_checked(self, batch: Conformed, *rest) -> int | None:
+        """Commits a batch, which is kept while both of its halves are written."""
         if batch.clean:
-            return self._commit(batch, head, stream_id, batch_id, committed_at)
+            return self._commit(batch, *rest)
         checked = batch.checked.persist()
         try:
-            return self._commit(batch, head, stream_id, batch_id, committed_at)
+            return self._commit(batch, *rest)
         finally:
             checked.unpersist()
 
@@ -555,7 +560,8 @@ class Mirror:
         path = f"base/{COMMIT}=1"
         count = self._write_base(batch.accepted, path)
         rejected = Observation()
-        batch.rejected.unionByName(twice).select(
+        rejects = batch.rejected if twice is None else batch.rejected.unionByName(twice)
+        rejects.select(
             F.lit(at).cast("timestamp").alias("dlq_time"), F.struct("reason").alias("err_info"), "doc"
         ).observe(rejected, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{self._home}/dlq/{COMMIT}=1")
         self._mark_commit(
@@ -598,12 +604,9 @@ class Mirror:
             feed, twice, columns = _as_inserts(source.where(own if i else own | column(key).isNull()), seq, key)
             known = _schema(head.schema_json) if head else T.StructType([])
             new = [f for f in columns.fields if f.name.lower() not in {k.name.lower() for k in known.fields}]
-            batch = conform(feed, T.StructType(known.fields + new)).setting_aside(twice)
-            checked = batch.checked.persist()
-            try:
-                done.append(self._commit(batch, head, stream_id, i, None))
-            finally:
-                checked.unpersist()
+            batch = conform(feed, T.StructType(known.fields + new))
+            batch = batch if twice is None else batch.setting_aside(twice)
+            done.append(self._commit_checked(batch, head, stream_id, i, None))
         return done
 
     # --- bases -----------------------------------------------------------------
@@ -818,8 +821,11 @@ class Mirror:
         return self
 
 
-def _as_inserts(source: DataFrame, seq: int, key: str) -> tuple[DataFrame, DataFrame, T.StructType]:
-    """Rows as insert events of one ``seq``, those that share a key as rejects, and the columns of the table."""
+def _as_inserts(source: DataFrame, seq: int, key: str) -> tuple[DataFrame, DataFrame | None, T.StructType]:
+    """Rows as insert events of one ``seq``, those that share a key as rejects (None if none do), and the columns of the table.
+
+    The shared keys are looked for once, in the key column alone, and kept as a table.
+    """
     documents = source.select(*[column(c) for c in source.columns if c != key])
     feed = source.select(
         F.lit(seq).cast("bigint").alias("seq"),
@@ -830,6 +836,11 @@ def _as_inserts(source: DataFrame, seq: int, key: str) -> tuple[DataFrame, DataF
     )
     # Which of several rows of one key is right nobody can say: all are set aside.
     several = feed.groupBy("document_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND document_key IS NOT NULL")
+    counted, path = Observation(), shared_dir(source.sparkSession, "shared-keys")
+    several.select("document_key").observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    if not counted.get["n"]:
+        return feed, None, table_type(documents.schema)
+    several = source.sparkSession.read.schema("document_key string").parquet(path)
     twice = feed.join(several, "document_key", "left_semi").select(
         "seq", "cluster_time", F.col("full_document").alias("doc"), F.lit(DUPLICATE_REASON).alias("reason")
     )
