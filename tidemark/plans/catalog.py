@@ -302,12 +302,14 @@ def _late_mirror(spark: SparkSession, sf_dir: str) -> Mirror:
     """The feed committed in thirds of ten days, half of its events three commits late, in runs of three on levels."""
     mirror = Mirror(spark, shared_dir(spark, "late"), buckets=8, run_commits=3)
     third = F.floor((F.col("commit_id") - 1) / 3).cast("bigint") + F.when(F.col("amount") < 50, 3).otherwise(0)
-    feed = domain.feed(spark, sf_dir).withColumn("third", third).select(*feeds.FEED_SCHEMA.names, "third").persist()
+    columns, files = [F.col(f.name).cast(f.dataType) for f in feeds.FEED_SCHEMA], shared_dir(spark, "late-feed")
+    # Each batch in files of its own, so that a commit reads its own events and no others.
+    domain.feed(spark, sf_dir).select(*columns, third.alias("third")).write.mode("overwrite").partitionBy("third").parquet(files)
+    feed = spark.read.schema(T.StructType([*feeds.FEED_SCHEMA, T.StructField("third", T.LongType())])).parquet(files)
     for (one,) in feed.select("third").distinct().orderBy("third").collect():
-        mirror.apply(feed.where(F.col("third") == one), "late", one)
+        mirror.apply(feed.where(F.col("third") == one).drop("third"), "late", one)
         if one == 4:
             mirror.write_base()
-    feed.unpersist()
     return mirror
 
 
